@@ -503,7 +503,7 @@ def sleeve_metrics(spark, sf):
     return tidy(portfolio.metrics(portfolio.avoid_worst(_sel(spark, sf), "decile_ew")))
 
 
-@query("benchmark_metrics", with_views(_metrics_sql("c"), "scored", "bench", extra={**_BQ, "c": _CURVE.format(r="bench_ret", t="bq")}))
+@query("benchmark_metrics", with_views(_metrics_sql("c"), "scored", "bench", extra={**_BQ, "bqn": "SELECT * FROM bq WHERE bench_ret IS NOT NULL", "c": _CURVE.format(r="bench_ret", t="bqn")}))
 def benchmark_metrics(spark, sf):
     return tidy(portfolio.metrics(portfolio.benchmark_sleeve(_bq(spark, sf))))
 
@@ -512,7 +512,7 @@ def benchmark_metrics(spark, sf):
     "sleeve_versus_benchmark",
     with_views(
         """SELECT round(avg(CASE WHEN ret>bench_ret THEN 1.0 ELSE 0.0 END),6) AS hit_rate_vs_bench,
- round((SELECT power(product(1+ret),4.0/count(*))-1 FROM avoid) - (power(product(1+bench_ret),4.0/count(*))-1),6) AS excess_cagr FROM avoid JOIN bq USING (date)""",
+ round((SELECT power(product(1+ret),4.0/count(*))-1 FROM avoid) - (power(product(1+bench_ret),4.0/count(*))-1),6) AS excess_cagr FROM avoid JOIN bq USING (date) WHERE bench_ret IS NOT NULL""",
         "scored", "bench", extra={**_AVOID, **_BQ},
     ),
 )
@@ -622,7 +622,7 @@ def random_sleeve_equity_bands(spark, sf):
 @query(
     "screening_tier_pools",
     with_views(
-        "SELECT tier, date, count(*) AS n, round(avg(ret),6) AS mean_ret FROM (SELECT date, fwd_ret_1q AS ret, unnest(list_filter([CASE WHEN decile_ew<=10 THEN 'full' END, CASE WHEN decile_ew<=9 THEN 'ex10' END, CASE WHEN decile_ew<=8 THEN 'ex9_10' END, CASE WHEN decile_ew<=5 THEN 'top_half' END], x -> x IS NOT NULL)) AS tier"
+        "SELECT tier, date, count(*) AS n, round(avg(ret),6) AS mean_ret FROM (SELECT date, fwd_ret_1q AS ret, unnest(list_filter([CASE WHEN decile_ew<=10 THEN 'full' END, CASE WHEN decile_ew<=9 THEN 'ex10' END, CASE WHEN decile_ew<=8 THEN 'ex9_10' END, CASE WHEN decile_ew<=5 THEN 'top_half' END], lambda x: x IS NOT NULL)) AS tier"
         " FROM scored WHERE index_name='SMALL' AND decile_ew IS NOT NULL AND fwd_ret_1q IS NOT NULL AND date IN (SELECT date FROM scored WHERE index_name='SMALL' AND decile_ew IS NOT NULL AND fwd_ret_1q IS NOT NULL GROUP BY 1 HAVING count(*) FILTER (decile_ew<=5)>=20)) GROUP BY 1,2",
         "scored",
     ),

@@ -56,7 +56,7 @@ def small_peer_groups_dropped(spark, sf):
     "winsorized_factors",
     with_views(
         "SELECT date, entity, "
-        + ", ".join(f"round(least(greatest({f},quantile_cont({f},0.02) OVER ({WG})),quantile_cont({f},0.98) OVER ({WG})),6) AS {f}_w" for f in ("f_px", "f_qty"))
+        + ", ".join(f"round(least(greatest({f},quantile_cont({f},0.02) OVER ({WG})),quantile_cont({f},0.98) OVER ({WG})),10) AS {f}_w" for f in ("f_px", "f_qty"))
         + f" FROM (SELECT * FROM (SELECT *, count(*) OVER ({WG}) AS c FROM panel) WHERE c>=3)",
         "panel",
     ),
@@ -64,7 +64,7 @@ def small_peer_groups_dropped(spark, sf):
 def winsorized_factors(spark, sf):
     d = peers.drop_small_groups(v.panel(spark, sf), min_rows=3, slices=v.checked(spark, sf))
     w = peers.winsorize(d, ["f_px", "f_qty"], peers.PEER_KEYS, 0.02, tie_break=["entity"], slices=v.checked(spark, sf))
-    return tidy(w, "date", "entity", "f_px_w", "f_qty_w")
+    return tidy(w, "date", "entity", "f_px_w", "f_qty_w", digits=10)
 
 
 @query(
@@ -248,12 +248,12 @@ _DEC = {**{k: _LATEST[k] for k in ("pd", "cur", "prv")}, "lng": _LONG}
 @query(
     "factor_decomposition",
     with_views(
-        f"SELECT entity, factor, {r6('raw', 'z', 'prev_z')}, round({rank_pct_sql('z', 'PARTITION BY sector, factor', '100.0')},6) AS pct FROM lng", "risked", extra=_DEC
+        f"SELECT entity, factor, raw, {r6('z', 'prev_z')}, round({rank_pct_sql('z', 'PARTITION BY sector, factor', '100.0')},6) AS pct FROM lng", "risked", extra=_DEC
     ),
 )
 def factor_decomposition(spark, sf):
     d = reporting.decomposition(v.scored(spark, sf), list(v.FACTORS), slices=v.checked(spark, sf))
-    return tidy(d, "entity", "factor", "raw", "z", "prev_z", "pct")
+    return tidy(d, "entity", "factor", "raw", "z", "prev_z", "pct", exact=("raw",))
 
 
 @query(

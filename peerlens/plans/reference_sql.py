@@ -17,7 +17,7 @@ def _panel(unit: str) -> str:
     if unit == "month":
         steps = {"1m": 1, **steps}
     fwd = ", ".join(
-        f"round(max(f_px) OVER (PARTITION BY entity ORDER BY period_no RANGE BETWEEN {k} FOLLOWING AND {k} FOLLOWING)/f_px-1, 5) AS fwd_ret_{n}"
+        f"max(px) OVER (PARTITION BY entity ORDER BY period_no RANGE BETWEEN {k} FOLLOWING AND {k} FOLLOWING)/px-1 AS fwd_ret_{n}"
         for n, k in steps.items()
     )
     rel = ", ".join(f"fwd_ret_{n} - median(fwd_ret_{n}) OVER ({WG}) AS fwd_rel_ret_{n}" for n in steps)
@@ -27,7 +27,7 @@ def _panel(unit: str) -> str:
    SELECT CAST(date_trunc('{unit}', l_shipdate) AS DATE) AS date, l_partkey AS entity,
     round(avg(l_discount),9) AS f_disc, round(avg(l_tax),9) AS f_tax,
     round(avg(CASE WHEN l_returnflag='R' THEN 1.0 ELSE 0.0 END),9) AS f_ret, round(sum(l_quantity),6) AS f_qty,
-    round(sum(l_extendedprice)/sum(l_quantity),4) AS f_px, CAST(count(*) AS DOUBLE) AS f_lines,
+    round(ln(round(sum(l_extendedprice),2)/sum(l_quantity)),9) AS f_px, round(sum(l_extendedprice),2)/sum(l_quantity)+50000 AS px, CAST(count(*) AS DOUBLE) AS f_lines,
     CAST(count(DISTINCT l_suppkey) AS DOUBLE) AS f_supp
    FROM lineitem GROUP BY 1,2) a JOIN part ON p_partkey=entity))"""
 
@@ -127,12 +127,12 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
     "bars": (
         ("sessions",),
         """SELECT entity, date, session_no, close, volume FROM (SELECT p_brand AS entity, CAST(date_trunc('week', l_shipdate) AS DATE) AS date,
-  round(sum(l_extendedprice)/sum(l_quantity),4) AS close, round(sum(l_quantity),6) AS volume
+  round(sum(l_extendedprice),2)/sum(l_quantity) AS close, round(sum(l_quantity),6) AS volume
   FROM lineitem JOIN part ON p_partkey=l_partkey GROUP BY 1,2) JOIN sessions USING (date)""",
     ),
     "bench": (
         (),
-        "SELECT CAST(date_trunc('week', l_shipdate) AS DATE) AS date, round(sum(l_extendedprice)/sum(l_quantity),4) AS close FROM lineitem GROUP BY 1",
+        "SELECT CAST(date_trunc('week', l_shipdate) AS DATE) AS date, round(sum(l_extendedprice),2)/sum(l_quantity) AS close FROM lineitem GROUP BY 1",
     ),
     "grid": (
         ("bars", "sessions"),

@@ -24,12 +24,12 @@ def query(name: str, sql: str | None = None) -> Callable[[Plan], Plan]:
     return keep
 
 
-def tidy(df: DataFrame, *cols: str, digits: int = 6) -> DataFrame:
+def tidy(df: DataFrame, *cols: str, digits: int = 6, exact: tuple[str, ...] = ()) -> DataFrame:
     """Chosen columns with doubles rounded and whole numbers widened, for comparison across engines."""
     types = {f.name: f.dataType.simpleString() for f in df.schema.fields}
     out = []
     for c in cols or df.columns:
-        if types[c] in ("double", "float"):
+        if types[c] in ("double", "float") and c not in exact:
             out.append(F.round(F.col(c).cast("double"), digits).alias(c))
         elif types[c] in ("int", "smallint", "tinyint"):
             out.append(F.col(c).cast("long").alias(c))

@@ -54,7 +54,8 @@ def shipments(spark: SparkSession, sf: str, unit: str = "quarter") -> DataFrame:
         F.round(F.avg("l_tax"), 9).alias("f_tax"),
         F.round(F.avg((F.col("l_returnflag") == "R").cast("double")), 9).alias("f_ret"),
         F.round(F.sum("l_quantity"), 6).alias("f_qty"),
-        F.round(F.sum("l_extendedprice") / F.sum("l_quantity"), 4).alias("f_px"),
+        F.round(F.log(F.round(F.sum("l_extendedprice"), 2) / F.sum("l_quantity")), 9).alias("f_px"),
+        (F.round(F.sum("l_extendedprice"), 2) / F.sum("l_quantity") + 50000).alias("px"),
         F.count(F.lit(1)).cast("double").alias("f_lines"),
         F.countDistinct("l_suppkey").cast("double").alias("f_supp"),
     )
@@ -72,15 +73,13 @@ def period_number(unit: str = "quarter"):
 
 
 def panel(spark: SparkSession, sf: str, unit: str = "quarter") -> DataFrame:
-    """Shipments with forward returns of the unit price and their peer-relative form."""
+    """Shipments with forward returns of a price (unit price on a fixed base) and their peer-relative form."""
     d = shipments(spark, sf, unit).withColumn("period_no", period_number(unit))
     scale = 1 if unit == "quarter" else 3
     steps = {f"fwd_ret_{n}": k * scale for n, k in HORIZONS.items()}
     if unit == "month":
         steps = {"fwd_ret_1m": 1, **steps}
-    d = labels.gap_returns(d, "f_px", steps)
-    for c in steps:
-        d = d.withColumn(c, F.round(c, 5))
+    d = labels.gap_returns(d, "px", steps)
     rel = {c: c.replace("fwd_ret", "fwd_rel_ret") for c in steps}
     return peers.relative_to_median(d, rel, slices=checked(spark, sf))
 
@@ -104,7 +103,7 @@ def bars_raw(spark: SparkSession, sf: str) -> DataFrame:
     )
     part = table(spark, sf, "part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_brand").alias("entity"))
     return li.join(part, "l_partkey").groupBy("entity", "date").agg(
-        F.round(F.sum("x") / F.sum("q"), 4).alias("close"), F.round(F.sum("q"), 6).alias("volume")
+        (F.round(F.sum("x"), 2) / F.sum("q")).alias("close"), F.round(F.sum("q"), 6).alias("volume")
     )
 
 
@@ -120,7 +119,7 @@ def bars(spark: SparkSession, sf: str) -> DataFrame:
 
 def bench(spark: SparkSession, sf: str) -> DataFrame:
     li = table(spark, sf, "lineitem").groupBy(F.trunc(F.to_date("l_shipdate"), "week").alias("date"))
-    return li.agg(F.round(F.sum("l_extendedprice") / F.sum("l_quantity"), 4).alias("close"))
+    return li.agg((F.round(F.sum("l_extendedprice"), 2) / F.sum("l_quantity")).alias("close"))
 
 
 def membership(spark: SparkSession, sf: str) -> DataFrame:
