@@ -134,8 +134,8 @@ def net_purchase_ratio(spark, sf):
 @query(
     "exact_sample_then_carry",
     with_views(
-        """SELECT n.entity, w.at AS date, round(npr,6) AS insider_npr_6m FROM np n JOIN (SELECT at, least(at, (SELECT max(date) FROM np)) AS d FROM (
- SELECT unnest([DATE '2024-01-07', DATE '2024-01-21', DATE '2024-01-29', DATE '2024-02-15']) AS at)) w ON n.date=w.d""",
+        """SELECT n.entity, w.d0 AS date, round(npr,6) AS insider_npr_6m FROM np n JOIN (SELECT d0, least(d0, (SELECT max(date) FROM np)) AS d FROM (
+ SELECT unnest([DATE '2024-01-07', DATE '2024-01-21', DATE '2024-01-29', DATE '2024-02-15']) AS d0)) w ON n.date=w.d""",
         "flow", "event_days", extra={"tr": _TR, "np": _NPR},
     ),
 )
@@ -455,8 +455,8 @@ def knowledge_dates(spark, sf):
 
 # Items of a supplier's quarter, from its line items.
 _ITEMS_SQL = {
-    "sq": """SELECT l_suppkey AS entity, last_day(CAST(date_trunc('quarter', l_shipdate) + INTERVAL 2 MONTH AS DATE)) AS quarter_end, round(sum(l_extendedprice),2) AS revenue, round(sum(l_extendedprice*(1-l_discount)),2) AS gross_profit,
- round(sum(l_extendedprice*l_tax),2) AS net_income, round(sum(CASE WHEN l_returnflag='A' THEN l_extendedprice END),2) AS ebit, round(sum(CASE WHEN l_returnflag='N' THEN l_quantity END),2) AS dep_amort, round(sum(CASE WHEN l_linestatus='F' THEN l_extendedprice END),2) AS ocf,
+    "sq": """SELECT l_suppkey AS entity, last_day(CAST(date_trunc('quarter', l_shipdate) + INTERVAL 2 MONTH AS DATE)) AS quarter_end, round(sum(l_extendedprice),4) AS revenue, round(sum(l_extendedprice*(1-l_discount)),4) AS gross_profit,
+ round(sum(l_extendedprice*l_tax),4) AS net_income, round(sum(CASE WHEN l_returnflag='A' THEN l_extendedprice END),2) AS ebit, round(sum(CASE WHEN l_returnflag='N' THEN l_quantity END),2) AS dep_amort, round(sum(CASE WHEN l_linestatus='F' THEN l_extendedprice END),2) AS ocf,
  round(sum(CASE WHEN l_discount>0.08 THEN l_extendedprice END),2) AS capex, round(sum(l_quantity),2)*1000 AS total_assets, round(sum(CASE WHEN l_returnflag='R' THEN l_quantity END),2)*500 AS total_liabilities,
  round(sum(CASE WHEN l_linenumber=1 THEN l_quantity END),2) AS long_term_debt, round(sum(CASE WHEN l_linenumber=7 THEN l_quantity END),2) AS short_term_debt, count(*)*1.0::DOUBLE AS shares FROM lineitem GROUP BY 1,2""",
     "tt": "SELECT *, quarter_end+45 AS as_of, "
@@ -480,7 +480,7 @@ def supplier_items(spark, sf):
         "revenue": x, "gross_profit": x * (1 - F.col("l_discount")), "net_income": x * F.col("l_tax"), "ebit": F.when(F.col("l_returnflag") == "A", x),
         "dep_amort": F.when(F.col("l_returnflag") == "N", q), "ocf": F.when(F.col("l_linestatus") == "F", x), "capex": F.when(F.col("l_discount") > 0.08, x),
     }
-    aggs = [F.round(F.sum(c), 2).alias(n) for n, c in money.items()]
+    aggs = [F.round(F.sum(c), 4).alias(n) for n, c in money.items()]
     aggs += [
         (F.round(F.sum(q), 2) * 1000).alias("total_assets"), (F.round(F.sum(F.when(F.col("l_returnflag") == "R", q)), 2) * 500).alias("total_liabilities"),
         F.round(F.sum(F.when(F.col("l_linenumber") == 1, q)), 2).alias("long_term_debt"), F.round(F.sum(F.when(F.col("l_linenumber") == 7, q)), 2).alias("short_term_debt"),
