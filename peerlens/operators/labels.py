@@ -8,8 +8,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .asof import spans_event
-
 TERMINAL_RETURN = -1.0
 
 
@@ -34,71 +32,74 @@ def last_sessions(bars: DataFrame) -> DataFrame:
 
 
 def forward_returns(
-    points: DataFrame, bars: DataFrame, calendar: DataFrame, horizon: int, anomalies: DataFrame | None = None,
+    points: DataFrame, bars: DataFrame, calendar: DataFrame, horizons: Mapping[str, int], high: float = 4.0, low: float = 0.25,
     buffer_days: int = 15, max_abs: float = 50.0, terminal: float = TERMINAL_RETURN,
 ) -> DataFrame:
-    """Forward return over ``horizon`` sessions for each (entity, date, session_no) point.
+    """Forward returns of every (entity, date, session_no) point, all horizons in one pass.
+
+    The price now is the last present close at or before the point; the target session must
+    have traded. Gates, in order: a splice inside the window, an implausible size, then names
+    that stopped trading inside the window get ``terminal``. Excluded cells are never filled.
+    Columns per horizon: ``ret_<n>``, ``reason_<n>``, ``excluded_<n>``.
 
-    The price now is the last present close at or before the point; the target must exist
-    exactly. Order of the gates: splice inside the window, implausible size, then names that
-    stopped trading inside the window get ``terminal``. Excluded cells are never filled.
-    Returns entity, date, ret, reason, excluded_value.
+    Points and closes of an entity share one window; both are bounded by the calendar.
     """
-    px = bars.where(F.col("close").isNotNull()).select("entity", "session_no", "close")
-    # price now: newest present close, one window over points and prices
-    union = px.select("entity", "session_no", "close", F.lit(0).alias("__k"), F.lit(None).cast("date").alias("date")).unionByName(
-        points.select("entity", "session_no", F.lit(None).cast("double").alias("close"), F.lit(1).alias("__k"), "date")
-    )
-    w = Window.partitionBy("entity").orderBy("session_no", "__k").rowsBetween(Window.unboundedPreceding, 0)
-    by_no = Window.partitionBy("entity").orderBy("session_no").rangeBetween(horizon, horizon)
-    alive = Window.partitionBy("entity")
-    now = (
-        union.withColumn("p_now", F.last("close", ignorenulls=True).over(w))
-        .withColumn("p_fut", F.max("close").over(by_no))
-        .withColumn("last_session", F.max(F.when(F.col("__k") == 0, F.col("session_no"))).over(alive))
-        .where(F.col("__k") == 1)
-    )
-    end = calendar.agg(F.max("session_no").alias("__max_no"), F.max("date").alias("__max_date"))
-    cal = F.broadcast(calendar.select(F.col("session_no").alias("last_session"), F.col("date").alias("last_valid")))
-    tgt = F.broadcast(calendar.select((F.col("session_no") - horizon).alias("session_no"), F.col("date").alias("tgt_date")))
-    d = now.join(cal, "last_session", "left").join(tgt, "session_no", "left").join(F.broadcast(end), F.lit(True))
-    d = d.withColumn("raw", F.try_divide("p_fut", "p_now") - 1).withColumn(
-        "win_end", F.least(F.col("session_no") + horizon, F.col("__max_no"))
-    )
-    if anomalies is not None:
-        d = spans_event(d, anomalies, "session_no", "win_end", "session_no", "spliced")
-    else:
-        d = d.withColumn("spliced", F.lit(False))
-    reason = F.when(F.col("raw").isNotNull() & F.col("spliced"), "splice_window").when(
-        F.abs("raw") > max_abs, "extreme_return"
-    )
-    d = d.withColumn("reason", reason)
-    horizon_end = F.coalesce("tgt_date", F.date_add("date", int(horizon * 1.5)))
-    gone = (
-        F.col("raw").isNull()
-        & F.col("p_now").isNotNull()
-        & (F.col("last_valid") < F.date_sub("__max_date", buffer_days))
-        & (F.col("last_valid") > F.col("date"))
-        & (F.col("last_valid") < horizon_end)
+    present = bars.where(F.col("close").isNotNull())
+    jump = F.try_divide("close", F.lag("close").over(Window.partitionBy("entity").orderBy("session_no")))
+    px = present.select(
+        "entity", "session_no", "close", F.lit(None).cast("date").alias("date"), F.lit(0).alias("__k"),
+        ((jump > high) | (jump < low)).alias("__jump"),
     )
-    ret = F.when(F.col("reason").isNotNull(), None).when(gone, F.lit(terminal)).otherwise(F.col("raw"))
-    return d.select(
-        "entity", "date", ret.alias("ret"), "reason", F.when(F.col("reason").isNotNull(), F.col("raw")).alias("excluded_value")
+    pts = points.select(
+        "entity", "session_no", F.lit(None).cast("double").alias("close"), "date", F.lit(1).alias("__k"), F.lit(None).cast("boolean").alias("__jump")
     )
-
-
-def exclusion_log(forward: Mapping[int, DataFrame]) -> DataFrame:
-    """One row per label the gates refused, for the horizons given."""
-    parts = [
-        f.where(F.col("reason").isNotNull()).select(
-            "date", "entity", F.lit(h).alias("horizon_q"), "reason", F.col("excluded_value").alias("value")
+    both = px.unionByName(pts)
+    past = Window.partitionBy("entity").orderBy("session_no", "__k").rowsBetween(Window.unboundedPreceding, 0)
+    ahead = Window.partitionBy("entity").orderBy("session_no")
+    seen = both.select(
+        "*",
+        F.last("close", ignorenulls=True).over(past).alias("p_now"),
+        F.max(F.when(F.col("__k") == 0, F.col("session_no"))).over(Window.partitionBy("entity")).alias("last_session"),
+        *[F.max("close").over(ahead.rangeBetween(h, h)).alias(f"__fut_{n}") for n, h in horizons.items()],
+        *[F.max("__jump").over(ahead.rangeBetween(1, h)).alias(f"__splice_{n}") for n, h in horizons.items()],
+    ).where(F.col("__k") == 1)
+    # the calendar is one row per session
+    d = seen.join(F.broadcast(calendar.select(F.col("session_no").alias("last_session"), F.col("date").alias("last_valid"))), "last_session", "left")
+    for n, h in horizons.items():
+        target = calendar.select((F.col("session_no") - h).alias("session_no"), F.col("date").alias(f"__tgt_{n}"))
+        d = d.join(F.broadcast(target), "session_no", "left")
+    d = d.join(F.broadcast(calendar.agg(F.max("date").alias("__end"))), F.lit(True))
+    out = []
+    for n, h in horizons.items():
+        raw = F.try_divide(F.col(f"__fut_{n}"), F.col("p_now")) - 1
+        reason = F.when(raw.isNotNull() & F.coalesce(F.col(f"__splice_{n}"), F.lit(False)), "splice_window").when(F.abs(raw) > max_abs, "extreme_return")
+        horizon_end = F.coalesce(F.col(f"__tgt_{n}"), F.date_add("date", int(h * 1.5)))
+        gone = (
+            raw.isNull()
+            & F.col("p_now").isNotNull()
+            & (F.col("last_valid") < F.date_sub("__end", buffer_days))
+            & (F.col("last_valid") > F.col("date"))
+            & (F.col("last_valid") < horizon_end)
         )
-        for h, f in forward.items()
-    ]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+        out += [
+            F.when(reason.isNotNull(), None).when(gone, F.lit(terminal)).otherwise(raw).alias(f"ret_{n}"),
+            reason.alias(f"reason_{n}"),
+            F.when(reason.isNotNull(), raw).alias(f"excluded_{n}"),
+        ]
+    return d.select("entity", "date", *out)
+
+
+def exclusion_log(forward: DataFrame, horizons: Mapping[str, int]) -> DataFrame:
+    """One row per label the gates refused, for the horizons given as name -> quarters."""
+    cells = F.explode(
+        F.array(
+            *[
+                F.struct(F.lit(q).alias("horizon_q"), F.col(f"reason_{n}").alias("reason"), F.col(f"excluded_{n}").alias("value"))
+                for n, q in horizons.items()
+            ]
+        )
+    )
+    return forward.select("date", "entity", cells.alias("x")).select("date", "entity", "x.*").where(F.col("reason").isNotNull())
 
 
 def delisted_flag(df: DataFrame, returns: Sequence[str], out: str = "delisted") -> DataFrame:

@@ -7,10 +7,11 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import durable
 from .asof import asof_join, label_members, members_on, sample_exact_then_carry
 from .calendar import rebalance_dates, session_calendar, with_sessions
 from .fundamentals import valuation
-from .labels import delisted_flag, exclusion_log, forward_returns, price_anomalies
+from .labels import delisted_flag, exclusion_log, forward_returns
 from .peers import PEER_KEYS, relative_to_median
 from .timeseries import (
     carry_forward, dense_grid, drop_close_repeats, event_reactions, flow_ratio, latest_reaction, market_returns, net_purchase_ratio,
@@ -32,17 +33,23 @@ def build_panel(
     short_float: DataFrame | None = None, freq: str = "M", month: int = 21, quarter: int = 63, year: int = 252,
     half_year: int = 126, half_year_least: int = 63, expiry: int = 70,
     horizons: Mapping[str, int] | None = None, model_horizons: Mapping[str, int] | None = None,
-    slices: int | None = None,
+    slices: int | None = None, materialise: bool = True,
 ) -> tuple[DataFrame, DataFrame]:
     """(panel, exclusions). A feed that is absent leaves its columns NULL, so the schema is fixed.
 
-    ``bars`` is unique per (entity, date) with close and volume.
+    ``bars`` is unique per (entity, date) with close and volume. ``materialise`` writes the bars
+    and the labels once to the shared checkpoint folder, because many branches read them.
     """
     horizons = dict(horizons or {"1m": month, "1q": quarter, "2q": 2 * quarter, "4q": 4 * quarter})
     model_horizons = dict(model_horizons or {"1q": 1, "2q": 2})
     calendar = session_calendar(bars)
-    dates = rebalance_dates(calendar, freq)
     stamped = with_sessions(bars, calendar)
+    if materialise:
+        # everything below reads the bars: write them once
+        stamped = durable(stamped)
+        calendar = durable(stamped.select("date", "session_no").distinct())
+        bars = stamped.drop("session_no")
+    dates = rebalance_dates(calendar, freq)
     grid = session_returns(dense_grid(stamped, calendar))
     mkt = market_returns(bench, calendar) if bench is not None else None
     features = price_features(grid, mkt, month, quarter, year)
@@ -104,14 +111,10 @@ def build_panel(
         panel = panel.withColumn("short_pct_float", F.lit(None).cast("double"))
 
     # labels
-    odd = price_anomalies(stamped)
-    points = panel.select("entity", "date", "session_no")
-    logged: dict[int, DataFrame] = {}
-    for name, h in horizons.items():
-        fwd = forward_returns(points, stamped, calendar, h, odd)
-        if name in model_horizons:
-            logged[model_horizons[name]] = fwd
-        panel = panel.join(fwd.select("entity", "date", F.col("ret").alias(f"fwd_ret_{name}")), ["entity", "date"], "left")
+    forward = forward_returns(panel.select("entity", "date", "session_no"), stamped, calendar, horizons)
+    if materialise:
+        forward = durable(forward)
+    panel = panel.join(forward.select("entity", "date", *[F.col(f"ret_{n}").alias(f"fwd_ret_{n}") for n in horizons]), ["entity", "date"], "left")
     panel = delisted_flag(panel, [f"fwd_ret_{n}" for n in model_horizons])
     panel = relative_to_median(panel, {f"fwd_ret_{n}": f"fwd_rel_ret_{n}" for n in horizons}, PEER_KEYS, slices=slices)
-    return panel.drop("session_no"), exclusion_log(logged)
+    return panel.drop("session_no"), exclusion_log(forward, model_horizons)

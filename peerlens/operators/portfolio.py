@@ -14,43 +14,58 @@ from .timeseries import cumulative_growth
 PER_YEAR = 4
 
 
-def held_rows(df: DataFrame, decile: str, ret: str, keep: Column) -> DataFrame:
-    """Rows a sleeve holds: known return and bucket, not on the last date of the panel."""
-    last = df.agg(F.max("date").alias("__last"))
-    return (
-        df.select("date", "entity", decile, ret)
-        .join(F.broadcast(last), F.col("date") < F.col("__last"))
-        .where(F.col(ret).isNotNull() & F.col(decile).isNotNull() & keep)
-        .select("date", "entity", F.col(ret).alias("ret"))
+def run_sleeves(
+    df: DataFrame, decile: str, sleeves: Mapping[str, Column], ret: str = "fwd_ret_1q", cost_bps: float = 10.0
+) -> DataFrame:
+    """(sleeve, date, gross, turnover, ret, n) for all sleeves in one pass over the panel.
+
+    A row is held when its return and bucket are known and the sleeve's condition holds; the
+    last date of the panel is never held. Turnover of equal weights follows from n, the previous
+    n and their overlap, so holdings are never joined to each other: each row only looks at
+    the date its entity was held before.
+    """
+    known = F.col(ret).isNotNull() & F.col(decile).isNotNull()
+    tags = F.array(
+        *[F.struct(F.lit(n).alias("sleeve"), F.coalesce(known & c, F.lit(False)).alias("held")) for n, c in sleeves.items()]
     )
-
-
-def sleeve_periods(held: DataFrame, cost_bps: float = 10.0) -> DataFrame:
-    """(date, gross, turnover, ret): mean return minus turnover cost per held date.
-
-    Turnover of equal weights has a closed form in n, the previous n and their overlap, so
-    no pairs of holdings are joined."""
-    order = Window.orderBy("date")  # one row per held date
-    dates = held.groupBy("date").agg(F.avg("ret").alias("gross"), F.count(F.lit(1)).alias("n"))
-    dates = dates.withColumn("__i", F.row_number().over(order))
-    per_entity = Window.partitionBy("entity").orderBy("__i")
-    seen = held.select("date", "entity").join(F.broadcast(dates.select("date", "__i")), "date")
-    both = seen.withColumn("__p", F.lag("__i").over(per_entity)).groupBy("__i").agg(
-        F.count(F.when(F.col("__p") == F.col("__i") - 1, 1)).alias("both")
+    rows = df.select("date", "entity", F.col(ret).alias("__r"), F.explode(tags).alias("__t"))
+    rows = rows.select("date", "entity", "__r", "__t.sleeve", "__t.held")
+    before = F.lag("date").over(Window.partitionBy("entity", "sleeve", "held").orderBy("date"))
+    pairs = rows.withColumn("__before", before).groupBy("sleeve", "date", "__before").agg(
+        F.sum(F.when(F.col("held"), F.col("__r"))).alias("__s"), F.count(F.when(F.col("held"), 1)).alias("__n")
     )
-    d = dates.join(both, "__i").withColumn("np", F.lag("n").over(Window.orderBy("__i")))
-    n, p, c = F.col("n").cast("double"), F.col("np").cast("double"), F.col("both").cast("double")
+    # from here on one row per sleeve and pair of dates
+    per_date = Window.partitionBy("sleeve", "date")
+    every = Window.partitionBy("sleeve")
+    d = pairs.select(
+        "sleeve", "date", "__before", "__n", F.sum("__s").over(per_date).alias("__sum"), F.sum("__n").over(per_date).alias("n"),
+        F.max("date").over(every).alias("__last"),
+    ).where((F.col("date") < F.col("__last")) & (F.col("n") > 0))
+    dates = d.groupBy("sleeve", "date").agg(
+        F.first("__sum").alias("__sum"), F.first("n").alias("n"),
+        F.collect_list(F.struct("__before", "__n")).alias("__from"),
+    )
+    w = Window.partitionBy("sleeve").orderBy("date")
+    dates = dates.withColumn("__pd", F.lag("date").over(w)).withColumn("np", F.lag("n").over(w))
+    same = F.filter("__from", lambda x: x["__before"] == F.col("__pd"))
+    both = F.aggregate(same, F.lit(0).cast("long"), lambda a, x: a + x["__n"])
+    n, p, c = F.col("n").cast("double"), F.col("np").cast("double"), both.cast("double")
     moved = 0.5 * (c * F.abs(1 / n - 1 / p) + (n - c) / n + (p - c) / p)
-    d = d.withColumn("turnover", F.when(F.col("np").isNull(), F.lit(0.5)).otherwise(moved))
-    return d.select("date", "gross", "turnover", (F.col("gross") - F.col("turnover") * cost_bps / 1e4).alias("ret"), "n")
+    out = dates.withColumn("gross", F.col("__sum") / n).withColumn("turnover", F.when(F.col("np").isNull(), F.lit(0.5)).otherwise(moved))
+    return out.select("sleeve", "date", "gross", "turnover", (F.col("gross") - F.col("turnover") * cost_bps / 1e4).alias("ret"), "n")
+
+
+def standard_sleeves(decile: str, worst: int = 10) -> dict[str, Column]:
+    """Own every scored name, and everything but the worst bucket."""
+    return {"hold_all": F.lit(True), "avoid_worst": F.col(decile) < worst}
 
 
 def hold_all(df: DataFrame, decile: str, ret: str = "fwd_ret_1q", cost_bps: float = 10.0) -> DataFrame:
-    return sleeve_periods(held_rows(df, decile, ret, F.lit(True)), cost_bps)
+    return run_sleeves(df, decile, {"hold_all": F.lit(True)}, ret, cost_bps).drop("sleeve")
 
 
 def avoid_worst(df: DataFrame, decile: str, ret: str = "fwd_ret_1q", cost_bps: float = 10.0, worst: int = 10) -> DataFrame:
-    return sleeve_periods(held_rows(df, decile, ret, F.col(decile) < worst), cost_bps)
+    return run_sleeves(df, decile, {"avoid_worst": F.col(decile) < worst}, ret, cost_bps).drop("sleeve")
 
 
 def _cagr(growth: Column, n: Column) -> Column:
@@ -82,22 +97,24 @@ def metrics(periods: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
 def versus_benchmark(periods: DataFrame, bench: DataFrame) -> DataFrame:
     """Hit rate on matched periods, and the sleeve's CAGR over all its periods minus the
     benchmark's over the matched ones."""
-    own = periods.agg(F.product(1 + F.col("ret")).alias("__g"), F.count(F.lit(1)).alias("__n"))
-    m = periods.join(bench.where(F.col("bench_ret").isNotNull()), "date").agg(
-        F.avg((F.col("ret") > F.col("bench_ret")).cast("double")).alias("hit_rate_vs_bench"),
+    m = periods.select("date", "ret").join(F.broadcast(bench), "date", "left").agg(
+        F.product(1 + F.col("ret")).alias("__g"),
+        F.count(F.lit(1)).alias("__n"),
+        F.avg(F.when(F.col("bench_ret").isNotNull(), (F.col("ret") > F.col("bench_ret")).cast("double"))).alias("hit_rate_vs_bench"),
         F.product(1 + F.col("bench_ret")).alias("__bg"),
-        F.count(F.lit(1)).alias("__bn"),
+        F.count("bench_ret").alias("__bn"),
     )
-    both = own.join(F.broadcast(m), F.lit(True))
-    return both.select(
+    return m.select(
         "hit_rate_vs_bench",
         (_cagr(F.col("__g"), F.col("__n")) - _cagr(F.col("__bg"), F.col("__bn"))).alias("excess_cagr"),
     )
 
 
-def relative_metrics(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Strategy minus base on common dates; NULLs with fewer than two."""
-    j = a.select("date", F.col("ret").alias("ra")).join(b.select("date", F.col("ret").alias("rb")), "date")
+def relative_metrics(sleeves: DataFrame, strategy: str, base: str) -> DataFrame:
+    """Strategy minus base on common dates, from (sleeve, date, ret); no row with fewer than two."""
+    j = sleeves.groupBy("date").agg(
+        F.max(F.when(F.col("sleeve") == strategy, F.col("ret"))).alias("ra"), F.max(F.when(F.col("sleeve") == base, F.col("ret"))).alias("rb")
+    ).where(F.col("ra").isNotNull() & F.col("rb").isNotNull())
     diff = F.col("ra") - F.col("rb")
     g = j.agg(
         F.product(1 + F.col("ra")).alias("ga"),
@@ -122,34 +139,23 @@ def benchmark_sleeve(bench: DataFrame) -> DataFrame:
     return bench.where(F.col("bench_ret").isNotNull()).select("date", F.col("bench_ret").alias("ret"))
 
 
-def by_year(sleeves: Mapping[str, DataFrame]) -> DataFrame:
+def by_year(sleeves: DataFrame, names: Sequence[str]) -> DataFrame:
     """Compounded return and length per calendar year, one pair of columns per sleeve."""
-    tall = _stack(sleeves)
-    g = tall.groupBy(F.year("date").alias("year"))
     aggs = []
-    for k in sleeves:
+    for k in names:
         mine = F.when(F.col("sleeve") == k, F.col("ret"))
         aggs.append((F.product(1 + mine) - 1).alias(k))
         aggs.append(F.count(mine).alias(f"{k}_n"))
-    return g.agg(*aggs)
+    return sleeves.groupBy(F.year("date").alias("year")).agg(*aggs)
 
 
-def by_regime(sleeves: Mapping[str, DataFrame], bench: DataFrame) -> DataFrame:
+def by_regime(sleeves: DataFrame, names: Sequence[str], bench: DataFrame) -> DataFrame:
     """Mean return per sleeve when the benchmark rose and when it did not."""
     b = bench.where(F.col("bench_ret").isNotNull()).withColumn(
         "regime", F.when(F.col("bench_ret") > 0, "benchmark up").otherwise("benchmark down")
     )
     base = b.groupBy("regime").agg(F.count(F.lit(1)).alias("n_quarters"), F.avg("bench_ret").alias("benchmark"))
-    tall = _stack(sleeves).join(F.broadcast(b.select("date", "regime")), "date")
-    per = tall.groupBy("regime").agg(
-        *[F.avg(F.when(F.col("sleeve") == k, F.col("ret"))).alias(k) for k in sleeves]
+    per = sleeves.join(F.broadcast(b.select("date", "regime")), "date").groupBy("regime").agg(
+        *[F.avg(F.when(F.col("sleeve") == k, F.col("ret"))).alias(k) for k in names]
     )
-    return base.join(per, "regime", "left").select("regime", "n_quarters", *sleeves, "benchmark")
-
-
-def _stack(sleeves: Mapping[str, DataFrame]) -> DataFrame:
-    parts = [d.select("date", "ret", F.lit(k).alias("sleeve")) for k, d in sleeves.items()]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    return base.join(per, "regime", "left").select("regime", "n_quarters", *names, "benchmark")

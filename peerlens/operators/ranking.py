@@ -18,7 +18,7 @@ from pyspark.sql.window import Window
 
 from ..session import durable
 
-TARGET_GROUP_ROWS = 4_000_000
+TARGET_GROUP_ROWS = 2_000_000
 MAX_SLICES = 4096
 OVERSAMPLE = 16
 

@@ -15,8 +15,8 @@ from .registry import big, query, r6, tidy
 
 
 def part_overrides(spark, sf):
-    """One override per deeply discounted line: filed at shipment, expiring 100 days later."""
-    li = v.table(spark, sf, "lineitem").where(F.col("l_discount") >= 0.1)
+    """One override per returned line: filed at shipment, expiring 100 days later."""
+    li = v.table(spark, sf, "lineitem").where(F.col("l_returnflag") == "R")
     day = F.to_date("l_shipdate")
     return li.select(day.alias("date"), F.col("l_partkey").alias("entity"), F.date_add(day, 100).alias("expires"))
 
@@ -209,7 +209,9 @@ def _filing_docs(spark, sf):
     form = F.when(F.col("o_orderstatus") == "F", "8-K").when(F.col("o_orderstatus") == "O", "8-K/A").otherwise("10-Q")
     items = F.when(F.col("o_orderkey") % 3 == 0, "5.02").otherwise("2.02,9.01")
     acc = F.concat(day, F.lit("T"), F.lpad((F.col("o_orderkey") % 24).cast("string"), 2, "0"), F.lit(":30:00.000Z"))
-    g = o.groupBy(F.col("o_custkey").alias("entity")).agg(F.collect_list(F.struct(form.alias("form"), items.alias("items"), day.alias("d"), acc.alias("a"))).alias("r"))
+    # filings come in pages: a page covers a thousand order keys, so a document is bounded
+    page = F.floor(F.col("o_orderkey") / 1000)
+    g = o.groupBy(F.col("o_custkey").alias("entity"), page.alias("page")).agg(F.collect_list(F.struct(form.alias("form"), items.alias("items"), day.alias("d"), acc.alias("a"))).alias("r"))
     pick = lambda n: F.transform("r", lambda x: x[n])
     return g.select("entity", F.to_json(F.struct(pick("form").alias("form"), pick("items").alias("items"), pick("d").alias("filingDate"), pick("a").alias("acceptanceDateTime"))).alias("doc"))
 
@@ -315,7 +317,7 @@ def daily_event_flow(spark, sf):
 # --- overrides against outcomes --------------------------------------------------------------------
 
 _OBS = """SELECT o.reason_code, o.direction, p.rel, (p.rel<0) = (o.direction='more_risky') AS ok FROM (SELECT l_partkey AS entity, CAST(l_shipdate AS DATE) AS filed, CAST(l_shipdate AS DATE)+100 AS expires, CASE WHEN l_orderkey%2=0 THEN 'less_risky' ELSE 'more_risky' END AS direction,
- CASE l_linenumber%3 WHEN 0 THEN 'data_error' WHEN 1 THEN 'new_information' ELSE 'thesis_disagreement' END AS reason_code FROM lineitem WHERE l_discount>=0.1) o JOIN (SELECT entity, date, fwd_rel_ret_1q AS rel FROM panel WHERE fwd_rel_ret_1q IS NOT NULL) p ON p.entity=o.entity AND p.date BETWEEN o.filed AND o.expires"""
+ CASE l_linenumber%3 WHEN 0 THEN 'data_error' WHEN 1 THEN 'new_information' ELSE 'thesis_disagreement' END AS reason_code FROM lineitem WHERE l_returnflag='R') o JOIN (SELECT entity, date, fwd_rel_ret_1q AS rel FROM panel WHERE fwd_rel_ret_1q IS NOT NULL) p ON p.entity=o.entity AND p.date BETWEEN o.filed AND o.expires"""
 
 
 @query(
@@ -326,7 +328,7 @@ _OBS = """SELECT o.reason_code, o.direction, p.rel, (p.rel<0) = (o.direction='mo
     ),
 )
 def override_scoreboard(spark, sf):
-    li = v.table(spark, sf, "lineitem").where(F.col("l_discount") >= 0.1)
+    li = v.table(spark, sf, "lineitem").where(F.col("l_returnflag") == "R")
     day = F.to_date("l_shipdate")
     reason = F.when(F.col("l_linenumber") % 3 == 0, "data_error").when(F.col("l_linenumber") % 3 == 1, "new_information").otherwise("thesis_disagreement")
     o = li.select(
@@ -336,7 +338,7 @@ def override_scoreboard(spark, sf):
     return tidy(ovr.scoreboard(ovr.scored_observations(o, v.panel(spark, sf), "fwd_rel_ret_1q")))
 
 
-@query("overrides_in_force", "SELECT l_partkey AS entity, count(*) AS n FROM lineitem WHERE l_discount>=0.1 AND CAST(l_shipdate AS DATE)<=DATE '1999-06-30' AND CAST(l_shipdate AS DATE)+100>=DATE '1999-06-30' GROUP BY 1")
+@query("overrides_in_force", "SELECT l_partkey AS entity, count(*) AS n FROM lineitem WHERE l_returnflag='R' AND CAST(l_shipdate AS DATE)<=DATE '1999-06-30' AND CAST(l_shipdate AS DATE)+100>=DATE '1999-06-30' GROUP BY 1")
 def overrides_in_force(spark, sf):
     return asof.active_on(part_overrides(spark, sf), "1999-06-30").groupBy("entity").agg(F.count(F.lit(1)).alias("n"))
 

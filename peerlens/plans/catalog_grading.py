@@ -462,6 +462,10 @@ def _sel(spark, sf):
     return selected(v.scored(spark, sf))
 
 
+def _sleeves(spark, sf):
+    return portfolio.run_sleeves(_sel(spark, sf), "decile_ew", portfolio.standard_sleeves("decile_ew"))
+
+
 def _bq(spark, sf):
     from ..operators.asof import benchmark_period_returns
 
@@ -529,8 +533,7 @@ def sleeve_versus_benchmark(spark, sf):
     ),
 )
 def sleeve_relative_metrics(spark, sf):
-    d = _sel(spark, sf)
-    return tidy(portfolio.relative_metrics(portfolio.avoid_worst(d, "decile_ew"), portfolio.hold_all(d, "decile_ew")))
+    return tidy(portfolio.relative_metrics(_sleeves(spark, sf), "avoid_worst", "hold_all"))
 
 
 @query(
@@ -542,8 +545,7 @@ def sleeve_relative_metrics(spark, sf):
     ),
 )
 def sleeves_by_year(spark, sf):
-    d = _sel(spark, sf)
-    return tidy(portfolio.by_year({"avoid_worst": portfolio.avoid_worst(d, "decile_ew"), "hold_all": portfolio.hold_all(d, "decile_ew")}))
+    return tidy(portfolio.by_year(_sleeves(spark, sf), ["avoid_worst", "hold_all"]))
 
 
 @query(
@@ -555,9 +557,7 @@ def sleeves_by_year(spark, sf):
     ),
 )
 def sleeves_by_regime(spark, sf):
-    d = _sel(spark, sf)
-    two = {"avoid_worst": portfolio.avoid_worst(d, "decile_ew"), "hold_all": portfolio.hold_all(d, "decile_ew")}
-    return tidy(portfolio.by_regime(two, _bq(spark, sf)))
+    return tidy(portfolio.by_regime(_sleeves(spark, sf), ["avoid_worst", "hold_all"], _bq(spark, sf)))
 
 
 # --- estimation ---------------------------------------------------------------------------------

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import calendar, evaluation, peers, reporting, scoring
 from ..operators.ranking import average_rank, group_quantiles, numbered
 from . import views as v
+from .catalog_feeds import part_overrides
 from .reference_sql import WG, decile_sql, fam, ic_sql, mean_sql, neutral_sql, rank_pct_sql, with_views, z_sql, IX
 from .registry import big, query, r6, tidy
 
@@ -45,10 +46,10 @@ def peer_rank_variant(spark, sf):
 
 @query(
     "small_peer_groups_dropped",
-    with_views(f"SELECT date, sector, index_name, count(*) AS n FROM (SELECT *, count(*) OVER ({WG}) AS c FROM panel) WHERE c>=100 GROUP BY 1,2,3", "panel"),
+    with_views(f"SELECT date, sector, index_name, count(*) AS n FROM (SELECT *, count(*) OVER ({WG}) AS c FROM panel) WHERE c>=10 GROUP BY 1,2,3", "panel"),
 )
 def small_peer_groups_dropped(spark, sf):
-    d = peers.drop_small_groups(v.panel(spark, sf), min_rows=100, slices=v.checked(spark, sf))
+    d = peers.drop_small_groups(v.panel(spark, sf), min_rows=10, slices=v.checked(spark, sf))
     return d.groupBy("date", "sector", "index_name").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -287,21 +288,14 @@ def _latest_named(spark, sf):
 
 
 def _holdings(spark, sf):
-    """Every part of supplier-sized brands is a holding; some are outside the latest cross section."""
-    return v.table(spark, sf, "part").where(F.col("p_brand").isin("Brand#1", "Brand#2", "Brand#3")).select(F.col("p_partkey").alias("entity"))
-
-
-def _expiring(spark, sf):
-    """Override log: one entry per large order line discount, filed at shipment, expiring after 100 days."""
-    from .catalog_feeds import part_overrides
-
-    return part_overrides(spark, sf)
+    """Every part is a holding; some are outside the latest cross section."""
+    return v.table(spark, sf, "part").select(F.col("p_partkey").alias("entity"))
 
 
 _HOLD = {
     **_LATEST,
-    "hold": "SELECT p_partkey AS entity FROM part WHERE p_brand IN ('Brand#1','Brand#2','Brand#3')",
-    "ov": "SELECT l_partkey AS entity, count(*) AS n FROM lineitem WHERE l_discount>=0.1 AND CAST(l_shipdate AS DATE) <= (SELECT max(date) FROM risked) AND CAST(l_shipdate AS DATE)+100 >= (SELECT max(date) FROM risked) GROUP BY 1",
+    "hold": "SELECT p_partkey AS entity FROM part",
+    "ov": "SELECT l_partkey AS entity, count(*) AS n FROM lineitem WHERE l_returnflag='R' AND CAST(l_shipdate AS DATE) <= (SELECT max(date) FROM risked) AND CAST(l_shipdate AS DATE)+100 >= (SELECT max(date) FROM risked) GROUP BY 1",
     "rev": """SELECT h.entity, l.entity IS NOT NULL AS in_universe, sector, score_ew AS score, decile_ew AS decile, decile_ew-prev_decile_ew AS change,
  l.entity IS NOT NULL AND coalesce(decile_ew,0)>=9 AND (prev_decile_ew IS NULL OR prev_decile_ew<9) AS is_new,
  coalesce(decile_ew,0)>=9 AND coalesce(risk_tier='Elevated',false) AS is_double, coalesce(decile_ew,0)=10 AS is_review, coalesce(ov.n,0) AS n_overrides
@@ -316,7 +310,7 @@ _HOLD = {
 def holdings_review(spark, sf):
     latest = _latest_named(spark, sf)
     at = latest.agg(F.max("date").alias("__at"))
-    ov = _expiring(spark, sf).join(F.broadcast(at), (F.col("date") <= F.col("__at")) & (F.col("expires") >= F.col("__at")))
+    ov = part_overrides(spark, sf).join(F.broadcast(at), (F.col("date") <= F.col("__at")) & (F.col("expires") >= F.col("__at")))
     return tidy(reporting.holdings_review(latest, _holdings(spark, sf), ov))
 
 

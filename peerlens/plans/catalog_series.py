@@ -81,14 +81,6 @@ def forward_fill_bounded(spark, sf):
     return ts.carry_forward(ts.carry_forward(g, "close", "filled"), "close", "filled2", 2).select("entity", "date", "filled", "filled2")
 
 
-@query(
-    "minimum_history",
-    with_views("SELECT entity, count(*) AS n FROM bars WHERE entity IN (SELECT entity FROM bars GROUP BY 1 HAVING count(close)>=355) GROUP BY 1", "bars"),
-)
-def minimum_history(spark, sf):
-    return ts.long_enough(v.bars(spark, sf), 355).groupBy("entity").agg(F.count(F.lit(1)).alias("n"))
-
-
 @query("rebalance_dates", with_views("SELECT date, 'M' AS freq FROM rebal UNION ALL SELECT date, 'Q' FROM rebal_q", "rebal", "rebal_q"))
 def rebalance_dates(spark, sf):
     cal = v.sessions(spark, sf)
@@ -155,14 +147,14 @@ def repeat_events_dropped(spark, sf):
 
 
 def _ship_events(spark, sf):
-    """Brand events for the weekly bars: each order day with a discount of 10% on a single-digit line."""
-    li = v.table(spark, sf, "lineitem").where(F.col("l_discount") >= 0.1).select("l_partkey", F.to_date("l_shipdate").alias("reaction_date"))
-    part = v.table(spark, sf, "part").where(F.col("p_size") == 1).select(F.col("p_partkey").alias("l_partkey"), F.col("p_brand").alias("entity"))
+    """Brand events for the weekly bars: ship days of full lots that were returned."""
+    li = v.table(spark, sf, "lineitem").where((F.col("l_returnflag") == "R") & (F.col("l_quantity") == 50)).select("l_partkey", F.to_date("l_shipdate").alias("reaction_date"))
+    part = v.table(spark, sf, "part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_brand").alias("entity"))
     return li.join(part, "l_partkey").select("entity", "reaction_date").distinct()
 
 
 _REACT = {
-    "ev0": "SELECT DISTINCT p_brand AS entity, CAST(l_shipdate AS DATE) AS reaction_date FROM lineitem JOIN part ON p_partkey=l_partkey WHERE l_discount>=0.1 AND p_size=1",
+    "ev0": "SELECT DISTINCT p_brand AS entity, CAST(l_shipdate AS DATE) AS reaction_date FROM lineitem JOIN part ON p_partkey=l_partkey WHERE l_returnflag='R' AND l_quantity=50",
     "evs": "SELECT entity, reaction_date, (SELECT min(session_no) FROM sessions s WHERE s.date>=reaction_date) AS r0 FROM ev0",
     "re": """SELECT entity, r0+1 AS session_no, arg_max(mv, reaction_date) AS reaction FROM (SELECT e.entity, e.r0, e.reaction_date, b1.close/b0.close-1-(m1.mkt_close/m0.mkt_close-1) AS mv FROM evs e
  JOIN bars b0 ON b0.entity=e.entity AND b0.session_no=e.r0-1 JOIN bars b1 ON b1.entity=e.entity AND b1.session_no=e.r0+1 JOIN mkt m0 ON m0.session_no=e.r0-1 JOIN mkt m1 ON m1.session_no=e.r0+1) GROUP BY 1,2""",
@@ -197,22 +189,26 @@ def event_reaction_with_expiry(spark, sf):
 
 
 def _thin_bars(spark, sf):
-    """Bars per supplier-free (brand, type) pair: gaps, splices and names that stop trading."""
-    li = v.table(spark, sf, "lineitem").where(F.col("l_quantity") >= 45).groupBy(F.trunc(F.to_date("l_shipdate"), "week").alias("date"), "l_partkey").agg(
-        F.sum("l_extendedprice").alias("x"), F.sum("l_quantity").alias("q")
+    """Weekly bars per part: most weeks are gaps, many ratios are splices, some parts stop trading."""
+    b = v.table(spark, sf, "lineitem").groupBy(F.col("l_partkey").alias("entity"), F.trunc(F.to_date("l_shipdate"), "week").alias("date")).agg(
+        (F.round(F.sum("l_extendedprice"), 2) / F.sum("l_quantity")).alias("close")
     )
-    part = v.table(spark, sf, "part").where(F.col("p_size") <= 12).select(
-        F.col("p_partkey").alias("l_partkey"), F.concat_ws("/", "p_brand", "p_type").alias("entity")
-    )
-    b = li.join(part, "l_partkey").groupBy("entity", "date").agg((F.round(F.sum("x"), 2) / F.sum("q")).alias("close"), F.round(F.sum("q"), 6).alias("volume"))
     return calendar.with_sessions(b, v.sessions(spark, sf))
 
 
-_THIN = """SELECT entity, date, session_no, close FROM (SELECT p_brand||'/'||p_type AS entity, CAST(date_trunc('week', l_shipdate) AS DATE) AS date, round(sum(l_extendedprice),2)/sum(l_quantity) AS close
- FROM lineitem JOIN part ON p_partkey=l_partkey WHERE l_quantity>=45 AND p_size<=12 GROUP BY 1,2) JOIN sessions USING (date)"""
+_THIN = """SELECT entity, date, session_no, close FROM (SELECT l_partkey AS entity, CAST(date_trunc('week', l_shipdate) AS DATE) AS date, round(sum(l_extendedprice),2)/sum(l_quantity) AS close
+ FROM lineitem GROUP BY 1,2) JOIN sessions USING (date)"""
 _ANOM = "SELECT * FROM (SELECT *, close/lag(close) OVER (PARTITION BY entity ORDER BY session_no) AS ratio FROM tb) WHERE ratio>4 OR ratio<0.25"
 
 
+@query(
+    "minimum_history",
+    with_views("SELECT entity, count(*) AS n FROM tb WHERE entity IN (SELECT entity FROM tb GROUP BY 1 HAVING count(close)>=30) GROUP BY 1", "sessions", extra={"tb": _THIN}),
+)
+def minimum_history(spark, sf):
+    return ts.long_enough(_thin_bars(spark, sf), 30).groupBy("entity").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("price_splices", with_views("SELECT entity, date, round(ratio,6) AS ratio, 'daily_jump' AS reason FROM an", "sessions", extra={"tb": _THIN, "an": _ANOM}))
 def price_splices(spark, sf):
     return tidy(labels.price_anomalies(_thin_bars(spark, sf)), "entity", "date", "ratio", "reason")
@@ -220,11 +216,11 @@ def price_splices(spark, sf):
 
 def _fwd_sql(h: int) -> str:
     return f"""SELECT entity, date, CASE WHEN reason IS NOT NULL THEN NULL WHEN raw IS NULL AND p_now IS NOT NULL AND lv < top-15 AND lv > date AND lv < coalesce(tgt, date+{int(h * 1.5)}) THEN -1.0 ELSE raw END AS ret, reason,
- CASE WHEN reason IS NOT NULL THEN raw END AS excluded_value FROM (SELECT *, CASE WHEN raw IS NOT NULL AND EXISTS (SELECT 1 FROM an WHERE an.entity=p.entity AND an.session_no>p.session_no AND an.session_no<=least(p.session_no+{h}, last_no)) THEN 'splice_window'
+ CASE WHEN reason IS NOT NULL THEN raw END AS excluded_value FROM (SELECT p.*, CASE WHEN raw IS NOT NULL AND an.session_no>p.session_no THEN 'splice_window'
  WHEN abs(raw)>3.5 THEN 'extreme_return' END AS reason FROM (
- SELECT pt.entity, pt.date, pt.session_no, n.close AS p_now, f.close/n.close-1 AS raw, l.lv, s.date AS tgt, (SELECT max(date) FROM sessions) AS top, (SELECT max(session_no) FROM sessions) AS last_no FROM pts pt
+ SELECT pt.entity, pt.date, pt.session_no, pt.session_no+{h} AS win_end, n.close AS p_now, f.close/n.close-1 AS raw, l.lv, s.date AS tgt, (SELECT max(date) FROM sessions) AS top FROM pts pt
  ASOF LEFT JOIN tb n ON n.entity=pt.entity AND pt.session_no>=n.session_no LEFT JOIN tb f ON f.entity=pt.entity AND f.session_no=pt.session_no+{h}
- LEFT JOIN (SELECT entity, max(date) AS lv FROM tb GROUP BY 1) l ON l.entity=pt.entity LEFT JOIN sessions s ON s.session_no=pt.session_no+{h}) p)"""
+ LEFT JOIN (SELECT entity, max(date) AS lv FROM tb GROUP BY 1) l ON l.entity=pt.entity LEFT JOIN sessions s ON s.session_no=pt.session_no+{h}) p ASOF LEFT JOIN an ON an.entity=p.entity AND p.win_end>=an.session_no)"""
 
 
 _PTS = "SELECT e.entity, date, session_no FROM (SELECT DISTINCT entity FROM tb) e CROSS JOIN (SELECT date, session_no FROM sessions JOIN rebal USING (date))"
@@ -239,14 +235,18 @@ def _points(spark, sf, b):
     return e.select("entity", F.explode("__d").alias("d")).select("entity", "d.date", "d.session_no")
 
 
-def _forward(spark, sf, h: int):
+_TWO = {"1q": 12, "2q": 24}
+
+
+def _forward(spark, sf, horizons=None):
     b = _thin_bars(spark, sf)
-    return labels.forward_returns(_points(spark, sf, b), b, v.sessions(spark, sf), h, labels.price_anomalies(b), max_abs=3.5)
+    return labels.forward_returns(_points(spark, sf, b), b, v.sessions(spark, sf), horizons or _TWO, max_abs=3.5)
 
 
 @query("gated_forward_returns", with_views("SELECT entity, date, round(ret,6) AS ret, reason, round(excluded_value,6) AS excluded_value FROM f1", "sessions", "rebal", extra={k: x for k, x in _FWD.items() if k != "f2"}))
 def gated_forward_returns(spark, sf):
-    return tidy(_forward(spark, sf, 12))
+    f = _forward(spark, sf, {"1q": 12})
+    return tidy(f.select("entity", "date", F.col("ret_1q").alias("ret"), F.col("reason_1q").alias("reason"), F.col("excluded_1q").alias("excluded_value")))
 
 
 _XLOG = "SELECT date, entity, 1 AS horizon_q, reason, excluded_value AS value FROM f1 WHERE reason IS NOT NULL UNION ALL SELECT date, entity, 2, reason, excluded_value FROM f2 WHERE reason IS NOT NULL"
@@ -254,19 +254,17 @@ _XLOG = "SELECT date, entity, 1 AS horizon_q, reason, excluded_value AS value FR
 
 @query("label_exclusion_log", with_views(f"SELECT date, entity, {big('horizon_q')}, reason, {r6('value')} FROM x", "sessions", "rebal", extra={**_FWD, "x": _XLOG}))
 def label_exclusion_log(spark, sf):
-    return tidy(labels.exclusion_log({1: _forward(spark, sf, 12), 2: _forward(spark, sf, 24)}))
+    return tidy(labels.exclusion_log(_forward(spark, sf), {"1q": 1, "2q": 2}))
 
 
 @query("label_exclusion_summary", with_views("SELECT reason, count(*) AS n_labels, count(DISTINCT entity) AS n_entities FROM x GROUP BY 1", "sessions", "rebal", extra={**_FWD, "x": _XLOG}))
 def label_exclusion_summary(spark, sf):
-    return reporting.exclusion_summary(labels.exclusion_log({1: _forward(spark, sf, 12), 2: _forward(spark, sf, 24)}))
+    return reporting.exclusion_summary(labels.exclusion_log(_forward(spark, sf), {"1q": 1, "2q": 2}))
 
 
 @query("delisted_flag", with_views("SELECT f1.entity, f1.date, coalesce(f1.ret=-1.0,false) OR coalesce(f2.ret=-1.0,false) AS delisted FROM f1 JOIN f2 ON f1.entity=f2.entity AND f1.date=f2.date", "sessions", "rebal", extra=_FWD))
 def delisted_flag(spark, sf):
-    a = _forward(spark, sf, 12).select("entity", "date", F.col("ret").alias("r1"))
-    b = _forward(spark, sf, 24).select("entity", "date", F.col("ret").alias("r2"))
-    return labels.delisted_flag(a.join(b, ["entity", "date"]), ["r1", "r2"]).select("entity", "date", "delisted")
+    return labels.delisted_flag(_forward(spark, sf), ["ret_1q", "ret_2q"]).select("entity", "date", "delisted")
 
 
 @query("last_valid_sessions", with_views("SELECT entity, max(date) AS last_valid, CAST(max(session_no) AS BIGINT) AS last_session FROM tb GROUP BY 1", "sessions", extra={"tb": _THIN}))
@@ -357,7 +355,7 @@ def primary_with_fallback(spark, sf):
 @query(
     "windows_spanning_splices",
     with_views(
-        "SELECT p.entity, p.date, EXISTS (SELECT 1 FROM an WHERE an.entity=p.entity AND an.session_no>p.session_no AND an.session_no<=p.session_no+12) AS spanned FROM pts p", "sessions", "rebal",
+        "SELECT p.entity, p.date, coalesce(an.session_no>p.session_no, false) AS spanned FROM (SELECT *, session_no+12 AS win_end FROM pts) p ASOF LEFT JOIN an ON an.entity=p.entity AND p.win_end>=an.session_no", "sessions", "rebal",
         extra={"tb": _THIN, "an": _ANOM, "pts": _PTS},
     ),
 )
@@ -543,7 +541,7 @@ def cohort_median_path(spark, sf):
 
 
 _MERGE = {
-    "old": "SELECT entity, date, CASE WHEN entity IN ('Brand#3','Brand#4') THEN close/2 WHEN entity='Brand#5' THEN close*(1+session_no%3*0.1) ELSE close END AS close, volume FROM bars WHERE session_no<=330 AND entity<>'Brand#7'",
+    "old": "SELECT entity, date, CASE WHEN entity IN ('Brand#3','Brand#4') THEN close/3 WHEN entity='Brand#5' THEN close*(1+session_no%3*0.1) ELSE close END AS close, volume FROM bars WHERE session_no<=330 AND entity<>'Brand#7'",
     "nw": "SELECT entity, date, close, volume FROM bars WHERE session_no BETWEEN 325 AND 356",
     "vd": """SELECT entity, med, CASE WHEN med<=0 THEN 'refetch' WHEN abs(med-1)<=0.005 THEN 'keep' WHEN (hi-lo)/med<=0.005 THEN 'rescale' ELSE 'refetch' END AS verdict FROM (
  SELECT entity, median(n.close/o.close) AS med, min(n.close/o.close) AS lo, max(n.close/o.close) AS hi, count(*) AS n FROM old o JOIN nw n USING (entity, date) WHERE o.close<>0 GROUP BY 1) WHERE n>=2""",
@@ -553,7 +551,7 @@ _MERGE = {
 def _old_new(spark, sf):
     b = v.bars(spark, sf)
     e, s = F.col("entity"), F.col("session_no")
-    scaled = F.when(e.isin("Brand#3", "Brand#4"), F.col("close") / 2).when(e == "Brand#5", F.col("close") * (1 + s % 3 * 0.1)).otherwise(F.col("close"))
+    scaled = F.when(e.isin("Brand#3", "Brand#4"), F.col("close") / 3).when(e == "Brand#5", F.col("close") * (1 + s % 3 * 0.1)).otherwise(F.col("close"))
     old = b.where((s <= 330) & (e != "Brand#7")).select("entity", "date", scaled.alias("close"), "volume")
     return old, b.where(s.between(325, 356)).select("entity", "date", "close", "volume")
 
@@ -582,10 +580,10 @@ def new_entities_appended(spark, sf):
     return reconcile.add_new_entities(*_old_new(spark, sf)).groupBy("entity").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("degraded_window_guard", with_views("SELECT count(DISTINCT o.entity) AS known, count(DISTINCT n.entity) AS covered, count(DISTINCT n.entity) < count(DISTINCT o.entity)*0.5 AS degraded FROM old o LEFT JOIN (SELECT * FROM nw WHERE entity < 'Brand#2') n ON n.entity=o.entity", "bars", extra=_MERGE))
+@query("degraded_window_guard", with_views("SELECT count(DISTINCT o.entity) AS known, count(DISTINCT n.entity) AS covered, count(DISTINCT n.entity) < count(DISTINCT o.entity)*0.5 AS degraded FROM old o LEFT JOIN nw n ON n.entity=o.entity", "bars", extra=_MERGE))
 def degraded_window_guard(spark, sf):
     old, new = _old_new(spark, sf)
-    return reconcile.degraded(new.where(F.col("entity") < "Brand#2"), old)
+    return reconcile.degraded(new, old)
 
 
 @query(

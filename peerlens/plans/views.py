@@ -15,6 +15,7 @@ from pyspark.sql.window import Window
 from ..operators import labels, peers, scoring
 from ..operators.calendar import session_calendar, with_sessions
 from ..operators.ranking import TARGET_GROUP_ROWS
+from ..session import durable
 
 FACTORS = {"f_disc": -1, "f_tax": -1, "f_ret": 1, "f_qty": 1, "f_px": 1, "f_lines": -1, "f_supp": 1}
 FAMILIES = {"Price": ["f_px", "f_disc"], "Quality": ["f_ret", "f_tax", "f_supp"], "Volume": ["f_qty", "f_lines"]}
@@ -43,6 +44,12 @@ def checked(spark: SparkSession, sf: str, name: str = "lineitem") -> int | None:
     return 1 if _rows(spark.sparkContext.applicationId, sf, name) <= TARGET_GROUP_ROWS else None
 
 
+def settle(spark: SparkSession, sf: str, df: DataFrame) -> DataFrame:
+    """Write a stage once when the source is large: group checks and slices then read it back
+    instead of recomputing it. Small sources stay one lazy plan."""
+    return df if checked(spark, sf) == 1 else durable(df)
+
+
 def shipments(spark: SparkSession, sf: str, unit: str = "quarter") -> DataFrame:
     """Panel rows before scoring: (date, entity) aggregates of line items, with part attributes."""
     li = table(spark, sf, "lineitem").select(
@@ -81,15 +88,15 @@ def panel(spark: SparkSession, sf: str, unit: str = "quarter") -> DataFrame:
         steps = {"fwd_ret_1m": 1, **steps}
     d = labels.gap_returns(d, "px", steps)
     rel = {c: c.replace("fwd_ret", "fwd_rel_ret") for c in steps}
-    return peers.relative_to_median(d, rel, slices=checked(spark, sf))
+    return settle(spark, sf, peers.relative_to_median(settle(spark, sf, d), rel, slices=checked(spark, sf)))
 
 
 def neutral(spark: SparkSession, sf: str, unit: str = "quarter") -> DataFrame:
-    return peers.neutralize(panel(spark, sf, unit), FACTORS, slices=checked(spark, sf))
+    return settle(spark, sf, peers.neutralize(panel(spark, sf, unit), FACTORS, slices=checked(spark, sf)))
 
 
 def scored(spark: SparkSession, sf: str, unit: str = "quarter") -> DataFrame:
-    return scoring.balanced_score(neutral(spark, sf, unit), FAMILIES, slices=checked(spark, sf))
+    return settle(spark, sf, scoring.balanced_score(neutral(spark, sf, unit), FAMILIES, slices=checked(spark, sf)))
 
 
 def risked(spark: SparkSession, sf: str, unit: str = "quarter") -> DataFrame:

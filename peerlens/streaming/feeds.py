@@ -139,6 +139,23 @@ def daily_flow(events: DataFrame, ts: str = "ts", late: str = "2 days") -> DataF
     ).select("entity", F.to_date("window.start").alias("date"), "buy_shares", "sell_shares")
 
 
+def publish_flow(flow: DataFrame, store: MonthlyStore, checkpoint: str) -> StreamingQuery:
+    """Running totals per entity and day; each update replaces the rows it restates."""
+
+    def handle(batch: DataFrame, seq: int) -> None:
+        if batch.isEmpty():
+            return
+        stored = store.raw()
+        rows = batch.withColumn("__seq", F.lit(seq).cast("long"))
+        if stored is not None:
+            rows = store.touched(batch, stored).select(*batch.columns, F.col("seq").alias("__seq")).unionByName(rows)
+        store.write_months(newest_per_key(rows, ["entity", "date"], "__seq").drop("__seq"), seq)
+
+    return (
+        flow.writeStream.outputMode("update").foreachBatch(handle).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    )
+
+
 def ledger(spark: SparkSession, checkpoint: str) -> DataFrame:
     """Files already taken, read from the stream's own checkpoint log."""
     raw = spark.read.text(f"{checkpoint}/sources/0").where(F.col("value").startswith("{"))
