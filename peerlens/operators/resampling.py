@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..session import durable
 from .evaluation import ic_series, rank_correlation
 from .ranking import numbered, resolve
 
@@ -37,17 +38,32 @@ def tier_pools(
     return d.join(F.broadcast(usable), "date", "left_semi").select("date", "entity", "ret", F.explode(member).alias("tier"))
 
 
+def _draw(pools: DataFrame, names: int) -> DataFrame:
+    """Mean of the ``names`` smallest hashes per (tier, date, trial), and how many there were."""
+    w = Window.partitionBy("tier", "date", "trial").orderBy("__u", "entity")
+    picked = pools.withColumn("__k", F.row_number().over(w)).where(F.col("__k") <= names)
+    return picked.groupBy("tier", "trial", "date").agg(F.avg("ret").alias("ret"), F.count(F.lit(1)).alias("__n"))
+
+
 def random_sleeves(pools: DataFrame, trials: int = 1000, names: int = 20, seed: int = 42) -> DataFrame:
     """(tier, trial, date, ret): mean return of ``names`` drawn without replacement.
 
-    The row-number limit is applied before the shuffle as well, so each task sends at most
-    ``names`` rows per draw."""
-    drawn = pools.withColumn("trial", F.explode(F.sequence(F.lit(0), F.lit(trials - 1)))).withColumn(
-        "__u", F.xxhash64(F.lit(seed), "tier", "date", "trial", "entity")
-    )
-    w = Window.partitionBy("tier", "date", "trial").orderBy("__u", "entity")
-    picked = drawn.withColumn("__k", F.row_number().over(w)).where(F.col("__k") <= names)
-    return picked.groupBy("tier", "trial", "date").agg(F.avg("ret").alias("ret"))
+    A draw is the ``names`` rows with the smallest hash. Only hashes below a bound that leaves
+    far more than ``names`` in almost every draw are ranked at all; draws that came up short
+    are ranked again in full, so the result is exact whatever the bound."""
+    hashed = lambda d: d.withColumn("__u", F.xxhash64(F.lit(seed), "tier", "date", "trial", "entity"))
+    every = F.explode(F.sequence(F.lit(0), F.lit(trials - 1)))
+    sizes = pools.groupBy("tier", "date").agg(F.count(F.lit(1)).alias("__size"))
+    bound = (names + 10 * names**0.5 + 30) / F.col("__size")
+    # one row per tier and date
+    rows = hashed(pools.join(F.broadcast(sizes), ["tier", "date"]).withColumn("trial", every))
+    near = rows.where(F.col("__u") / F.lit(2.0**64) + 0.5 < bound)
+    first = durable(_draw(near, names))
+    done = first.where(F.col("__n") == names)
+    wanted = sizes.select("tier", "date", every.alias("trial"))
+    short = wanted.join(done.select("tier", "date", "trial"), ["tier", "date", "trial"], "left_anti")
+    again = _draw(hashed(pools.join(short, ["tier", "date"])), names)
+    return done.unionByName(again).drop("__n")
 
 
 def sleeve_paths(draws: DataFrame) -> DataFrame:

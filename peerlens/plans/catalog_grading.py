@@ -331,8 +331,9 @@ _ICW = {
 
 
 def blended(spark, sf):
+    base = v.kept(v.scored(spark, sf), "date", "entity", "sector", "index_name", *FAM.values(), "n_factors_used", "n_families_used", "score_ew", "fwd_rel_ret_1q")
     return scoring.evidence_weighted_score(
-        v.scored(spark, sf), _FAMS, "fwd_rel_ret_1q", 3, v.SELECTION, window=8, min_realized=_W_MIN, slices=v.checked(spark, sf)
+        base, _FAMS, "fwd_rel_ret_1q", 3, v.SELECTION, window=8, min_realized=_W_MIN, slices=v.checked(spark, sf)
     )
 
 
@@ -369,7 +370,8 @@ _PAIR = {
 
 
 def _paired(spark, sf):
-    d = ev.ic_series(selected(blended(spark, sf)[0]), _TWO, Q1, slices=v.checked(spark, sf))
+    # one row per date and series
+    d = v.kept(ev.ic_series(selected(blended(spark, sf)[0]), _TWO, Q1, slices=v.checked(spark, sf)))
     return ev.paired_test(d, "score_icw", "score_ew", 1)
 
 
@@ -392,7 +394,7 @@ def paired_ic_test(spark, sf):
     ),
 )
 def promotion_with_hysteresis(spark, sf):
-    p = _paired(spark, sf)
+    p = v.kept(_paired(spark, sf))
     both = ev.promotion_decision(p, F.lit(True)).unionByName(ev.promotion_decision(p, F.lit(False)))
     return tidy(both, "mean_diff", "was_promoted", "promote", "decision", "default_score")
 
@@ -406,9 +408,13 @@ _QD = {
 }
 
 
+def _months(spark, sf):
+    return v.kept(v.scored(spark, sf, "month"), "date", "entity", "sector", "decile_ew")
+
+
 @query("quarter_end_subset", with_views("SELECT date, count(*) AS n FROM scored_m JOIN qd USING (date) GROUP BY 1", "scored_m", extra={"qd": _QD["qd"]}))
 def quarter_end_subset(spark, sf):
-    return calendar.quarter_end_subset(v.scored(spark, sf, "month")).groupBy("date").agg(F.count(F.lit(1)).alias("n"))
+    return calendar.quarter_end_subset(_months(spark, sf)).groupBy("date").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(
@@ -421,7 +427,7 @@ def quarter_end_subset(spark, sf):
     ),
 )
 def decile_transition_matrix(spark, sf):
-    return tidy(reporting.transition_matrix(v.scored(spark, sf, "month"), "decile_ew"))
+    return tidy(reporting.transition_matrix(_months(spark, sf), "decile_ew"))
 
 
 @query(
@@ -435,7 +441,7 @@ def decile_transition_matrix(spark, sf):
     ),
 )
 def flag_churn(spark, sf):
-    return tidy(reporting.flag_churn(v.scored(spark, sf, "month"), "decile_ew"))
+    return tidy(reporting.flag_churn(_months(spark, sf), "decile_ew"))
 
 
 # --- sleeves -------------------------------------------------------------------------------------
@@ -566,7 +572,8 @@ ML = [*v.FEATURES, *[f"{n}__n" for n in v.INTERACTIONS]]
 
 
 def featured(spark, sf):
-    return scoring.interactions(v.scored(spark, sf), v.INTERACTIONS, slices=v.checked(spark, sf))
+    d = scoring.interactions(v.scored(spark, sf), v.INTERACTIONS, slices=v.checked(spark, sf))
+    return v.kept(d, "date", "entity", "sector", "index_name", "fwd_rel_ret_1q", *ML)
 
 
 def _moment_sql() -> str:
@@ -607,15 +614,19 @@ def in_sample_ceiling(spark, sf):
 # --- resampling -------------------------------------------------------------------------------------
 
 
+def _drawn_from(spark, sf):
+    return v.kept(_sel(spark, sf), "date", "entity", "decile_ew", "fwd_ret_1q")
+
+
 @query("random_sleeve_distribution")
 def random_sleeve_distribution(spark, sf):
-    draws = resampling.random_sleeves(resampling.tier_pools(_sel(spark, sf), "decile_ew"), trials=50)
+    draws = resampling.random_sleeves(resampling.tier_pools(_drawn_from(spark, sf), "decile_ew"), trials=50)
     return tidy(resampling.sleeve_distribution(resampling.sleeve_paths(draws)))
 
 
 @query("random_sleeve_equity_bands")
 def random_sleeve_equity_bands(spark, sf):
-    draws = resampling.random_sleeves(resampling.tier_pools(_sel(spark, sf), "decile_ew"), trials=50)
+    draws = resampling.random_sleeves(resampling.tier_pools(_drawn_from(spark, sf), "decile_ew"), trials=50)
     return tidy(resampling.equity_bands(resampling.sleeve_paths(draws)))
 
 
@@ -628,18 +639,19 @@ def random_sleeve_equity_bands(spark, sf):
     ),
 )
 def screening_tier_pools(spark, sf):
-    p = resampling.tier_pools(_sel(spark, sf), "decile_ew")
+    p = resampling.tier_pools(_drawn_from(spark, sf), "decile_ew")
     return tidy(p.groupBy("tier", "date").agg(F.count(F.lit(1)).alias("n"), F.avg("ret").alias("mean_ret")))
 
 
 @query("placebo_permutation")
 def placebo_permutation(spark, sf):
-    return tidy(resampling.placebo(_sel(spark, sf), "score_ew", "fwd_rel_ret_1q", slices=v.checked(spark, sf)))
+    d = v.kept(_sel(spark, sf), "date", "entity", "score_ew", "fwd_rel_ret_1q")
+    return tidy(resampling.placebo(d, "score_ew", "fwd_rel_ret_1q", slices=v.checked(spark, sf)))
 
 
 @query("random_composite_null")
 def random_composite_null(spark, sf):
-    d = _sel(spark, sf)
+    d = v.kept(_sel(spark, sf), "date", "entity", "score_ew", "fwd_rel_ret_1q", *v.FEATURES)
     masks = resampling.factor_masks(spark, v.FEATURES, 40)
     null = resampling.random_composites(d, v.FEATURES, "fwd_rel_ret_1q", masks, slices=v.checked(spark, sf))
     real = ev.ic_series(d, EW, Q1, slices=v.checked(spark, sf)).agg(F.avg("ic").alias("real_ic"))
@@ -651,7 +663,7 @@ def random_composite_null(spark, sf):
     None,
 )
 def base_rate_inputs(spark, sf):
-    d = v.scored(spark, sf)
+    d = v.kept(v.scored(spark, sf), "date", "entity", "index_name", "period_no", "score_ew", "decile_ew", "n_factors_used", "fwd_rel_ret_1q")
     eras = ev.ic_by_segment(ev.ic_series(selected(d), EW, Q1, slices=v.checked(spark, sf)), ev.coverage_eras(d), "era", 1)
     study = ev.event_study(selected(d), "decile_ew", "fwd_rel_ret_1q", slices=v.checked(spark, sf))
     return tidy(reporting.base_rate(eras, study))

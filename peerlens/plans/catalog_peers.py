@@ -246,6 +246,10 @@ _LONG = " UNION ALL ".join(
 _DEC = {**{k: _LATEST[k] for k in ("pd", "cur", "prv")}, "lng": _LONG}
 
 
+def _factor_rows(spark, sf):
+    return v.kept(v.scored(spark, sf), "date", "entity", "sector", *v.FACTORS, *Z)
+
+
 @query(
     "factor_decomposition",
     with_views(
@@ -253,7 +257,7 @@ _DEC = {**{k: _LATEST[k] for k in ("pd", "cur", "prv")}, "lng": _LONG}
     ),
 )
 def factor_decomposition(spark, sf):
-    d = reporting.decomposition(v.scored(spark, sf), list(v.FACTORS), slices=v.checked(spark, sf))
+    d = reporting.decomposition(_factor_rows(spark, sf), list(v.FACTORS), slices=v.checked(spark, sf))
     return tidy(d, "entity", "factor", "raw", "z", "prev_z", "pct", exact=("raw",))
 
 
@@ -265,7 +269,7 @@ def factor_decomposition(spark, sf):
     ),
 )
 def top_flags_per_name(spark, sf):
-    long = reporting.decomposition(v.scored(spark, sf), list(v.FACTORS), slices=v.checked(spark, sf))
+    long = reporting.decomposition(_factor_rows(spark, sf), list(v.FACTORS), slices=v.checked(spark, sf))
     return tidy(reporting.top_flags(long, 2, 0.5), "entity", "factor", "z", "flag_no")
 
 
@@ -278,12 +282,13 @@ def top_flags_per_name(spark, sf):
     ),
 )
 def risk_drivers(spark, sf):
-    long = reporting.decomposition(v.scored(spark, sf), list(v.FACTORS), slices=v.checked(spark, sf))
+    long = reporting.decomposition(_factor_rows(spark, sf), list(v.FACTORS), slices=v.checked(spark, sf))
     return tidy(reporting.risk_drivers(long))
 
 
 def _latest_named(spark, sf):
-    d = reporting.with_previous(v.risked(spark, sf), ["decile_ew"])
+    base = v.kept(v.risked(spark, sf), "date", "entity", "sector", "index_name", "score_ew", "decile_ew", "risk_pct", "risk_tier")
+    d = reporting.with_previous(base, ["decile_ew"])
     return d.withColumnRenamed("score_ew", "score").withColumnRenamed("decile_ew", "decile").withColumnRenamed("prev_decile_ew", "prev_decile")
 
 
@@ -308,7 +313,7 @@ _HOLD = {
     with_views(f"SELECT entity, in_universe, sector, {r6('score')}, {big('decile', 'change', 'n_overrides')}, is_new, is_double, is_review FROM rev", "risked", extra=_HOLD),
 )
 def holdings_review(spark, sf):
-    latest = _latest_named(spark, sf)
+    latest = v.kept(_latest_named(spark, sf))
     at = latest.agg(F.max("date").alias("__at"))
     ov = part_overrides(spark, sf).join(F.broadcast(at), (F.col("date") <= F.col("__at")) & (F.col("expires") >= F.col("__at")))
     return tidy(reporting.holdings_review(latest, _holdings(spark, sf), ov))

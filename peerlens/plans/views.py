@@ -50,6 +50,11 @@ def settle(spark: SparkSession, sf: str, df: DataFrame) -> DataFrame:
     return df if checked(spark, sf) == 1 else durable(df)
 
 
+def kept(df: DataFrame, *cols: str) -> DataFrame:
+    """The columns several branches read, written once."""
+    return durable(df.select(*cols) if cols else df)
+
+
 def shipments(spark: SparkSession, sf: str, unit: str = "quarter") -> DataFrame:
     """Panel rows before scoring: (date, entity) aggregates of line items, with part attributes."""
     li = table(spark, sf, "lineitem").select(

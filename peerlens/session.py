@@ -1,9 +1,10 @@
-"""Session defaults and the shared folder for reliable checkpoints."""
+"""Session defaults and the shared folder for tables that cut lineage."""
 
 from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -41,10 +42,11 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def durable(df: DataFrame) -> DataFrame:
-    """Cut lineage with a reliable checkpoint, so every reader sees the same rows
-    even after executors are lost."""
+    """Cut lineage by writing a table in the shared folder and reading it back.
+
+    Every reader then sees the same rows even after executors are lost, and branches that need
+    few columns scan few columns."""
     spark = df.sparkSession
-    folder = shared_dir(spark)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(folder)
-    return df.checkpoint()
+    path = f"{shared_dir(spark).rstrip('/')}/stage-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
