@@ -9,6 +9,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+_LOCAL: dict[str, str] = {}
+
+
 def build_session(app: str = "peerlens", cores: str | int = "*", partitions: int = 8) -> SparkSession:
     """A local session for tests and benchmarks; a cluster brings its own."""
     return (
@@ -36,9 +39,10 @@ def shared_dir(spark: SparkSession) -> str:
         return named
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-    made = tempfile.mkdtemp(prefix="peerlens-checkpoint-")
-    spark.conf.set("spark.checkpoint.dir", made)
-    return made
+    app = spark.sparkContext.applicationId
+    if app not in _LOCAL:
+        _LOCAL[app] = tempfile.mkdtemp(prefix="peerlens-")
+    return _LOCAL[app]
 
 
 def durable(df: DataFrame) -> DataFrame:
