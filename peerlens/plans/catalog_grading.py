@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import calendar, evaluation as ev, learning, portfolio, reporting, resampling, scoring
 from . import views as v
 from .reference_sql import IX, WG, decile_sql, fam, hac_cte, hac_sql, ic_sql, mean_sql, with_views, z_sql
-from .registry import big, query, r6, tidy
+from .registry import SQL, big, query, r6, tidy
 
 SCORES = {"score_ew": "score_ew", **{f: f"{f}__n" for f in v.FACTORS}}
 FAM = {g: scoring.family_column(g) for g in v.FAMILIES}
@@ -599,6 +599,20 @@ def walk_forward_ridge_scores(spark, sf):
     return tidy(peer_decile(d, "score_ml", "decile_ml", slices=v.checked(spark, sf)), "date", "entity", "score_ml", "decile_ml")
 
 
+_ONE = {
+    "m": "SELECT date, count(y) AS n, coalesce(sum(y),0) AS sy, coalesce(sum(x),0) AS sx, coalesce(sum(x*y),0) AS sxy, coalesce(sum(x*x),0) AS sxx FROM (SELECT date, CASE WHEN index_name='SMALL' THEN fwd_rel_ret_1q END AS y, CASE WHEN index_name='SMALL' AND fwd_rel_ret_1q IS NOT NULL THEN coalesce(f_ret__n,0) END AS x FROM scored) GROUP BY 1",
+    "tr": "SELECT date, row_number() OVER (ORDER BY date)-1 AS prior, " + ", ".join(f"sum({c}) OVER p AS {c}" for c in ("n", "sy", "sx", "sxy", "sxx")) + " FROM m WINDOW p AS (ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)",
+    "co": "SELECT date, w, sy/n-w*sx/n AS b FROM (SELECT *, (sxy-sx*sy/n)/(sxx-sx*sx/n+10.0) AS w FROM tr WHERE prior>=6 AND n>=50)",
+}
+
+
+@query("walk_forward_one_factor", with_views("SELECT s.date, s.entity, round(-(b+w*coalesce(f_ret__n,0)),6) AS score_ml FROM scored s LEFT JOIN co ON co.date=s.date", "scored", extra=_ONE))
+def walk_forward_one_factor(spark, sf):
+    d = v.kept(v.scored(spark, sf), "date", "entity", "index_name", "f_ret__n", "fwd_rel_ret_1q")
+    out, _ = learning.walk_forward(d, ["f_ret__n"], "fwd_rel_ret_1q", F.col("index_name") == v.SELECTION)
+    return tidy(out, "date", "entity", "score_ml")
+
+
 @query("walk_forward_coefficients")
 def walk_forward_coefficients(spark, sf):
     return tidy(learning.walk_forward(featured(spark, sf), ML, "fwd_rel_ret_1q", F.col("index_name") == v.SELECTION)[1])
@@ -660,7 +674,9 @@ def random_composite_null(spark, sf):
 
 @query(
     "base_rate_inputs",
-    None,
+    f"""SELECT e.p AS era_periods, e.p>=12 AS shown, CASE WHEN e.p>=12 THEN s.cum END AS cum_mean, s.nq AS n_quarters, s.n0 AS n
+ FROM (SELECT coalesce(max(CASE WHEN era='full factor' THEN n_periods END),0) AS p FROM ({SQL['ic_by_era']}))e
+ CROSS JOIN (SELECT arg_max(cum_mean,k) AS cum, count(*) AS nq, arg_min(n,k) AS n0 FROM ({SQL['flag_event_study']}) WHERE cohort='entrant') s""",
 )
 def base_rate_inputs(spark, sf):
     d = v.kept(v.scored(spark, sf), "date", "entity", "index_name", "period_no", "score_ew", "decile_ew", "n_factors_used", "fwd_rel_ret_1q")

@@ -564,7 +564,7 @@ def adjustment_verdicts(spark, sf):
 @query(
     "reconciled_top_up",
     with_views(
-        """SELECT entity, date, round(coalesce(n.close, o.close*coalesce(f.med,1.0)),6) AS close, coalesce(n.volume,o.volume) AS volume FROM (SELECT * FROM nw WHERE entity IN (SELECT entity FROM old)) n FULL JOIN old o USING (entity, date)
+        """SELECT entity, date, round(coalesce(n.close, o.close*coalesce(f.med,1.0)),10) AS close, coalesce(n.volume,o.volume) AS volume FROM (SELECT * FROM nw WHERE entity IN (SELECT entity FROM old)) n FULL JOIN old o USING (entity, date)
  LEFT JOIN (SELECT entity AS fe, med FROM vd WHERE verdict='rescale') f ON fe=entity""",
         "bars", extra=_MERGE,
     ),
@@ -572,7 +572,7 @@ def adjustment_verdicts(spark, sf):
 def reconciled_top_up(spark, sf):
     old, new = _old_new(spark, sf)
     known = new.join(old.select("entity").distinct(), "entity", "left_semi")
-    return tidy(reconcile.top_up(old, known)[0])
+    return tidy(reconcile.top_up(old, known)[0], digits=10)
 
 
 @query("new_entities_appended", with_views("SELECT entity, count(*) AS n FROM (SELECT entity FROM old UNION ALL SELECT entity FROM nw WHERE entity NOT IN (SELECT entity FROM old)) GROUP BY 1", "bars", extra=_MERGE))
