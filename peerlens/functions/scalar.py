@@ -107,8 +107,20 @@ def next_weekday(d: str | Column) -> Column:
 def reaction_day(filed: str | Column, accepted_utc: str | Column, zone: str = "America/New_York") -> Column:
     """First day whose close can reflect a filing: accepted at or after 16:00 local
     moves to the next weekday; an unknown acceptance keeps the filing day."""
-    local = F.from_utc_timestamp(F.try_to_timestamp(col(accepted_utc)), zone)
+    # zone-free timestamps, so the session time zone plays no part
+    utc = F.regexp_replace(col(accepted_utc), "Z$", "").try_cast("timestamp_ntz")
+    local = F.convert_timezone(F.lit("UTC"), F.lit(zone), utc)
     day = F.to_date(local)
     return F.when(local.isNull(), F.to_date(col(filed))).otherwise(
         F.when(F.hour(local) >= 16, next_weekday(day)).otherwise(day)
     )
+
+
+def utc_instant(wall: str | Column) -> Column:
+    """A zone-free timestamp read as UTC, whatever the session time zone."""
+    return F.convert_timezone(F.lit("UTC"), F.current_timezone(), col(wall)).cast("timestamp")
+
+
+def utc_day(instant: str | Column) -> Column:
+    """The UTC calendar day of an instant, whatever the session time zone."""
+    return F.to_date(F.convert_timezone(F.current_timezone(), F.lit("UTC"), col(instant).cast("timestamp_ntz")))

@@ -24,13 +24,14 @@ OVERSAMPLE = 16
 
 
 def slices_needed(
-    df: DataFrame, keys: Sequence[str], rows_bound: int | None = None, target: int = TARGET_GROUP_ROWS
+    df: DataFrame, keys: Sequence[str], rows_bound: int | None = None, target: int | None = None
 ) -> int:
     """How many slices the largest group needs.
 
     ``rows_bound`` is a known upper bound of the row count (say, of the source table);
     when it already fits, no job is run.
     """
+    target = target or TARGET_GROUP_ROWS
     if rows_bound is not None and rows_bound <= target:
         return 1
     largest = df.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0

@@ -6,6 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from ..functions.scalar import utc_instant
 from ..session import shared_dir
 from ..streaming import feeds
 from . import views as v
@@ -27,7 +28,7 @@ def _folder(spark) -> str:
 def streamed_daily_flow(spark, sf):
     root = _folder(spark)
     store = feeds.MonthlyStore(spark, f"{root}/table")
-    ev = _events_stream(spark, sf).withColumn("ts", F.col("ts").cast("timestamp"))
+    ev = _events_stream(spark, sf).withColumn("ts", utc_instant("ts"))
     q = feeds.publish_flow(feeds.daily_flow(ev), store, f"{root}/log")
     q.awaitTermination()
     d = store.read()

@@ -12,9 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..operators import labels, peers, scoring
+from ..operators import labels, peers, ranking, scoring
 from ..operators.calendar import session_calendar, with_sessions
-from ..operators.ranking import TARGET_GROUP_ROWS
 from ..session import durable
 
 FACTORS = {"f_disc": -1, "f_tax": -1, "f_ret": 1, "f_qty": 1, "f_px": 1, "f_lines": -1, "f_supp": 1}
@@ -41,7 +40,7 @@ def _rows(app: str, sf: str, name: str) -> int:
 def checked(spark: SparkSession, sf: str, name: str = "lineitem") -> int | None:
     """1 when the whole source fits in one ranking group (a footer count), else None: operators
     then check the groups themselves and cut the large ones."""
-    return 1 if _rows(spark.sparkContext.applicationId, sf, name) <= TARGET_GROUP_ROWS else None
+    return 1 if _rows(spark.sparkContext.applicationId, sf, name) <= ranking.TARGET_GROUP_ROWS else None
 
 
 def settle(spark: SparkSession, sf: str, df: DataFrame) -> DataFrame:

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
+from ..functions.scalar import utc_day
 from ..operators.reconcile import adjustment_verdicts, combine_first, degraded
 from ..sources.text import newest_per_key
 
@@ -136,7 +137,7 @@ def daily_flow(events: DataFrame, ts: str = "ts", late: str = "2 days") -> DataF
     return w.agg(
         F.sum(F.when(F.col("event_type") == "purchase", F.col("value")).otherwise(0.0)).alias("buy_shares"),
         F.sum(F.when(F.col("event_type") == "error", F.col("value")).otherwise(0.0)).alias("sell_shares"),
-    ).select("entity", F.to_date("window.start").alias("date"), "buy_shares", "sell_shares")
+    ).select("entity", utc_day("window.start").alias("date"), "buy_shares", "sell_shares")
 
 
 def publish_flow(flow: DataFrame, store: MonthlyStore, checkpoint: str) -> StreamingQuery:
