@@ -27,6 +27,11 @@ def selected(d):
     return d.where(F.col("index_name") == v.SELECTION)
 
 
+def graded(spark, sf, *cols):
+    """The selected rows a table is built from, written once because clipping bounds and medians read them again."""
+    return v.kept(selected(v.scored(spark, sf)), "date", "entity", "score_ew", "decile_ew", "fwd_rel_ret_1q", *cols)
+
+
 def ics(spark, sf, scores=None, labels=None, sel=True):
     d = v.scored(spark, sf)
     return ev.ic_series(selected(d) if sel else d, scores or {"score_ew": "score_ew"}, labels or {"1q": "fwd_rel_ret_1q"}, slices=v.checked(spark, sf))
@@ -113,7 +118,7 @@ _Y = "SELECT date, entity, CAST(decile_ew AS BIGINT) AS decile, fwd_rel_ret_1q A
     ),
 )
 def decile_return_table(spark, sf):
-    d = ev.decile_table(selected(v.scored(spark, sf)), "decile_ew", "fwd_rel_ret_1q", slices=v.checked(spark, sf))
+    d = ev.decile_table(graded(spark, sf), "decile_ew", "fwd_rel_ret_1q", slices=v.checked(spark, sf))
     return tidy(d, "decile", "mean_rel_ret", "median_rel_ret", "mean_rel_ret_w", "n")
 
 
@@ -145,7 +150,7 @@ def decile_spread_summary(spark, sf):
     ),
 )
 def decile_monotonicity(spark, sf):
-    t = ev.decile_table(selected(v.scored(spark, sf)), "decile_ew", "fwd_rel_ret_1q", slices=v.checked(spark, sf))
+    t = ev.decile_table(graded(spark, sf), "decile_ew", "fwd_rel_ret_1q", slices=v.checked(spark, sf))
     return tidy(ev.monotonicity(t), "rho", "n")
 
 
@@ -164,7 +169,7 @@ def decile_monotonicity(spark, sf):
     ),
 )
 def score_calibration_table(spark, sf):
-    return tidy(ev.calibration_table(selected(v.scored(spark, sf)), "score_ew", "fwd_rel_ret_1q", slices=v.checked(spark, sf)))
+    return tidy(ev.calibration_table(graded(spark, sf), "score_ew", "fwd_rel_ret_1q", slices=v.checked(spark, sf)))
 
 
 @query(
@@ -184,7 +189,7 @@ def score_calibration_table(spark, sf):
     ),
 )
 def flag_event_study(spark, sf):
-    return tidy(ev.event_study(selected(v.scored(spark, sf)), "decile_ew", "fwd_rel_ret_1q", slices=v.checked(spark, sf)))
+    return tidy(ev.event_study(graded(spark, sf, "period_no"), "decile_ew", "fwd_rel_ret_1q", slices=v.checked(spark, sf)))
 
 
 @query(
@@ -249,7 +254,8 @@ def ic_by_volatility_regime(spark, sf):
 
     b = v.bench(spark, sf).join(F.broadcast(v.sessions(spark, sf)), "date")
     vol = ev.trailing_volatility(b, v.MID, v.LONG).select(F.lit("bench").alias("entity"), F.col("date").alias("as_of"), "vol")
-    dated = asof_join(ics(spark, sf).withColumn("entity", F.lit("bench")), vol, "date", "as_of", ["vol"]).where(F.col("vol").isNotNull())
+    # one row per date
+    dated = asof_join(v.kept(ics(spark, sf)).withColumn("entity", F.lit("bench")), vol, "date", "as_of", ["vol"]).where(F.col("vol").isNotNull())
     tagged = ev.terciles(dated.select("date", "ic", "vol"), "vol")
     res = ev.hac_mean(tagged, ["regime"], "ic", 1)
     avg = tagged.groupBy("regime").agg(F.avg("vol").alias("avg_bench_vol"))
@@ -291,8 +297,10 @@ _WIN = " UNION ALL ".join(f"SELECT '{n}' AS name, DATE '{s}' AS start, DATE '{e}
 def stress_window_table(spark, sf):
     rows = F.explode(F.array(*[F.struct(F.lit(n).alias("name"), F.lit(s).cast("date").alias("start"), F.lit(e).cast("date").alias("end")) for n, s, e in STRESS]))
     win = spark.range(1).select(rows.alias("w")).select("w.*")
-    spreads = ev.decile_spread(selected(v.scored(spark, sf)), "decile_ew", "fwd_rel_ret_1q")
-    return tidy(ev.stress_windows(win, ics(spark, sf), spreads, v.bench(spark, sf)))
+    d = graded(spark, sf)
+    spreads = ev.decile_spread(d, "decile_ew", "fwd_rel_ret_1q")
+    by_date = ev.ic_series(d, EW, Q1, slices=v.checked(spark, sf))
+    return tidy(ev.stress_windows(win, by_date, spreads, v.bench(spark, sf)))
 
 
 @query(
@@ -307,7 +315,7 @@ def stress_window_table(spark, sf):
     ),
 )
 def sleeve_exposures(spark, sf):
-    return tidy(ev.exposures(v.scored(spark, sf), "decile_ew", ["f_px", "f_qty", "f_disc"]))
+    return tidy(ev.exposures(v.kept(v.scored(spark, sf), "date", "entity", "sector", "decile_ew", "f_px", "f_qty", "f_disc"), "decile_ew", ["f_px", "f_qty", "f_disc"]))
 
 
 # --- evidence-weighted blend ----------------------------------------------------------------

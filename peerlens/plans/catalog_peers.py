@@ -108,6 +108,11 @@ def decile_sizes(spark, sf):
     return tidy(g)
 
 
+def _newest(spark, sf, view=v.scored, *more):
+    """Latest cross section; the narrow panel is written once because its newest date is looked up first."""
+    return calendar.latest_cross_section(v.kept(view(spark, sf), "date", "entity", "sector", "score_ew", "decile_ew", *more))
+
+
 @query(
     "worst_ten_names",
     with_views(
@@ -117,7 +122,7 @@ def decile_sizes(spark, sf):
     ),
 )
 def worst_ten_names(spark, sf):
-    latest = calendar.latest_cross_section(v.scored(spark, sf))
+    latest = _newest(spark, sf)
     top = reporting.top_names(latest, "score_ew", 10)
     return tidy(reporting.worst_first(top, "score_ew", slices=1), "date", "entity", "sector", "score_ew", "decile_ew", "sell_rank")
 
@@ -130,7 +135,7 @@ def worst_ten_names(spark, sf):
     ),
 )
 def sell_ranks(spark, sf):
-    latest = calendar.latest_cross_section(v.scored(spark, sf)).where(F.col("score_ew").isNotNull())
+    latest = _newest(spark, sf).where(F.col("score_ew").isNotNull())
     return tidy(reporting.worst_first(latest, "score_ew", slices=v.checked(spark, sf)), "entity", "sell_rank")
 
 
@@ -169,7 +174,7 @@ def absolute_risk(spark, sf):
     ),
 )
 def latest_risk_table(spark, sf):
-    return tidy(reporting.latest_risk(v.risked(spark, sf), slices=v.checked(spark, sf)), "entity", "risk_pct", "risk_tier", "risk_rank")
+    return tidy(reporting.latest_risk(v.kept(v.risked(spark, sf), "date", "entity", "risk_pct", "risk_tier"), slices=v.checked(spark, sf)), "entity", "risk_pct", "risk_tier", "risk_rank")
 
 
 @query(
@@ -177,7 +182,7 @@ def latest_risk_table(spark, sf):
     with_views("SELECT risk_tier, count(*) AS n FROM risked WHERE date=(SELECT max(date) FROM risked) AND risk_pct IS NOT NULL GROUP BY 1", "risked"),
 )
 def risk_tier_counts(spark, sf):
-    return reporting.tier_counts(calendar.latest_cross_section(v.risked(spark, sf)))
+    return reporting.tier_counts(_newest(spark, sf, v.risked, "risk_pct", "risk_tier"))
 
 
 @query(
@@ -236,7 +241,7 @@ def comparison_dates(spark, sf):
     with_views(f"SELECT entity, {r6('score_ew', 'prev_score_ew')}, {big('decile_ew', 'prev_decile_ew')}, prev_date FROM lat", "risked", extra=_LATEST),
 )
 def scores_with_previous(spark, sf):
-    d = reporting.with_previous(v.scored(spark, sf), ["score_ew", "decile_ew"])
+    d = reporting.with_previous(v.kept(v.scored(spark, sf), "date", "entity", "score_ew", "decile_ew"), ["score_ew", "decile_ew"])
     return tidy(d, "entity", "score_ew", "prev_score_ew", "decile_ew", "prev_decile_ew", "prev_date")
 
 
@@ -357,7 +362,7 @@ def score_risk_contrast(spark, sf):
     with_views("SELECT sector, CAST(decile_ew AS BIGINT) AS decile, count(*) AS n FROM scored WHERE date=(SELECT max(date) FROM scored) AND decile_ew IS NOT NULL GROUP BY 1,2", "scored"),
 )
 def sector_decile_counts(spark, sf):
-    return tidy(reporting.sector_deciles(calendar.latest_cross_section(v.scored(spark, sf)), "decile_ew"))
+    return tidy(reporting.sector_deciles(_newest(spark, sf), "decile_ew"))
 
 
 @query(
@@ -368,4 +373,4 @@ def sector_decile_counts(spark, sf):
     ),
 )
 def worst_names_by_sector(spark, sf):
-    return tidy(reporting.worst_names(calendar.latest_cross_section(v.scored(spark, sf)), "decile_ew"))
+    return tidy(reporting.worst_names(_newest(spark, sf), "decile_ew"))
