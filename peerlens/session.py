@@ -31,13 +31,14 @@ def build_session(app: str = "peerlens", cores: str | int = "*", partitions: int
 def shared_dir(spark: SparkSession) -> str:
     """The folder named by ``spark.checkpoint.dir``.
 
-    Only a local master may fall back to a temporary folder: on a cluster such a
-    folder is private to one machine and lost with it.
+    Only a master that runs everything in one process may fall back to a temporary folder: on a
+    cluster such a folder is private to one machine and lost with it.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
-    if not spark.sparkContext.master.startswith("local"):
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
         raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
     app = spark.sparkContext.applicationId
     if app not in _LOCAL:
