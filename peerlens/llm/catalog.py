@@ -6,9 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from peerlens.llm import blocknames, chat
+from peerlens.llm import blocknames, chat, packing, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_best_two_fit": packing.op2_best_two_fit,
+    "op3_simhash_ball": simhash.op3_simhash_ball,
     "op4_chat_round_trip": chat.op4_chat_round_trip,
     "op6_block_naming": blocknames.op6_block_naming,
 }
