@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from peerlens.llm import blocknames, chat, packing, simhash
+from peerlens.llm import blocknames, chat, packing, records, simhash, wordpiece
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_token_records": records.op1_token_records,
     "op2_best_two_fit": packing.op2_best_two_fit,
     "op3_simhash_ball": simhash.op3_simhash_ball,
     "op4_chat_round_trip": chat.op4_chat_round_trip,
+    "op5_wordpiece_counts": wordpiece.op5_wordpiece_counts,
     "op6_block_naming": blocknames.op6_block_naming,
 }
 
