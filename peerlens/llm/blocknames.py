@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from peerlens.llm.common import durable, fold_ascii
+from peerlens.llm.common import durable, fold_ascii, table
 
 BLOCK_CHARS = 4096
 
@@ -81,11 +81,11 @@ def document_names(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 
 def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """One row per document: doc_id, keep_id, group_size, kept, text_sha256.
+    """One row per document: doc_id, keep_id, group_size, kept, text_sha256, row.
 
     Texts are equal when identical after lower-casing A-Z; null counts as empty. Of a group the
     largest doc_id stays (null ids come last); of rows that repeat that id, one stays. An empty table
-    gives no rows; other columns are ignored."""
+    gives no rows; other columns are ignored. ``row`` is the place of the row in ``docs``."""
     named = durable(document_names(docs, id_col, text_col, block_chars))
     groups = durable(
         named.groupBy("level", "name").agg(F.max(F.struct("doc_id", "row")).alias("keep"), F.count("*").alias("group_size"))
@@ -96,18 +96,22 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         "group_size",
         (F.col("row") == F.col("keep.row")).alias("kept"),
         "text_sha256",
+        "row",
     )
 
 
 def drop_exact_duplicates(docs: DataFrame) -> DataFrame:
-    """The rows that stay, with all their columns; rows repeating both id and text count once."""
-    flags = exact_duplicates(docs).where("kept").select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha"))
-    marked = docs.withColumn("__sha", F.sha2(fold_ascii(F.col("text")), 256)).dropDuplicates(["doc_id", "__sha"])
-    return marked.join(flags, F.col("doc_id").eqNullSafe(F.col("__id")) & (marked["__sha"] == flags["__sha"]), "left_semi").drop("__sha")
+    """The rows that stay, with all their columns.
+
+    Rows are matched by their place, so ``docs`` must be a table that gives its rows in the same order
+    each time, such as files."""
+    keep = exact_duplicates(docs).where("kept").select("row")
+    marked = docs.withColumn("__row", F.monotonically_increasing_id())
+    return marked.join(keep, marked["__row"] == keep["row"], "left_semi").select(*[marked[c] for c in docs.columns])
 
 
 def op6_block_naming(spark, sf_dir: str) -> DataFrame:
-    return exact_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return exact_duplicates(table(spark, sf_dir, "documents")).drop("row")
 
 
 SQL = """

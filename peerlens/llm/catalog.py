@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from peerlens.llm import blocknames, chat, packing, records, simhash, wordpiece
+from peerlens.llm import blocknames, chat, mixing, packing, records, simhash, wordpiece
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_records": records.op1_token_records,
@@ -15,6 +15,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_chat_round_trip": chat.op4_chat_round_trip,
     "op5_wordpiece_counts": wordpiece.op5_wordpiece_counts,
     "op6_block_naming": blocknames.op6_block_naming,
+    "op8_entropy_mix": mixing.op8_entropy_mix,
 }
 
 SQL: dict[str, str] = {

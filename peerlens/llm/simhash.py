@@ -52,15 +52,15 @@ def fingerprint(text: bytes | None, shingle: int = 4) -> int:
 
 def _fingerprints(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        prints = [fingerprint(t, shingle) for t in raw_bytes(b.column(1))]
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(prints, pa.int64())], ["doc_id", "fp"])
+        prints = [fingerprint(t, shingle) for t in raw_bytes(b.column("text"))]
+        yield pa.RecordBatch.from_arrays([b.column("row"), b.column("doc_id"), pa.array(prints, pa.int64())], ["row", "doc_id", "fp"])
 
 
 def fingerprints(docs: DataFrame, shingle: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fp) of every row; a null text counts as empty."""
+    """(row, doc_id, fp) of every row; a null text counts as empty. ``row`` is its place in ``docs``."""
     kind = docs.schema[id_col].dataType.simpleString()
-    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    return texts.mapInArrow(partial(_fingerprints, shingle=shingle), f"doc_id {kind}, fp bigint")
+    texts = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    return texts.mapInArrow(partial(_fingerprints, shingle=shingle), f"row bigint, doc_id {kind}, fp bigint")
 
 
 @lru_cache(64)
@@ -165,30 +165,33 @@ def near_links(fps: DataFrame, radius: int = 4) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 4, radius: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: doc_id, fingerprint (16 hex digits), component_id, fp.
+    """One row per document: doc_id, fingerprint (16 hex digits), component_id, kept, row.
 
     component_id is the smallest doc_id reachable over links. Texts without words (null, empty, blank)
     have fingerprint zero and are linked like any other. Repeated rows stay repeated; a component
-    whose ids are all null has a null id. An empty table gives no rows."""
+    whose ids are all null has a null id. Of a component one row is ``kept``: of the smallest doc_id, then the
+    first place. An empty table gives no rows."""
     prints = durable(fingerprints(docs, shingle, id_col, text_col))
-    distinct = durable(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    distinct = durable(prints.groupBy("fp").agg(F.min(F.struct(F.isnull("doc_id").alias("none"), "doc_id", "row")).alias("least")))
     links = durable(near_links(distinct.select("fp"), radius))
     roots = components(links)
     named = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     named = durable(named)
-    lowest = durable(named.groupBy("root").agg(F.min("least").alias("component_id")))
-    of_print = durable(named.join(lowest, "root").select("fp", "component_id"))
+    lowest = durable(named.groupBy("root").agg(F.min("least").alias("keep")))
+    of_print = durable(named.join(lowest, "root").select("fp", "keep"))
     return prints.join(of_print, "fp").select(
-        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "fp"
+        prints["doc_id"], F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("keep.doc_id").alias("component_id"),
+        (F.col("row") == F.col("keep.row")).alias("kept"), "row",
     )
 
 
 def drop_near_duplicates(docs: DataFrame, shingle: int = 4, radius: int = 4) -> DataFrame:
-    """Of each component the row of the smallest doc_id stays (of rows repeating that id, one; of null ids, one)."""
-    keep = near_duplicates(docs, shingle, radius).where("doc_id <=> component_id").select(F.col("doc_id").alias("__id"))
-    once = docs.dropDuplicates(["doc_id"])
-    return once.join(keep, once["doc_id"].eqNullSafe(keep["__id"]), "left_semi")
+    """Of each component the kept row, with all its columns. Rows are matched by their place, so ``docs`` must
+    be a table that gives its rows in the same order each time, such as files."""
+    keep = near_duplicates(docs, shingle, radius).where("kept").select("row")
+    marked = docs.withColumn("__row", F.monotonically_increasing_id())
+    return marked.join(keep, marked["__row"] == keep["row"], "left_semi").select(*[marked[c] for c in docs.columns])
 
 
 def op3_simhash_ball(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents")).drop("fp")
+    return near_duplicates(table(spark, sf_dir, "documents")).drop("row")
