@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from peerlens.llm import blocknames, chat, mixing, packing, records, simhash, wordpiece
+from peerlens.llm import blocknames, chat, langid, mixing, packing, quality, records, simhash, topk, wordpiece
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_records": records.op1_token_records,
@@ -15,10 +15,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_chat_round_trip": chat.op4_chat_round_trip,
     "op5_wordpiece_counts": wordpiece.op5_wordpiece_counts,
     "op6_block_naming": blocknames.op6_block_naming,
+    "op7_quality_scores": quality.op7_quality_scores,
     "op8_entropy_mix": mixing.op8_entropy_mix,
+    "op9_block_topk": topk.op9_block_topk,
+    "op10_language_masks": langid.op10_language_masks,
 }
 
 SQL: dict[str, str] = {
     "op4_chat_round_trip": chat.SQL,
     "op6_block_naming": blocknames.SQL,
+    "op9_block_topk": topk.SQL,
 }

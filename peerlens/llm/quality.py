@@ -8,7 +8,7 @@ documented bounded sample of labelled rows; a part of that sample is held back t
 its probabilities.
 
 Tokens: a blank-separated piece is cut into runs of letters and digits and runs of other characters; letters are lower-cased, and a piece of
-capitals gives a token for that. Labels, language, source and id are no inputs."""
+capitals gives a token for that; a token that comes again at once or after one other gives, when pooled, a token for that. Labels, language, source and id are no inputs."""
 
 from __future__ import annotations
 
@@ -108,8 +108,7 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(seen), *[pa.array(m[seen, d]) for d in range(DIM)]], ["code", *[f"d{d}" for d in range(DIM)]])
 
 
-@lru_cache(4)
-def _unit(n: int) -> np.ndarray:
+def _index_matrix() -> np.ndarray:
     place, sign = index_vectors()
     r = np.zeros((VOCAB, DIM))
     np.put_along_axis(r, place, sign, 1)
@@ -127,34 +126,55 @@ def word_vectors(docs: DataFrame) -> np.ndarray:
     m = np.zeros((VOCAB, DIM))
     m[sums["code"].to_numpy()] = sums[columns].to_numpy(float)
     norm = np.linalg.norm(m, axis=1, keepdims=True)
-    vectors = np.concatenate((np.divide(m, norm, out=np.zeros_like(m), where=norm > 0), _unit(0)), axis=1)
+    vectors = np.concatenate((np.divide(m, norm, out=np.zeros_like(m), where=norm > 0), _index_matrix()), axis=1)
     vectors[0] = 0
     return vectors.astype(np.float32)
 
 
+def _pool_codes(codes: np.ndarray, vectors: np.ndarray) -> np.ndarray:
+    """Mean and spread of the vectors of the codes; zeros without codes."""
+    if not len(codes):
+        return np.zeros(2 * vectors.shape[1], np.float32)
+    again = int((codes[1:] == codes[:-1]).sum()) + int((codes[2:] == codes[:-2]).sum())
+    codes = np.concatenate((codes, np.full(again, _code("^again"), np.uint16)))
+    if len(codes) > 512:
+        n = np.bincount(codes, minlength=len(vectors))
+        used = np.flatnonzero(n)
+        w, v = n[used].astype(np.float32) / len(codes), vectors[used]
+        mean, square = w @ v, w @ (v * v)
+    else:
+        v = vectors[codes]
+        mean, square = v.mean(0), (v * v).mean(0)
+    return np.concatenate((mean, np.sqrt(np.maximum(square - mean * mean, 0))))
+
+
 def pooled(texts: list[str | None], vectors: np.ndarray) -> np.ndarray:
-    """Mean and spread of the token vectors of each text; zeros for a text without tokens."""
-    out = np.zeros((len(texts), 2 * vectors.shape[1]), np.float32)
-    for i, codes in enumerate(coder().encode(texts)):
-        if not len(codes):
-            continue
-        if len(codes) > 512:
-            n = np.bincount(codes, minlength=len(vectors))
-            used = np.flatnonzero(n)
-            w, v = n[used].astype(np.float32) / len(codes), vectors[used]
-            mean, square = w @ v, w @ (v * v)
-        else:
-            v = vectors[codes]
-            mean, square = v.mean(0), (v * v).mean(0)
-        out[i] = np.concatenate((mean, np.sqrt(np.maximum(square - mean * mean, 0))))
-    return out
+    """The pooled vector of each whole text."""
+    rows = [_pool_codes(c, vectors) for c in coder().encode(texts)]
+    return np.array(rows, np.float32).reshape(len(texts), 2 * vectors.shape[1])
+
+
+def _snippet(codes: np.ndarray, name: object) -> np.ndarray:
+    """A short run of the codes, placed by a hash of ``name``."""
+    h = xxhash.xxh64_intdigest(f"snippet {name}")
+    size = 4 + h % 29
+    start = (h >> 8) % max(1, len(codes) - size)
+    return codes[start : start + size]
 
 
 def _pool(batches: Iterator[pa.RecordBatch], vectors: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Training rows: every document, and a short run of each good one, so that good short texts are known too."""
     for b in batches:
-        texts = b.column("text").to_pylist()
-        x = np.concatenate([np.empty((0, 2 * vectors.shape[1]), np.float32)] + [pooled(texts[a:z], vectors) for a, z in in_lots(texts)])
-        yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("quality"), pa.array(list(x), pa.list_(pa.float32()))], ["doc_id", "quality", "x"])
+        texts, names, marks = (b.column(c).to_pylist() for c in ("text", "doc_id", "quality"))
+        for a, z in in_lots(texts):
+            ids, quality, x = [], [], []
+            for name, mark, codes in zip(names[a:z], marks[a:z], coder().encode(texts[a:z])):
+                for part in (codes, _snippet(codes, name)) if mark > 0 else (codes,):
+                    ids.append(name)
+                    quality.append(mark)
+                    x.append(_pool_codes(part, vectors))
+            kind = b.schema.field("doc_id").type
+            yield pa.RecordBatch.from_arrays([pa.array(ids, kind), pa.array(quality, pa.float64()), pa.array(x, pa.list_(pa.float32()))], ["doc_id", "quality", "x"])
 
 
 @dataclass
@@ -236,7 +256,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, rows: int = FIT_ROWS)
     # The sample is bounded by ``rows``, so its ids may be broadcast; texts of other rows are not moved.
     sample = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id")
     kind = docs.schema["doc_id"].dataType.simpleString()
-    got = durable(sample.mapInArrow(partial(_pool, vectors=vectors), f"doc_id {kind}, quality double, x array<float>")).toPandas().sort_values("doc_id")
+    got = durable(sample.mapInArrow(partial(_pool, vectors=vectors), f"doc_id {kind}, quality double, x array<float>")).toPandas().sort_values("doc_id", kind="stable")
     x = np.array(got["x"].to_list(), np.float32).reshape(len(got), 2 * vectors.shape[1])
     held = np.array([xxhash.xxh32_intdigest(f"held {d}") % 1000 < 1000 * CALIBRATION for d in got["doc_id"]], bool)
     return vectors, train(x, got["quality"].to_numpy() > 0, held)
