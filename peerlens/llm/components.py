@@ -30,7 +30,7 @@ def _small(edges: DataFrame) -> DataFrame:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, root) of every node that has an edge; root is the smallest node it can reach.
+    """(node, root) of every node but the roots; root is the smallest node it can reach.
 
     ``edges`` has two columns of one integer type. Rounds go on until the edges no longer change; each
     round writes its edges, so no lineage grows and a lost executor costs one stage."""

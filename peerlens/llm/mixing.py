@@ -95,8 +95,37 @@ def solve_tilts(classes: DataFrame, sources: DataFrame, limit: float = LIMIT) ->
     return state.select("sid", "tilt", "mean", "target")
 
 
+def _swaps(size: np.ndarray, n: np.ndarray, copies: np.ndarray, rest: float, limit: int, most: int = 16) -> float:
+    """One copy more of one size for one less of another (or for none), as long as that comes nearer to the target."""
+    for _ in range(most):
+        up = np.flatnonzero(copies < limit * n)
+        down = np.concatenate((np.flatnonzero(copies > 0), [-1]))  # -1: none
+        if not len(up):
+            return rest
+        less = np.append(size, 0)[down]
+        want = less + rest
+        at = np.searchsorted(size[up], want)
+        best = (abs(rest), -1, -1)
+        for side in (np.clip(at - 1, 0, len(up) - 1), np.clip(at, 0, len(up) - 1)):
+            gap = np.abs(want - size[up][side])
+            k = int(gap.argmin())
+            best = min(best, (float(gap[k]), int(up[side[k]]), int(down[k])))
+        gap, more, fewer = best
+        if more < 0 or gap >= abs(rest):
+            return rest
+        copies[more] += 1
+        rest -= float(size[more])
+        if fewer >= 0:
+            copies[fewer] -= 1
+            rest += float(size[fewer])
+    return rest
+
+
 def round_copies(group: pd.DataFrame, limit: int) -> pd.DataFrame:
-    """Whole copies of each (size, n, rate) class of a source; their words come within the smallest size of the target where room is left."""
+    """Whole copies of each (size, n, rate) class of a source.
+
+    Cumulative rounding loses at most one document of the largest size; classes of fitting size, then swaps of single copies,
+    bring the words of the source close to its target. The group has one row per distinct size, at most as many as the longest document has words."""
     g = group.sort_values("size")
     size, n, target = g["size"].to_numpy(), g["n"].to_numpy(), float(g["target"].iloc[0])
     total = np.floor(np.cumsum(n * g["rate"].to_numpy()) + 0.5)
@@ -107,6 +136,7 @@ def round_copies(group: pd.DataFrame, limit: int) -> pd.DataFrame:
         step = min(int(abs(rest) // size[i]), int(room))
         copies[i] += step if rest > 0 else -step
         rest -= step * float(size[i]) * (1 if rest > 0 else -1)
+    _swaps(size, n, copies, rest, limit)
     return pd.DataFrame({"sid": g["sid"].to_numpy(), "size": size, "copies": copies})
 
 

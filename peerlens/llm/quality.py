@@ -104,6 +104,7 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                         for j in range(NONZERO):
                             total += np.bincount(x * DIM + place[y, j], weights=sign[y, j], minlength=len(total))
     m = total.reshape(VOCAB, DIM)
+    m[0] = 0
     seen = np.flatnonzero(np.abs(m).sum(1))
     yield pa.RecordBatch.from_arrays([pa.array(seen), *[pa.array(m[seen, d]) for d in range(DIM)]], ["code", *[f"d{d}" for d in range(DIM)]])
 
