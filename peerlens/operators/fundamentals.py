@@ -25,6 +25,7 @@ FLOW_TAGS = {
     "capex": ["PaymentsToAcquirePropertyPlantAndEquipment", "PaymentsToAcquireProductiveAssets",
               "PaymentsForCapitalImprovements"],
 }
+# Filing tags per balance item.
 STOCK_TAGS = {
     "total_assets": ["Assets"],
     "total_liabilities": ["Liabilities"],
@@ -36,6 +37,7 @@ STOCK_TAGS = {
              "CashCashEquivalentsRestrictedCashAndRestrictedCashEquivalents"],
     "shares": ["CommonStockSharesOutstanding", "CommonStockSharesIssued", "EntityCommonStockSharesOutstanding"],
 }
+# Vendor statement names per item.
 STATEMENT_NAMES = {
     "total_assets": ["Total Assets"],
     "total_liabilities": ["Total Liabilities Net Minority Interest", "Total Liab", "Total Liabilities"],
@@ -239,7 +241,13 @@ def factors_from_statements(values: DataFrame) -> DataFrame:
 
 
 def fundamentals(facts: DataFrame, strict: bool = False) -> DataFrame:
-    """Raw (entity, tag, start, end, val, filed, fy) facts to factor rows."""
+    """Raw (entity, tag, start, end, val, filed, fy) facts to factor rows.
+
+    Where facts carry a ``taxonomy``, tags are those of us-gaap, and of dei for share counts only: the
+    same tag of another taxonomy is another item."""
+    if "taxonomy" in facts.columns:
+        cover = (F.col("taxonomy") == "dei") & F.col("tag").isin(STOCK_TAGS["shares"])
+        facts = facts.where((F.col("taxonomy") == "us-gaap") | cover)
     flow_tags = [t for ts in FLOW_TAGS.values() for t in ts]
     stock_tags = [t for ts in STOCK_TAGS.values() for t in ts]
     flows = merge_aliases(quarterly_flow(facts.where(F.col("tag").isin(flow_tags))), FLOW_TAGS)

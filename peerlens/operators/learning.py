@@ -134,7 +134,10 @@ def walk_forward_variant(
     min_rows: int = 50, trees: int = 200, seed: int = 7, out: str = "score_ml",
 ) -> DataFrame:
     """Logistic (bottom-quartile) or boosted-tree variant, refitted for each given date with
-    Spark's own learners. The logistic score is P(bad): it is not negated, so larger stays worse."""
+    Spark's own learners. The logistic score is P(bad): it is not negated, so larger stays worse.
+
+    Every row is returned: the score is NULL on dates that are not refitted, have too few training
+    rows, or (logistic) training rows of one class only."""
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.functions import vector_to_array
@@ -144,7 +147,7 @@ def walk_forward_variant(
     filled = df.select("*", *[F.coalesce(F.col(f).cast("double"), F.lit(0.0)).alias(f"__{f}") for f in features])
     data = VectorAssembler(inputCols=[f"__{f}" for f in features], outputCol="__x").transform(filled)
     data = data.drop(*[f"__{f}" for f in features])
-    parts = []
+    parts, fitted = [], []
     for day in refit_dates:
         d = F.lit(day).cast("date")
         train = data.where((F.col("date") < d) & F.col(label).isNotNull() & use)
@@ -155,6 +158,8 @@ def walk_forward_variant(
         if kind == "logistic":
             cut = train.agg(F.percentile(label, F.lit(0.25)).alias("__cut"))
             train = train.join(F.broadcast(cut), F.lit(True)).withColumn("__y", (F.col(label) <= F.col("__cut")).cast("double"))
+            if train.select("__y").distinct().count() < 2:
+                continue
             model = LogisticRegression(featuresCol="__x", labelCol="__y", maxIter=500, regParam=1.0 / n, standardization=False).fit(train)
             scored = model.transform(test).withColumn(out, vector_to_array("probability")[1])
         elif kind == "gbm":
@@ -165,9 +170,9 @@ def walk_forward_variant(
         else:
             raise ValueError(f"unknown variant {kind!r}")
         parts.append(scored.select(*df.columns, out))
-    if not parts:
-        return df.withColumn(out, F.lit(None).cast("double")).where(F.lit(False))
-    result = parts[0]
-    for p in parts[1:]:
+        fitted.append(d)
+    rest = df.withColumn(out, F.lit(None).cast("double"))
+    result = rest.where(F.col("date").isNull() | ~F.col("date").isin(*fitted)) if fitted else rest
+    for p in parts:
         result = result.unionByName(p)
     return result

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import durable
+from ..sources.text import newest_per_key
 from .asof import asof_join, label_members, members_on, sample_exact_then_carry
 from .calendar import rebalance_dates, session_calendar, with_sessions
 from .fundamentals import valuation
@@ -31,7 +32,7 @@ def build_panel(
     bench: DataFrame | None = None, fundamentals: DataFrame | None = None, short_flow: DataFrame | None = None,
     insider_flow: DataFrame | None = None, earnings: DataFrame | None = None, estimates: DataFrame | None = None,
     short_float: DataFrame | None = None, freq: str = "M", month: int = 21, quarter: int = 63, year: int = 252,
-    half_year: int = 126, half_year_least: int = 63, expiry: int = 70,
+    half_year: int = 126, half_year_least: int = 63, expiry: int = 70, history_start: str | None = None,
     horizons: Mapping[str, int] | None = None, model_horizons: Mapping[str, int] | None = None,
     slices: int | None = None, materialise: bool = True,
 ) -> tuple[DataFrame, DataFrame]:
@@ -39,6 +40,7 @@ def build_panel(
 
     ``bars`` is unique per (entity, date) with close and volume. ``materialise`` writes the bars
     and the labels once to the shared checkpoint folder, because many branches read them.
+    ``history_start``: the day from which insider filings are complete; the minimum of sessions counts from it.
     """
     horizons = dict(horizons or {"1m": month, "1q": quarter, "2q": 2 * quarter, "4q": 4 * quarter})
     model_horizons = dict(model_horizons or {"1q": 1, "2q": 2})
@@ -69,6 +71,9 @@ def build_panel(
     # carried samples: last value at or before the date, column by column
     daily = features
     if short_flow is not None:
+        # of repeated days the last arrival counts; without an arrival column the higher ratio
+        if "arrival" in short_flow.columns:
+            short_flow = newest_per_key(short_flow, ["entity", "date"], "arrival")
         ratio = flow_ratio(short_flow).groupBy("entity", "date").agg(F.max("ratio").alias("ratio"))
         shorts = short_flow_features(dense_grid(with_sessions(ratio, calendar), calendar, ["ratio"]))
         daily = daily.join(shorts.select("entity", "session_no", "short_vol_ratio", "short_vol_chg"), ["entity", "session_no"], "left")
@@ -81,7 +86,7 @@ def build_panel(
 
     # exact samples: deliberate NULLs survive
     if insider_flow is not None:
-        npr = net_purchase_ratio(insider_flow, calendar, half_year, half_year_least)
+        npr = net_purchase_ratio(insider_flow, calendar, half_year, half_year_least, history_start)
         panel = panel.join(sample_exact_then_carry(npr, dates, ["insider_npr_6m"]), ["entity", "date"], "left")
     else:
         panel = panel.withColumn("insider_npr_6m", F.lit(None).cast("double"))

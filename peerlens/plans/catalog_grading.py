@@ -674,7 +674,7 @@ def placebo_permutation(spark, sf):
 @query("random_composite_null")
 def random_composite_null(spark, sf):
     d = v.kept(_sel(spark, sf), "date", "entity", "score_ew", "fwd_rel_ret_1q", *v.FEATURES)
-    masks = resampling.factor_masks(spark, v.FEATURES, 40)
+    masks = resampling.factor_masks(spark, v.FEATURES, 100)
     null = resampling.random_composites(d, v.FEATURES, "fwd_rel_ret_1q", masks, slices=v.checked(spark, sf))
     real = ev.ic_series(d, EW, Q1, slices=v.checked(spark, sf)).agg(F.avg("ic").alias("real_ic"))
     return tidy(resampling.null_summary(null, real))

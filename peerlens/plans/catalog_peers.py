@@ -25,23 +25,22 @@ def peer_zscores(spark, sf):
     "peer_rank_variant",
     with_views(
         "SELECT date, entity, "
-        + ", ".join(f"round(({rank_pct_sql('w_' + f, WG)} - 0.5)*{s},6) AS {f}__n" for f, s in list(v.FACTORS.items())[:3])
+        + ", ".join(f"round(({rank_pct_sql('w_' + f, WG)} - 0.5)*{s},6) AS {f}__n" for f, s in v.FACTORS.items())
         + " FROM w",
         "panel",
         extra={
             "b": f"SELECT *, count(*) OVER ({WG}) AS rows_, "
-            + ", ".join(f"quantile_cont({f},0.02) OVER ({WG}) AS lo_{f}, quantile_cont({f},0.98) OVER ({WG}) AS hi_{f}" for f in list(v.FACTORS)[:3])
+            + ", ".join(f"quantile_cont({f},0.02) OVER ({WG}) AS lo_{f}, quantile_cont({f},0.98) OVER ({WG}) AS hi_{f}" for f in v.FACTORS)
             + " FROM panel",
             "w": "SELECT date, entity, sector, index_name, "
-            + ", ".join(f"round(least(greatest({f},lo_{f}),hi_{f}),9) AS w_{f}" for f in list(v.FACTORS)[:3])
+            + ", ".join(f"round(least(greatest({f},lo_{f}),hi_{f}),9) AS w_{f}" for f in v.FACTORS)
             + " FROM b WHERE rows_>=5",
         },
     ),
 )
 def peer_rank_variant(spark, sf):
-    three = dict(list(v.FACTORS.items())[:3])
-    d = peers.neutralize(v.panel(spark, sf), three, method="rank", slices=v.checked(spark, sf))
-    return tidy(d, "date", "entity", *[f"{f}__n" for f in three])
+    d = peers.neutralize(v.panel(spark, sf), v.FACTORS, method="rank", slices=v.checked(spark, sf))
+    return tidy(d, "date", "entity", *[f"{f}__n" for f in v.FACTORS])
 
 
 @query(
@@ -57,15 +56,15 @@ def small_peer_groups_dropped(spark, sf):
     "winsorized_factors",
     with_views(
         "SELECT date, entity, "
-        + ", ".join(f"round(least(greatest({f},quantile_cont({f},0.02) OVER ({WG})),quantile_cont({f},0.98) OVER ({WG})),10) AS {f}_w" for f in ("f_px", "f_qty"))
+        + ", ".join(f"round(least(greatest({f},quantile_cont({f},0.02) OVER ({WG})),quantile_cont({f},0.98) OVER ({WG})),10) AS {f}_w" for f in v.FACTORS)
         + f" FROM (SELECT * FROM (SELECT *, count(*) OVER ({WG}) AS c FROM panel) WHERE c>=3)",
         "panel",
     ),
 )
 def winsorized_factors(spark, sf):
     d = peers.drop_small_groups(v.panel(spark, sf), min_rows=3, slices=v.checked(spark, sf))
-    w = peers.winsorize(d, ["f_px", "f_qty"], peers.PEER_KEYS, 0.02, tie_break=["entity"], slices=v.checked(spark, sf))
-    return tidy(w, "date", "entity", "f_px_w", "f_qty_w", digits=10)
+    w = peers.winsorize(d, list(v.FACTORS), peers.PEER_KEYS, 0.02, tie_break=["entity"], slices=v.checked(spark, sf))
+    return tidy(w, "date", "entity", *[f"{f}_w" for f in v.FACTORS], digits=10)
 
 
 @query(

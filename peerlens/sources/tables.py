@@ -14,15 +14,16 @@ def read_table(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def write_table(df: DataFrame, path: str, date: str | None = "date", mode: str = "overwrite") -> None:
+def write_table(df: DataFrame, path: str, date: str | None = "date", mode: str = "overwrite", tasks_per_year: int = 8) -> None:
     """Parquet, partitioned by year when there is a date, so date filters prune folders.
 
-    Rows are spread by (year, hash) first: a hot year is written by many tasks."""
+    Rows are spread by (year, hash) first: a year is written by up to ``tasks_per_year`` tasks, and has no more files."""
     if date is None:
         df.write.mode(mode).parquet(path)
         return
     d = df.withColumn("year", F.year(date))
-    d.write.mode(mode).partitionBy("year").parquet(path)
+    salt = F.pmod(F.xxhash64(*df.columns), F.lit(tasks_per_year))
+    d.repartition(F.col("year"), salt).write.mode(mode).partitionBy("year").parquet(path)
 
 
 def write_records(df: DataFrame, path: str, mode: str = "overwrite") -> None:
@@ -80,6 +81,7 @@ def load_state(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def _jdbc(spark: SparkSession, url: str, table: str, options: Mapping[str, str] | None) -> DataFrame:
+    """One connection unless ``options`` name partitionColumn, lowerBound, upperBound and numPartitions: give them for large tables."""
     return spark.read.format("jdbc").options(url=url, dbtable=table, **(options or {})).load()
 
 
@@ -98,6 +100,7 @@ def join_names(events: DataFrame, names: DataFrame, start: str) -> DataFrame:
     )
 
 
+# Column names of the external table.
 QUARTERLY_COLUMNS = (
     "gvkey", "tic", "datadate", "rdq", "fyearq", "fqtr", "revtq", "cogsq", "niq", "oiadpq", "dpq", "atq", "ltq", "seqq",
     "cheq", "dlttq", "dlcq", "cshoq", "oancfy", "capxy",

@@ -20,6 +20,7 @@ from pyspark.sql.types import StructType
 
 from ..functions.scalar import utc_day
 from ..operators.reconcile import adjustment_verdicts, combine_first, degraded
+from ..session import durable
 from ..sources.text import newest_per_key
 
 
@@ -74,6 +75,50 @@ class MonthlyStore:
     def has_adjustments(self, seq: int) -> bool:
         return _read(self.spark, f"{self.root}/adjustments/batch={seq}") is not None
 
+    def _log(self, name: str, rows: DataFrame, seq: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{self.root}/{name}/batch={seq}")
+
+    def _logged(self, name: str, before: int | None = None) -> DataFrame | None:
+        log = _read(self.spark, f"{self.root}/{name}")
+        return log if log is None or before is None else log.where(F.col("batch") < before)
+
+    def entities(self, before: int | None = None) -> DataFrame | None:
+        """(entity, first): what the store knows and its first day, from a small log beside the data."""
+        log = self._logged("entities", before)
+        if log is None:
+            log = self.raw()  # a store without the log
+            if log is None:
+                return None
+            log = (log if before is None else log.where(F.col("seq") < before)).select("entity", F.col("date").alias("first"))
+        return log.groupBy("entity").agg(F.min("first").alias("first"))
+
+    def log_entities(self, rows: DataFrame, known: DataFrame | None, seq: int) -> None:
+        """New entities, and those whose history now starts earlier."""
+        first = rows.groupBy("entity").agg(F.min("date").alias("first"))
+        if known is not None:
+            old = known.select("entity", F.col("first").alias("__first"))
+            first = first.join(old, "entity", "left").where(F.col("__first").isNull() | (F.col("first") < F.col("__first"))).drop("__first")
+        self._log("entities", first, seq)
+
+    def verdicts(self, before: int | None = None) -> DataFrame | None:
+        """(entity, med, verdict, batch) of every top-up."""
+        return self._logged("verdicts", before)
+
+    def pending(self, before: int | None = None) -> DataFrame | None:
+        """Fresh rows of entities whose history must be loaded whole before it is trusted."""
+        return self._logged("pending", before)
+
+    def waiting(self, before: int) -> DataFrame | None:
+        """Entities with pending rows that no whole history has replaced since."""
+        held, done = self._logged("pending", before), self._logged("reloaded", before)
+        if held is None:
+            return None
+        last = held.groupBy("entity").agg(F.max("batch").alias("held"))
+        if done is None:
+            return last.select("entity")
+        back = done.groupBy("entity").agg(F.max("batch").alias("back"))
+        return last.join(back, "entity", "left").where(F.col("back").isNull() | (F.col("back") < F.col("held"))).select("entity")
+
 
 def landing(spark: SparkSession, path: str, schema: StructType | str, files_per_batch: int | None = None) -> DataFrame:
     reader = spark.readStream.schema(schema)
@@ -101,34 +146,63 @@ def upsert_latest(stream: DataFrame, store: MonthlyStore, keys: list[str], arriv
     return _run(stream, checkpoint, handle)
 
 
+def _by_arrival(stream: DataFrame) -> DataFrame:
+    """Mark rows with their file's time and name, so that the last of repeated rows can be told."""
+    try:
+        return stream.withColumn("__arrival", F.struct("_metadata.file_modification_time", "_metadata.file_path"))
+    except AnalysisException:  # no file source
+        return stream.withColumn("__arrival", F.lit(0))
+
+
 def upsert_bars(
     stream: DataFrame, store: MonthlyStore, checkpoint: str, report: Callable[[DataFrame], None] | None = None,
     tolerance: float = 0.005, share: float = 0.5,
 ) -> StreamingQuery:
     """Top up bars: guard, reconcile, new values win; unknown entities are appended.
 
-    A degraded window is skipped and the store stays as it was. ``report`` receives the
-    verdicts, from which entities that need a full reload can be read."""
+    Of rows that repeat (entity, date) in a batch the last file's counts. A degraded window is skipped and
+    the store stays as it was. An entity whose overlap disagrees (``refetch``) keeps its old rows; its new
+    ones go to the pending table until a batch starts at or before its first stored day: that is its whole history
+    and replaces what is stored. Verdicts are logged beside the data; ``report`` receives them too. Work follows the
+    batch: known entities are a small log, and only touched months are read."""
     cols = ["entity", "date", "close", "volume"]
 
     def handle(batch: DataFrame, seq: int) -> None:
-        new = batch.select(*cols)
-        if new.isEmpty():
+        if batch.isEmpty():
             return
-        stored = store.read()
-        if stored is None:
+        new = durable(newest_per_key(batch.select(*cols, "__arrival"), ["entity", "date"], "__arrival").select(*cols))
+        known = store.entities(seq)
+        if known is None or known.isEmpty():
             store.write_months(new, seq)
+            store.log_entities(new, None, seq)
             return
-        if degraded(new, stored, share).first()["degraded"]:
+        if degraded(new, known, share).first()["degraded"]:
             return
-        if not store.has_adjustments(seq):  # a replay keeps the verdicts of the first attempt
-            verdicts = adjustment_verdicts(store.touched(new, stored).where(F.col("seq") < seq), new, tolerance)
+        said = store.verdicts()
+        if said is None or said.where(F.col("batch") == seq).isEmpty():  # a replay keeps the verdicts of the first attempt
+            verdicts = durable(adjustment_verdicts(store.touched(new, store.read()).where(F.col("seq") < seq), new, tolerance))
             store.log_adjustments(verdicts.where(F.col("verdict") == "rescale").select("entity", F.col("med").alias("factor")), seq)
+            store._log("verdicts", verdicts, seq)
             if report:
                 report(verdicts)
-        store.write_months(combine_first(new, store.touched(new, store.read())), seq)
-
-    return _run(stream, checkpoint, handle)
+        said = store.verdicts().where(F.col("batch") == seq)
+        doubted = said.where(F.col("verdict") == "refetch").select("entity")
+        if (waiting := store.waiting(seq)) is not None:
+            doubted = doubted.unionByName(waiting).distinct()
+        starts = new.groupBy("entity").agg(F.min("date").alias("__start")).join(known, "entity")
+        whole = durable(doubted.join(starts.where(F.col("__start") <= F.col("first")), "entity").select("entity"))
+        held = doubted.join(whole, "entity", "left_anti")
+        store._log("pending", new.join(held, "entity", "left_semi"), seq)
+        take = durable(new.join(held, "entity", "left_anti"))
+        months = take.select("date")
+        if not whole.isEmpty():  # also months of the old history that the new one does not have
+            months = months.unionByName(store.raw().join(whole, "entity", "left_semi").select("date"))
+        old = store.touched(months, store.read()).join(whole, "entity", "left_anti")
+        store.write_months(combine_first(take, old), seq)
+        store._log("reloaded", whole, seq)
+        store.log_entities(take, known, seq)
+
+    return _run(_by_arrival(stream), checkpoint, handle)
 
 
 def daily_flow(events: DataFrame, ts: str = "ts", late: str = "2 days") -> DataFrame:

@@ -112,3 +112,51 @@ def test_streamed_flow_equals_batch(spark, tmp_path):
     got = store.read().select(*cols)
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, batch.collect()))
     assert got.count() > 20
+
+
+def _bars(spark, tmp_path):
+    schema = "entity string, date date, close double, volume double"
+    src, log = str(tmp_path / "in"), str(tmp_path / "log")
+    store = feeds.MonthlyStore(spark, str(tmp_path / "st"))
+
+    def run(rows):
+        _drop(spark, rows, src, schema)
+        feeds.upsert_bars(feeds.landing(spark, src, schema), store, log).awaitTermination()
+        return {(r.entity, r.date): r.close for r in store.read().collect()}, store.read().count()
+
+    return store, run
+
+
+def test_bars_repeated_in_a_batch_are_kept_once(spark, tmp_path):
+    store, run = _bars(spark, tmp_path)
+    d = D(2020, 1, 6)
+    got, n = run([("a", d, 1.0, 1.0), ("a", d, 1.0, 1.0), ("b", d, 2.0, 1.0)])
+    assert n == 2
+    got, n = run([("a", D(2020, 1, 7), 3.0, 1.0), ("a", D(2020, 1, 7), 3.0, 1.0), ("b", D(2020, 1, 7), 2.0, 1.0)])
+    assert n == 4 and got[("a", D(2020, 1, 7))] == 3.0
+
+
+def test_bars_that_disagree_wait_for_the_whole_history(spark, tmp_path):
+    store, run = _bars(spark, tmp_path)
+    days = [D(2020, 1, 6), D(2020, 1, 7), D(2020, 2, 3)]
+    run([(e, d, 100.0, 1.0) for e in "ab" for d in days])
+    got, n = run([("a", days[1], 50.0, 1.0), ("a", days[2], 77.0, 1.0), ("b", days[2], 100.0, 1.0), ("a", D(2020, 2, 4), 78.0, 1.0)])
+    assert n == 6 and {got[("a", d)] for d in days} == {100.0}
+    assert {(r.entity, r.verdict) for r in store.verdicts().collect()} == {("a", "refetch")}
+    assert store.pending().count() == 3
+    got, n = run([("a", D(2020, 2, 5), 79.0, 1.0), ("b", D(2020, 2, 5), 100.0, 1.0)])  # no overlap: still waiting
+    assert ("a", D(2020, 2, 5)) not in got and n == 7
+    got, n = run([("a", d, 10.0 + i, 1.0) for i, d in enumerate([*days, D(2020, 2, 4)])] + [("b", D(2020, 2, 6), 100.0, 1.0)])
+    assert [got[("a", d)] for d in [*days, D(2020, 2, 4)]] == [10.0, 11.0, 12.0, 13.0] and n == 9
+    assert store.waiting(99).count() == 0
+    got, n = run([("a", D(2020, 2, 5), 14.0, 1.0), ("b", D(2020, 2, 7), 100.0, 1.0)])
+    assert got[("a", D(2020, 2, 5))] == 14.0 and n == 11
+
+
+def test_year_partitions_are_spread(spark, tmp_path):
+    df = spark.range(4000).selectExpr("id", "date_add(date'2020-01-01', cast(id % 700 as int)) as date")
+    tables.write_table(df, str(tmp_path / "t"), tasks_per_year=3)
+    back = tables.read_table(spark, str(tmp_path / "t"))
+    assert back.select("id", "date").exceptAll(df).count() == 0 and back.count() == 4000
+    files = list((tmp_path / "t").glob("year=2020/*.parquet"))
+    assert 1 <= len(files) <= 3

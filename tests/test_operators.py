@@ -270,3 +270,27 @@ def test_random_composites_match_brute_force(spark, planted):
         pdf["z"] = pdf[[feats[i] for i in m.picks]].mean(axis=1).round(9)
         ic = [-g["z"].rank().corr(g["fwd_rel_ret_1q"].round(9).rank()) for _, g in pdf.groupby("date")]
         assert got[m.draw] == pytest.approx(np.mean(ic), abs=1e-9)
+
+
+def test_variants_keep_every_row(spark, planted):
+    feats = ["x0__n", "x2__n"]
+    day = planted.agg(F.max("date")).first()[0]
+    one_class = planted.withColumn("fwd_rel_ret_1q", F.when(F.col("fwd_rel_ret_1q").isNotNull(), 1.0))
+    out = learning.walk_forward_variant(one_class, feats, "fwd_rel_ret_1q", "logistic", [day])
+    assert out.count() == planted.count() and out.where(F.col("score_ml").isNotNull()).count() == 0
+    out = learning.walk_forward_variant(planted, feats, "fwd_rel_ret_1q", "logistic", [day])
+    assert out.count() == planted.count() and out.where((F.col("date") != F.lit(day)) & F.col("score_ml").isNotNull()).count() == 0
+
+
+def test_tags_count_by_taxonomy(spark):
+    schema = "entity string, taxonomy string, tag string, start date, end date, val double, filed date, fy int"
+    D = dt.date
+    rows = []
+    for tax, scale, filed in (("ifrs-full", 7.0, D(2020, 4, 1)), ("us-gaap", 1.0, D(2020, 5, 1))):
+        for q, (a, b) in enumerate([(D(2019, 4, 1), D(2019, 6, 30)), (D(2019, 7, 1), D(2019, 9, 30)), (D(2019, 10, 1), D(2019, 12, 31)), (D(2020, 1, 1), D(2020, 3, 31))]):
+            rows += [("a", tax, "Revenues", a, b, 100.0 * scale, filed, 2020), ("a", tax, "NetIncomeLoss", a, b, 10.0 * scale, filed, 2020)]
+            rows += [("a", tax, "Assets", None, b, 1000.0 * scale, filed, 2020)]
+    facts = spark.createDataFrame(rows, schema)
+    with_all = fu.fundamentals(facts).collect()
+    only = fu.fundamentals(facts.where("taxonomy = 'us-gaap'").drop("taxonomy")).collect()
+    assert with_all and sorted(map(str, with_all)) == sorted(map(str, only))
