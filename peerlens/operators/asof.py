@@ -87,16 +87,22 @@ def has_history(membership: DataFrame) -> DataFrame:
 def members_on(membership: DataFrame, dates: DataFrame, respect_history: bool = True) -> DataFrame:
     """(date, entity, company, sector): membership valid on each date.
 
-    ``dates`` is a rebalance calendar (one row per date), broadcast to the intervals. A store
-    without history is taken as today's members for every date, end dates still honoured.
+    ``dates`` is a rebalance calendar (one row per date). An interval is cut into the months it covers inside
+    the calendar and meets the dates of those months by an equi join, so no interval is held against
+    dates far from it. A store without history is taken as today's members for every date, end dates still honoured.
     Overlapping intervals of one entity give one row: the earliest start."""
-    flag = has_history(membership)
-    m = membership.join(F.broadcast(flag), F.lit(True))
-    started = F.col("start_date") <= F.col("date")
+    one_row = has_history(membership).join(F.broadcast(dates.agg(F.min("date").alias("__lo"), F.max("date").alias("__hi"))), F.lit(True))
+    m = membership.join(F.broadcast(one_row), F.lit(True))
+    begin = F.col("start_date")
     if respect_history:
-        started = started | ~F.col("point_in_time")
-    alive = F.col("date") <= F.coalesce("end_date", F.lit(FOREVER).cast("date"))
-    hit = m.join(F.broadcast(dates.select("date")), started & alive)
+        begin = F.when(F.col("point_in_time"), begin).otherwise(F.col("__lo"))
+    # greatest and least skip NULL, so a missing start must go first
+    m = m.withColumn("__from", F.when(begin.isNotNull(), F.greatest(begin, "__lo"))).withColumn(
+        "__to", F.least(F.coalesce("end_date", F.lit(FOREVER).cast("date")), F.col("__hi"))
+    ).where(F.col("__from") <= F.col("__to"))
+    months = F.sequence(F.trunc("__from", "month"), F.trunc("__to", "month"), F.expr("interval 1 month"))
+    by_month = dates.select("date", F.trunc("date", "month").alias("__month"))
+    hit = m.withColumn("__month", F.explode(months)).join(F.broadcast(by_month), "__month").where(F.col("date").between(F.col("__from"), F.col("__to")))
     one = hit.groupBy("date", "entity").agg(
         F.min_by(F.struct("company", "sector"), F.struct("start_date", "sector", "company")).alias("__m")
     )

@@ -45,10 +45,18 @@ def rejected(typed: DataFrame) -> DataFrame:
 
 
 def scored_observations(overrides: DataFrame, df: DataFrame, label: str) -> DataFrame:
-    """Every realised cross section inside an override's life, and who was right."""
+    """Every realised cross section inside an override's life, and who was right.
+
+    Both sides meet on (entity, quarter), so an entity with very many rows is spread over its quarters and an override
+    meets only the quarters it lives in."""
     o = overrides.select("entity", "analyst", "direction", "reason_code", F.col("date").alias("filed"), "expires")
-    lab = df.where(F.col(label).isNotNull()).select("entity", "date", F.col(label).alias("rel_ret"))
-    j = o.join(lab, "entity").where((F.col("date") >= F.col("filed")) & (F.col("date") <= F.col("expires")))
+    lab = df.where(F.col(label).isNotNull()).select("entity", "date", F.col(label).alias("rel_ret"), F.trunc("date", "quarter").alias("__q"))
+    span = lab.agg(F.min("date").alias("__lo"), F.max("date").alias("__hi"))
+    o = o.join(F.broadcast(span), F.lit(True)).withColumn("__a", F.greatest("filed", "__lo")).withColumn("__b", F.least("expires", "__hi"))
+    o = o.where(F.col("filed").isNotNull() & F.col("expires").isNotNull() & (F.col("__a") <= F.col("__b")))
+    quarters = F.sequence(F.trunc("__a", "quarter"), F.trunc("__b", "quarter"), F.expr("interval 3 months"))
+    o = o.withColumn("__q", F.explode(quarters)).drop("__lo", "__hi", "__a", "__b")
+    j = o.join(lab, ["entity", "__q"]).where((F.col("date") >= F.col("filed")) & (F.col("date") <= F.col("expires"))).drop("__q")
     right = (F.col("rel_ret") < 0) == (F.col("direction") == "more_risky")
     return j.withColumn("analyst_correct", right)
 

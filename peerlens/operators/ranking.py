@@ -19,7 +19,6 @@ from pyspark.sql.window import Window
 from ..session import durable
 
 TARGET_GROUP_ROWS = 2_000_000
-MAX_SLICES = 4096
 OVERSAMPLE = 16
 
 
@@ -35,7 +34,7 @@ def slices_needed(
     if rows_bound is not None and rows_bound <= target:
         return 1
     largest = df.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
-    return min(MAX_SLICES, max(1, math.ceil(largest / target)))
+    return max(1, math.ceil(largest / target))
 
 
 def resolve(df: DataFrame, keys: Sequence[str], slices: int | None) -> int:
@@ -43,9 +42,11 @@ def resolve(df: DataFrame, keys: Sequence[str], slices: int | None) -> int:
     return slices_needed(df, keys) if slices is None else slices
 
 
-def _slice_number(ordered: Column, edges: Column) -> Column:
-    """Number of edges at or below ``ordered``: a binary search over a sorted array."""
-    steps = max(1, math.ceil(math.log2(MAX_SLICES * 2)) + 1)
+def _slice_number(ordered: Column, edges: Column, slices: int) -> Column:
+    """Number of edges at or below ``ordered``: a binary search over a sorted array.
+
+    A stride is rounded down to no less than half, so there are about twice as many edges as slices at most; the steps cover eight times."""
+    steps = math.ceil(math.log2(slices * 8 + 64)) + 1
 
     def narrow(acc: Column, _: Column) -> Column:
         mid = F.floor((acc["lo"] + acc["hi"]) / 2).cast("int")
@@ -81,7 +82,7 @@ def cut_into_slices(df: DataFrame, keys: Sequence[str], order: Sequence[str], sl
     )
     empty = F.filter(F.array("__ord"), lambda x: F.lit(False))
     joined = attach(base, edges, keys).withColumn("__edges", F.coalesce("__edges", empty))
-    return joined.withColumn("__slice", _slice_number(F.col("__ord"), F.col("__edges"))).drop("__edges")
+    return joined.withColumn("__slice", _slice_number(F.col("__ord"), F.col("__edges"), slices)).drop("__edges")
 
 
 def attach(df: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "left") -> DataFrame:
@@ -108,7 +109,7 @@ def numbered(
     cut = cut_into_slices(df, keys, order, slices)
     cut = durable(cut)
     totals = cut.groupBy(*keys, "__slice").agg(F.count(F.lit(1)).alias("__c"))
-    wk = Window.partitionBy(*keys)  # at most MAX_SLICES * 2 rows per key
+    wk = Window.partitionBy(*keys)  # about two rows per slice of a key
     totals = totals.select(
         *keys,
         "__slice",

@@ -373,3 +373,18 @@ def sector_decile_counts(spark, sf):
 )
 def worst_names_by_sector(spark, sf):
     return tidy(reporting.worst_names(_newest(spark, sf), "decile_ew"))
+
+
+@query(
+    "last_event_of_names",
+    with_views(
+        "SELECT p.entity, p.date, e.last_print FROM (SELECT entity, date FROM panel WHERE date = (SELECT max(date) FROM panel)) p LEFT JOIN ("
+        "SELECT l_partkey AS entity, max(CAST(l_shipdate AS DATE)) AS last_print FROM lineitem WHERE CAST(l_shipdate AS DATE) <= (SELECT max(date) FROM panel) GROUP BY 1) e ON e.entity = p.entity",
+        "panel",
+    ),
+)
+def last_event_of_names(spark, sf):
+    """Newest event day known on the latest date, next to each name of that cross section."""
+    points = reporting.latest_cross_section(v.panel(spark, sf)).select("entity", "date")
+    events = v.table(spark, sf, "lineitem").select(F.col("l_partkey").alias("entity"), F.to_date("l_shipdate").alias("day"))
+    return reporting.last_event(points, events, "day")

@@ -6,8 +6,6 @@ table has been reduced.
 
 from __future__ import annotations
 
-from functools import cache
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -31,16 +29,10 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
-@cache
-def _rows(app: str, sf: str, name: str) -> int:
-    spark = SparkSession.getActiveSession() or SparkSession.builder.getOrCreate()
-    return table(spark, sf, name).count()
-
-
 def checked(spark: SparkSession, sf: str, name: str = "lineitem") -> int | None:
     """1 when the whole source fits in one ranking group (a footer count), else None: operators
     then check the groups themselves and cut the large ones."""
-    return 1 if _rows(spark.sparkContext.applicationId, sf, name) <= ranking.TARGET_GROUP_ROWS else None
+    return 1 if table(spark, sf, name).count() <= ranking.TARGET_GROUP_ROWS else None
 
 
 def settle(spark: SparkSession, sf: str, df: DataFrame) -> DataFrame:
