@@ -134,14 +134,21 @@ class Filters:
         return out
 
     def decide(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
-        h, of, has = grams(texts)
-        n = np.bincount(of, minlength=len(texts)).astype(float)
-        got = np.zeros((len(texts), max(1, len(self.langs))))
-        masks = self.masks(h)
-        for i in range(len(self.langs)):
-            hit = (masks[i // WORD] >> np.uint64(i % WORD)) & np.uint64(1)
-            c = np.bincount(of, weights=hit, minlength=len(texts))
-            got[:, i] = np.maximum(0, (c - n * self.false[i]) / (1 - min(self.false[i], 0.999)))
+        """(language, score) of each text. A very long text is read in cuts; a word at a cut is read as two."""
+        cuts = [(i, t[k : k + CHARS_AT_ONCE]) for i, t in enumerate(texts) for k in range(0, len(t or ""), CHARS_AT_ONCE)]
+        n, has = np.zeros(len(texts)), np.zeros(len(texts), bool)
+        hits = np.zeros((len(texts), max(1, len(self.langs))))
+        for a, z in _lots([t for _, t in cuts]):
+            rows = np.array([i for i, _ in cuts[a:z]])
+            h, of, some = grams([t for _, t in cuts[a:z]])
+            has[rows[some]] = True
+            n += np.bincount(rows[of], minlength=len(texts))
+            masks = self.masks(h)
+            for i in range(len(self.langs)):
+                hit = (masks[i // WORD] >> np.uint64(i % WORD)) & np.uint64(1)
+                hits[:, i] += np.bincount(rows[of], weights=hit, minlength=len(texts))
+        false = np.minimum(self.false, 0.999)
+        got = np.maximum(0, (hits[:, : len(self.langs)] - np.outer(n, false)) / (1 - false)) if self.langs else hits
         best, whole = got.argmax(1), got.sum(1)
         lang, score = [], []
         for i in range(len(texts)):

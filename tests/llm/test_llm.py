@@ -483,6 +483,16 @@ def test_language_of_hard_rows(spark, hard, none):
     assert langid.predict(none, f).count() == 0
 
 
+def test_long_texts_are_read_in_cuts(monkeypatch):
+    rng = np.random.default_rng(8)
+    text = " ".join("".join(rng.choice(list("abcdeé"), 5)) for _ in range(4000))
+    f = langid.Filters({"x": langid.grams([text[:9000]])[0], "y": langid.grams([text[9000:]])[0]}, "x")
+    whole = f.decide([text, None, "?", text[:50]])
+    monkeypatch.setattr(langid, "CHARS_AT_ONCE", 1000)
+    cut = f.decide([text, None, "?", text[:50]])
+    assert cut[0] == whole[0] and cut[0][1:3] == ["und", "und"] and np.allclose(cut[1], whole[1], atol=0.01)
+
+
 def test_masks_return_every_language_of_a_gram():
     rng = np.random.default_rng(4)
     sets = {f"l{i}": rng.integers(0, 1 << 62, 200, dtype=np.uint64) for i in range(70)}
