@@ -19,22 +19,27 @@ def truncation_invariance(
 ) -> DataFrame:
     """Features at t from history up to t must equal features at t from the full history.
 
-    One row per date and feature: values compared and mismatches."""
-    full = features(bars)
-    out = None
-    for t in dates:
-        day = F.lit(t).cast("date")
-        a = full.where(F.col("date") == day).select("entity", *[F.col(n).alias(f"a_{n}") for n in names])
-        b = features(bars.where(F.col("date") <= day)).where(F.col("date") == day).select("entity", *[F.col(n).alias(f"b_{n}") for n in names])
-        j = a.join(b, "entity", "full_outer")
-        for n in names:
-            both = F.col(f"a_{n}").isNotNull() & F.col(f"b_{n}").isNotNull()
-            part = j.agg(
-                F.count(F.when(both, 1)).alias("checked"),
-                F.count(F.when(both & (F.abs(F.col(f"a_{n}") - F.col(f"b_{n}")) > tolerance), 1)).alias("mismatches"),
-            ).select(day.alias("date"), F.lit(n).alias("feature"), "checked", "mismatches")
-            out = part if out is None else out.unionByName(part)
-    return out
+    One row per date and feature: values compared and mismatches. All truncated histories are one input: a bar
+    goes into that of every later check date, under an entity of its own, so the features are built twice,
+    however many dates there are."""
+    days = F.array(*[F.lit(t).cast("date") for t in dates])
+    at = F.explode(F.filter(days, lambda t: F.col("date") <= t))
+    full = features(bars).where(F.array_contains(days, F.col("date")))
+    cut = bars.withColumn("__at", at).withColumn("entity", F.concat_ws("|", F.col("__at").cast("string"), F.col("entity").cast("string"))).drop("__at")
+    part = features(cut).where(F.substring("entity", 1, 10) == F.col("date").cast("string"))
+
+    def side(df: DataFrame, entity, out: str) -> DataFrame:
+        return df.select("date", entity.alias("entity"), F.array(*[F.col(n).cast("double") for n in names]).alias(out))
+
+    whole = side(full, F.col("entity").cast("string"), "__a")
+    j = whole.join(side(part, F.expr("substring(entity, 12)"), "__b"), ["date", "entity"])
+    labels = F.array(*[F.lit(n) for n in names])
+    long = j.select("date", F.explode(F.arrays_zip(labels.alias("feature"), F.col("__a"), F.col("__b"))).alias("p"))
+    both = F.col("p.__a").isNotNull() & F.col("p.__b").isNotNull()
+    off = F.abs(F.col("p.__a") - F.col("p.__b")) > tolerance
+    return long.groupBy("date", F.col("p.feature").alias("feature")).agg(
+        F.count(F.when(both, 1)).alias("checked"), F.count(F.when(both & off, 1)).alias("mismatches")
+    )
 
 
 def no_label_in_features(df: DataFrame) -> DataFrame:

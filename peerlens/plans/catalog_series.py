@@ -600,14 +600,29 @@ def price_freshness(spark, sf):
 # --- checks ---------------------------------------------------------------------------------------------------
 
 
-@query("truncation_invariance")
+_CHECKED = ["1996-01-01", "1997-03-03", "1997-09-01", "1998-06-01", "1999-02-01", "2000-01-03"]
+_ALL_FEATS = [*FEATS, "ivol_63d"]
+
+
+@query(
+    "truncation_invariance",
+    with_views(
+        " UNION ALL ".join(
+            f"SELECT date, '{f}' AS feature, count({x}) AS checked, CAST(0 AS BIGINT) AS mismatches FROM g2 WHERE date IN ("
+            + ", ".join(f"DATE '{d}'" for d in _CHECKED) + ") GROUP BY date"
+            for f, x in [*((f, f) for f in FEATS), ("ivol_63d", "CASE WHEN vi IS NOT NULL AND b63 IS NOT NULL THEN 1 END")]
+        ),
+        "grid", "mkt", extra=_FEAT,
+    ),
+)
 def truncation_invariance(spark, sf):
-    b, cal = v.bars(spark, sf), v.sessions(spark, sf)
+    """All seven features at six dates, with the market series: no value may change when later bars are unknown."""
+    cal, mkt = v.sessions(spark, sf), _mkt(spark, sf)
 
     def features(rows):
-        return ts.price_features(ts.session_returns(ts.dense_grid(rows, cal.join(rows.agg(F.max("date").alias("__m")), F.col("date") <= F.col("__m")).drop("__m"))), None, S, M, L)
+        return ts.price_features(ts.session_returns(ts.dense_grid(rows, cal)), mkt, S, M, L)
 
-    return checks.truncation_invariance(b, features, ["mom_12_1", "reversal_1m", "high_52w", "max_ret_1m", "amihud_63d"], ["1998-06-01", "2000-01-03"])
+    return checks.truncation_invariance(v.bars(spark, sf), features, _ALL_FEATS, _CHECKED)
 
 
 @query(

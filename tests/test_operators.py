@@ -5,6 +5,7 @@ import math
 
 import numpy as np
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from peerlens.functions import scalar as sc
@@ -294,3 +295,15 @@ def test_tags_count_by_taxonomy(spark):
     with_all = fu.fundamentals(facts).collect()
     only = fu.fundamentals(facts.where("taxonomy = 'us-gaap'").drop("taxonomy")).collect()
     assert with_all and sorted(map(str, with_all)) == sorted(map(str, only))
+
+
+def test_truncation_check_finds_a_look_ahead(spark):
+    D = dt.date
+    bars = spark.createDataFrame([(e, D(2020, 1, d), float(d * k), d) for k, e in enumerate("ab", 1) for d in range(1, 21)], "entity string, date date, close double, session_no int")
+    w = Window.partitionBy("entity").orderBy("date")
+    honest = lambda b: b.withColumn("past", F.lag("close", 3).over(w)).withColumn("ahead", F.lead("close", 1).over(w))
+    sees = lambda b: honest(b).withColumn("ahead", F.max("close").over(Window.partitionBy("entity")))
+    got = {(r.date.day, r.feature): (r.checked, r.mismatches) for r in checks.truncation_invariance(bars, honest, ["past", "ahead"], ["2020-01-02", "2020-01-10"]).collect()}
+    assert got == {(2, "past"): (0, 0), (2, "ahead"): (0, 0), (10, "past"): (2, 0), (10, "ahead"): (0, 0)}
+    got = {(r.date.day, r.feature): (r.checked, r.mismatches) for r in checks.truncation_invariance(bars, sees, ["past", "ahead"], ["2020-01-10"]).collect()}
+    assert got == {(10, "past"): (2, 0), (10, "ahead"): (2, 2)}
