@@ -599,7 +599,61 @@ def training_moments_by_date(spark, sf):
     return tidy(m.drop("syy").where(F.col("n") > 0))
 
 
-@query("walk_forward_ridge_scores")
+_P = range(len(ML))
+
+
+def _solve_sql(source: str) -> dict[str, str]:
+    """The normal equations of every row of ``source`` (moments n, sy, sx_i, sxy_i, sxx_i_j) solved by elimination, one
+    step to a view: ``s0`` has the penalised matrix, ``s<k>`` the rows below pivot k reduced, ``co`` intercept b and slopes w_i."""
+    upper = [(i, j) for i in _P for j in range(i, len(ML))]
+    start = ", ".join(f"sxx_{i}_{j}-sx_{i}*sx_{j}/n" + ("+10.0" if i == j else "") + f" AS a_{i}_{j}" for i, j in upper)
+    rhs = ", ".join(f"sxy_{i}-sx_{i}*sy/n AS r_{i}" for i in _P)
+    out = {"s0": f"SELECT *, {start}, {rhs} FROM {source}"}
+    for k in _P[:-1]:
+        less = [f"a_{i}_{j}-a_{k}_{i}*a_{k}_{j}/a_{k}_{k} AS a_{i}_{j}" for i, j in upper if i > k]
+        less += [f"r_{i}-a_{k}_{i}*r_{k}/a_{k}_{k} AS r_{i}" for i in _P if i > k]
+        out[f"s{k + 1}"] = f"SELECT * REPLACE ({', '.join(less)}) FROM s{k}"
+    last = f"s{len(ML) - 1}"
+    for k in reversed(_P):
+        known = "".join(f"-a_{k}_{j}*w_{j}" for j in range(k + 1, len(ML)))
+        out[f"w{k}"] = f"SELECT *, (r_{k}{known})/a_{k}_{k} AS w_{k} FROM {last}"
+        last = f"w{k}"
+    out["co"] = "SELECT *, sy/n" + "".join(f"-w_{i}*sx_{i}/n" for i in _P) + f" AS b FROM {last}"
+    return out
+
+
+def _ridge_sql(prior: str) -> dict[str, str]:
+    """Views from ``x`` (rows with all features) to ``co``; ``prior`` is the training set of each date."""
+    sums = ["count(y) AS n", "coalesce(sum(y),0) AS sy"]
+    sums += [f"coalesce(sum(x_{i}),0) AS sx_{i}, coalesce(sum(x_{i}*y),0) AS sxy_{i}" for i in _P]
+    sums += [f"coalesce(sum(x_{i}*x_{j}),0) AS sxx_{i}_{j}" for i in _P for j in range(i, len(ML))]
+    use = "index_name='SMALL' AND fwd_rel_ret_1q IS NOT NULL"
+    rows = ", ".join(f"CASE WHEN {use} THEN coalesce({f},0) END AS x_{i}" for i, f in enumerate(ML))
+    return {
+        "x": f"SELECT *, {IX} FROM scored",
+        "m": f"SELECT date, {', '.join(sums)} FROM (SELECT date, CASE WHEN {use} THEN fwd_rel_ret_1q END AS y, {rows} FROM x) GROUP BY 1",
+        "tr": prior,
+        **_solve_sql("tr"),
+    }
+
+
+_SUMS = ["n", "sy", *[f"{c}_{i}" for i in _P for c in ("sx", "sxy")], *[f"sxx_{i}_{j}" for i in _P for j in range(i, len(ML))]]
+_WALK = _ridge_sql(
+    "SELECT * FROM (SELECT date, row_number() OVER (ORDER BY date)-1 AS prior, " + ", ".join(f"sum({c}) OVER p AS {c}" for c in _SUMS)
+    + " FROM m WINDOW p AS (ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) WHERE prior>=6 AND n>=50"
+)
+_WHOLE = _ridge_sql("SELECT * FROM (SELECT " + ", ".join(f"sum({c}) AS {c}" for c in _SUMS) + " FROM m) WHERE n>=100")
+_FITTED = "-(b" + "".join(f"+w_{i}*coalesce({f},0)" for i, f in enumerate(ML)) + ")"
+
+
+@query(
+    "walk_forward_ridge_scores",
+    with_views(
+        f"SELECT date, entity, round(score_ml,6) AS score_ml, CAST(decile_ml AS BIGINT) AS decile_ml FROM (SELECT *, {decile_sql('score_ml', 'decile_ml')} FROM "
+        f"(SELECT x.date, entity, sector, index_name, {_FITTED} AS score_ml FROM x LEFT JOIN co ON co.date=x.date))",
+        "scored", extra=_WALK,
+    ),
+)
 def walk_forward_ridge_scores(spark, sf):
     d, _ = learning.walk_forward(featured(spark, sf), ML, "fwd_rel_ret_1q", F.col("index_name") == v.SELECTION)
     from ..operators.peers import peer_decile
@@ -621,12 +675,25 @@ def walk_forward_one_factor(spark, sf):
     return tidy(out, "date", "entity", "score_ml")
 
 
-@query("walk_forward_coefficients")
+@query(
+    "walk_forward_coefficients",
+    with_views(" UNION ALL ".join(f"SELECT date, '{f.removesuffix('__n')}' AS feature, round(w_{i},6) AS coef FROM co" for i, f in enumerate(ML)), "scored", extra=_WALK),
+)
 def walk_forward_coefficients(spark, sf):
     return tidy(learning.walk_forward(featured(spark, sf), ML, "fwd_rel_ret_1q", F.col("index_name") == v.SELECTION)[1])
 
 
-@query("in_sample_ceiling")
+@query(
+    "in_sample_ceiling",
+    with_views(
+        f"SELECT round(mean,6) AS mean_ic, {r6('t_stat')}, n_periods FROM ({hac_sql('ics', 'series', 'ic', '1')})",
+        "scored",
+        extra={
+            **_WHOLE, "fit": f"SELECT x.*, {_FITTED} AS is_score FROM x CROSS JOIN co WHERE index_name='SMALL'",
+            "ics": ic_sql("fit", {"is_score": "is_score"}, Q1), "h": hac_cte("ics", "series", "ic", "1"),
+        },
+    ),
+)
 def in_sample_ceiling(spark, sf):
     d = selected(featured(spark, sf))
     s = learning.in_sample(d, ML, "fwd_rel_ret_1q")
