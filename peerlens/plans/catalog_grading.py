@@ -732,13 +732,47 @@ def screening_tier_pools(spark, sf):
     return tidy(p.groupBy("tier", "date").agg(F.count(F.lit(1)).alias("n"), F.avg("ret").alias("mean_ret")))
 
 
-@query("placebo_permutation")
+def _corr_sql(key: str, source: str) -> str:
+    return f"""SELECT {key}, -covar_pop(rs,ry)/(stddev_pop(rs)*stddev_pop(ry)) AS ic FROM (SELECT *, rank() OVER (w ORDER BY s) + (count(*) OVER (PARTITION BY {key},date,s)-1)/2.0 AS rs,
+ rank() OVER (w ORDER BY y) + (count(*) OVER (PARTITION BY {key},date,y)-1)/2.0 AS ry FROM {source} WINDOW w AS (PARTITION BY {key},date)) GROUP BY {key}, date HAVING count(*)>=10 AND stddev_pop(rs)>1e-12 AND stddev_pop(ry)>1e-12"""
+
+
+@query(
+    "placebo_permutation",
+    with_views(
+        "SELECT round(r.ic,6) AS real_ic, round(avg(m),6) AS placebo_ic_mean, round(stddev_pop(m),6) AS placebo_ic_std, 0.03::DOUBLE AS tolerance, abs(avg(m))<0.03 AND r.ic>avg(m) AS passed "
+        "FROM (SELECT trial, avg(ic) AS m FROM per GROUP BY 1) CROSS JOIN (SELECT avg(ic) AS ic FROM ics) r GROUP BY r.ic",
+        "scored",
+        extra={
+            **IC1,
+            "d": f"SELECT date, entity, score_ew, round(fwd_rel_ret_1q,9) AS y, row_number() OVER (PARTITION BY date ORDER BY entity) AS k FROM scored {SEL}",
+            "dealt": "SELECT trial, date, score_ew, row_number() OVER (PARTITION BY trial, date ORDER BY md5(concat_ws('|', 0, trial, date, entity)), entity) AS k FROM d CROSS JOIN range(10) t(trial)",
+            "pairs": "SELECT trial, date, entity, round(dealt.score_ew,9) AS s, y FROM d JOIN dealt USING (date, k) WHERE dealt.score_ew IS NOT NULL AND y IS NOT NULL",
+            "per": _corr_sql("trial", "pairs"),
+        },
+    ),
+)
 def placebo_permutation(spark, sf):
     d = v.kept(_sel(spark, sf), "date", "entity", "score_ew", "fwd_rel_ret_1q")
     return tidy(resampling.placebo(d, "score_ew", "fwd_rel_ret_1q", slices=v.checked(spark, sf)))
 
 
-@query("random_composite_null")
+@query(
+    "random_composite_null",
+    with_views(
+        "SELECT count(*) AS n_draws, round(max(r.ic),6) AS real_ic, round(avg(m),6) AS null_mean, round(quantile_cont(m,0.95),6) AS null_p95, round(avg(CASE WHEN m>=r.ic THEN 1.0 ELSE 0.0 END),6) AS p_value "
+        "FROM (SELECT draw, avg(ic) AS m FROM per GROUP BY 1) CROSS JOIN (SELECT avg(ic) AS ic FROM ics) r",
+        "scored",
+        extra={
+            **IC1,
+            "masks": f"SELECT draw, i FROM (SELECT draw, i, row_number() OVER (PARTITION BY draw ORDER BY md5(concat_ws('|', 7, draw, i)), i) AS no, 3 + CAST('0x' || substr(md5(concat_ws('|', 7, draw)),1,8) AS BIGINT) % {len(v.FEATURES) - 2} AS size "
+            f"FROM range(100) d(draw) CROSS JOIN range({len(v.FEATURES)}) f(i)) WHERE no<=size",
+            "long": " UNION ALL ".join(f"SELECT date, entity, round(fwd_rel_ret_1q,9) AS y, {i} AS i, {f} AS x FROM scored {SEL} AND fwd_rel_ret_1q IS NOT NULL AND {f} IS NOT NULL" for i, f in enumerate(v.FEATURES)),
+            "pairs": "SELECT draw, date, entity, y, round(sum(x)/count(x),9) AS s FROM long JOIN masks USING (i) GROUP BY 1,2,3,4",
+            "per": _corr_sql("draw", "pairs"),
+        },
+    ),
+)
 def random_composite_null(spark, sf):
     d = v.kept(_sel(spark, sf), "date", "entity", "score_ew", "fwd_rel_ret_1q", *v.FEATURES)
     masks = resampling.factor_masks(spark, v.FEATURES, 100)
