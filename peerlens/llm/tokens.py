@@ -2,19 +2,29 @@
 
 In the tokenizer used here white space always ends a token (it is dropped, nothing composes across
 it), so the ids of a text are those of its blank-separated pieces one after the other; a test
-compares both. A piece is encoded once per worker process; the memo is emptied when full."""
+compares both. New words of letters are encoded many at a time, as one text, and cut apart where a token ends a
+word. The memo has two generations: what was not used since the last turn is forgotten."""
 
 from __future__ import annotations
 
 import re
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 from tokenizers import Tokenizer
 
 MEMO_PIECES = 300_000
-#: An ASCII piece whose core ends in a letter or digit, and the punctuation behind it.
-_TAIL = re.compile(r"(.*[A-Za-z0-9])([^A-Za-z0-9'\s]+)", re.S)
+WORDS_AT_ONCE = 2048
+WORD_END = "</w>"
+#: ASCII punctuation but the apostrophe, which may open a token with the letters behind it.
+PUNCTUATION = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+#: Above these characters, and at the dotted capital I, lower-casing may look around or marks may compose.
+_ODD = re.compile("[^\x00-\u024f]|\u0130")
+
+
+def _is_plain(piece: str) -> bool:
+    return piece.isascii() or not _ODD.search(piece)
 
 
 class Encoder:
@@ -23,43 +33,73 @@ class Encoder:
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
+        vocab = self.tokenizer.get_vocab()
+        self.dtype = np.dtype("<u2" if max(vocab.values()) < 1 << 16 else "<u4")
+        self.ends = np.zeros(max(vocab.values()) + 1, bool)
+        self.ends[[i for t, i in vocab.items() if t.endswith(WORD_END)]] = True
         self.memo: dict[str, bytes] = {"": b""}
+        self.older: dict[str, bytes] = {}
 
     def _encode(self, pieces: list[str]) -> None:
-        got = self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)
-        for p, e in zip(pieces, got):
+        for p, e in zip(pieces, self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)):
             self.memo[p] = np.array(e.ids, self.dtype).tobytes()
 
-    def _learn(self, new: set[str]) -> None:
+    def _encode_words(self, words: list[str]) -> None:
+        """Words of letters, each one token run that ends in a token with a word end."""
+        width = self.dtype.itemsize
+        for i in range(0, len(words), WORDS_AT_ONCE):
+            part = words[i : i + WORDS_AT_ONCE]
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, self.dtype)
+            cuts = ((np.flatnonzero(self.ends[ids]) + 1) * width).tolist()
+            if len(cuts) != len(part):
+                self._encode(part)
+                continue
+            packed, start = ids.tobytes(), 0
+            for w, end in zip(part, cuts):
+                self.memo[w] = packed[start:end]
+                start = end
+
+    def _learn(self, new: list[str]) -> None:
         """Fill the memo; a capital or closing punctuation costs no second encoding of the word."""
-        memo = self.memo
-        parts = {}
+        memo, older = self.memo, self.older
+        parts, words, rest = {}, set(), set()
         for p in new:
-            if p.isascii() and len(p) < 200:
+            if p in older:
+                memo[p] = older[p]
+                continue
+            own = (p,)
+            if len(p) < 200 and _is_plain(p):
                 low = p.lower()
-                m = _TAIL.fullmatch(low)
-                parts[p] = m.groups() if m else (low,)
-            else:
-                parts[p] = (p,)
-        unseen = {q for ps in parts.values() for q in ps if q not in memo}
-        self._encode(list(unseen))
-        for p, ps in parts.items():
-            if p not in memo:
-                memo[p] = b"".join([memo[q] for q in ps])
+                core = low.rstrip(PUNCTUATION)
+                own = (core, low[len(core) :]) if len(core) < len(low) and core[-1:].isalnum() else (low,)
+            parts[p] = own
+            for q in own:
+                if q not in memo:
+                    if q in older:
+                        memo[q] = older[q]
+                    elif q.isalpha() and len(q) < 200 and _is_plain(q):
+                        words.add(q)
+                    else:
+                        rest.add(q)
+        self._encode_words(list(words))
+        if rest:
+            self._encode(list(rest))
+        for p, own in parts.items():
+            if len(own) > 1:
+                memo[p] = memo[own[0]] + memo[own[1]]
+            elif own[0] is not p:
+                memo[p] = memo[own[0]]
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Packed ids of each text; null counts as empty."""
         if len(self.memo) > MEMO_PIECES:
-            self.memo = {"": b""}
+            self.memo, self.older = {"": b""}, self.memo
         split = [(t or "").replace("\n", " ").split(" ") for t in texts]
-        new: set[str] = set()
-        for s in split:
-            new.update(s)
-        new.difference_update(self.memo)
+        memo = self.memo
+        new = [p for p in set(chain.from_iterable(split)) if p not in memo]
         if new:
             self._learn(new)
-        get = self.memo.__getitem__
+        get = memo.__getitem__
         return [b"".join(map(get, s)) for s in split]
 
 
