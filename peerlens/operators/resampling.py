@@ -99,7 +99,7 @@ def equity_bands(paths: DataFrame) -> DataFrame:
     )
 
 
-def _draw(*parts) -> Column:
+def _md5_draw(*parts) -> Column:
     """A hashed draw that any engine can repeat: the MD5 text of the parts; order by it, or read its first 8 digits as a number."""
     return F.md5(F.concat_ws("|", *[F.col(p).cast("string") if isinstance(p, str) else p.cast("string") for p in parts]))
 
@@ -114,7 +114,7 @@ def permuted_scores(df: DataFrame, score: str, trials: int = 10, seed: int = 0,
     holders = numbered(base.select("date", "entity"), ["date"], ["entity"], "k", "n", slices)
     holders = holders.withColumn("trial", F.explode(F.sequence(F.lit(0), F.lit(trials - 1)))).drop("n")
     dealt = base.withColumn("trial", F.explode(F.sequence(F.lit(0), F.lit(trials - 1)))).withColumn(
-        "__u", _draw(F.lit(seed), "trial", "date", "entity")
+        "__u", _md5_draw(F.lit(seed), "trial", "date", "entity")
     )
     dealt = numbered(dealt, ["trial", "date"], ["__u", "entity"], "k", "n", slices)
     return holders.join(dealt.select("trial", "date", "k", "score"), ["trial", "date", "k"]).drop("k")
@@ -143,12 +143,12 @@ def factor_masks(spark, factors: Sequence[str], draws: int = 100, seed: int = 7,
     p = len(factors)
     grid = spark.range(draws).select(
         F.col("id").cast("int").alias("draw"),
-        (F.lit(least) + F.pmod(F.conv(F.substring(_draw(F.lit(seed), "id"), 1, 8), 16, 10).cast("long"), F.lit(p - least + 1))).cast("int").alias("__size"),
+        (F.lit(least) + F.pmod(F.conv(F.substring(_md5_draw(F.lit(seed), "id"), 1, 8), 16, 10).cast("long"), F.lit(p - least + 1))).cast("int").alias("__size"),
     )
     order = F.array_sort(
         F.transform(
             F.sequence(F.lit(0), F.lit(p - 1)),
-            lambda i: F.struct(_draw(F.lit(seed), "draw", i).alias("u"), i.cast("int").alias("i")),
+            lambda i: F.struct(_md5_draw(F.lit(seed), "draw", i).alias("u"), i.cast("int").alias("i")),
         )
     )
     return grid.select("draw", F.transform(F.slice(order, 1, F.col("__size")), lambda x: x["i"]).alias("picks"))
