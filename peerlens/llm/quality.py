@@ -31,7 +31,7 @@ DIM = 32
 NONZERO = 2
 WINDOW = 2
 HIDDEN = 32
-FIT_ROWS = 20_000
+FIT_ROWS = 12_000
 CALIBRATION = 0.2
 THRESHOLD = 0.7
 MEMO_PIECES = 400_000

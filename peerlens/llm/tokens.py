@@ -8,6 +8,7 @@ word. The memo has two generations: what was not used since the last turn is for
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain
 
@@ -16,6 +17,7 @@ from tokenizers import Tokenizer
 
 MEMO_PIECES = 300_000
 WORDS_AT_ONCE = 2048
+CUT_CHARS = 4_000_000
 WORD_END = "</w>"
 #: ASCII punctuation but the apostrophe, which may open a token with the letters behind it.
 PUNCTUATION = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
@@ -27,6 +29,18 @@ def _is_plain(piece: str) -> bool:
     return piece.isascii() or not _ODD.search(piece)
 
 
+def _cuts(text: str) -> Iterator[str]:
+    """The text in parts of about ``CUT_CHARS`` that begin at a blank or line end, where no token can span."""
+    start = 0
+    while len(text) - start > CUT_CHARS:
+        places = [p for p in (text.find(" ", start + CUT_CHARS), text.find("\n", start + CUT_CHARS)) if p > 0]
+        if not places:
+            break
+        yield text[start : min(places)]
+        start = min(places)
+    yield text[start:]
+
+
 class Encoder:
     """Ids as packed little-endian unsigned integers of ``dtype`` (16 bits if the vocabulary fits)."""
 
@@ -91,7 +105,12 @@ class Encoder:
                 memo[p] = memo[own[0]]
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        """Packed ids of each text; null counts as empty."""
+        """Packed ids of each text; null counts as empty. A very long text is encoded in cuts at its blanks."""
+        if any(t and len(t) > CUT_CHARS for t in texts):
+            return [b"".join(self._encode_lot([c])[0] for c in _cuts(t or "")) for t in texts]
+        return self._encode_lot(texts)
+
+    def _encode_lot(self, texts: list[str | None]) -> list[bytes]:
         if len(self.memo) > MEMO_PIECES:
             self.memo, self.older = {"": b""}, self.memo
         split = [(t or "").replace("\n", " ").split(" ") for t in texts]

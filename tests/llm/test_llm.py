@@ -106,6 +106,13 @@ def test_memo_gives_the_ids_of_whole_texts(texts):
     assert got == [t.encode(x, add_special_tokens=False).ids for x in texts]
 
 
+def test_very_long_texts_are_cut_at_blanks(plain, monkeypatch):
+    monkeypatch.setattr(tokens, "CUT_CHARS", 50)
+    enc = tokens.encoder(WORD_BPE)
+    texts = [LONG[:3000], None, "x" * 200, "a\nb " * 40, "", "don't  stop\n\n" * 9]
+    assert [np.frombuffer(b, enc.dtype).tolist() for b in enc.encode(texts)] == [plain(t) for t in texts]
+
+
 def test_records_read_back_in_order(spark, hard, plain, tmp_path):
     folder = str(tmp_path / "records")
     manifest = records.write_records(hard, folder, WORD_BPE)
