@@ -14,7 +14,8 @@ SAMPLE = [
     "family_balanced_score", "peer_deciles", "factor_decomposition", "horizon_term_structure", "score_calibration_table", "flag_event_study",
     "evidence_weighted_score", "walk_forward_one_factor", "sleeves_by_year", "trailing_price_features", "event_reaction_with_expiry",
     "gated_forward_returns", "asof_latest_fact", "members_by_date", "fundamental_factors", "membership_csv_repaired", "override_log_validated",
-    "filing_documents_flattened", "earnings_reaction_days", "streamed_daily_flow",
+    "filing_documents_flattened", "earnings_reaction_days", "streamed_daily_flow", "orders_written_by_year", "membership_snapshot_appended",
+    "records_written_as_lines", "streamed_bars_topped_up", "truncation_invariance", "in_sample_ceiling",
 ]
 
 
