@@ -145,7 +145,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, limit: int = LIMI
 
     ``taken`` is copies times size, at most ``limit`` times size. Documents without words have no copies
     (nothing of them can be taken) and rate 0; a null source is a source. Copies of a class go to its documents in the order of a hash of
-    doc_id, so reruns agree. Repeated rows count by themselves; an empty table gives no rows. ``docs`` is read
+    doc_id, so reruns agree on any layout of the files. Repeated rows count by themselves; an empty table gives no rows. ``docs`` is read
     again where copies are joined to texts, so it should be a table that gives its rows in the same order."""
     sized = durable(word_sizes(docs))
     classes = durable(sized.groupBy("source", "size").agg(F.count("*").alias("n")))
@@ -159,7 +159,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, limit: int = LIMI
     plan = durable(rated.join(copies, ["sid", "size"]).select("sid", "size", "n", "rate", "copies"))
     placed = sized.join(sources, sized["source"].eqNullSafe(sources["source"])).select("row", "doc_id", "sid", "size", "source_size", "target")
     with_plan = durable(placed.join(plan, ["sid", "size"], "left"))
-    numbered = number_in_class(with_plan, ["sid", "size"], ["doc_id", "row"], "no")
+    numbered = number_in_class(with_plan, ["sid", "size"], ["doc_id"], "no")
     own = F.floor(F.col("copies") / F.col("n")) + (F.col("no") < F.col("copies") % F.col("n")).cast("long")
     own = F.coalesce(own, F.lit(0)).cast("long")
     return numbered.select(
