@@ -10,10 +10,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 _LOCAL: dict[str, str] = {}
+_WRITTEN: list[str] = []
 
 
 def build_session(app: str = "peerlens", cores: str | int = "*", partitions: int = 8) -> SparkSession:
-    """A local session for tests and benchmarks; a cluster brings its own."""
+    """A local session for tests and benchmarks, with a shared folder of its own; a cluster brings its own."""
     return (
         SparkSession.builder.master(f"local[{cores}]")
         .appName(app)
@@ -21,6 +22,7 @@ def build_session(app: str = "peerlens", cores: str | int = "*", partitions: int
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
+        .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="peerlens-"))
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", os.environ.get("PEERLENS_DRIVER_MEMORY", "12g"))
@@ -50,8 +52,20 @@ def durable(df: DataFrame) -> DataFrame:
     """Cut lineage by writing a table in the shared folder and reading it back.
 
     Every reader then sees the same rows even after executors are lost, and branches that need
-    few columns scan few columns."""
+    few columns scan few columns. The table stays until ``release``."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/stage-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _WRITTEN.append(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def release(spark: SparkSession) -> int:
+    """Delete the tables that ``durable`` wrote in this process; call it when no result that reads them is
+    needed any more. Returns how many there were."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    paths = [_WRITTEN.pop() for _ in range(len(_WRITTEN))]
+    for p in paths:
+        place = jvm.org.apache.hadoop.fs.Path(p)
+        place.getFileSystem(conf).delete(place, True)
+    return len(paths)

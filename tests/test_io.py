@@ -160,3 +160,17 @@ def test_year_partitions_are_spread(spark, tmp_path):
     assert back.select("id", "date").exceptAll(df).count() == 0 and back.count() == 4000
     files = list((tmp_path / "t").glob("year=2020/*.parquet"))
     assert 1 <= len(files) <= 3
+
+
+def test_written_stages_are_released(spark):
+    import os
+
+    from peerlens import session
+
+    held = session._WRITTEN[:]
+    session._WRITTEN.clear()
+    d = session.durable(spark.range(5))
+    path = session._WRITTEN[-1]
+    assert path.startswith(spark.conf.get("spark.checkpoint.dir")) and d.count() == 5
+    assert session.release(spark) == 1 and not os.path.exists(path)
+    session._WRITTEN.extend(held)
