@@ -9,7 +9,7 @@ from ..functions import scalar as sc
 from ..operators import asof, calendar, checks, evaluation as ev, fundamentals as fu, overrides as ovr, panel as pn, timeseries as ts
 from ..sources import documents, tables, text
 from . import views as v
-from .catalog_series import FEATS, L, M, S, _FEAT, _FWD, _forward, off, supplier_items, truncation_invariance
+from .catalog_series import FEATS, L, M, S, _FEAT, _FWD, _ITEMS_SQL, _forward, off, supplier_items, truncation_invariance
 from .reference_sql import VIEWS, with_views
 from .registry import SQL, big, query, r6, tidy
 
@@ -419,7 +419,26 @@ def panel_assembled(spark, sf):
     return tidy(p, "date", "entity", "sector", "index_name", *_PBASE, *_PRET, *[c.replace("ret", "rel_ret") for c in _PRET])
 
 
-@query("panel_assembled_with_statements")
+_STATED = {
+    **_ITEMS_SQL,
+    **_PANEL_SQL,
+    "one": "SELECT * FROM (SELECT 'Brand#' || (entity%25+1) AS entity, * EXCLUDE (entity), row_number() OVER (PARTITION BY entity%25, as_of ORDER BY quarter_end DESC NULLS LAST, total_assets DESC NULLS LAST) AS no FROM fy) WHERE no=1",
+    "iv": "SELECT entity, date, last_value(iv IGNORE NULLS) OVER (PARTITION BY entity ORDER BY date ROWS UNBOUNDED PRECEDING) AS ivol_63d FROM "
+    "(SELECT entity, date, CASE WHEN vi IS NOT NULL AND b63 IS NOT NULL THEN sqrt(greatest(0,vi-b63*b63*vq)) END AS iv FROM g2)",
+    "st": "SELECT p.date, p.entity, o.* EXCLUDE (entity), p.fwd_ret_1q, p.fwd_ret_2q FROM pp p ASOF LEFT JOIN one o ON o.entity=p.entity AND p.date>=o.as_of",
+    "val": "SELECT s.*, CASE WHEN shares>0 THEN b.close*shares END AS cap FROM st s ASOF LEFT JOIN (SELECT entity, date, close FROM bars WHERE close IS NOT NULL) b ON b.entity=s.entity AND s.date>=b.date",
+}
+
+
+@query(
+    "panel_assembled_with_statements",
+    with_views(
+        "SELECT v.date, v.entity, as_of AS fund_as_of, round(roe,6) AS roe, round(gross_margin,6) AS gross_margin, round(CASE WHEN net_income_ttm>0 THEN cap/net_income_ttm END,6) AS pe_ratio, "
+        "round(CASE WHEN cap+coalesce(total_debt,0)>0 THEN fcf_ttm/(cap+coalesce(total_debt,0)) END,6) AS fcf_yield, round(ivol_63d,6) AS ivol_63d, "
+        "coalesce(fwd_ret_1q=-1.0,false) OR coalesce(fwd_ret_2q=-1.0,false) AS delisted FROM val v LEFT JOIN iv ON iv.entity=v.entity AND iv.date=v.date",
+        "grid", "mkt", "rebal", extra=_STATED,
+    ),
+)
 def panel_assembled_with_statements(spark, sf):
     p, _ = assembled(spark, sf)
     return tidy(p.select("date", "entity", "fund_as_of", "roe", "gross_margin", "pe_ratio", "fcf_yield", "ivol_63d", "delisted"))
