@@ -35,6 +35,14 @@ def streamed_daily_flow(spark, sf):
     return d.select("entity", "date", F.round("buy_shares", 6).alias("buy_shares"), F.round("sell_shares", 6).alias("sell_shares"))
 
 
+@query("streamed_flow_without_watermark", with_views("SELECT entity, date, buy_shares, sell_shares FROM flow", "flow"))
+def streamed_flow_without_watermark(spark, sf):
+    root = _folder(spark)
+    feeds.add_flow(_events_stream(spark, sf).withColumn("ts", utc_instant("ts")), root, f"{root}/log").awaitTermination()
+    d = feeds.added_flow(spark, root)
+    return d.select("entity", "date", F.round("buy_shares", 6).alias("buy_shares"), F.round("sell_shares", 6).alias("sell_shares"))
+
+
 @query(
     "streamed_latest_rows",
     "SELECT user_id AS entity, CAST(ts AS DATE) AS date, max_by(event_type, event_id) AS event_type, max(event_id) AS event_id FROM events GROUP BY 1,2",

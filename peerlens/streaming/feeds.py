@@ -206,12 +206,34 @@ def upsert_bars(
 
 
 def daily_flow(events: DataFrame, ts: str = "ts", late: str = "2 days") -> DataFrame:
-    """Buys and sells per entity and day with a watermark; on a closed input this is the batch answer."""
+    """Buys and sells per entity and day with a watermark; on a closed input this is the batch answer.
+
+    State is bounded by ``late``: rows that come later still are dropped. Where they must count, use ``add_flow``."""
     w = events.withWatermark(ts, late).groupBy(F.window(ts, "1 day"), F.col("user_id").alias("entity"))
-    return w.agg(
-        F.sum(F.when(F.col("event_type") == "purchase", F.col("value")).otherwise(0.0)).alias("buy_shares"),
-        F.sum(F.when(F.col("event_type") == "error", F.col("value")).otherwise(0.0)).alias("sell_shares"),
-    ).select("entity", utc_day("window.start").alias("date"), "buy_shares", "sell_shares")
+    return w.agg(*_buys_and_sells()).select("entity", utc_day("window.start").alias("date"), "buy_shares", "sell_shares")
+
+
+def _buys_and_sells() -> list:
+    return [
+        F.sum(F.when(F.col("event_type") == kind, F.col("value")).otherwise(0.0)).alias(name)
+        for kind, name in (("purchase", "buy_shares"), ("error", "sell_shares"))
+    ]
+
+
+def add_flow(events: DataFrame, root: str, checkpoint: str, ts: str = "ts") -> StreamingQuery:
+    """Buys and sells per entity and day without a watermark: each batch writes its own sums, so a row counts however late it
+    comes, and a replayed batch replaces what it wrote. ``added_flow`` adds the batches up."""
+
+    def handle(batch: DataFrame, seq: int) -> None:
+        days = batch.groupBy(F.col("user_id").alias("entity"), utc_day(ts).alias("date")).agg(*_buys_and_sells())
+        days.write.mode("overwrite").parquet(f"{root.rstrip('/')}/sums/batch={seq}")
+
+    return _run(events, checkpoint, handle)
+
+
+def added_flow(spark: SparkSession, root: str) -> DataFrame:
+    sums = spark.read.parquet(f"{root.rstrip('/')}/sums")
+    return sums.groupBy("entity", "date").agg(*[F.sum(c).alias(c) for c in ("buy_shares", "sell_shares")])
 
 
 def publish_flow(flow: DataFrame, store: MonthlyStore, checkpoint: str) -> StreamingQuery:

@@ -174,3 +174,14 @@ def test_written_stages_are_released(spark):
     assert path.startswith(spark.conf.get("spark.checkpoint.dir")) and d.count() == 5
     assert session.release(spark) == 1 and not os.path.exists(path)
     session._WRITTEN.extend(held)
+
+
+def test_rows_later_than_any_watermark_count(spark, tmp_path):
+    schema = "ts timestamp, user_id long, event_type string, value double"
+    src, root, log = str(tmp_path / "in"), str(tmp_path / "st"), str(tmp_path / "log")
+    day = dt.datetime(2024, 1, 1, 12)
+    for rows in ([(day, 1, "purchase", 1.0), (day + dt.timedelta(days=90), 1, "error", 5.0)], [(day, 1, "purchase", 2.0)]):
+        _drop(spark, rows, src, schema)
+        feeds.add_flow(feeds.landing(spark, src, schema), root, log).awaitTermination()
+    got = {r.date: (r.buy_shares, r.sell_shares) for r in feeds.added_flow(spark, root).collect()}
+    assert got == {D(2024, 1, 1): (3.0, 0.0), D(2024, 3, 31): (0.0, 5.0)}
