@@ -169,10 +169,10 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, limit: int = LIMI
 
 def mixed_documents(docs: DataFrame) -> DataFrame:
     """The rows of ``docs``, each as often as the mix takes it."""
-    copies = mix(docs).where("copies > 0").select("row", "copies")
+    copies = mix(docs).where("copies > 0").select(F.col("row").alias("__place"), F.col("copies").cast("int").alias("__times"))
     marked = docs.withColumn("__row", F.monotonically_increasing_id())
-    taken = marked.join(copies, marked["__row"] == copies["row"])
-    return taken.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*[marked[c] for c in docs.columns])
+    taken = marked.join(copies, F.col("__row") == F.col("__place"))
+    return taken.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(*docs.columns)
 
 
 def op8_entropy_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -24,7 +24,7 @@ from compare import compare, duck  # noqa: E402
 SF = "/root/testdata/sf0.001"
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, name string, size long, row long, score double, length long"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, name string, size long, row long, score double, length long, copies long, target double, kept boolean"
 LONG = " ".join(f"word{i % 977} and" for i in range(30_000))
 
 HARD = [
@@ -49,7 +49,7 @@ HARD = [
 
 
 def rows(data):
-    return [(d, t, lang, s, None, "clash", 7, 8, 0.5, 9) for d, t, lang, s in data]
+    return [(d, t, lang, s, None, "clash", 7, 8, 0.5, 9, 2, 0.1, False) for d, t, lang, s in data]
 
 
 @pytest.fixture(scope="module")
