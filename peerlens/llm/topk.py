@@ -102,21 +102,23 @@ def _common(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return a[:, :w], b[:, :w]
 
 
-def products(q: np.ndarray, m: np.ndarray) -> np.ndarray:
-    """Exact integer inner products of all rows of q with all rows of m."""
+def _exact_kind(q: np.ndarray, m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Both of the same width and of a kind in which their products are exact: doubles if all sums fit, else integers."""
     q, m = _common(q, m)
-    if not q.size or not m.size:
-        return np.zeros((len(q), len(m)), np.int64)
-    most = float(np.abs(q).max()) * float(np.abs(m).max()) * q.shape[1]
-    if most < EXACT:
-        return (q.astype(float) @ m.astype(float).T).astype(np.int64)
-    return q.astype(np.int64) @ m.astype(np.int64).T
+    most = float(np.abs(q).max(initial=0)) * float(np.abs(m).max(initial=0)) * q.shape[1]
+    kind = np.float64 if most < EXACT else np.int64
+    return q.astype(kind), m.astype(kind)
+
+
+def products(q: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """Exact integer inner products of all rows of q with all rows of m, both from ``_exact_kind``."""
+    return (q @ m.T).astype(np.int64)
 
 
 def bounds(q: np.ndarray, high: np.ndarray, low: np.ndarray) -> np.ndarray:
     """No score of a query in a block is above its bound: products with the term maxima and minima."""
     up, down = np.maximum(q, 0), np.minimum(q, 0)
-    return products(up, high) + products(down, low)
+    return products(*_exact_kind(up, high)) + products(*_exact_kind(down, low))
 
 
 def _page_bounds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -139,6 +141,7 @@ def score_page(q: np.ndarray, q_ids: np.ndarray, floor: np.ndarray, ids: np.ndar
     best_s = np.full((len(q), k), np.iinfo(np.int64).min)
     best_i = np.full((len(q), k), np.iinfo(np.int64).max)
     need = floor.copy()
+    q, m = _exact_kind(q, m)
     for step in range(n_blocks):
         live = np.flatnonzero(np.take_along_axis(limit, order[:, step : step + 1], 1)[:, 0] >= need)
         if not len(live):
@@ -148,6 +151,10 @@ def score_page(q: np.ndarray, q_ids: np.ndarray, floor: np.ndarray, ids: np.ndar
             who = live[at == one]
             span = slice(one * block, (one + 1) * block)
             s = products(q[who], m[span])
+            near = np.flatnonzero((s >= need[who][:, None]).any(1))
+            if not len(near):
+                continue
+            who, s = who[near], s[near]
             names = np.broadcast_to(ids[span], s.shape)
             own = names == q_ids[who][:, None]
             s = np.where(own, np.iinfo(np.int64).min, s)
