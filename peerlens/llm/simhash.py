@@ -30,19 +30,25 @@ VARIANTS_AT_ONCE = 1 << 20
 SPLIT_BITS = 6
 
 
-def fingerprint(text: bytes | None, shingle: int = 4) -> int:
-    """Signed 64-bit SimHash of the word shingles of a UTF-8 text; 0 if it has no words."""
+def shingle_digests(text: bytes | None, shingle: int) -> list[bytes]:
+    """XXH64 of each word shingle of a UTF-8 text in order; none if it has no words, one if it has fewer than ``shingle``."""
     words = (text or b"").lower().split()
+    joined = b" ".join(words)
     if not words:
-        return 0
+        return []
     if len(words) <= shingle:
-        digests = [xxhash.xxh64_digest(b" ".join(words), 42)]
-    else:
-        joined = b" ".join(words)
-        ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
-        starts = np.concatenate(([0], ends[:-1] + 1))
-        spans = zip(starts[: len(words) - shingle + 1].tolist(), ends[shingle - 1 :].tolist())
-        digests = [xxhash.xxh64_digest(joined[a:b], 42) for a, b in spans]
+        return [xxhash.xxh64_digest(joined, 42)]
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+    starts = np.concatenate(([0], ends[:-1] + 1))
+    spans = zip(starts[: len(words) - shingle + 1].tolist(), ends[shingle - 1 :].tolist())
+    return [xxhash.xxh64_digest(joined[a:b], 42) for a, b in spans]
+
+
+def fingerprint(text: bytes | None, shingle: int = 4) -> int:
+    """Signed 64-bit SimHash of the word shingles of a UTF-8 text; 0 if it has no words."""
+    digests = shingle_digests(text, shingle)
+    if not digests:
+        return 0
     ones = np.zeros(BITS, np.int64)
     for i in range(0, len(digests), 1 << 16):
         block = np.frombuffer(b"".join(digests[i : i + (1 << 16)]), np.uint8).reshape(-1, 8)

@@ -657,3 +657,55 @@ def test_pipeline_stages_take_hard_and_empty_tables(spark, hard, none, tmp_path)
         for name, stage in corpus_pipeline.STAGES:
             docs = packing.durable(stage(spark, docs, str(tmp_path)))
             assert name in ("quality", "mix") or (docs.count() > 0) == some
+
+
+def copies_of(rng, similarity, n):
+    """A text of n distinct words and one whose set of five-word shingles has about this Jaccard similarity to it."""
+    words_ = [f"w{x}" for x in rng.choice(1 << 40, n, replace=False)]
+    changed = list(words_)
+    shared = 2 * similarity / (1 + similarity) * (n - 4)
+    for i in range(round((n - 4 - shared) / 5)):
+        changed[7 + 10 * i] = f"new{i}"
+    return " ".join(words_), " ".join(changed)
+
+
+def brute_shingles(text):
+    w = words(text.lower())
+    return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
+
+
+def test_near_copies_of_planted_similarity(spark):
+    import corpus_pipeline
+
+    rng = np.random.default_rng(11)
+    texts, near = [], []
+    for s in (0.5, 0.6, 0.81, 0.85, 0.9, 0.95):
+        for _ in range(12):
+            a, b = copies_of(rng, s, 200)
+            x, y = brute_shingles(a), brute_shingles(b)
+            texts += [a, b]
+            near.append(len(x & y) / len(x | y) >= 0.8)
+    assert 40 < sum(near) < 60
+    chain = texts[-2].split()
+    for i in range(6):  # each a near copy of the one before, the last not of the first
+        texts.append(" ".join(chain))
+        chain = chain[:-8] + [f"x{i}y{j}" for j in range(2)]
+    docs = packing.durable(spark.createDataFrame(rows([(i, t, "en", "a") for i, t in enumerate(texts)]), SCHEMA))
+    for name, stage in corpus_pipeline.STAGES[2 : [k for k, _ in corpus_pipeline.STAGES].index("mix")]:
+        docs = packing.durable(stage(spark, docs, SF))
+    want = sorted([2 * i for i in range(len(near))] + [2 * i + 1 for i, n in enumerate(near) if not n])
+    assert sorted(r["doc_id"] for r in docs.collect()) == want
+
+
+def test_pipeline_drops_near_copies_of_small_table(spark, small, small_rows):
+    import corpus_pipeline
+
+    got = dict(corpus_pipeline.STAGES)["near_copies"](spark, small, SF)
+    sets = [brute_shingles(t or "") for _, t, *_ in small_rows]
+    root = list(range(len(sets)))
+    for i, x in enumerate(sets):
+        for j in range(i):
+            if root[i] != root[j] and min(len(x), len(sets[j])) >= 0.8 * max(len(x), len(sets[j])) and len(x & sets[j]) >= 0.8 * len(x | sets[j]):
+                one, two = sorted((root[i], root[j]))
+                root = [one if r == two else r for r in root]
+    assert sorted(r["doc_id"] for r in got.collect()) == sorted(small_rows[r][0] for r in set(root))
