@@ -27,8 +27,8 @@ END_ID = 0
 PIECES = "doc_id {id}, piece int, start bigint, length bigint, ids_crc32 bigint"
 
 
-def _pieces(batches: Iterator[pa.RecordBatch], path: str, end_id: int, capacity: int, with_ids: bool) -> Iterator[pa.RecordBatch]:
-    enc = encoder(path)
+def _pieces(batches: Iterator[pa.RecordBatch], path: str, end_id: int, capacity: int, with_ids: bool, special: bool) -> Iterator[pa.RecordBatch]:
+    enc = encoder(path, special)
     width, end = enc.dtype.itemsize, np.array([end_id], enc.dtype).tobytes()
     for b in batches:
         texts = b.column(1).to_pylist()
@@ -52,12 +52,12 @@ def _pieces(batches: Iterator[pa.RecordBatch], path: str, end_id: int, capacity:
             yield pa.RecordBatch.from_arrays(out, names)
 
 
-def token_pieces(docs: DataFrame, path: str, end_id: int = END_ID, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
+def token_pieces(docs: DataFrame, path: str, end_id: int = END_ID, capacity: int = CAPACITY, with_ids: bool = False, special: bool = False) -> DataFrame:
     """The pieces of every document: its ids and ``end_id``, cut only beyond ``capacity``. A null or empty text
     is the end id alone. ``with_ids`` adds the ids themselves."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = PIECES.format(id=kind) + (", ids array<int>" if with_ids else "")
-    call = partial(_pieces, path=path, end_id=end_id, capacity=capacity, with_ids=with_ids)
+    call = partial(_pieces, path=path, end_id=end_id, capacity=capacity, with_ids=with_ids, special=special)
     return docs.select("doc_id", "text").mapInArrow(call, schema)
 
 
@@ -157,11 +157,11 @@ def packed_sequences(packed: DataFrame) -> DataFrame:
     )
 
 
-def pack_documents(docs: DataFrame, path: str, end_id: int = END_ID, capacity: int = CAPACITY) -> DataFrame:
-    return pack(durable(token_pieces(docs, path, end_id, capacity)), capacity)
+def pack_documents(docs: DataFrame, path: str, end_id: int = END_ID, capacity: int = CAPACITY, special: bool = False) -> DataFrame:
+    return pack(durable(token_pieces(docs, path, end_id, capacity, special=special)), capacity)
 
 
 def op2_best_two_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), special=True)

@@ -66,10 +66,10 @@ def _open(folder: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(folder if "://" in folder or folder.startswith("file:") else f"file://{folder}")
 
 
-def _write(batches: Iterator[pa.RecordBatch], folder: str, path: str, end_id: int) -> Iterator[pa.RecordBatch]:
+def _write(batches: Iterator[pa.RecordBatch], folder: str, path: str, end_id: int, special: bool) -> Iterator[pa.RecordBatch]:
     shard = TaskContext.get().partitionId()
     fs, root = _open(folder)
-    enc = encoder(path)
+    enc = encoder(path, special)
     width, end = enc.dtype.itemsize, np.array([end_id], enc.dtype).tobytes()
     mine = f"{root}/.{shard:08d}-{uuid.uuid4().hex}"
     at, records, ids = 0, 0, 0
@@ -90,7 +90,7 @@ def _write(batches: Iterator[pa.RecordBatch], folder: str, path: str, end_id: in
     yield pa.RecordBatch.from_pydict({"shard": [shard], "path": [final], "records": [records], "ids": [ids], "bytes": [at]}, pa.schema([("shard", pa.int32()), ("path", pa.string()), ("records", pa.int64()), ("ids", pa.int64()), ("bytes", pa.int64())]))
 
 
-def write_records(docs: DataFrame, folder: str, path: str, end_id: int = END_ID) -> DataFrame:
+def write_records(docs: DataFrame, folder: str, path: str, end_id: int = END_ID, special: bool = False) -> DataFrame:
     """Encode every text and write the shards; returns their manifest (one row per shard).
 
     ``docs`` needs doc_id (long) and text; a null text is empty. Rows are spread by ranges of
@@ -100,7 +100,7 @@ def write_records(docs: DataFrame, folder: str, path: str, end_id: int = END_ID)
     fs, root = _open(folder)
     fs.create_dir(root, recursive=True)
     ranged = rows.repartitionByRange(parts, F.asc_nulls_first("doc_id"), "__tie").sortWithinPartitions(F.asc_nulls_first("doc_id"), "__tie")
-    return durable(ranged.mapInArrow(partial(_write, folder=folder, path=path, end_id=end_id), MANIFEST))
+    return durable(ranged.mapInArrow(partial(_write, folder=folder, path=path, end_id=end_id, special=special), MANIFEST))
 
 
 def records_of(data: Iterator[bytes]) -> Iterator[memoryview]:
@@ -188,5 +188,5 @@ def op1_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     folder = f"{shared_dir(spark).rstrip('/')}/records-{uuid.uuid4().hex}"
-    manifest = write_records(table(spark, sf_dir, "documents"), folder, public_tokenizers.path("word_bpe_49k.json"))
+    manifest = write_records(table(spark, sf_dir, "documents"), folder, public_tokenizers.path("word_bpe_49k.json"), special=True)
     return read_records(manifest, folder)

@@ -3,7 +3,8 @@
 In the tokenizer used here white space always ends a token (it is dropped, nothing composes across
 it), so the ids of a text are those of its blank-separated pieces one after the other; a test
 compares both. New words of letters are encoded many at a time, as one text, and cut apart where a token ends a
-word. The memo has two generations: what was not used since the last turn is forgotten."""
+word. Pieces that hold an added token go to the tokenizer as they are. The memo has two generations: what was not
+used since the last turn is forgotten."""
 
 from __future__ import annotations
 
@@ -42,11 +43,15 @@ def _cuts(text: str) -> Iterator[str]:
 
 
 class Encoder:
-    """Ids as packed little-endian unsigned integers of ``dtype`` (16 bits if the vocabulary fits)."""
+    """Ids as packed little-endian unsigned integers of ``dtype`` (16 bits if the vocabulary fits).
 
-    def __init__(self, path: str):
+    ``special``: special tokens written in a text get their own id, as the library does by default; otherwise they are
+    split like other words."""
+
+    def __init__(self, path: str, special: bool = False):
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = not special
+        self.added = [t.content.lower() for t in self.tokenizer.get_added_tokens_decoder().values() if special or not t.special]
         vocab = self.tokenizer.get_vocab()
         self.dtype = np.dtype("<u2" if max(vocab.values()) < 1 << 16 else "<u4")
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
@@ -82,8 +87,11 @@ class Encoder:
                 memo[p] = older[p]
                 continue
             own = (p,)
+            low = p.lower()
+            if any(a in low for a in self.added):  # an added token stands for itself, as it is written
+                rest.add(p)
+                continue
             if len(p) < 200 and _is_plain(p):
-                low = p.lower()
                 core = low.rstrip(PUNCTUATION)
                 own = (core, low[len(core) :]) if len(core) < len(low) and core[-1:].isalnum() else (low,)
             parts[p] = own
@@ -123,9 +131,9 @@ class Encoder:
 
 
 @lru_cache(2)
-def encoder(path: str) -> Encoder:
-    """One encoder per worker process and file."""
-    return Encoder(path)
+def encoder(path: str, special: bool = False) -> Encoder:
+    """One encoder per worker process, file and way of special tokens."""
+    return Encoder(path, special)
 
 
 def in_lots(texts: list, chars: int = 2_000_000):

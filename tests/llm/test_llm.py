@@ -106,6 +106,22 @@ def test_memo_gives_the_ids_of_whole_texts(texts):
     assert got == [t.encode(x, add_special_tokens=False).ids for x in texts]
 
 
+def test_queries_give_special_tokens_their_own_id(spark, tmp_path):
+    import corpus_pipeline
+
+    texts = ["hello <|endoftext|> world", "a<|startoftext|>B, <|ENDOFTEXT|> <|endoftext|>. x", "<|endoftext|><|endoftext|>", "<|endoftext|", None]
+    spark.createDataFrame(rows([(i, t, "en", "a") for i, t in enumerate(texts)]), SCHEMA).write.parquet(str(tmp_path / "documents.parquet"))
+    t = Tokenizer.from_file(WORD_BPE)
+    ids = [t.encode(x or "", add_special_tokens=False).ids for x in texts]
+    assert ids[0] == [3306, 49407, 1002]
+    ended = lambda end: {i: (len(x) + 1, zlib.crc32(np.array([*x, end], "<u4"))) for i, x in enumerate(ids)}
+    got = catalog.QUERIES["op1_token_records"](spark, str(tmp_path)).collect()
+    assert {r["doc_id"]: (r["n_tokens"], r["ids_crc32"]) for r in got} == ended(records.END_ID)
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    for out in (catalog.QUERIES["op2_best_two_fit"](spark, str(tmp_path)), dict(corpus_pipeline.STAGES)["pack"](spark, docs, str(tmp_path))):
+        assert {r["doc_id"]: (r["length"], r["ids_crc32"]) for r in out.collect()} == ended(packing.END_ID)
+
+
 def test_very_long_texts_are_cut_at_blanks(plain, monkeypatch):
     monkeypatch.setattr(tokens, "CUT_CHARS", 50)
     enc = tokens.encoder(WORD_BPE)
