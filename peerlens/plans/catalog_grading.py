@@ -728,13 +728,13 @@ def _drawn_from(spark, sf):
 
 @query("random_sleeve_distribution")
 def random_sleeve_distribution(spark, sf):
-    draws = resampling.random_sleeves(resampling.tier_pools(_drawn_from(spark, sf), "decile_ew"), trials=50)
+    draws = resampling.random_sleeves(resampling.tier_pools(_drawn_from(spark, sf), "decile_ew"))
     return tidy(resampling.sleeve_distribution(resampling.sleeve_paths(draws)))
 
 
 @query("random_sleeve_equity_bands")
 def random_sleeve_equity_bands(spark, sf):
-    draws = resampling.random_sleeves(resampling.tier_pools(_drawn_from(spark, sf), "decile_ew"), trials=50)
+    draws = resampling.random_sleeves(resampling.tier_pools(_drawn_from(spark, sf), "decile_ew"))
     return tidy(resampling.equity_bands(resampling.sleeve_paths(draws)))
 
 

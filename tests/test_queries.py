@@ -50,3 +50,8 @@ def test_same_answers_when_every_group_is_too_large_for_one_task(spark, con, nam
     monkeypatch.setattr(ranking, "TARGET_GROUP_ROWS", 40)
     result = compare(PLANS[name](spark, SF), con, SQL[name])
     assert result.startswith("ok"), result
+
+
+def test_random_sleeves_take_all_trials(spark):
+    out = PLANS["random_sleeve_distribution"](spark, "/root/testdata/sf0.001").collect()
+    assert [r["n_trials"] for r in out] == [1000] * 4
