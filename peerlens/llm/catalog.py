@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from peerlens.llm import blocknames, chat, langid, mixing, packing, quality, records, simhash, topk, wordpiece
+from peerlens.llm import blocknames, chat, decontaminate, langid, merkle, mixing, packing, quality, records, repair, simhash, topk, wordpiece
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_records": records.op1_token_records,
@@ -19,10 +19,16 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_entropy_mix": mixing.op8_entropy_mix,
     "op9_block_topk": topk.op9_block_topk,
     "op10_language_masks": langid.op10_language_masks,
+    "op11_merkle_manifest": merkle.op11_merkle_manifest,
+    "op12_benchmark_leaks": decontaminate.op12_benchmark_leaks,
+    "op13_structure_repair": repair.op13_structure_repair,
 }
 
 SQL: dict[str, str] = {
     "op4_chat_round_trip": chat.SQL,
     "op6_block_naming": blocknames.SQL,
     "op9_block_topk": topk.SQL,
+    "op11_merkle_manifest": merkle.SQL,
+    "op12_benchmark_leaks": decontaminate.SQL,
+    "op13_structure_repair": repair.SQL,
 }

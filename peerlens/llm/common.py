@@ -31,6 +31,14 @@ def raw_bytes(column: pa.Array) -> list[bytes | None]:
     return column.cast(pa.large_binary() if wide else pa.binary()).to_pylist()
 
 
+def free_name(df: DataFrame, stem: str) -> str:
+    """A column name that ``df`` does not have, in any case."""
+    taken, name = {c.lower() for c in df.columns}, f"__{stem}"
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def number_in_class(df: DataFrame, keys: Sequence[str], order: Sequence[str], out: str, rows_per_bucket: int = 1000) -> DataFrame:
     """Add ``out``: 0, 1, 2, ... inside each class, although one class may hold most rows.
 
