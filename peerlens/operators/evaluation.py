@@ -10,7 +10,8 @@ from pyspark.sql.window import Window
 
 from ..functions.scalar import EPS, clip
 from .peers import calibration_bins
-from .ranking import attach, average_rank, group_quantiles, resolve
+from .ranking import attach, average_rank, group_quantiles, sized
+from ..session import durable
 
 PERIODS_PER_QUARTER = {"M": 3, "Q": 1}
 
@@ -23,44 +24,53 @@ def overlap_lags(months: int, freq: str = "M") -> int:
 # --- rank correlation per date -------------------------------------------------------
 
 
-def _long(
-    df: DataFrame, scores: Mapping[str, str], labels: Mapping[str, str], entity: str, date: str, extra: Sequence[str]
-) -> DataFrame:
-    """(series, horizon, date, entity, s, y) with both values present, values rounded before ranking."""
-    s = F.explode(F.array(*[F.struct(F.lit(n).alias("series"), F.round(c, 9).alias("s")) for n, c in scores.items()]))
-    y = F.explode(F.array(*[F.struct(F.lit(n).alias("horizon"), F.round(c, 9).alias("y")) for n, c in labels.items()]))
-    kept = [date, entity, *extra]
-    first = df.select(*kept, *dict.fromkeys(labels.values()), s.alias("__s"))
-    first = first.where(F.col("__s.s").isNotNull())
-    both = first.select(*kept, "__s", y.alias("__y")).where(F.col("__y.y").isNotNull())
-    return both.select(*kept, "__s.series", "__s.s", "__y.horizon", "__y.y")
+def _correlation(r: DataFrame, keys: Sequence[str], rx: str, ry: str) -> DataFrame:
+    moments = r.groupBy(*keys).agg(
+        F.covar_pop(rx, ry).alias("__cov"), F.stddev_pop(rx).alias("__sx"), F.stddev_pop(ry).alias("__sy"), F.count(F.lit(1)).alias("n")
+    )
+    return moments.select(*keys, _rho(F.col("__cov"), F.col("__sx"), F.col("__sy")).alias("rho"), "n")
+
+
+def _rho(cov: Column, sx: Column, sy: Column) -> Column:
+    return F.when((sx > EPS) & (sy > EPS), cov / (sx * sy))
 
 
 def rank_correlation(
-    pairs: DataFrame, keys: Sequence[str], x: str = "s", y: str = "y", entity: str = "entity", slices: int | None = None
+    pairs: DataFrame, keys: Sequence[str], x: str = "s", y: str = "y", entity: str = "entity", large: bool | None = None
 ) -> DataFrame:
     """Spearman correlation per group as (keys, rho, n); NULL when either side is constant."""
-    r = average_rank(pairs, keys, x, "__rx", [entity], slices)
-    r = average_rank(r, keys, y, "__ry", [entity], slices)
-    moments = r.groupBy(*keys).agg(
-        F.covar_pop("__rx", "__ry").alias("__cov"),
-        F.stddev_pop("__rx").alias("__sx"),
-        F.stddev_pop("__ry").alias("__sy"),
-        F.count(F.lit(1)).alias("n"),
-    )
-    ok = (F.col("__sx") > EPS) & (F.col("__sy") > EPS)
-    return moments.select(*keys, F.when(ok, F.col("__cov") / (F.col("__sx") * F.col("__sy"))).alias("rho"), "n")
+
+    def steps(d: DataFrame, large: bool) -> DataFrame:
+        r = average_rank(d, keys, x, "__rx", [entity], large)
+        r = average_rank(r, keys, y, "__ry", [entity], large)
+        return _correlation(r, keys, "__rx", "__ry")
+
+    return sized(pairs, keys, large, steps)
 
 
 def ic_series(
     df: DataFrame, scores: Mapping[str, str], labels: Mapping[str, str], min_rows: int = 10, date: str = "date",
-    entity: str = "entity", slices: int | None = None,
+    entity: str = "entity", large: bool | None = None,
 ) -> DataFrame:
-    """Every score against every label in one grouped pass: (series, horizon, date, ic, n), ic = -Spearman."""
-    pairs = _long(df, scores, labels, entity, date, [])
-    rho = rank_correlation(pairs, [date, "series", "horizon"], "s", "y", entity, slices)
+    """Every score against every label in one grouped pass: (series, horizon, date, ic, n), ic = -Spearman.
+
+    Values are rounded before ranking. Dates are dealt out by size before rows are multiplied by pairs."""
+    s_names, y_names = list(scores), list(labels)
+    narrow = df.select(
+        date, entity, *[F.round(scores[n], 9).alias(f"__s{i}") for i, n in enumerate(s_names)], *[F.round(labels[n], 9).alias(f"__y{j}") for j, n in enumerate(y_names)]
+    )
+
+    def steps(d: DataFrame, large: bool) -> DataFrame:
+        s = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.col(f"__s{i}").alias("s")) for i in range(len(s_names))]))
+        y = F.explode(F.array(*[F.struct(F.lit(j).alias("j"), F.col(f"__y{j}").alias("y")) for j in range(len(y_names))]))
+        first = d.withColumn("__s", s).where(F.col("__s.s").isNotNull())
+        both = first.withColumn("__y", y).where(F.col("__y.y").isNotNull()).select(date, entity, "__s.*", "__y.*")
+        return rank_correlation(both, [date, "i", "j"], "s", "y", entity, large).select("i", "j", date, "rho", "n")
+
+    rho = sized(narrow, [date], large, steps)
+    name = lambda names, c: F.element_at(F.array(*[F.lit(n) for n in names]), F.col(c) + 1)
     return rho.where((F.col("n") >= min_rows) & F.col("rho").isNotNull()).select(
-        "series", "horizon", date, (-F.col("rho")).alias("ic"), "n"
+        name(s_names, "i").alias("series"), name(y_names, "j").alias("horizon"), date, (-F.col("rho")).alias("ic"), "n"
     )
 
 
@@ -122,10 +132,10 @@ def hac_mean(
 
 def ic_summary(
     df: DataFrame, scores: Mapping[str, str], labels: Mapping[str, str], months: Mapping[str, int], freq: str = "M",
-    min_rows: int = 10, slices: int | None = None,
+    min_rows: int = 10, large: bool | None = None,
 ) -> DataFrame:
     """Mean IC, t, IR, hit rate and periods per (series, horizon)."""
-    ics = ic_series(df, scores, labels, min_rows, slices=slices)
+    ics = ic_series(df, scores, labels, min_rows, large=large)
     lags = {h: overlap_lags(m, freq) for h, m in months.items()}
     return hac_mean(ics, ["series", "horizon"], "ic", lags).withColumnRenamed("mean", "mean_ic")
 
@@ -156,7 +166,9 @@ def paired_test(ics: DataFrame, a: str, b: str, lags: int, bar: float = 1.645) -
     )
 
 
-def promotion_decision(paired: DataFrame, was_promoted: Column, floor: float = 0.0) -> DataFrame:
+def promotion_decision(
+    paired: DataFrame, was_promoted: Column, floor: float = 0.0, challenger: str = "score_ml", baseline: str = "score_ew"
+) -> DataFrame:
     """Hysteresis: a challenger must clear the bar, an incumbent only has to stay above ``floor``."""
     keep = F.coalesce(F.col("t_stat") >= floor, F.lit(False))
     decided = paired.withColumn("was_promoted", was_promoted)
@@ -168,7 +180,7 @@ def promotion_decision(paired: DataFrame, was_promoted: Column, floor: float = 0
     )
     final = F.when(F.col("was_promoted"), keep).otherwise(F.col("promote"))
     return decided.withColumn("decision", decision).withColumn("promote", final).withColumn(
-        "default_score", F.when(F.col("promote"), "score_ml").otherwise("score_ew")
+        "default_score", F.when(F.col("promote"), challenger).otherwise(baseline)
     )
 
 
@@ -176,14 +188,13 @@ def promotion_decision(paired: DataFrame, was_promoted: Column, floor: float = 0
 
 
 def clip_labels(
-    df: DataFrame, label: str, out: str, keys: Sequence[str], pct: float = 0.01, min_count: int = 10,
-    entity: str = "entity", slices: int | None = None,
+    df: DataFrame, label: str, out: str, keys: Sequence[str], pct: float = 0.01, min_count: int = 10, large: bool | None = None
 ) -> DataFrame:
     """Clip a label at exact quantiles inside ``keys``; groups below ``min_count`` pass unchanged.
 
     Keys may be few and groups large (even one pooled group), so bounds come from an
     aggregate and are joined back rather than computed over a window."""
-    bounds = group_quantiles(df.where(F.col(label).isNotNull()), keys, [label], [pct, 1.0 - pct], [entity, "date"], slices)
+    bounds = group_quantiles(df.where(F.col(label).isNotNull()), keys, [label], [pct, 1.0 - pct], large)
     bounds = bounds.select(*keys, F.col(f"{label}_q").alias("__q"), F.col(f"{label}_c").alias("__c"))
     joined = attach(df, bounds, keys)
     return joined.withColumn(
@@ -194,14 +205,14 @@ def clip_labels(
 # --- decile tables ------------------------------------------------------------------------
 
 
-def decile_table(df: DataFrame, decile: str, label: str, slices: int | None = None) -> DataFrame:
+def decile_table(df: DataFrame, decile: str, label: str, large: bool | None = None) -> DataFrame:
     """Pooled mean, median, winsorised mean and count of the label per decile."""
     d = df.select("date", "entity", F.col(decile).alias("decile"), F.col(label).alias("y")).dropna()
-    d = clip_labels(d, "y", "__w", [], slices=slices)
+    d = durable(clip_labels(d, "y", "__w", [], large=large))
     means = d.groupBy("decile").agg(
         F.avg("y").alias("mean_rel_ret"), F.avg("__w").alias("mean_rel_ret_w"), F.count(F.lit(1)).alias("n")
     )
-    medians = group_quantiles(d, ["decile"], ["y"], [0.5], ["entity", "date"], slices).select(
+    medians = group_quantiles(d, ["decile"], ["y"], [0.5], large).select(
         "decile", F.col("y_q")[0].alias("median_rel_ret")
     )
     return means.join(medians, "decile")
@@ -224,30 +235,26 @@ def monotonicity(table: DataFrame) -> DataFrame:
         F.lit(1).alias("one"), F.col("decile").cast("double").alias("s"), F.round("mean_rel_ret", 9).alias("y"),
         F.col("decile").alias("entity"),
     )
-    return rank_correlation(one, ["one"]).select(F.when(F.col("n") >= 3, F.col("rho")).alias("rho"), "n")
+    # one row per decile
+    return rank_correlation(one, ["one"], large=False).select(F.when(F.col("n") >= 3, F.col("rho")).alias("rho"), "n")
 
 
-def calibration_table(df: DataFrame, score: str, label: str, bins: int = 10, slices: int | None = None) -> DataFrame:
+def calibration_table(df: DataFrame, score: str, label: str, bins: int = 10, large: bool | None = None) -> DataFrame:
     """Score-quantile response: binned within each date, then averaged across dates with standard errors."""
     d = df.select("date", "entity", F.col(score).alias("score"), F.col(label).alias("y")).dropna()
-    d = calibration_bins(d, "score", "score_q", bins=bins, slices=slices)
-    slices = resolve(d, ["date"], slices)
-    if slices <= 1:
-        med = F.percentile("y", F.lit(0.5)).alias("med")
-    d = clip_labels(d, "y", "__w", ["date"], slices=slices)
-    aggs = [
-        F.avg("y").alias("m"),
-        F.avg("__w").alias("mw"),
-        F.avg((F.col("y") < 0).cast("double")).alias("p"),
-        F.avg("score").alias("sc"),
-        F.count(F.lit(1)).alias("c"),
-    ]
-    if slices <= 1:
-        per = d.groupBy("date", "score_q").agg(*aggs, med)
-    else:
-        meds = group_quantiles(d, ["date", "score_q"], ["y"], [0.5], ["entity"], slices)
-        per = d.groupBy("date", "score_q").agg(*aggs)
-        per = attach(per, meds.select("date", "score_q", F.col("y_q")[0].alias("med")), ["date", "score_q"])
+
+    def steps(d: DataFrame, large: bool) -> DataFrame:
+        binned = clip_labels(calibration_bins(d, "score", "score_q", bins=bins, large=large), "y", "__w", ["date"], large=large)
+        aggs = [
+            F.avg("y").alias("m"),
+            F.avg("__w").alias("mw"),
+            F.avg((F.col("y") < 0).cast("double")).alias("p"),
+            F.avg("score").alias("sc"),
+            F.count(F.lit(1)).alias("c"),
+        ]
+        return _with_median(binned, ["date", "score_q"], "y", aggs, large)
+
+    per = sized(d, ["date"], large, steps)
     root = F.sqrt(F.count(F.lit(1)))
     out = per.groupBy("score_q").agg(
         F.avg("m").alias("mean_rel_ret"),
@@ -263,6 +270,15 @@ def calibration_table(df: DataFrame, score: str, label: str, bins: int = 10, sli
     return out.withColumn("t_stat", F.when(F.col("se") > EPS, F.col("mean_rel_ret") / F.col("se")))
 
 
+def _with_median(df: DataFrame, keys: Sequence[str], label: str, aggs: Sequence[Column], large: bool) -> DataFrame:
+    """Aggregates per group and the exact median as ``med``."""
+    if not large:
+        return df.groupBy(*keys).agg(*aggs, F.percentile(label, F.lit(0.5)).alias("med"))
+    base = durable(df)
+    meds = group_quantiles(base, keys, [label], [0.5], True)
+    return attach(base.groupBy(*keys).agg(*aggs), meds.select(*keys, F.col(f"{label}_q")[0].alias("med")), keys)
+
+
 # --- segmentation -----------------------------------------------------------------------
 
 
@@ -375,7 +391,7 @@ def exposures(df: DataFrame, decile: str, traits: Sequence[str], sector: str = "
 
 
 def event_study(
-    df: DataFrame, decile: str, label: str, period: str = "period_no", steps: int = 4, worst: int = 10, slices: int | None = None
+    df: DataFrame, decile: str, label: str, period: str = "period_no", steps: int = 4, worst: int = 10, large: bool | None = None
 ) -> DataFrame:
     """Mean label path after an entity is flagged, for all flags and for new entrants.
 
@@ -401,7 +417,7 @@ def event_study(
         .select("entity", "date", "cohort", "p.k", "p.y")
         .where(F.col("y").isNotNull())
     )
-    ev = clip_labels(ev, "y", "__w", ["cohort", "k"], slices=slices)
+    ev = clip_labels(ev, "y", "__w", ["cohort", "k"], large=large)
     g = ev.groupBy("cohort", "k").agg(
         F.avg("y").alias("mean_rel_ret"),
         F.when(F.count(F.lit(1)) > 1, F.stddev_samp("y") / F.sqrt(F.count(F.lit(1)))).alias("se"),
@@ -425,7 +441,7 @@ def event_study(
     )
 
 
-def risk_reliability(df: DataFrame, label: str, pct: str = "risk_pct", slices: int | None = None) -> DataFrame:
+def risk_reliability(df: DataFrame, label: str, pct: str = "risk_pct", large: bool | None = None) -> DataFrame:
     """Frequency of damage per risk decile: per date first, then averaged across dates."""
     d = df.select("date", "entity", F.col(pct).alias("p"), F.col(label).alias("y")).dropna()
     bucket = F.least(F.greatest(F.ceil(F.round(F.col("p"), 9) / 10.0), F.lit(1)), F.lit(10)).cast("int")
@@ -437,12 +453,7 @@ def risk_reliability(df: DataFrame, label: str, pct: str = "risk_pct", slices: i
         F.avg("y").alias("m"),
         F.count(F.lit(1)).alias("c"),
     ]
-    slices = resolve(d, keys, slices)
-    if slices <= 1:
-        per = d.groupBy(*keys).agg(*aggs, F.percentile("y", F.lit(0.5)).alias("med"))
-    else:
-        meds = group_quantiles(d, keys, ["y"], [0.5], ["entity"], slices)
-        per = attach(d.groupBy(*keys).agg(*aggs), meds.select(*keys, F.col("y_q")[0].alias("med")), keys)
+    per = sized(d, keys, large, lambda rows, large: _with_median(rows, keys, "y", aggs, large))
     return per.groupBy("risk_decile").agg(
         F.avg("p20").alias("p_loss20"),
         F.avg("p50").alias("p_loss50"),

@@ -34,7 +34,7 @@ def build_panel(
     short_float: DataFrame | None = None, freq: str = "M", month: int = 21, quarter: int = 63, year: int = 252,
     half_year: int = 126, half_year_least: int = 63, expiry: int = 70, history_start: str | None = None,
     horizons: Mapping[str, int] | None = None, model_horizons: Mapping[str, int] | None = None,
-    slices: int | None = None, materialise: bool = True,
+    large: bool | None = None, materialise: bool = True,
 ) -> tuple[DataFrame, DataFrame]:
     """(panel, exclusions). A feed that is absent leaves its columns NULL, so the schema is fixed.
 
@@ -121,5 +121,5 @@ def build_panel(
         forward = durable(forward)
     panel = panel.join(forward.select("entity", "date", *[F.col(f"ret_{n}").alias(f"fwd_ret_{n}") for n in horizons]), ["entity", "date"], "left")
     panel = delisted_flag(panel, [f"fwd_ret_{n}" for n in model_horizons])
-    panel = relative_to_median(panel, {f"fwd_ret_{n}": f"fwd_rel_ret_{n}" for n in horizons}, PEER_KEYS, slices=slices)
+    panel = relative_to_median(panel, {f"fwd_ret_{n}": f"fwd_rel_ret_{n}" for n in horizons}, PEER_KEYS, large=large)
     return panel.drop("session_no"), exclusion_log(forward, model_horizons)

@@ -1,16 +1,21 @@
 """Exact order statistics inside groups of any size.
 
-A group below ``TARGET_GROUP_ROWS`` is ranked by one ordinary window, which is one
-shuffle. ``slices_needed`` checks that bound. When some group is larger, callers pass
-``slices > 1`` and the group is cut by hash-sampled splitters into ordered slices that
-are numbered independently and shifted by the counts before them: same answer, no task
-ever holds a whole group.
-"""
+Groups of up to ``TARGET_GROUP_ROWS`` rows take ordinary windows: one shuffle for a whole chain of steps, nothing run beforehand. Larger
+ones take forms in which no task holds a whole group. ``by_size`` deals a chain of steps its groups: the input is written
+once, the keys of large groups are looked up in it, and each part takes its form. A caller that knows a bound
+of its groups names the form (``large=False`` or ``True``) and nothing is looked up.
+
+A plan with both forms and no look-up would not do: each statistic that depends on another doubles the plan, as Spark's plans
+are trees; a chain of six took half a minute to plan.
+
+The forms for large groups: row numbers and ranks cut a group by hash-sampled splitters into ordered slices, as many as the
+group's own size asks for, number them separately and shift them by the counts before them; quantiles come from a mergeable
+sketch that brackets each of them, and only the few rows inside a bracket are ranked. Stages that are read several times are written."""
 
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -18,35 +23,43 @@ from pyspark.sql.window import Window
 
 from ..session import durable
 
-TARGET_GROUP_ROWS = 2_000_000
+TARGET_GROUP_ROWS = 1_000_000
 OVERSAMPLE = 16
+#: Steps of the sketch's grid and its accuracy: a bracket holds about six thousandths of a group.
+GRID, ACCURACY = 1000, 10_000
 
 
-def slices_needed(
-    df: DataFrame, keys: Sequence[str], rows_bound: int | None = None, target: int | None = None
-) -> int:
-    """How many slices the largest group needs.
+def attach(df: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "left") -> DataFrame:
+    """Null-safe join of per-key rows back to ``df``; Spark broadcasts or splits as sizes demand."""
+    names = {k: f"__right_{i}" for i, k in enumerate(keys)}
+    renamed = right.select(*[F.col(c).alias(names.get(c, c)) for c in right.columns])
+    cond = F.lit(True)
+    for k, r in names.items():
+        cond = cond & F.col(k).eqNullSafe(F.col(r))
+    joined = df.join(renamed, cond, how)
+    return joined if how in ("left_semi", "left_anti") else joined.drop(*names.values())
 
-    ``rows_bound`` is a known upper bound of the row count (say, of the source table);
-    when it already fits, no job is run.
-    """
-    target = target or TARGET_GROUP_ROWS
-    if rows_bound is not None and rows_bound <= target:
-        return 1
-    largest = df.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
-    return max(1, math.ceil(largest / target))
 
+def by_size(df: DataFrame, keys: Sequence[str], steps: Callable[[DataFrame, bool], DataFrame]) -> DataFrame:
+    """``steps(rows, large)`` on the groups that fit a task (``large`` false) and on those that don't, united.
+
+    The list of large groups has at most one row per ``TARGET_GROUP_ROWS`` rows."""
+    base = durable(df)
+    sizes = base.groupBy(*keys).agg(F.count(F.lit(1)).alias("__size"))
+    large = durable(sizes.where(F.col("__size") > TARGET_GROUP_ROWS).select(*keys, F.lit(1).alias("__large")))
+    if large.isEmpty():
+        return steps(base, False)
+    few, many = attach(base, large, keys, "left_anti"), attach(base, large, keys, "left_semi")
+    return steps(few, False).unionByName(steps(durable(many), True))
 
-def resolve(df: DataFrame, keys: Sequence[str], slices: int | None) -> int:
-    """An unstated slice count is found by checking the largest group."""
-    return slices_needed(df, keys) if slices is None else slices
 
+def sized(df: DataFrame, keys: Sequence[str], large: bool | None, steps: Callable[[DataFrame, bool], DataFrame]) -> DataFrame:
+    """``steps`` in the form the caller names, or dealt out by size if it names none."""
+    return by_size(df, keys, steps) if large is None else steps(df, large)
 
-def _slice_number(ordered: Column, edges: Column, slices: int) -> Column:
-    """Number of edges at or below ``ordered``: a binary search over a sorted array.
 
-    A stride is rounded down to no less than half, so there are about twice as many edges as slices at most; the steps cover eight times."""
-    steps = math.ceil(math.log2(slices * 8 + 64)) + 1
+def _slice_number(ordered: Column, edges: Column) -> Column:
+    """Number of edges at or below ``ordered``: a binary search over a sorted array."""
 
     def narrow(acc: Column, _: Column) -> Column:
         mid = F.floor((acc["lo"] + acc["hi"]) / 2).cast("int")
@@ -59,73 +72,55 @@ def _slice_number(ordered: Column, edges: Column, slices: int) -> Column:
         )
 
     start = F.struct(F.lit(0).alias("lo"), F.size(edges).alias("hi"))
-    return F.aggregate(F.sequence(F.lit(1), F.lit(steps)), start, narrow)["lo"]
+    steps = F.ceil(F.log2(F.size(edges) + 1.0)).cast("int") + 1
+    return F.aggregate(F.sequence(F.lit(1), steps), start, narrow)["lo"]
 
 
-def cut_into_slices(df: DataFrame, keys: Sequence[str], order: Sequence[str], slices: int) -> DataFrame:
+def cut_into_slices(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
     """Add ``__slice``: ordered, near-equal pieces of every group, decided by the rows alone.
 
-    ``order`` must end in columns that make rows of a group distinct, so that even a
-    group of equal values is cut.
-    """
+    A group gets one slice for each ``TARGET_GROUP_ROWS`` rows it has. ``order`` must end in columns that make rows of a
+    group distinct, so that even a group of equal values is cut."""
     keys = list(keys)
     base = durable(df.withColumn("__ord", F.struct(*order)))
     sizes = base.groupBy(*keys).agg(F.count(F.lit(1)).alias("__size"))
-    stride = F.greatest(F.lit(1), F.floor(F.col("__size") / F.lit(slices * OVERSAMPLE)))
-    sampled = attach(base.select(*keys, "__ord"), sizes, keys, "inner").where(
-        F.pmod(F.xxhash64("__ord"), stride) == 0
-    )
+    slices = F.ceil(F.col("__size") / float(TARGET_GROUP_ROWS))
+    stride = F.greatest(F.lit(1), F.floor(F.col("__size") / (slices * OVERSAMPLE)))
+    sampled = attach(base.select(*keys, "__ord"), sizes, keys, "inner").where(F.pmod(F.xxhash64("__ord"), stride) == 0)
     edges = sampled.groupBy(*keys).agg(
-        F.filter(
-            F.sort_array(F.collect_list("__ord")), lambda x, i: (i + 1) % OVERSAMPLE == 0
-        ).alias("__edges")
+        F.filter(F.sort_array(F.collect_list("__ord")), lambda x, i: (i + 1) % OVERSAMPLE == 0).alias("__edges")
     )
     empty = F.filter(F.array("__ord"), lambda x: F.lit(False))
     joined = attach(base, edges, keys).withColumn("__edges", F.coalesce("__edges", empty))
-    return joined.withColumn("__slice", _slice_number(F.col("__ord"), F.col("__edges"), slices)).drop("__edges")
-
-
-def attach(df: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "left") -> DataFrame:
-    """Null-safe join of per-key rows back to ``df``; Spark broadcasts or splits as sizes demand."""
-    names = {k: f"__right_{i}" for i, k in enumerate(keys)}
-    renamed = right.select(*[F.col(c).alias(names.get(c, c)) for c in right.columns])
-    cond = F.lit(True)
-    for k, r in names.items():
-        cond = cond & F.col(k).eqNullSafe(F.col(r))
-    return df.join(renamed, cond, how).drop(*names.values())
+    return joined.withColumn("__slice", _slice_number(F.col("__ord"), F.col("__edges"))).drop("__edges")
 
 
 def numbered(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], out: str = "row_no", size: str = "group_n", slices: int | None = None
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], out: str = "row_no", size: str = "group_n", large: bool | None = None
 ) -> DataFrame:
     """Row number (1-based) by ``order`` and group size. The last order column breaks ties."""
     keys = list(keys)
-    slices = resolve(df, keys, slices)
-    if slices <= 1:
-        w = Window.partitionBy(*keys)
-        return df.withColumn(out, F.row_number().over(w.orderBy(*order)).cast("long")).withColumn(
-            size, F.count(F.lit(1)).over(w)
+
+    def steps(d: DataFrame, large: bool) -> DataFrame:
+        if not large:
+            w = Window.partitionBy(*keys)
+            return d.withColumn(out, F.row_number().over(w.orderBy(*order)).cast("long")).withColumn(size, F.count(F.lit(1)).over(w))
+        cut = durable(cut_into_slices(d, keys, order))
+        totals = cut.groupBy(*keys, "__slice").agg(F.count(F.lit(1)).alias("__c"))
+        wk = Window.partitionBy(*keys)  # about two rows per slice of a key
+        totals = totals.select(
+            *keys, "__slice", (F.sum("__c").over(wk.orderBy("__slice")) - F.col("__c")).alias("__before"), F.sum("__c").over(wk).alias(size)
+        )
+        local = cut.withColumn("__local", F.row_number().over(Window.partitionBy(*keys, "__slice").orderBy(*order)))
+        return attach(local, totals, [*keys, "__slice"], "inner").select(
+            *d.columns, (F.col("__before") + F.col("__local")).cast("long").alias(out), F.col(size).cast("long").alias(size)
         )
-    cut = cut_into_slices(df, keys, order, slices)
-    cut = durable(cut)
-    totals = cut.groupBy(*keys, "__slice").agg(F.count(F.lit(1)).alias("__c"))
-    wk = Window.partitionBy(*keys)  # about two rows per slice of a key
-    totals = totals.select(
-        *keys,
-        "__slice",
-        (F.sum("__c").over(wk.orderBy("__slice")) - F.col("__c")).alias("__before"),
-        F.sum("__c").over(wk).alias(size),
-    )
-    local = cut.withColumn(
-        "__local", F.row_number().over(Window.partitionBy(*keys, "__slice").orderBy(*order))
-    )
-    return attach(local, totals, [*keys, "__slice"], "inner").select(
-        *df.columns, (F.col("__before") + F.col("__local")).cast("long").alias(out), F.col(size).cast("long").alias(size)
-    )
+
+    return sized(df, keys, large, steps)
 
 
 def average_rank(
-    df: DataFrame, keys: Sequence[str], value: str, out: str, tie_break: Sequence[str] = (), slices: int | None = None
+    df: DataFrame, keys: Sequence[str], value: str, out: str, tie_break: Sequence[str] = (), large: bool | None = None
 ) -> DataFrame:
     """Mean rank of ties among the present values; NULL stays NULL.
 
@@ -133,62 +128,82 @@ def average_rank(
     ``tie_break`` is only needed to cut groups into slices.
     """
     keys = list(keys)
-    slices = resolve(df, keys, slices)
-    if slices <= 1:
-        w = Window.partitionBy(*keys).orderBy(F.col(value).asc_nulls_last())
-        ties = F.count(F.lit(1)).over(w.rangeBetween(Window.currentRow, Window.currentRow))
-        rank = F.rank().over(w) + (ties - 1) / F.lit(2.0)
-        present = F.col(value).isNotNull()
-        return df.withColumn(out, F.when(present, rank)).withColumn(
-            f"{out}_n", F.count(value).over(Window.partitionBy(*keys))
+
+    def steps(d: DataFrame, large: bool) -> DataFrame:
+        if not large:
+            w = Window.partitionBy(*keys).orderBy(F.col(value).asc_nulls_last())
+            ties = F.count(F.lit(1)).over(w.rangeBetween(Window.currentRow, Window.currentRow))
+            rank = F.rank().over(w) + (ties - 1) / F.lit(2.0)
+            return d.withColumn(out, F.when(F.col(value).isNotNull(), rank)).withColumn(
+                f"{out}_n", F.count(value).over(Window.partitionBy(*keys))
+            )
+        src = durable(d)
+        present = src.where(F.col(value).isNotNull()).select(*dict.fromkeys([*keys, value, *tie_break]))
+        ranked = numbered(present, keys, list(dict.fromkeys([value, *tie_break])), "__r", "__n", True)
+        levels = ranked.groupBy(*keys, value).agg(((F.min("__r") + F.max("__r")) / 2.0).alias(out))
+        per_group = present.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
+        return attach(attach(src, levels, [*keys, value]), per_group, keys).select(
+            *src.columns, out, F.coalesce("__n", F.lit(0)).cast("long").alias(f"{out}_n")
         )
-    src = durable(df)
-    present = src.where(F.col(value).isNotNull()).select(*dict.fromkeys([*keys, value, *tie_break]))
-    ranked = numbered(present, keys, list(dict.fromkeys([value, *tie_break])), "__r", "__n", slices)
-    levels = ranked.groupBy(*keys, value).agg(((F.min("__r") + F.max("__r")) / 2.0).alias(out))
-    per_group = present.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
-    return attach(attach(src, levels, [*keys, value]), per_group, keys).select(
-        *src.columns, out, F.coalesce("__n", F.lit(0)).cast("long").alias(f"{out}_n")
+
+    return sized(df, keys, large, steps)
+
+
+def _bracketed(df: DataFrame, keys: Sequence[str], values: Sequence[str], probs: Sequence[float]) -> DataFrame:
+    """Quantiles of large groups in three passes that combine before they shuffle: a sketch, counts below brackets, the rows inside.
+
+    The sketch is off by at most one in ``ACCURACY`` of a group, a bracket spans more than two steps of the grid and two
+    rows on either side, so the wanted rows lie inside whatever the sketch did."""
+    by = [*keys, "__name"]
+    named = F.explode(F.array(*[F.struct(F.lit(v).alias("__name"), F.col(v).cast("double").alias("__v")) for v in values]))
+    long = durable(df.select(*keys, named.alias("__f")).select(*keys, "__f.__name", "__f.__v").where(F.col("__v").isNotNull()))
+    grid = F.array(*[F.lit(i / GRID) for i in range(GRID + 1)])
+    sketch = long.groupBy(*by).agg(F.count(F.lit(1)).alias("__n"), F.approx_percentile("__v", grid, ACCURACY).alias("__g"))
+    off = F.ceil(F.lit(2.0 * GRID) / F.col("__n")).cast("int") + 2
+    marks = []
+    for i, p in enumerate(probs):
+        low, high = F.lit(math.floor(p * GRID)) - off, F.lit(math.ceil(p * GRID)) + off
+        marks.append(F.when(low >= 0, F.get("__g", low)).otherwise(F.lit(float("-inf"))).alias(f"__lo{i}"))
+        marks.append(F.when(high <= GRID, F.get("__g", high)).otherwise(F.lit(float("inf"))).alias(f"__hi{i}"))
+    brackets = durable(sketch.select(*by, "__n", *marks))
+    met = attach(long, brackets, by, "inner")
+    below = met.groupBy(*by).agg(*[F.count_if(F.col("__v") < F.col(f"__lo{i}")).alias(f"__b{i}") for i in range(len(probs))])
+    inside = F.filter(
+        F.array(*[F.when(F.col("__v").between(F.col(f"__lo{i}"), F.col(f"__hi{i}")), F.lit(i)) for i in range(len(probs))]), lambda x: x.isNotNull()
     )
+    rows = met.select(*by, "__v", "__n", F.explode(inside).alias("__i"))
+    rows = rows.withColumn("__k", F.row_number().over(Window.partitionBy(*by, "__i").orderBy("__v")))
+    rows = attach(rows, below, by, "inner")
+    picks, out = [], []
+    for i, p in enumerate(probs):
+        pos = (F.col("__n") - 1) * F.lit(float(p))
+        at = (F.col("__i") == i) & (F.col("__k") + F.col(f"__b{i}") == F.floor(pos) + 1)
+        up = (F.col("__i") == i) & (F.col("__k") + F.col(f"__b{i}") == F.ceil(pos) + 1)
+        picks += [F.max(F.when(at, F.col("__v"))).alias(f"__x{i}"), F.max(F.when(up, F.col("__v"))).alias(f"__y{i}")]
+        out.append(F.col(f"__x{i}") + (F.col(f"__y{i}") - F.col(f"__x{i}")) * (pos - F.floor(pos)))
+    return rows.groupBy(*by).agg(F.max("__n").alias("__n"), *picks).select(*by, "__n", F.array(*out).alias("__q"))
 
 
 def group_quantiles(
-    df: DataFrame, keys: Sequence[str], values: Sequence[str], probs: Sequence[float], tie_break: Sequence[str] = (),
-    slices: int | None = None,
+    df: DataFrame, keys: Sequence[str], values: Sequence[str], probs: Sequence[float], large: bool | None = None
 ) -> DataFrame:
-    """Exact linear quantiles per group: one row per group with ``{v}_q`` arrays and ``{v}_c`` counts."""
+    """Exact linear quantiles per group: one row per group with ``{v}_q`` arrays and ``{v}_c`` counts.
+
+    A value that no row of a group has gives NULL and 0 in groups that fit a task; large groups without
+    any present value are left out."""
     keys = list(keys)
     wanted = F.array(*[F.lit(float(p)) for p in probs])
-    slices = resolve(df, keys, slices)
-    if slices <= 1:
-        aggs = [F.percentile(v, wanted).alias(f"{v}_q") for v in values]
-        return df.groupBy(*keys).agg(*aggs, *[F.count(v).alias(f"{v}_c") for v in values])
-    long = df.select(
-        *dict.fromkeys([*keys, *tie_break]),
-        F.explode(
-            F.array(*[F.struct(F.lit(v).alias("__name"), F.col(v).cast("double").alias("__v")) for v in values])
-        ).alias("__f"),
-    ).select(*dict.fromkeys([*keys, *tie_break]), "__f.__name", "__f.__v").where(F.col("__v").isNotNull())
-    ranked = numbered(long, [*keys, "__name"], ["__v", *tie_break], "__r", "__n", slices)
-    picks = []
-    for i, p in enumerate(probs):
-        pos = (F.col("__n") - 1) * F.lit(float(p))
-        picks.append(F.max(F.when(F.col("__r") == F.floor(pos) + 1, F.col("__v"))).alias(f"__lo{i}"))
-        picks.append(F.max(F.when(F.col("__r") == F.ceil(pos) + 1, F.col("__v"))).alias(f"__hi{i}"))
-    stats = ranked.groupBy(*keys, "__name").agg(F.max("__n").alias("__n"), *picks)
-    qs = []
-    for i, p in enumerate(probs):
-        pos = (F.col("__n") - 1) * F.lit(float(p))
-        frac = pos - F.floor(pos)
-        qs.append(F.col(f"__lo{i}") + (F.col(f"__hi{i}") - F.col(f"__lo{i}")) * frac)
-    stats = stats.select(*keys, "__name", "__n", F.array(*qs).alias("__q"))
-    per_name = [
-        a
-        for v in values
-        for a in (
-            F.max(F.when(F.col("__name") == v, F.col("__q"))).alias(f"{v}_q"),
-            F.coalesce(F.max(F.when(F.col("__name") == v, F.col("__n"))), F.lit(0)).alias(f"{v}_c"),
-        )
-    ]
-    return stats.groupBy(*keys).agg(*per_name)
 
+    def steps(d: DataFrame, large: bool) -> DataFrame:
+        if not large:
+            aggs = [F.percentile(v, wanted).alias(f"{v}_q") for v in values]
+            small = d.groupBy(*keys).agg(*aggs, *[F.count(v).alias(f"{v}_c") for v in values], F.count(F.lit(1)).alias("__rows"))
+            return small.where(F.col("__rows") > 0).drop("__rows")  # pooled rows may be none
+        stats = _bracketed(d, keys, values, probs)
+        of = {v: F.col("__name") == v for v in values}
+        aggs = [F.max(F.when(of[v], F.col("__q"))).alias(f"{v}_q") for v in values]
+        aggs += [F.coalesce(F.max(F.when(of[v], F.col("__n"))), F.lit(0)).cast("long").alias(f"{v}_c") for v in values]
+        wide = stats.groupBy(*keys).agg(*aggs, F.count(F.lit(1)).alias("__rows"))
+        return wide.where(F.col("__rows") > 0).drop("__rows")
+
+    return sized(df.select(*dict.fromkeys([*keys, *values])), keys, large, steps)

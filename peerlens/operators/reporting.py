@@ -13,10 +13,10 @@ from .peers import percentile_rank
 from .ranking import numbered
 
 
-def worst_first(latest: DataFrame, score: str, out: str = "sell_rank", slices: int | None = None) -> DataFrame:
+def worst_first(latest: DataFrame, score: str, out: str = "sell_rank", large: bool | None = None) -> DataFrame:
     """Rank of one cross section, highest score first, ties by entity; NULL scores unranked."""
     d = latest.withColumn("__all", F.col(score).isNull()).withColumn("__neg", -F.round(score, 9))
-    ranked = numbered(d, ["__all"], ["__neg", "entity"], out, "__n", slices)
+    ranked = numbered(d, ["__all"], ["__neg", "entity"], out, "__n", large)
     return ranked.withColumn(out, F.when(~F.col("__all"), F.col(out))).drop("__all", "__neg", "__n")
 
 
@@ -34,7 +34,7 @@ def with_previous(df: DataFrame, values: Sequence[str], days_back: int = 75) ->
 
 def decomposition(
     df: DataFrame, factors: Sequence[str], group: Sequence[str] = ("sector",), days_back: int = 75,
-    slices: int | None = None,
+    large: bool | None = None,
 ) -> DataFrame:
     """(entity, factor, raw, z, pct, prev_z) of the latest cross section; factors nobody filled are left out."""
     zs = [f"{f}__n" for f in factors]
@@ -51,7 +51,7 @@ def decomposition(
         )
     )
     long = cur.select("entity", *group, parts.alias("p")).select("entity", *group, "p.*")
-    ranked = percentile_rank(long, "z", "pct", [*group, "factor"], scale=100.0, slices=slices)
+    ranked = percentile_rank(long, "z", "pct", [*group, "factor"], scale=100.0, large=large)
     return ranked.where(F.col("raw").isNotNull() | F.col("z").isNotNull())
 
 
@@ -113,9 +113,9 @@ def tier_counts(latest: DataFrame, tier: str = "risk_tier", pct: str = "risk_pct
     return latest.where(F.col(pct).isNotNull()).groupBy(tier).agg(F.count(F.lit(1)).alias("n"))
 
 
-def latest_risk(df: DataFrame, pct: str = "risk_pct", slices: int | None = None) -> DataFrame:
+def latest_risk(df: DataFrame, pct: str = "risk_pct", large: bool | None = None) -> DataFrame:
     """Latest cross section ranked by absolute risk, high to low."""
-    return worst_first(latest_cross_section(df).where(F.col(pct).isNotNull()), pct, "risk_rank", slices)
+    return worst_first(latest_cross_section(df).where(F.col(pct).isNotNull()), pct, "risk_rank", large)
 
 
 def decile_steps(df: DataFrame, decile: str) -> DataFrame:
@@ -231,10 +231,10 @@ def cohort_paths(
     )
 
 
-def cohort_median(paths: DataFrame, slices: int | None = None) -> DataFrame:
+def cohort_median(paths: DataFrame, large: bool | None = None) -> DataFrame:
     """Upper median (element n/2 of the sorted values) of each side per date."""
     d = paths.withColumn("__v", F.round("v", 9))
-    ranked = numbered(d, ["side", "date"], ["__v", "entity"], "__k", "__n", slices)
+    ranked = numbered(d, ["side", "date"], ["__v", "entity"], "__k", "__n", large)
     pick = F.col("__k") == F.floor(F.col("__n") / 2) + 1
     return ranked.groupBy("side", "date").agg(F.max(F.when(pick, F.col("v"))).alias("median_v"), F.max("__n").alias("n"))
 

@@ -11,9 +11,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..session import durable
+from ..session import held
 from .evaluation import ic_series, rank_correlation
-from .ranking import numbered, resolve
+from .ranking import numbered
 
 # Screening tiers, as the largest bucket a name may sit in.
 TIERS = {"full": 10, "ex10": 9, "ex9_10": 8, "top_half": 5}
@@ -38,32 +38,30 @@ def tier_pools(
     return d.join(F.broadcast(usable), "date", "left_semi").select("date", "entity", "ret", F.explode(member).alias("tier"))
 
 
-def _draw(pools: DataFrame, names: int) -> DataFrame:
-    """Mean of the ``names`` smallest hashes per (tier, date, trial), and how many there were."""
-    w = Window.partitionBy("tier", "date", "trial").orderBy("__u", "entity")
-    picked = pools.withColumn("__k", F.row_number().over(w)).where(F.col("__k") <= names)
-    return picked.groupBy("tier", "trial", "date").agg(F.avg("ret").alias("ret"), F.count(F.lit(1)).alias("__n"))
+def _positions(size: Column, names: int, *parts) -> Column:
+    """``names`` distinct whole numbers of 1..size by Floyd's method, every draw the MD5 of the parts and its step."""
 
+    steps = F.transform(F.sequence(size - (names - 1), size), lambda i: F.struct(i.alias("i"), (F.pmod(_as_number(_md5_draw(*parts, i)), i) + 1).alias("at")))
 
-def random_sleeves(pools: DataFrame, trials: int = 1000, names: int = 20, seed: int = 42) -> DataFrame:
+    def step(drawn: Column, s: Column) -> Column:
+        return F.concat(drawn, F.array(F.when(F.array_contains(drawn, s["at"]), s["i"]).otherwise(s["at"])))
+
+    return F.aggregate(steps, F.array().cast("array<bigint>"), step)
+
+
+def random_sleeves(
+    pools: DataFrame, trials: int = 1000, names: int = 20, seed: int = 42, large: bool | None = None
+) -> DataFrame:
     """(tier, trial, date, ret): mean return of ``names`` drawn without replacement.
 
-    A draw is the ``names`` rows with the smallest hash. Only hashes below a bound that leaves
-    far more than ``names`` in almost every draw are ranked at all; draws that came up short
-    are ranked again in full, so the result is exact whatever the bound."""
-    hashed = lambda d: d.withColumn("__u", F.xxhash64(F.lit(seed), "tier", "date", "trial", "entity"))
-    every = F.explode(F.sequence(F.lit(0), F.lit(trials - 1)))
-    sizes = pools.groupBy("tier", "date").agg(F.count(F.lit(1)).alias("__size"))
-    bound = (names + 10 * names**0.5 + 30) / F.col("__size")
-    # one row per tier and date
-    rows = hashed(pools.join(F.broadcast(sizes), ["tier", "date"]).withColumn("trial", every))
-    near = rows.where(F.col("__u") / F.lit(2.0**64) + 0.5 < bound)
-    first = durable(_draw(near, names))
-    done = first.where(F.col("__n") == names)
-    wanted = sizes.select("tier", "date", every.alias("trial"))
-    short = wanted.join(done.select("tier", "date", "trial"), ["tier", "date", "trial"], "left_anti")
-    again = _draw(hashed(pools.join(short, ["tier", "date"])), names)
-    return done.unionByName(again).drop("__n")
+    Every pool is numbered once by entity and a trial draws positions, so the work is dates x trials x names
+    however many rows a pool has. Pools have at least ``names`` rows."""
+    places = held(numbered(pools, ["tier", "date"], ["entity"], "__at", "__size", large).select("tier", "date", "__at", "ret"))
+    sizes = places.groupBy("tier", "date").agg(F.max("__at").alias("__size"))
+    tasks = int(pools.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # few rows, much work: not to be merged
+    every = sizes.withColumn("trial", F.explode(F.sequence(F.lit(0), F.lit(trials - 1)))).repartition(tasks, "tier", "date", "trial")
+    drawn = every.select("tier", "trial", "date", F.explode(_positions(F.col("__size"), names, F.lit(seed), "tier", "date", "trial")).alias("__at"))
+    return drawn.join(places, ["tier", "date", "__at"]).groupBy("tier", "trial", "date").agg(F.avg("ret").alias("ret"))
 
 
 def sleeve_paths(draws: DataFrame) -> DataFrame:
@@ -104,33 +102,36 @@ def _md5_draw(*parts) -> Column:
     return F.md5(F.concat_ws("|", *[F.col(p).cast("string") if isinstance(p, str) else p.cast("string") for p in parts]))
 
 
-def permuted_scores(df: DataFrame, score: str, trials: int = 10, seed: int = 0, slices: int | None = None) -> DataFrame:
+def _as_number(draw: Column) -> Column:
+    return F.conv(F.substring(draw, 1, 8), 16, 10).cast("long")
+
+
+def permuted_scores(df: DataFrame, score: str, trials: int = 10, seed: int = 0, large: bool | None = None) -> DataFrame:
     """(trial, date, entity, score) with the scores of each date dealt out again at random.
 
     Rows are numbered once by entity and, per trial, once by hash; the two numberings are
     joined one to one."""
     base = df.select("date", "entity", F.col(score).alias("score"))
-    slices = resolve(base, ["date"], slices)
-    holders = numbered(base.select("date", "entity"), ["date"], ["entity"], "k", "n", slices)
+    holders = numbered(base.select("date", "entity"), ["date"], ["entity"], "k", "n", large)
     holders = holders.withColumn("trial", F.explode(F.sequence(F.lit(0), F.lit(trials - 1)))).drop("n")
     dealt = base.withColumn("trial", F.explode(F.sequence(F.lit(0), F.lit(trials - 1)))).withColumn(
         "__u", _md5_draw(F.lit(seed), "trial", "date", "entity")
     )
-    dealt = numbered(dealt, ["trial", "date"], ["__u", "entity"], "k", "n", slices)
+    dealt = numbered(dealt, ["trial", "date"], ["__u", "entity"], "k", "n", large)
     return holders.join(dealt.select("trial", "date", "k", "score"), ["trial", "date", "k"]).drop("k")
 
 
 def placebo(
     df: DataFrame, score: str, label: str, trials: int = 10, seed: int = 0, tolerance: float = 0.03, min_rows: int = 10,
-    slices: int | None = None,
+    large: bool | None = None,
 ) -> DataFrame:
     """One row: real IC against the mean IC of permuted scores, and whether the check passes."""
-    real = ic_series(df, {"real": score}, {"h": label}, min_rows, slices=slices).agg(F.avg("ic").alias("real_ic"))
-    shuffled = permuted_scores(df, score, trials, seed, slices).join(df.select("date", "entity", label), ["date", "entity"])
+    real = ic_series(df, {"real": score}, {"h": label}, min_rows, large=large).agg(F.avg("ic").alias("real_ic"))
+    shuffled = permuted_scores(df, score, trials, seed, large).join(df.select("date", "entity", label), ["date", "entity"])
     pairs = shuffled.where(F.col("score").isNotNull() & F.col(label).isNotNull()).select(
         "trial", "date", "entity", F.round("score", 9).alias("s"), F.round(label, 9).alias("y")
     )
-    per = rank_correlation(pairs, ["trial", "date"], slices=slices).where((F.col("n") >= min_rows) & F.col("rho").isNotNull())
+    per = rank_correlation(pairs, ["trial", "date"], large=large).where((F.col("n") >= min_rows) & F.col("rho").isNotNull())
     means = per.groupBy("trial").agg(F.avg(-F.col("rho")).alias("m"))
     stat = means.agg(F.avg("m").alias("placebo_ic_mean"), F.stddev_pop("m").alias("placebo_ic_std"))
     both = real.join(F.broadcast(stat), F.lit(True))
@@ -143,7 +144,7 @@ def factor_masks(spark, factors: Sequence[str], draws: int = 100, seed: int = 7,
     p = len(factors)
     grid = spark.range(draws).select(
         F.col("id").cast("int").alias("draw"),
-        (F.lit(least) + F.pmod(F.conv(F.substring(_md5_draw(F.lit(seed), "id"), 1, 8), 16, 10).cast("long"), F.lit(p - least + 1))).cast("int").alias("__size"),
+        (F.lit(least) + F.pmod(_as_number(_md5_draw(F.lit(seed), "id")), F.lit(p - least + 1))).cast("int").alias("__size"),
     )
     order = F.array_sort(
         F.transform(
@@ -155,7 +156,7 @@ def factor_masks(spark, factors: Sequence[str], draws: int = 100, seed: int = 7,
 
 
 def random_composites(
-    df: DataFrame, factors: Sequence[str], label: str, masks: DataFrame, min_rows: int = 10, slices: int | None = None
+    df: DataFrame, factors: Sequence[str], label: str, masks: DataFrame, min_rows: int = 10, large: bool | None = None
 ) -> DataFrame:
     """(draw, mean_ic) of equal-weight composites of random factor subsets.
 
@@ -170,7 +171,7 @@ def random_composites(
     total = F.aggregate(chosen, F.lit(0.0), lambda a, v: a + v)
     z = F.round(F.try_divide(total, F.size(chosen).cast("double")), 9)
     pairs = wide.select(F.col("__m.draw").alias("draw"), "date", "entity", z.alias("s"), "y").where(F.col("s").isNotNull())
-    per = rank_correlation(pairs, ["draw", "date"], slices=slices).where((F.col("n") >= min_rows) & F.col("rho").isNotNull())
+    per = rank_correlation(pairs, ["draw", "date"], large=large).where((F.col("n") >= min_rows) & F.col("rho").isNotNull())
     return per.groupBy("draw").agg(F.avg(-F.col("rho")).alias("mean_ic"))
 
 

@@ -11,6 +11,7 @@ from pyspark.sql.window import Window
 from ..functions.scalar import row_count, row_mean
 from .evaluation import ic_series
 from .peers import PEER_KEYS, peer_decile, standardize
+from .ranking import sized
 
 
 def family_column(family: str) -> str:
@@ -29,26 +30,32 @@ def family_scores(df: DataFrame, families: Mapping[str, Sequence[str]]) -> DataF
 
 def balanced_score(
     df: DataFrame, families: Mapping[str, Sequence[str]], keys: Sequence[str] = PEER_KEYS, min_factors: int = 3,
-    min_families: int = 2, buckets: int = 10, slices: int | None = None,
+    min_families: int = 2, buckets: int = 10, large: bool | None = None,
 ) -> DataFrame:
     """Mean of family means with coverage floors, re-standardised in the peer group, then bucketed."""
     fam = family_scores(df, families)
     thin = (F.col("n_factors_used") < min_factors) | (F.col("n_families_used") < min_families)
     raw = fam.withColumn("score_ew_raw", F.when(~thin, row_mean([family_column(g) for g in families])))
-    std = standardize(raw, {"score_ew_raw": "score_ew"}, keys, slices=slices)
-    return peer_decile(std, "score_ew", "decile_ew", keys, buckets, slices=slices)
+    return _graded(raw, "score_ew_raw", "score_ew", "decile_ew", keys, buckets, large)
+
+
+def _graded(df: DataFrame, raw: str, score: str, decile: str, keys: Sequence[str], buckets: int, large: bool | None) -> DataFrame:
+    """Standardised in the peer group, then bucketed."""
+
+    def steps(d: DataFrame, large: bool) -> DataFrame:
+        return peer_decile(standardize(d, {raw: score}, keys, large=large), score, decile, keys, buckets, large=large)
+
+    return sized(df, keys, large, steps)
 
 
 def interactions(
-    df: DataFrame, terms: Mapping[str, tuple[str, str]], keys: Sequence[str] = PEER_KEYS, slices: int | None = None
+    df: DataFrame, terms: Mapping[str, tuple[str, str]], keys: Sequence[str] = PEER_KEYS, large: bool | None = None
 ) -> DataFrame:
     """Products of two family scores, re-standardised in the peer group, as ``<name>__n``."""
     prod = df.select(
         "*", *[(F.col(family_column(a)) * F.col(family_column(b))).alias(f"__{n}") for n, (a, b) in terms.items()]
     )
-    return standardize(prod, {f"__{n}": f"{n}__n" for n in terms}, keys, slices=slices).drop(
-        *[f"__{n}" for n in terms]
-    )
+    return standardize(prod, {f"__{n}": f"{n}__n" for n in terms}, keys, large=large).drop(*[f"__{n}" for n in terms])
 
 
 def evidence_weights(
@@ -99,15 +106,14 @@ def apply_weights(df: DataFrame, weights: DataFrame, families: Sequence[str], ou
 def evidence_weighted_score(
     df: DataFrame, families: Sequence[str], label: str, months: int, selection: str | None = None,
     keys: Sequence[str] = PEER_KEYS, window: int = 36, shrink: float = 0.5, min_realized: int = 12,
-    min_factors: int = 3, min_families: int = 2, buckets: int = 10, min_rows: int = 10, slices: int | None = None,
+    min_factors: int = 3, min_families: int = 2, buckets: int = 10, min_rows: int = 10, large: bool | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """Blend family scores by trailing realised IC; returns (scored rows, weight history)."""
     est = df.where(F.col("index_name") == selection) if selection else df
-    ics = ic_series(est, {f: family_column(f) for f in families}, {"h": label}, min_rows=min_rows, slices=slices)
+    ics = ic_series(est, {f: family_column(f) for f in families}, {"h": label}, min_rows=min_rows, large=large)
     ics = ics.select(F.col("series").alias("family"), "date", "ic")
     weights = evidence_weights(ics, df.select("date").distinct(), families, months, window, shrink, min_realized)
     raw = apply_weights(df, weights, families, "__icw")
     thin = (F.col("n_factors_used") < min_factors) | (F.col("n_families_used") < min_families)
     raw = raw.withColumn("score_icw_raw", F.when(~thin, F.col("__icw"))).drop("__icw")
-    std = standardize(raw, {"score_icw_raw": "score_icw"}, keys, slices=slices)
-    return peer_decile(std, "score_icw", "decile_icw", keys, buckets, slices=slices), weights
+    return _graded(raw, "score_icw_raw", "score_icw", "decile_icw", keys, buckets, large), weights

@@ -382,7 +382,7 @@ def assembled(spark, sf):
     one = asof.latest_per_day(brands, "as_of", ["quarter_end", "total_assets"], [c for c in brands.columns if c not in ("entity", "as_of")])
     return pn.build_panel(
         v.bars_raw(spark, sf), _brand_membership(spark, sf), None, "CORE", v.bench(spark, sf), one, month=S, quarter=M, year=L, half_year=2 * M, half_year_least=M,
-        horizons=_HZ, slices=v.checked(spark, sf),
+        horizons=_HZ, large=v.large(spark, sf),
     )
 
 

@@ -28,13 +28,13 @@ def selected(d):
 
 
 def graded(spark, sf, *cols):
-    """The selected rows a table is built from, written once because clipping bounds and medians read them again."""
+    """The selected rows a table is built from, held because clipping bounds and medians read them again."""
     return v.kept(selected(v.scored(spark, sf)), "date", "entity", "score_ew", "decile_ew", "fwd_rel_ret_1q", *cols)
 
 
 def ics(spark, sf, scores=None, labels=None, sel=True):
     d = v.scored(spark, sf)
-    return ev.ic_series(selected(d) if sel else d, scores or {"score_ew": "score_ew"}, labels or {"1q": "fwd_rel_ret_1q"}, slices=v.checked(spark, sf))
+    return ev.ic_series(selected(d) if sel else d, scores or {"score_ew": "score_ew"}, labels or {"1q": "fwd_rel_ret_1q"}, large=v.large(spark, sf))
 
 
 EW = {"score_ew": "score_ew"}
@@ -55,7 +55,7 @@ def rank_ic_by_date(spark, sf):
     ),
 )
 def ic_summary_overlap_corrected(spark, sf):
-    s = ev.ic_summary(selected(v.scored(spark, sf)), EW, LABELS, v.MONTHS, "Q", slices=v.checked(spark, sf))
+    s = ev.ic_summary(selected(v.scored(spark, sf)), EW, LABELS, v.MONTHS, "Q", large=v.large(spark, sf))
     return tidy(s, "series", "horizon", "mean_ic", "t_stat", "se", "ir", "hit_rate", "n_periods")
 
 
@@ -72,7 +72,7 @@ LABELS_M = {"1m": "fwd_rel_ret_1m", **LABELS}
     ),
 )
 def monthly_ic_long_overlap(spark, sf):
-    s = ev.ic_summary(v.scored(spark, sf, "month"), EW, LABELS_M, {"1m": 1, **v.MONTHS}, "M", slices=v.checked(spark, sf))
+    s = ev.ic_summary(v.scored(spark, sf, "month"), EW, LABELS_M, {"1m": 1, **v.MONTHS}, "M", large=v.large(spark, sf))
     return tidy(s, "series", "horizon", "mean_ic", "t_stat", "ir", "hit_rate", "n_periods")
 
 
@@ -84,7 +84,7 @@ def monthly_ic_long_overlap(spark, sf):
     ),
 )
 def horizon_term_structure(spark, sf):
-    s = ev.ic_summary(selected(v.scored(spark, sf)), {**SCORES, **FAM}, LABELS, v.MONTHS, "Q", slices=v.checked(spark, sf))
+    s = ev.ic_summary(selected(v.scored(spark, sf)), {**SCORES, **FAM}, LABELS, v.MONTHS, "Q", large=v.large(spark, sf))
     return tidy(s, "series", "horizon", "mean_ic", "t_stat", "se", "ir", "n_periods")
 
 
@@ -100,7 +100,7 @@ _FAMILY_CASE = "CASE series " + " ".join(f"WHEN '{f}' THEN '{g}'" for f, g in v.
     ),
 )
 def factor_ic_table(spark, sf):
-    s = ev.ic_summary(selected(v.scored(spark, sf)), FACT, {"4q": "fwd_rel_ret_4q"}, v.MONTHS, "Q", slices=v.checked(spark, sf))
+    s = ev.ic_summary(selected(v.scored(spark, sf)), FACT, {"4q": "fwd_rel_ret_4q"}, v.MONTHS, "Q", large=v.large(spark, sf))
     return tidy(ev.factor_ic_table(s, v.FAMILY_OF), "factor", "family", "mean_ic", "t_stat", "ir", "hit_rate", "n_periods")
 
 
@@ -118,7 +118,7 @@ _Y = "SELECT date, entity, CAST(decile_ew AS BIGINT) AS decile, fwd_rel_ret_1q A
     ),
 )
 def decile_return_table(spark, sf):
-    d = ev.decile_table(graded(spark, sf), "decile_ew", "fwd_rel_ret_1q", slices=v.checked(spark, sf))
+    d = ev.decile_table(graded(spark, sf), "decile_ew", "fwd_rel_ret_1q", large=v.large(spark, sf, "lineitem"))
     return tidy(d, "decile", "mean_rel_ret", "median_rel_ret", "mean_rel_ret_w", "n")
 
 
@@ -150,7 +150,7 @@ def decile_spread_summary(spark, sf):
     ),
 )
 def decile_monotonicity(spark, sf):
-    t = ev.decile_table(graded(spark, sf), "decile_ew", "fwd_rel_ret_1q", slices=v.checked(spark, sf))
+    t = ev.decile_table(graded(spark, sf), "decile_ew", "fwd_rel_ret_1q", large=v.large(spark, sf, "lineitem"))
     return tidy(ev.monotonicity(t), "rho", "n")
 
 
@@ -169,7 +169,7 @@ def decile_monotonicity(spark, sf):
     ),
 )
 def score_calibration_table(spark, sf):
-    return tidy(ev.calibration_table(graded(spark, sf), "score_ew", "fwd_rel_ret_1q", slices=v.checked(spark, sf)))
+    return tidy(ev.calibration_table(graded(spark, sf), "score_ew", "fwd_rel_ret_1q", large=v.large(spark, sf)))
 
 
 @query(
@@ -189,7 +189,7 @@ def score_calibration_table(spark, sf):
     ),
 )
 def flag_event_study(spark, sf):
-    return tidy(ev.event_study(graded(spark, sf, "period_no"), "decile_ew", "fwd_rel_ret_1q", slices=v.checked(spark, sf)))
+    return tidy(ev.event_study(graded(spark, sf, "period_no"), "decile_ew", "fwd_rel_ret_1q", large=v.large(spark, sf, "lineitem")))
 
 
 @query(
@@ -202,7 +202,7 @@ def flag_event_study(spark, sf):
     ),
 )
 def risk_reliability_table(spark, sf):
-    return tidy(ev.risk_reliability(v.risked(spark, sf), "fwd_ret_1q", slices=v.checked(spark, sf)))
+    return tidy(ev.risk_reliability(v.risked(spark, sf), "fwd_ret_1q", large=v.large(spark, sf)))
 
 
 # --- segments ------------------------------------------------------------------------------
@@ -299,7 +299,7 @@ def stress_window_table(spark, sf):
     win = spark.range(1).select(rows.alias("w")).select("w.*")
     d = graded(spark, sf)
     spreads = ev.decile_spread(d, "decile_ew", "fwd_rel_ret_1q")
-    by_date = ev.ic_series(d, EW, Q1, slices=v.checked(spark, sf))
+    by_date = ev.ic_series(d, EW, Q1, large=v.large(spark, sf))
     return tidy(ev.stress_windows(win, by_date, spreads, v.bench(spark, sf)))
 
 
@@ -341,7 +341,7 @@ _ICW = {
 def blended(spark, sf):
     base = v.kept(v.scored(spark, sf), "date", "entity", "sector", "index_name", *FAM.values(), "n_factors_used", "n_families_used", "score_ew", "fwd_rel_ret_1q")
     return scoring.evidence_weighted_score(
-        base, _FAMS, "fwd_rel_ret_1q", 3, v.SELECTION, window=8, min_realized=_W_MIN, slices=v.checked(spark, sf)
+        base, _FAMS, "fwd_rel_ret_1q", 3, v.SELECTION, window=8, min_realized=_W_MIN, large=v.large(spark, sf)
     )
 
 
@@ -366,7 +366,7 @@ _TWO = {"score_ew": "score_ew", "score_icw": "score_icw"}
     ),
 )
 def model_comparison(spark, sf):
-    s = ev.ic_summary(selected(blended(spark, sf)[0]), _TWO, Q1, {"1q": 3}, "Q", slices=v.checked(spark, sf))
+    s = ev.ic_summary(selected(blended(spark, sf)[0]), _TWO, Q1, {"1q": 3}, "Q", large=v.large(spark, sf))
     return tidy(s.withColumnRenamed("series", "score_col"), "score_col", "mean_ic", "t_stat", "ir", "hit_rate", "n_periods")
 
 
@@ -379,7 +379,7 @@ _PAIR = {
 
 def _paired(spark, sf):
     # one row per date and series
-    d = v.kept(ev.ic_series(selected(blended(spark, sf)[0]), _TWO, Q1, slices=v.checked(spark, sf)))
+    d = v.kept(ev.ic_series(selected(blended(spark, sf)[0]), _TWO, Q1, large=v.large(spark, sf)))
     return ev.paired_test(d, "score_icw", "score_ew", 1)
 
 
@@ -580,8 +580,7 @@ ML = [*v.FEATURES, *[f"{n}__n" for n in v.INTERACTIONS]]
 
 
 def featured(spark, sf):
-    d = scoring.interactions(v.scored(spark, sf), v.INTERACTIONS, slices=v.checked(spark, sf))
-    return v.kept(d, "date", "entity", "sector", "index_name", "fwd_rel_ret_1q", *ML)
+    return v.kept(v.crossed(spark, sf), "date", "entity", "sector", "index_name", "fwd_rel_ret_1q", *ML)
 
 
 def _moment_sql() -> str:
@@ -658,7 +657,7 @@ def walk_forward_ridge_scores(spark, sf):
     d, _ = learning.walk_forward(featured(spark, sf), ML, "fwd_rel_ret_1q", F.col("index_name") == v.SELECTION)
     from ..operators.peers import peer_decile
 
-    return tidy(peer_decile(d, "score_ml", "decile_ml", slices=v.checked(spark, sf)), "date", "entity", "score_ml", "decile_ml")
+    return tidy(peer_decile(d, "score_ml", "decile_ml", large=v.large(spark, sf)), "date", "entity", "score_ml", "decile_ml")
 
 
 _ONE = {
@@ -716,7 +715,7 @@ def logistic_variant_coverage(spark, sf):
 def in_sample_ceiling(spark, sf):
     d = selected(featured(spark, sf))
     s = learning.in_sample(d, ML, "fwd_rel_ret_1q")
-    return tidy(ev.ic_summary(s, {"is_score": "is_score"}, Q1, {"1q": 3}, "Q", slices=v.checked(spark, sf)), "mean_ic", "t_stat", "n_periods")
+    return tidy(ev.ic_summary(s, {"is_score": "is_score"}, Q1, {"1q": 3}, "Q", large=v.large(spark, sf)), "mean_ic", "t_stat", "n_periods")
 
 
 # --- resampling -------------------------------------------------------------------------------------
@@ -726,23 +725,49 @@ def _drawn_from(spark, sf):
     return v.kept(_sel(spark, sf), "date", "entity", "decile_ew", "fwd_ret_1q")
 
 
-@query("random_sleeve_distribution")
+_POOL = (
+    "SELECT tier, date, entity, ret FROM (SELECT date, entity, fwd_ret_1q AS ret, unnest(list_filter([CASE WHEN decile_ew<=10 THEN 'full' END, CASE WHEN decile_ew<=9 THEN 'ex10' END, CASE WHEN decile_ew<=8 THEN 'ex9_10' END, CASE WHEN decile_ew<=5 THEN 'top_half' END], lambda x: x IS NOT NULL)) AS tier"
+    " FROM scored WHERE index_name='SMALL' AND decile_ew IS NOT NULL AND fwd_ret_1q IS NOT NULL AND date IN (SELECT date FROM scored WHERE index_name='SMALL' AND decile_ew IS NOT NULL AND fwd_ret_1q IS NOT NULL GROUP BY 1 HAVING count(*) FILTER (decile_ew<=5)>=20))"
+)
+_STEP = "1 + CAST('0x' || substr(md5(concat_ws('|', 42, tier, date, trial, i)),1,8) AS BIGINT) % i"
+_SLEEVES = {
+    "pool": _POOL,
+    "placed": "SELECT *, row_number() OVER (PARTITION BY tier, date ORDER BY entity) AS pos FROM pool",
+    "sizes": "SELECT tier, date, count(*) AS size FROM pool GROUP BY 1,2",
+    "steps": f"SELECT *, {_STEP} AS drawn FROM (SELECT tier, date, trial, step, size - 20 + step AS i FROM sizes CROSS JOIN range(1000) t(trial) CROSS JOIN range(1, 21) s(step))",
+    "wide": "SELECT tier, date, trial, list(i ORDER BY step) AS i, list(drawn ORDER BY step) AS d FROM steps GROUP BY 1,2,3",
+    "floyd": "SELECT tier, date, trial, unnest(list_reduce(list_prepend(CAST([] AS BIGINT[]), list_transform(range(1, 21), lambda k: [i[k], d[k]])), lambda a, x: list_append(a, CASE WHEN list_contains(a, x[2]) THEN x[1] ELSE x[2] END))) AS pos FROM wide",
+    "draws": "SELECT tier, trial, date, avg(ret) AS ret FROM floyd JOIN placed USING (tier, date, pos) GROUP BY 1,2,3",
+    "paths": "SELECT tier, trial, date, product(1+ret) OVER (PARTITION BY tier, trial ORDER BY date ROWS UNBOUNDED PRECEDING) AS equity, count(*) OVER (PARTITION BY tier, trial) AS n FROM draws",
+}
+_PCT = ", ".join(f"round(quantile_cont({{0}},{p / 100}),6) AS p{p}" for p in resampling.PERCENTILES)
+
+
+def _paths_of_sleeves(spark, sf):
+    pools = resampling.tier_pools(_drawn_from(spark, sf), "decile_ew")
+    return resampling.sleeve_paths(resampling.random_sleeves(pools, large=v.large(spark, sf)))
+
+
+@query(
+    "random_sleeve_distribution",
+    with_views(
+        f"SELECT tier, {_PCT.format('cagr')}, round(avg(cagr),6) AS mean, round(avg(CASE WHEN cagr > (SELECT median(cagr) FROM cagr WHERE tier='full') THEN 1.0 ELSE 0.0 END),6) AS prob_beat_full_median, count(*) AS n_trials FROM cagr GROUP BY 1",
+        "scored", extra={**_SLEEVES, "cagr": "SELECT tier, trial, power(arg_max(equity, date), 4.0/max(n)) - 1 AS cagr FROM paths GROUP BY 1,2 HAVING max(n)>=4"},
+    ),
+)
 def random_sleeve_distribution(spark, sf):
-    draws = resampling.random_sleeves(resampling.tier_pools(_drawn_from(spark, sf), "decile_ew"))
-    return tidy(resampling.sleeve_distribution(resampling.sleeve_paths(draws)))
+    return tidy(resampling.sleeve_distribution(_paths_of_sleeves(spark, sf)))
 
 
-@query("random_sleeve_equity_bands")
+@query("random_sleeve_equity_bands", with_views(f"SELECT tier, date, {_PCT.format('equity')} FROM paths GROUP BY 1,2", "scored", extra=_SLEEVES))
 def random_sleeve_equity_bands(spark, sf):
-    draws = resampling.random_sleeves(resampling.tier_pools(_drawn_from(spark, sf), "decile_ew"))
-    return tidy(resampling.equity_bands(resampling.sleeve_paths(draws)))
+    return tidy(resampling.equity_bands(_paths_of_sleeves(spark, sf)))
 
 
 @query(
     "screening_tier_pools",
     with_views(
-        "SELECT tier, date, count(*) AS n, round(avg(ret),6) AS mean_ret FROM (SELECT date, fwd_ret_1q AS ret, unnest(list_filter([CASE WHEN decile_ew<=10 THEN 'full' END, CASE WHEN decile_ew<=9 THEN 'ex10' END, CASE WHEN decile_ew<=8 THEN 'ex9_10' END, CASE WHEN decile_ew<=5 THEN 'top_half' END], lambda x: x IS NOT NULL)) AS tier"
-        " FROM scored WHERE index_name='SMALL' AND decile_ew IS NOT NULL AND fwd_ret_1q IS NOT NULL AND date IN (SELECT date FROM scored WHERE index_name='SMALL' AND decile_ew IS NOT NULL AND fwd_ret_1q IS NOT NULL GROUP BY 1 HAVING count(*) FILTER (decile_ew<=5)>=20)) GROUP BY 1,2",
+        f"SELECT tier, date, count(*) AS n, round(avg(ret),6) AS mean_ret FROM ({_POOL}) GROUP BY 1,2",
         "scored",
     ),
 )
@@ -773,7 +798,7 @@ def _corr_sql(key: str, source: str) -> str:
 )
 def placebo_permutation(spark, sf):
     d = v.kept(_sel(spark, sf), "date", "entity", "score_ew", "fwd_rel_ret_1q")
-    return tidy(resampling.placebo(d, "score_ew", "fwd_rel_ret_1q", slices=v.checked(spark, sf)))
+    return tidy(resampling.placebo(d, "score_ew", "fwd_rel_ret_1q", large=v.large(spark, sf)))
 
 
 @query(
@@ -795,8 +820,8 @@ def placebo_permutation(spark, sf):
 def random_composite_null(spark, sf):
     d = v.kept(_sel(spark, sf), "date", "entity", "score_ew", "fwd_rel_ret_1q", *v.FEATURES)
     masks = resampling.factor_masks(spark, v.FEATURES, 100)
-    null = resampling.random_composites(d, v.FEATURES, "fwd_rel_ret_1q", masks, slices=v.checked(spark, sf))
-    real = ev.ic_series(d, EW, Q1, slices=v.checked(spark, sf)).agg(F.avg("ic").alias("real_ic"))
+    null = resampling.random_composites(d, v.FEATURES, "fwd_rel_ret_1q", masks, large=v.large(spark, sf))
+    real = ev.ic_series(d, EW, Q1, large=v.large(spark, sf)).agg(F.avg("ic").alias("real_ic"))
     return tidy(resampling.null_summary(null, real))
 
 
@@ -808,6 +833,6 @@ def random_composite_null(spark, sf):
 )
 def base_rate_inputs(spark, sf):
     d = v.kept(v.scored(spark, sf), "date", "entity", "index_name", "period_no", "score_ew", "decile_ew", "n_factors_used", "fwd_rel_ret_1q")
-    eras = ev.ic_by_segment(ev.ic_series(selected(d), EW, Q1, slices=v.checked(spark, sf)), ev.coverage_eras(d), "era", 1)
-    study = ev.event_study(selected(d), "decile_ew", "fwd_rel_ret_1q", slices=v.checked(spark, sf))
+    eras = ev.ic_by_segment(ev.ic_series(selected(d), EW, Q1, large=v.large(spark, sf)), ev.coverage_eras(d), "era", 1)
+    study = ev.event_study(selected(d), "decile_ew", "fwd_rel_ret_1q", large=v.large(spark, sf, "lineitem"))
     return tidy(reporting.base_rate(eras, study))

@@ -39,7 +39,7 @@ def peer_zscores(spark, sf):
     ),
 )
 def peer_rank_variant(spark, sf):
-    d = peers.neutralize(v.panel(spark, sf), v.FACTORS, method="rank", slices=v.checked(spark, sf))
+    d = peers.neutralize(v.panel(spark, sf), v.FACTORS, method="rank", large=v.large(spark, sf))
     return tidy(d, "date", "entity", *[f"{f}__n" for f in v.FACTORS])
 
 
@@ -48,7 +48,7 @@ def peer_rank_variant(spark, sf):
     with_views(f"SELECT date, sector, index_name, count(*) AS n FROM (SELECT *, count(*) OVER ({WG}) AS c FROM panel) WHERE c>=10 GROUP BY 1,2,3", "panel"),
 )
 def small_peer_groups_dropped(spark, sf):
-    d = peers.drop_small_groups(v.panel(spark, sf), min_rows=10, slices=v.checked(spark, sf))
+    d = peers.drop_small_groups(v.panel(spark, sf), min_rows=10, large=v.large(spark, sf))
     return d.groupBy("date", "sector", "index_name").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -62,8 +62,8 @@ def small_peer_groups_dropped(spark, sf):
     ),
 )
 def winsorized_factors(spark, sf):
-    d = peers.drop_small_groups(v.panel(spark, sf), min_rows=3, slices=v.checked(spark, sf))
-    w = peers.winsorize(d, list(v.FACTORS), peers.PEER_KEYS, 0.02, tie_break=["entity"], slices=v.checked(spark, sf))
+    d = peers.drop_small_groups(v.panel(spark, sf), min_rows=3, large=v.large(spark, sf))
+    w = peers.winsorize(d, list(v.FACTORS), peers.PEER_KEYS, 0.02, large=v.large(spark, sf))
     return tidy(w, "date", "entity", *[f"{f}_w" for f in v.FACTORS], digits=10)
 
 
@@ -77,7 +77,7 @@ def winsorized_factors(spark, sf):
 )
 def winsorized_labels_by_date(spark, sf):
     d = v.panel(spark, sf).where(F.col("fwd_rel_ret_1q").isNotNull()).select("date", "entity", F.col("fwd_rel_ret_1q").alias("y"))
-    return tidy(evaluation.clip_labels(d, "y", "y_w", ["date"], slices=v.checked(spark, sf)), "date", "entity", "y_w")
+    return tidy(evaluation.clip_labels(d, "y", "y_w", ["date"], large=v.large(spark, sf)), "date", "entity", "y_w")
 
 
 @query("peer_relative_labels", with_views(f"SELECT date, entity, {r6(*RETS)} FROM panel", "panel"))
@@ -108,7 +108,7 @@ def decile_sizes(spark, sf):
 
 
 def _newest(spark, sf, view=v.scored, *more):
-    """Latest cross section; the narrow panel is written once because its newest date is looked up first."""
+    """Latest cross section; the narrow panel is held because its newest date is looked up first."""
     return calendar.latest_cross_section(v.kept(view(spark, sf), "date", "entity", "sector", "score_ew", "decile_ew", *more))
 
 
@@ -123,7 +123,7 @@ def _newest(spark, sf, view=v.scored, *more):
 def worst_ten_names(spark, sf):
     latest = _newest(spark, sf)
     top = reporting.top_names(latest, "score_ew", 10)
-    return tidy(reporting.worst_first(top, "score_ew", slices=1), "date", "entity", "sector", "score_ew", "decile_ew", "sell_rank")
+    return tidy(reporting.worst_first(top, "score_ew", large=False), "date", "entity", "sector", "score_ew", "decile_ew", "sell_rank")
 
 
 @query(
@@ -135,7 +135,7 @@ def worst_ten_names(spark, sf):
 )
 def sell_ranks(spark, sf):
     latest = _newest(spark, sf).where(F.col("score_ew").isNotNull())
-    return tidy(reporting.worst_first(latest, "score_ew", slices=v.checked(spark, sf)), "entity", "sell_rank")
+    return tidy(reporting.worst_first(latest, "score_ew", large=v.large(spark, sf)), "entity", "sell_rank")
 
 
 @query(
@@ -148,7 +148,7 @@ def sell_ranks(spark, sf):
 )
 def calibration_bin_assignment(spark, sf):
     d = v.scored(spark, sf).where(F.col("score_ew").isNotNull())
-    return tidy(peers.calibration_bins(d, "score_ew", slices=v.checked(spark, sf)), "date", "entity", "score_q")
+    return tidy(peers.calibration_bins(d, "score_ew", large=v.large(spark, sf)), "date", "entity", "score_q")
 
 
 IXN = [f"{n}__n" for n in v.INTERACTIONS]
@@ -156,7 +156,7 @@ IXN = [f"{n}__n" for n in v.INTERACTIONS]
 
 @query("family_interactions", with_views(f"SELECT date, entity, {', '.join(f'round({n},6) AS {n}' for n in IXN)} FROM x", "scored", extra={"x": f"SELECT *, {IX} FROM scored"}))
 def family_interactions(spark, sf):
-    d = scoring.interactions(v.scored(spark, sf), v.INTERACTIONS, slices=v.checked(spark, sf))
+    d = v.crossed(spark, sf)
     return tidy(d, "date", "entity", *IXN)
 
 
@@ -173,7 +173,7 @@ def absolute_risk(spark, sf):
     ),
 )
 def latest_risk_table(spark, sf):
-    return tidy(reporting.latest_risk(v.kept(v.risked(spark, sf), "date", "entity", "risk_pct", "risk_tier"), slices=v.checked(spark, sf)), "entity", "risk_pct", "risk_tier", "risk_rank")
+    return tidy(reporting.latest_risk(v.kept(v.risked(spark, sf), "date", "entity", "risk_pct", "risk_tier"), large=v.large(spark, sf)), "entity", "risk_pct", "risk_tier", "risk_rank")
 
 
 @query(
@@ -193,7 +193,7 @@ def risk_tier_counts(spark, sf):
     ),
 )
 def average_rank_of_ties(spark, sf):
-    d = average_rank(v.panel(spark, sf), ["date"], "f_lines", "avg_rank", ["entity"], v.checked(spark, sf))
+    d = average_rank(v.panel(spark, sf), ["date"], "f_lines", "avg_rank", ["entity"], v.large(spark, sf))
     return tidy(d.withColumn("pct_rank", F.col("avg_rank") / F.col("avg_rank_n")), "date", "entity", "avg_rank", "pct_rank")
 
 
@@ -202,7 +202,7 @@ def average_rank_of_ties(spark, sf):
     with_views("SELECT date, entity, row_number() OVER (PARTITION BY date ORDER BY f_lines, entity) AS row_no, count(*) OVER (PARTITION BY date) AS group_n FROM panel", "panel"),
 )
 def first_come_rank(spark, sf):
-    return numbered(v.panel(spark, sf).select("date", "entity", "f_lines"), ["date"], ["f_lines", "entity"], slices=v.checked(spark, sf)).drop("f_lines")
+    return numbered(v.panel(spark, sf).select("date", "entity", "f_lines"), ["date"], ["f_lines", "entity"], large=v.large(spark, sf)).drop("f_lines")
 
 
 @query(
@@ -212,7 +212,7 @@ def first_come_rank(spark, sf):
     ),
 )
 def exact_group_quantiles(spark, sf):
-    q = group_quantiles(v.panel(spark, sf), ["date"], ["f_px"], [0.02, 0.5, 0.98], ["entity"], v.checked(spark, sf))
+    q = group_quantiles(v.panel(spark, sf), ["date"], ["f_px"], [0.02, 0.5, 0.98], v.large(spark, sf))
     return tidy(q.select("date", *[F.col("f_px_q")[i].alias(n) for i, n in enumerate(("lo", "mid", "hi"))], F.col("f_px_c").alias("n")))
 
 
@@ -261,7 +261,7 @@ def _factor_rows(spark, sf):
     ),
 )
 def factor_decomposition(spark, sf):
-    d = reporting.decomposition(_factor_rows(spark, sf), list(v.FACTORS), slices=v.checked(spark, sf))
+    d = reporting.decomposition(_factor_rows(spark, sf), list(v.FACTORS), large=v.large(spark, sf))
     return tidy(d, "entity", "factor", "raw", "z", "prev_z", "pct", exact=("raw",))
 
 
@@ -273,7 +273,7 @@ def factor_decomposition(spark, sf):
     ),
 )
 def top_flags_per_name(spark, sf):
-    long = reporting.decomposition(_factor_rows(spark, sf), list(v.FACTORS), slices=v.checked(spark, sf))
+    long = reporting.decomposition(_factor_rows(spark, sf), list(v.FACTORS), large=v.large(spark, sf))
     return tidy(reporting.top_flags(long, 2, 0.5), "entity", "factor", "z", "flag_no")
 
 
@@ -286,7 +286,7 @@ def top_flags_per_name(spark, sf):
     ),
 )
 def risk_drivers(spark, sf):
-    long = reporting.decomposition(_factor_rows(spark, sf), list(v.FACTORS), slices=v.checked(spark, sf))
+    long = reporting.decomposition(_factor_rows(spark, sf), list(v.FACTORS), large=v.large(spark, sf))
     return tidy(reporting.risk_drivers(long))
 
 

@@ -537,7 +537,7 @@ def cohort_paths(spark, sf):
     ),
 )
 def cohort_median_path(spark, sf):
-    return tidy(reporting.cohort_median(_paths(spark, sf), slices=v.checked(spark, sf)))
+    return tidy(reporting.cohort_median(_paths(spark, sf), large=v.large(spark, sf)))
 
 
 _MERGE = {

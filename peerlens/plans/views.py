@@ -12,7 +12,7 @@ from pyspark.sql.window import Window
 
 from ..operators import labels, peers, ranking, scoring
 from ..operators.calendar import session_calendar, with_sessions
-from ..session import durable
+from ..session import held
 
 FACTORS = {"f_disc": -1, "f_tax": -1, "f_ret": 1, "f_qty": 1, "f_px": 1, "f_lines": -1, "f_supp": 1}
 FAMILIES = {"Price": ["f_px", "f_disc"], "Quality": ["f_ret", "f_tax", "f_supp"], "Volume": ["f_qty", "f_lines"]}
@@ -29,21 +29,26 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
-def checked(spark: SparkSession, sf: str, name: str = "lineitem") -> int | None:
-    """1 when the whole source fits in one ranking group (a footer count), else None: operators
-    then check the groups themselves and cut the large ones."""
-    return 1 if table(spark, sf, name).count() <= ranking.TARGET_GROUP_ROWS else None
+_ROWS: dict[tuple, int] = {}
 
 
-def settle(spark: SparkSession, sf: str, df: DataFrame) -> DataFrame:
-    """Write a stage once when the source is large: group checks and slices then read it back
-    instead of recomputing it. Small sources stay one lazy plan."""
-    return df if checked(spark, sf) == 1 else durable(df)
+def large(spark: SparkSession, sf: str, name: str = "part") -> bool | None:
+    """False if the whole source fits one ranking group, else None: operators then look up the groups themselves.
+
+    A panel has at most one row per part and date, so the parts bound every group that holds a date.
+
+    The rows of a source are counted once (from its footers) for each state of its files, not once a call."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{sf}/{name}.parquet")
+    seen = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getContentSummary(path)
+    state = (spark.sparkContext.applicationId, str(path), seen.getLength(), seen.getFileCount())
+    if state not in _ROWS:
+        _ROWS[state] = table(spark, sf, name).count()
+    return False if _ROWS[state] <= ranking.TARGET_GROUP_ROWS else None
 
 
 def kept(df: DataFrame, *cols: str) -> DataFrame:
-    """The columns several branches read, written once."""
-    return durable(df.select(*cols) if cols else df)
+    """The columns several branches read, held once the plan runs."""
+    return held(df.select(*cols) if cols else df)
 
 
 def shipments(spark: SparkSession, sf: str, unit: str = "quarter") -> DataFrame:
@@ -75,28 +80,60 @@ def period_number(unit: str = "quarter"):
     return F.year("date") * 12 + F.month("date")
 
 
-def panel(spark: SparkSession, sf: str, unit: str = "quarter") -> DataFrame:
-    """Shipments with forward returns of a price (unit price on a fixed base) and their peer-relative form."""
+def _forward(spark: SparkSession, sf: str, unit: str) -> tuple[DataFrame, dict[str, str]]:
+    """Shipments with forward returns of a price (unit price on a fixed base), and their names once relative to peers."""
     d = shipments(spark, sf, unit).withColumn("period_no", period_number(unit))
     scale = 1 if unit == "quarter" else 3
     steps = {f"fwd_ret_{n}": k * scale for n, k in HORIZONS.items()}
     if unit == "month":
         steps = {"fwd_ret_1m": 1, **steps}
-    d = labels.gap_returns(d, "px", steps)
-    rel = {c: c.replace("fwd_ret", "fwd_rel_ret") for c in steps}
-    return settle(spark, sf, peers.relative_to_median(settle(spark, sf, d), rel, slices=checked(spark, sf)))
+    return labels.gap_returns(d, "px", steps), {c: c.replace("fwd_ret", "fwd_rel_ret") for c in steps}
+
+
+def _in_peer_groups(spark: SparkSession, sf: str, unit: str, *steps) -> DataFrame:
+    """Peer-relative returns, then ``steps(rows, large)``, all inside peer groups: split by size once for the whole chain."""
+    d, rel = _forward(spark, sf, unit)
+
+    def chain(rows: DataFrame, large: bool) -> DataFrame:
+        rows = peers.relative_to_median(rows, rel, large=large)
+        for step in steps:
+            rows = step(rows, large)
+        return rows
+
+    return ranking.sized(d, peers.PEER_KEYS, large(spark, sf), chain)
+
+
+def _z(rows: DataFrame, large: bool) -> DataFrame:
+    return peers.neutralize(rows, FACTORS, large=large)
+
+
+def _score(rows: DataFrame, large: bool) -> DataFrame:
+    return scoring.balanced_score(rows, FAMILIES, large=large)
+
+
+def _cross(rows: DataFrame, large: bool) -> DataFrame:
+    return scoring.interactions(rows, INTERACTIONS, large=large)
+
+
+def panel(spark: SparkSession, sf: str, unit: str = "quarter") -> DataFrame:
+    return _in_peer_groups(spark, sf, unit)
 
 
 def neutral(spark: SparkSession, sf: str, unit: str = "quarter") -> DataFrame:
-    return settle(spark, sf, peers.neutralize(panel(spark, sf, unit), FACTORS, slices=checked(spark, sf)))
+    return _in_peer_groups(spark, sf, unit, _z)
 
 
 def scored(spark: SparkSession, sf: str, unit: str = "quarter") -> DataFrame:
-    return settle(spark, sf, scoring.balanced_score(neutral(spark, sf, unit), FAMILIES, slices=checked(spark, sf)))
+    return _in_peer_groups(spark, sf, unit, _z, _score)
+
+
+def crossed(spark: SparkSession, sf: str, unit: str = "quarter") -> DataFrame:
+    """Scored rows with the interactions of their families."""
+    return _in_peer_groups(spark, sf, unit, _z, _score, _cross)
 
 
 def risked(spark: SparkSession, sf: str, unit: str = "quarter") -> DataFrame:
-    return peers.absolute_risk(scored(spark, sf, unit), FACTORS, slices=checked(spark, sf))
+    return peers.absolute_risk(scored(spark, sf, unit), FACTORS, large=large(spark, sf))
 
 
 def bars_raw(spark: SparkSession, sf: str) -> DataFrame:

@@ -7,10 +7,11 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.storagelevel import StorageLevel
 
 
-_LOCAL: dict[str, str] = {}
 _WRITTEN: list[str] = []
+_HELD: list[DataFrame] = []
 
 
 def build_session(app: str = "peerlens", cores: str | int = "*", partitions: int = 8) -> SparkSession:
@@ -33,19 +34,17 @@ def build_session(app: str = "peerlens", cores: str | int = "*", partitions: int
 def shared_dir(spark: SparkSession) -> str:
     """The folder named by ``spark.checkpoint.dir``.
 
-    Only a master that runs everything in one process may fall back to a temporary folder: on a
-    cluster such a folder is private to one machine and lost with it.
+    Where it is unset and one process runs everything, as in tests, a temporary folder is set for the session; on
+    a cluster such a folder is private to one machine and lost with it, so there the setting is required.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named
-    master = spark.sparkContext.master
-    if master != "local" and not master.startswith("local["):
-        raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-    app = spark.sparkContext.applicationId
-    if app not in _LOCAL:
-        _LOCAL[app] = tempfile.mkdtemp(prefix="peerlens-")
-    return _LOCAL[app]
+    if not named:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
+        named = tempfile.mkdtemp(prefix="peerlens-")
+        spark.conf.set("spark.checkpoint.dir", named)
+    return named
 
 
 def durable(df: DataFrame) -> DataFrame:
@@ -60,12 +59,22 @@ def durable(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def held(df: DataFrame) -> DataFrame:
+    """Rows that several branches of one plan read, kept by Spark once the plan runs; nothing runs before.
+
+    They lie in memory and on the executors' disks and are made again from their lineage if an executor is lost. They stay until
+    ``release``. Loops use ``durable`` instead, so that lineage does not grow."""
+    _HELD.append(df.persist(StorageLevel.MEMORY_AND_DISK))
+    return _HELD[-1]
+
+
 def release(spark: SparkSession) -> int:
-    """Delete the tables that ``durable`` wrote in this process; call it when no result that reads them is
-    needed any more. Returns how many there were."""
+    """Delete the tables that ``durable`` wrote in this process and let go of what is ``held``; call it when no result that
+    reads them is needed any more. Returns how many there were."""
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    rows = [_HELD.pop().unpersist() for _ in range(len(_HELD))]
     paths = [_WRITTEN.pop() for _ in range(len(_WRITTEN))]
     for p in paths:
         place = jvm.org.apache.hadoop.fs.Path(p)
         place.getFileSystem(conf).delete(place, True)
-    return len(paths)
+    return len(paths) + len(rows)

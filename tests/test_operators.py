@@ -40,12 +40,12 @@ def test_bins_match_their_definitions(spark):
 def test_constant_missing_and_tiny_groups(spark):
     rows = [("a", i, 5.0, None) for i in range(6)] + [("b", 1, 1.0, 2.0)] + [("c", i, float(i), float(i % 2)) for i in range(6)]
     d = frame(spark, rows, "g string, entity int, x double, y double")
-    z = {(r.g, r.entity): r for r in peers.neutralize(d, {"x": 1, "y": 1}, ["g"], slices=1).collect()}
+    z = {(r.g, r.entity): r for r in peers.neutralize(d, {"x": 1, "y": 1}, ["g"], large=False).collect()}
     assert all(k[0] != "b" for k in z)  # one row is below the floor
     assert z[("a", 0)]["x__n"] == 0.0 and z[("a", 0)]["y__n"] is None
     zs = [z[("c", i)]["x__n"] for i in range(6)]
     assert abs(sum(zs)) < 1e-9 and abs(np.std(zs) - 1) < 1e-9
-    rho = ev.rank_correlation(d.select("g", "entity", F.col("x").alias("s"), F.col("entity").alias("y")), ["g"], slices=1)
+    rho = ev.rank_correlation(d.select("g", "entity", F.col("x").alias("s"), F.col("entity").alias("y")), ["g"], large=False)
     got = {r.g: r.rho for r in rho.collect()}
     assert got["a"] is None and got["b"] is None and abs(got["c"] - 1) < 1e-12
 
@@ -194,20 +194,20 @@ def planted(spark):
     )
     expo = (F.col("x0") + F.col("x1") - F.col("x2") + F.col("x3")) / 4
     d = base.withColumn("fwd_ret_1q", -0.04 * expo + 0.06 * F.col("__e") + F.sin(F.col("period_no")) * 0.05).drop("__e").repartition(4).persist()
-    d = peers.relative_to_median(d, {"fwd_ret_1q": "fwd_rel_ret_1q"}, slices=1)
-    z = peers.neutralize(d, {"x0": 1, "x1": 1, "x2": -1, "x3": 1, "x4": 1}, slices=1)
-    s = scoring.balanced_score(z, {"A": ["x0", "x1"], "B": ["x2", "x3"], "C": ["x4"]}, slices=1).persist()
+    d = peers.relative_to_median(d, {"fwd_ret_1q": "fwd_rel_ret_1q"}, large=False)
+    z = peers.neutralize(d, {"x0": 1, "x1": 1, "x2": -1, "x3": 1, "x4": 1}, large=False)
+    s = scoring.balanced_score(z, {"A": ["x0", "x1"], "B": ["x2", "x3"], "C": ["x4"]}, large=False).persist()
     s.count()
     return s
 
 
 def test_planted_signal_is_found_and_permuting_kills_it(spark, planted):
-    r = ev.ic_summary(planted, {"s": "score_ew"}, {"1q": "fwd_rel_ret_1q"}, {"1q": 3}, "Q", slices=1).first()
+    r = ev.ic_summary(planted, {"s": "score_ew"}, {"1q": "fwd_rel_ret_1q"}, {"1q": 3}, "Q", large=False).first()
     assert r["mean_ic"] > 0.1 and r["t_stat"] > 3 and r["n_periods"] == 24
-    assert ev.monotonicity(ev.decile_table(planted, "decile_ew", "fwd_rel_ret_1q", slices=1)).first()["rho"] < -0.7
+    assert ev.monotonicity(ev.decile_table(planted, "decile_ew", "fwd_rel_ret_1q", large=False)).first()["rho"] < -0.7
     spread = ev.decile_spread(planted, "decile_ew", "fwd_rel_ret_1q").agg(F.avg("spread")).first()[0]
     assert spread > 0
-    p = resampling.placebo(planted, "score_ew", "fwd_rel_ret_1q", 5, slices=1).first()
+    p = resampling.placebo(planted, "score_ew", "fwd_rel_ret_1q", 5, large=False).first()
     assert p["passed"] and abs(p["placebo_ic_mean"]) < 0.03
 
 
@@ -243,7 +243,7 @@ def test_variants_run(planted):
     day = planted.agg(F.max("date")).first()[0]
     for kind in ("logistic", "gbm"):
         out = learning.walk_forward_variant(planted, feats, "fwd_rel_ret_1q", kind, [day], trees=3)
-        r = ev.ic_series(out, {"s": "score_ml"}, {"1q": "fwd_rel_ret_1q"}, slices=1).first()
+        r = ev.ic_series(out, {"s": "score_ml"}, {"1q": "fwd_rel_ret_1q"}, large=False).first()
         assert r["ic"] > 0
 
 
@@ -264,7 +264,7 @@ def test_random_sleeves_draw_without_replacement(spark, planted):
 def test_random_composites_match_brute_force(spark, planted):
     feats = [f"x{i}__n" for i in range(5)]
     masks = resampling.factor_masks(spark, feats, 4)
-    got = {r.draw: r.mean_ic for r in resampling.random_composites(planted, feats, "fwd_rel_ret_1q", masks, slices=1).collect()}
+    got = {r.draw: r.mean_ic for r in resampling.random_composites(planted, feats, "fwd_rel_ret_1q", masks, large=False).collect()}
     pdf = planted.select("date", *feats, "fwd_rel_ret_1q").toPandas()
     for m in masks.collect():
         assert len(set(m.picks)) == len(m.picks) >= 3

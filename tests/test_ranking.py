@@ -30,15 +30,15 @@ def same(a, b):
     assert x
 
 
-def test_slices_are_found_by_checking_the_largest_group(rows):
-    assert ranking.slices_needed(rows, ["g"], target=250) == 4
-    assert ranking.slices_needed(rows, ["g"], rows_bound=100, target=250) == 1
+@pytest.fixture(autouse=True)
+def small_target(monkeypatch):
+    monkeypatch.setattr(ranking, "TARGET_GROUP_ROWS", 250)
 
 
 def test_groups_are_really_cut(rows):
-    cut = ranking.cut_into_slices(rows.where(F.col("v").isNotNull()), ["g"], ["v", "entity"], 6)
+    cut = ranking.cut_into_slices(rows.where(F.col("v").isNotNull()), ["g"], ["v", "entity"])
     sizes = cut.where(F.col("g") == "hot").groupBy("__slice").count().collect()
-    assert len(sizes) >= 4
+    assert len(sizes) >= 3
     assert max(r["count"] for r in sizes) < 600
     # the pieces are ordered: no row of a later slice sorts before one of an earlier slice
     ends = cut.groupBy("g", "__slice").agg(F.min("__ord").alias("lo"), F.max("__ord").alias("hi"))
@@ -46,49 +46,71 @@ def test_groups_are_really_cut(rows):
     assert ends.withColumn("prev", F.lag("hi").over(w)).where(F.col("prev") >= F.col("lo")).count() == 0
 
 
+def all_forms(make):
+    """As windows, as the forms for large groups, and split by size: one group is large, the others are not."""
+    same(make(False), make(True))
+    same(make(False), make(None))
+
+
+def test_no_job_runs_while_a_plan_of_bounded_groups_is_built(spark, rows):
+    rows.count()
+    spark.sparkContext.setJobGroup("plan", "plan")
+    z = peers.neutralize(rows, {"v": 1, "y": -1}, ["g"], large=False)
+    peers.peer_decile(z, "v__n", "d", ["g"], large=False)
+    evaluation.calibration_table(rows.withColumn("s", F.col("y")), "s", "v", large=False)
+    ranking.group_quantiles(rows, ["g"], ["v"], [0.5], False)
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("plan")) == 0
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
 def test_row_numbers(rows):
     d = rows.where(F.col("v").isNotNull())
-    same(ranking.numbered(d, ["g"], ["v", "entity"], slices=1), ranking.numbered(d, ["g"], ["v", "entity"], slices=5))
+    all_forms(lambda large: ranking.numbered(d, ["g"], ["v", "entity"], large=large))
 
 
 def test_average_ranks(rows):
-    same(
-        ranking.average_rank(rows, ["g"], "v", "r", ["entity"], 1),
-        ranking.average_rank(rows, ["g"], "v", "r", ["entity"], 5),
-    )
+    all_forms(lambda large: ranking.average_rank(rows, ["g"], "v", "r", ["entity"], large))
 
 
-def test_quantiles(rows):
-    probs = [0.02, 0.5, 0.98]
-    same(
-        ranking.group_quantiles(rows, ["g"], ["v", "y"], probs, ["entity"], 1),
-        ranking.group_quantiles(rows, ["g"], ["v", "y"], probs, ["entity"], 5),
-    )
+@pytest.mark.parametrize("probs", [[0.02, 0.5, 0.98], [0.0, 1.0], [0.25]])
+def test_quantiles(rows, probs):
+    all_forms(lambda large: ranking.group_quantiles(rows, ["g"], ["v", "y"], probs, large))
+    all_forms(lambda large: ranking.group_quantiles(rows, [], ["v", "y"], probs, large))
+
+
+def test_quantiles_of_many_rows_in_brackets(spark):
+    d = spark.range(200_000).select((F.col("id") % 2).alias("g"), (F.pmod(F.xxhash64("id"), F.lit(10_007)) / 7.0).alias("v"))
+    same(ranking.group_quantiles(d, ["g"], ["v"], [0.01, 0.5, 0.99], False), ranking.group_quantiles(d, ["g"], ["v"], [0.01, 0.5, 0.99], True))
 
 
 def test_neutralized_factors_and_deciles(rows):
     f = {"v": 1, "y": -1}
-    a = peers.neutralize(rows, f, ["g"], slices=1)
-    b = peers.neutralize(rows, f, ["g"], slices=5)
-    same(a, b)
-    same(peers.peer_decile(a, "v__n", "d", ["g"], slices=1), peers.peer_decile(a, "v__n", "d", ["g"], slices=5))
+    all_forms(lambda large: peers.neutralize(rows, f, ["g"], large=large))
+    a = peers.neutralize(rows, f, ["g"], large=False)
+    all_forms(lambda large: peers.peer_decile(a, "v__n", "d", ["g"], large=large))
 
 
 def test_rank_method_medians_and_risk(rows):
-    same(peers.neutralize(rows, {"v": 1}, ["g"], method="rank", slices=1), peers.neutralize(rows, {"v": 1}, ["g"], method="rank", slices=4))
-    same(peers.relative_to_median(rows, {"v": "m"}, ["g"], slices=1), peers.relative_to_median(rows, {"v": "m"}, ["g"], slices=4))
-    same(peers.absolute_risk(rows, {"v": 1, "y": 1}, "g", slices=1), peers.absolute_risk(rows, {"v": 1, "y": 1}, "g", slices=4))
+    all_forms(lambda large: peers.neutralize(rows, {"v": 1}, ["g"], method="rank", large=large))
+    all_forms(lambda large: peers.relative_to_median(rows, {"v": "m"}, ["g"], large=large))
+    all_forms(lambda large: peers.absolute_risk(rows, {"v": 1, "y": 1}, "g", large=large))
 
 
 def test_rank_correlation_and_label_clipping(rows):
     p = rows.where(F.col("v").isNotNull()).select("g", "entity", F.col("v").alias("s"), "y")
-    same(evaluation.rank_correlation(p, ["g"], slices=1), evaluation.rank_correlation(p, ["g"], slices=5))
-    same(evaluation.clip_labels(rows, "y", "w", ["g"], slices=1), evaluation.clip_labels(rows, "y", "w", ["g"], slices=5))
+    all_forms(lambda large: evaluation.rank_correlation(p, ["g"], large=large))
+    all_forms(lambda large: evaluation.clip_labels(rows, "y", "w", ["g"], large=large))
+    all_forms(lambda large: evaluation.clip_labels(rows, "y", "w", [], large=large))
+
+
+def test_ranks_shared_by_pairs_are_the_ranks_of_each_pair(rows):
+    d = rows.select(F.col("g").alias("date"), "entity", "v", "y", F.when(F.col("entity") % 5 > 0, F.col("y") * -1).alias("u"))
+    all_forms(lambda large: evaluation.ic_series(d, {"a": "v", "b": "u"}, {"1": "y", "2": "u"}, large=large))
 
 
 def test_permutation_keeps_the_values(rows):
-    for slices in (1, 4):
-        p = resampling.permuted_scores(rows, "v", 2, slices=slices)
+    for large in (False, True, None):
+        p = resampling.permuted_scores(rows, "v", 2, large=large)
         want = sorted((x.v is None, x.v) for x in rows.select("v").collect())
         got = p.where(F.col("trial") == 1).select("score").collect()
         assert sorted((x.score is None, x.score) for x in got) == want
