@@ -17,11 +17,12 @@ FOREVER = "9999-12-31"
 
 
 def latest_per_day(facts: DataFrame, day: str, order: Sequence[str], values: Sequence[str], entity: str = "entity"):
-    """One row per (entity, day): the row greatest in ``order``; combined before the shuffle."""
+    """One row per (entity, day): the row greatest in ``order``, then in its values, so that ties give the same row on
+    every run; combined before the shuffle."""
     if not values:
         return facts.select(entity, day).distinct()
     row = F.struct(*[F.col(v) for v in values])
-    key = F.struct(*[F.col(o) for o in order]) if order else F.lit(1)
+    key = F.struct(*[F.col(o).alias(f"o{i}") for i, o in enumerate([*order, *values])])
     picked = facts.groupBy(entity, day).agg(F.max_by(row, key).alias("__r"))
     return picked.select(entity, day, *[F.col("__r")[v].alias(v) for v in values])
 

@@ -48,13 +48,42 @@ def rank_correlation(
     return sized(pairs, keys, large, steps)
 
 
+def _ranked_together(d: DataFrame, n_labels: int, date: str) -> DataFrame:
+    """(i, j, date, rho, n) of rows (date, i, s, y0, y1, ...): a score is sorted once for all labels.
+
+    The rows of a pair are those where its label is present, so a running count of them along the sorted score is the
+    score's rank in that pair."""
+    keys = [date, "i"]
+    w = Window.partitionBy(*keys)
+    by_score, same = w.orderBy("s"), w.orderBy("s").rangeBetween(Window.currentRow, Window.currentRow)
+    ranks = []
+    for j in range(n_labels):
+        upto = F.count(f"__y{j}").over(by_score.rangeBetween(Window.unboundedPreceding, Window.currentRow))
+        ties = F.count(f"__y{j}").over(same)
+        ranks.append(F.when(F.col(f"__y{j}").isNotNull(), upto - (ties - 1) / F.lit(2.0)).alias(f"__s{j}"))
+    d = d.select(*keys, *[f"__y{j}" for j in range(n_labels)], *ranks)
+    for j in range(n_labels):
+        y = F.col(f"__y{j}")
+        by_label = w.orderBy(y.asc_nulls_last())
+        ties = F.count(F.lit(1)).over(by_label.rangeBetween(Window.currentRow, Window.currentRow))
+        d = d.withColumn(f"__r{j}", F.when(y.isNotNull(), F.rank().over(by_label) + (ties - 1) / F.lit(2.0))).drop(f"__y{j}")
+    aggs, rows = [], []
+    for j in range(n_labels):
+        x, y = f"__s{j}", f"__r{j}"
+        aggs.append(F.struct(F.covar_pop(x, y).alias("c"), F.stddev_pop(x).alias("x"), F.stddev_pop(y).alias("y"), F.count(x).alias("n")).alias(f"__m{j}"))
+        m = F.col(f"__m{j}")
+        rows.append(F.struct(F.lit(j).alias("j"), _rho(m["c"], m["x"], m["y"]).alias("rho"), m["n"].alias("n")))
+    return d.groupBy(*keys).agg(*aggs).select(*keys, F.explode(F.array(*rows)).alias("__p")).select("i", "__p.j", date, "__p.rho", "__p.n")
+
+
 def ic_series(
     df: DataFrame, scores: Mapping[str, str], labels: Mapping[str, str], min_rows: int = 10, date: str = "date",
     entity: str = "entity", large: bool | None = None,
 ) -> DataFrame:
     """Every score against every label in one grouped pass: (series, horizon, date, ic, n), ic = -Spearman.
 
-    Values are rounded before ranking. Dates are dealt out by size before rows are multiplied by pairs."""
+    Values are rounded before ranking. A score is sorted once for all labels; dates are dealt out by size before rows are
+    multiplied by series."""
     s_names, y_names = list(scores), list(labels)
     narrow = df.select(
         date, entity, *[F.round(scores[n], 9).alias(f"__s{i}") for i, n in enumerate(s_names)], *[F.round(labels[n], 9).alias(f"__y{j}") for j, n in enumerate(y_names)]
@@ -62,10 +91,13 @@ def ic_series(
 
     def steps(d: DataFrame, large: bool) -> DataFrame:
         s = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.col(f"__s{i}").alias("s")) for i in range(len(s_names))]))
-        y = F.explode(F.array(*[F.struct(F.lit(j).alias("j"), F.col(f"__y{j}").alias("y")) for j in range(len(y_names))]))
-        first = d.withColumn("__s", s).where(F.col("__s.s").isNotNull())
-        both = first.withColumn("__y", y).where(F.col("__y.y").isNotNull()).select(date, entity, "__s.*", "__y.*")
-        return rank_correlation(both, [date, "i", "j"], "s", "y", entity, large).select("i", "j", date, "rho", "n")
+        ys = [f"__y{j}" for j in range(len(y_names))]
+        first = d.select(date, entity, *ys, s.alias("__s")).where(F.col("__s.s").isNotNull()).select(date, entity, "__s.*", *ys)
+        if not large:
+            return _ranked_together(first.drop(entity), len(ys), date)
+        y = F.explode(F.array(*[F.struct(F.lit(j).alias("j"), F.col(c).alias("y")) for j, c in enumerate(ys)]))
+        both = first.select(date, entity, "i", "s", y.alias("__y")).where(F.col("__y.y").isNotNull()).select(date, entity, "i", "s", "__y.*")
+        return rank_correlation(both, [date, "i", "j"], "s", "y", entity, True).select("i", "j", date, "rho", "n")
 
     rho = sized(narrow, [date], large, steps)
     name = lambda names, c: F.element_at(F.array(*[F.lit(n) for n in names]), F.col(c) + 1)
@@ -318,6 +350,12 @@ def trailing_volatility(bench: DataFrame, window: int = 63, per_year: int = 252)
     )
 
 
+def enough_periods(dated: DataFrame, least: int) -> DataFrame:
+    """All rows of a short series (one per date), or none if there are fewer than ``least``."""
+    every = Window.partitionBy(F.lit(1))
+    return dated.withColumn("__n", F.count(F.lit(1)).over(every)).where(F.col("__n") >= least).drop("__n")
+
+
 def terciles(dated: DataFrame, value: str, names: Sequence[str] = ("calm", "normal", "stressed")) -> DataFrame:
     """Full-sample tercile label per row of a short series, cuts right-closed."""
     cuts = dated.agg(F.percentile(value, F.array(F.lit(1 / 3), F.lit(2 / 3))).alias("__c"))

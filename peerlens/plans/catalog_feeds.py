@@ -378,8 +378,8 @@ _HZ = {"1m": 4, "1q": 12, "2q": 24, "4q": 48}
 
 def assembled(spark, sf):
     supplier_rows = fu.factors_from_items(supplier_items(spark, sf))
-    brands = supplier_rows.withColumn("entity", F.concat(F.lit("Brand#"), (F.col("entity") % 25 + 1).cast("string")))
-    one = asof.latest_per_day(brands, "as_of", ["quarter_end", "total_assets"], [c for c in brands.columns if c not in ("entity", "as_of")])
+    brands = supplier_rows.withColumn("supplier", F.col("entity")).withColumn("entity", F.concat(F.lit("Brand#"), (F.col("entity") % 25 + 1).cast("string")))
+    one = asof.latest_per_day(brands, "as_of", ["quarter_end", "total_assets", "supplier"], [c for c in brands.columns if c not in ("entity", "as_of")])
     return pn.build_panel(
         v.bars_raw(spark, sf), _brand_membership(spark, sf), None, "CORE", v.bench(spark, sf), one, month=S, quarter=M, year=L, half_year=2 * M, half_year_least=M,
         horizons=_HZ, large=v.large(spark, sf),
@@ -422,7 +422,7 @@ def panel_assembled(spark, sf):
 _STATED = {
     **_ITEMS_SQL,
     **_PANEL_SQL,
-    "one": "SELECT * FROM (SELECT 'Brand#' || (entity%25+1) AS entity, * EXCLUDE (entity), row_number() OVER (PARTITION BY entity%25, as_of ORDER BY quarter_end DESC NULLS LAST, total_assets DESC NULLS LAST) AS no FROM fy) WHERE no=1",
+    "one": "SELECT * FROM (SELECT 'Brand#' || (entity%25+1) AS entity, * EXCLUDE (entity), row_number() OVER (PARTITION BY entity%25, as_of ORDER BY quarter_end DESC NULLS LAST, total_assets DESC NULLS LAST, entity DESC) AS no FROM fy) WHERE no=1",
     "iv": "SELECT entity, date, last_value(iv IGNORE NULLS) OVER (PARTITION BY entity ORDER BY date ROWS UNBOUNDED PRECEDING) AS ivol_63d FROM "
     "(SELECT entity, date, CASE WHEN vi IS NOT NULL AND b63 IS NOT NULL THEN sqrt(greatest(0,vi-b63*b63*vq)) END AS iv FROM g2)",
     "st": "SELECT p.date, p.entity, o.* EXCLUDE (entity), p.fwd_ret_1q, p.fwd_ret_2q FROM pp p ASOF LEFT JOIN one o ON o.entity=p.entity AND p.date>=o.as_of",

@@ -37,6 +37,58 @@ def ics(spark, sf, scores=None, labels=None, sel=True):
     return ev.ic_series(selected(d) if sel else d, scores or {"score_ew": "score_ew"}, labels or {"1q": "fwd_rel_ret_1q"}, large=v.large(spark, sf))
 
 
+# --- the learned score in SQL ------------------------------------------------------------
+
+ML = [*v.FEATURES, *[f"{n}__n" for n in v.INTERACTIONS]]
+_P = range(len(ML))
+
+
+def _solve_sql(source: str) -> dict[str, str]:
+    """The normal equations of every row of ``source`` (moments n, sy, sx_i, sxy_i, sxx_i_j) solved by elimination, one
+    step to a view: ``s0`` has the penalised matrix, ``s<k>`` the rows below pivot k reduced, ``co`` intercept b and slopes w_i."""
+    upper = [(i, j) for i in _P for j in range(i, len(ML))]
+    start = ", ".join(f"sxx_{i}_{j}-sx_{i}*sx_{j}/n" + ("+10.0" if i == j else "") + f" AS a_{i}_{j}" for i, j in upper)
+    rhs = ", ".join(f"sxy_{i}-sx_{i}*sy/n AS r_{i}" for i in _P)
+    out = {"s0": f"SELECT *, {start}, {rhs} FROM {source}"}
+    for k in _P[:-1]:
+        less = [f"a_{i}_{j}-a_{k}_{i}*a_{k}_{j}/a_{k}_{k} AS a_{i}_{j}" for i, j in upper if i > k]
+        less += [f"r_{i}-a_{k}_{i}*r_{k}/a_{k}_{k} AS r_{i}" for i in _P if i > k]
+        out[f"s{k + 1}"] = f"SELECT * REPLACE ({', '.join(less)}) FROM s{k}"
+    last = f"s{len(ML) - 1}"
+    for k in reversed(_P):
+        known = "".join(f"-a_{k}_{j}*w_{j}" for j in range(k + 1, len(ML)))
+        out[f"w{k}"] = f"SELECT *, (r_{k}{known})/a_{k}_{k} AS w_{k} FROM {last}"
+        last = f"w{k}"
+    out["co"] = "SELECT *, sy/n" + "".join(f"-w_{i}*sx_{i}/n" for i in _P) + f" AS b FROM {last}"
+    return out
+
+
+def _ridge_sql(prior: str, source: str = "scored") -> dict[str, str]:
+    """Views from ``x`` (rows with all features) to ``co``; ``prior`` is the training set of each date."""
+    sums = ["count(y) AS n", "coalesce(sum(y),0) AS sy"]
+    sums += [f"coalesce(sum(x_{i}),0) AS sx_{i}, coalesce(sum(x_{i}*y),0) AS sxy_{i}" for i in _P]
+    sums += [f"coalesce(sum(x_{i}*x_{j}),0) AS sxx_{i}_{j}" for i in _P for j in range(i, len(ML))]
+    use = "index_name='SMALL' AND fwd_rel_ret_1q IS NOT NULL"
+    rows = ", ".join(f"CASE WHEN {use} THEN coalesce({f},0) END AS x_{i}" for i, f in enumerate(ML))
+    return {
+        "x": f"SELECT *, {IX} FROM {source}",
+        "m": f"SELECT date, {', '.join(sums)} FROM (SELECT date, CASE WHEN {use} THEN fwd_rel_ret_1q END AS y, {rows} FROM x) GROUP BY 1",
+        "tr": prior,
+        **_solve_sql("tr"),
+    }
+
+
+_SUMS = ["n", "sy", *[f"{c}_{i}" for i in _P for c in ("sx", "sxy")], *[f"sxx_{i}_{j}" for i in _P for j in range(i, len(ML))]]
+_PRIOR = (
+    "SELECT * FROM (SELECT date, row_number() OVER (ORDER BY date)-1 AS prior, " + ", ".join(f"sum({c}) OVER p AS {c}" for c in _SUMS)
+    + " FROM m WINDOW p AS (ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) WHERE prior>=6 AND n>=50"
+)
+_WALK, _WALK_M = _ridge_sql(_PRIOR), _ridge_sql(_PRIOR, "scored_m")
+_WHOLE = _ridge_sql("SELECT * FROM (SELECT " + ", ".join(f"sum({c}) AS {c}" for c in _SUMS) + " FROM m) WHERE n>=100")
+_FITTED = "-(b" + "".join(f"+w_{i}*coalesce({f},0)" for i, f in enumerate(ML)) + ")"
+_ML_M = {**_WALK_M, "ml": f"SELECT x.*, {_FITTED} AS score_ml FROM x LEFT JOIN co ON co.date=x.date"}
+
+
 EW = {"score_ew": "score_ew"}
 Q1 = {"1q": "fwd_rel_ret_1q"}
 IC1 = {"ics": ic_sql("scored", EW, Q1, SEL)}
@@ -76,16 +128,28 @@ def monthly_ic_long_overlap(spark, sf):
     return tidy(s, "series", "horizon", "mean_ic", "t_stat", "ir", "hit_rate", "n_periods")
 
 
+SERIES = {"score_ew": "score_ew", "score_ml": "score_ml", **{f: f"{f}__n" for f in v.FACTORS}, **FAM}
+KIND = {**dict.fromkeys(FAM, "family"), **dict.fromkeys(v.FACTORS, "factor"), "score_ew": "composite", "score_ml": "composite"}
+_KIND_CASE = "CASE series " + " ".join(f"WHEN '{n}' THEN '{k}'" for n, k in KIND.items()) + " END"
+
+
+def learned(spark, sf, *more):
+    """The monthly panel with its walk-forward score."""
+    d = v.kept(v.crossed(spark, sf, "month"), "date", "entity", "sector", "index_name", "score_ew", *more, *FAM.values(), *LABELS_M.values(), *ML)
+    return learning.walk_forward(d, ML, "fwd_rel_ret_1q", F.col("index_name") == v.SELECTION)[0]
+
+
 @query(
     "horizon_term_structure",
     with_views(
-        f"SELECT series, horizon, round(mean,6) AS mean_ic, {r6('t_stat', 'se', 'ir')}, n_periods FROM ({hac_sql('ics', 'series, horizon', 'ic', LAG_SQL)})",
-        "scored", extra={"ics": ic_sql("scored", {**SCORES, **FAM}, LABELS, SEL), "h": hac_cte("ics", "series, horizon", "ic", LAG_SQL)},
+        f"SELECT series, {_KIND_CASE} AS kind, horizon, round(mean,6) AS mean_ic, {r6('t_stat', 'se', 'ir')}, n_periods FROM ({hac_sql('ics', 'series, horizon', 'ic', LAG_SQL_M)})",
+        "scored_m", extra={**_ML_M, "ics": ic_sql("ml", SERIES, LABELS_M, SEL), "h": hac_cte("ics", "series, horizon", "ic", LAG_SQL_M)},
     ),
 )
 def horizon_term_structure(spark, sf):
-    s = ev.ic_summary(selected(v.scored(spark, sf)), {**SCORES, **FAM}, LABELS, v.MONTHS, "Q", large=v.large(spark, sf))
-    return tidy(s, "series", "horizon", "mean_ic", "t_stat", "se", "ir", "n_periods")
+    s = ev.ic_summary(selected(learned(spark, sf)), SERIES, LABELS_M, {"1m": 1, **v.MONTHS}, "M", large=v.large(spark, sf))
+    kinds = F.create_map(*[F.lit(x) for kv in KIND.items() for x in kv])
+    return tidy(s.withColumn("kind", kinds[F.col("series")]), "series", "kind", "horizon", "mean_ic", "t_stat", "se", "ir", "n_periods")
 
 
 FACT = {f: f"{f}__n" for f in v.FACTORS}
@@ -243,7 +307,7 @@ _VOL = """SELECT date, CASE WHEN count(r) OVER w >= 12 THEN stddev_samp(r) OVER
         "scored", "bench",
         extra={
             **IC1, "vol": _VOL,
-            "iv": "SELECT ics.date, ic, vol FROM ics ASOF JOIN vol ON ics.date >= vol.date WHERE vol IS NOT NULL",
+            "iv": "SELECT * FROM (SELECT ics.date, ic, vol, count(*) OVER () AS n FROM ics ASOF JOIN vol ON ics.date >= vol.date WHERE vol IS NOT NULL) WHERE n>=12",
             "t": "SELECT date, ic, vol, CASE WHEN round(vol,12)<=round(c1,12) THEN 'calm' WHEN round(vol,12)<=round(c2,12) THEN 'normal' ELSE 'stressed' END AS regime FROM iv CROSS JOIN (SELECT quantile_cont(vol,1/3.0) AS c1, quantile_cont(vol,2/3.0) AS c2 FROM iv)",
             "h": hac_cte("t", "regime", "ic", "1"),
         },
@@ -256,7 +320,7 @@ def ic_by_volatility_regime(spark, sf):
     vol = ev.trailing_volatility(b, v.MID, v.LONG).select(F.lit("bench").alias("entity"), F.col("date").alias("as_of"), "vol")
     # one row per date
     dated = asof_join(v.kept(ics(spark, sf)).withColumn("entity", F.lit("bench")), vol, "date", "as_of", ["vol"]).where(F.col("vol").isNotNull())
-    tagged = ev.terciles(dated.select("date", "ic", "vol"), "vol")
+    tagged = ev.terciles(ev.enough_periods(dated.select("date", "ic", "vol"), 12), "vol")
     res = ev.hac_mean(tagged, ["regime"], "ic", 1)
     avg = tagged.groupBy("regime").agg(F.avg("vol").alias("avg_bench_vol"))
     return tidy(res.join(avg, "regime").withColumnRenamed("mean", "mean_ic"), "regime", "mean_ic", "t_stat", "n_periods", "avg_bench_vol")
@@ -321,71 +385,79 @@ def sleeve_exposures(spark, sf):
 # --- evidence-weighted blend ----------------------------------------------------------------
 
 _FAMS = list(v.FAMILIES)
-_W_MIN = 4
+_W_MIN = 12
 _ICW = {
-    "fic": ic_sql("scored", FAM, Q1, SEL),
+    "fic": ic_sql("scored_m", FAM, Q1, SEL),
     "wk": f"""SELECT date, family, n, greatest(coalesce(m,0),0) AS pos, min(n) OVER (PARTITION BY date) AS n_realized, sum(greatest(coalesce(m,0),0)) OVER (PARTITION BY date) AS total FROM (
- SELECT d.date, f.family, count(ic) AS n, avg(ic) AS m FROM (SELECT DISTINCT date FROM scored) d CROSS JOIN (SELECT unnest({_FAMS!r}) AS family) f LEFT JOIN LATERAL (
-  SELECT ic FROM fic WHERE fic.series=f.family AND fic.date <= CAST(d.date - INTERVAL 3 MONTH AS DATE) ORDER BY fic.date DESC LIMIT 8) ON true GROUP BY 1,2)""",
+ SELECT d.date, f.family, count(ic) AS n, avg(ic) AS m FROM (SELECT DISTINCT date FROM scored_m) d CROSS JOIN (SELECT unnest({_FAMS!r}) AS family) f LEFT JOIN LATERAL (
+  SELECT ic FROM fic WHERE fic.series=f.family AND fic.date <= CAST(d.date - INTERVAL 3 MONTH AS DATE) ORDER BY fic.date DESC LIMIT 36) ON true GROUP BY 1,2)""",
     "wt": f"SELECT date, family, CASE WHEN n_realized<{_W_MIN} OR total<=0 THEN 1.0/3 ELSE 0.5/3+0.5*pos/total END AS weight, n_realized FROM wk",
     "ww": "SELECT date, " + ", ".join(f"max(CASE WHEN family='{g}' THEN weight END) AS w_{g.lower()}" for g in _FAMS) + " FROM wt GROUP BY 1",
     "raw": "SELECT s.*, CASE WHEN n_factors_used>=3 AND n_families_used>=2 THEN ("
     + "+".join(f"CASE WHEN {fam(g)} IS NOT NULL THEN {fam(g)}*w_{g.lower()} ELSE 0 END" for g in _FAMS)
     + ")/("
     + "+".join(f"CASE WHEN {fam(g)} IS NOT NULL THEN w_{g.lower()} ELSE 0 END" for g in _FAMS)
-    + ") END AS score_icw_raw FROM scored s JOIN ww USING (date)",
+    + ") END AS score_icw_raw FROM scored_m s JOIN ww USING (date)",
     "icw": f"SELECT *, {decile_sql('score_icw', 'decile_icw')} FROM (SELECT *, {z_sql('score_icw_raw', 'score_icw')} FROM raw)",
 }
+#: The same on the panel that also has the learned score.
+_ICW_ML = {**_ML_M, **_ICW, "raw": _ICW["raw"].replace("FROM scored_m s", "FROM ml s")}
 
 
-def blended(spark, sf):
-    base = v.kept(v.scored(spark, sf), "date", "entity", "sector", "index_name", *FAM.values(), "n_factors_used", "n_families_used", "score_ew", "fwd_rel_ret_1q")
-    return scoring.evidence_weighted_score(
-        base, _FAMS, "fwd_rel_ret_1q", 3, v.SELECTION, window=8, min_realized=_W_MIN, large=v.large(spark, sf)
-    )
+def blended(spark, sf, base=None):
+    """Monthly scores weighted by the realised evidence of three years, equal until a year of it is there."""
+    if base is None:
+        base = v.kept(v.scored(spark, sf, "month"), "date", "entity", "sector", "index_name", *FAM.values(), "n_factors_used", "n_families_used", "score_ew", "fwd_rel_ret_1q")
+    return scoring.evidence_weighted_score(base, _FAMS, "fwd_rel_ret_1q", 3, v.SELECTION, large=v.large(spark, sf))
 
 
-@query("evidence_weight_history", with_views("SELECT date, family, round(weight,6) AS weight, n_realized FROM wt", "scored", extra={k: _ICW[k] for k in ("fic", "wk", "wt")}))
+@query("evidence_weight_history", with_views("SELECT date, family, round(weight,6) AS weight, n_realized FROM wt", "scored_m", extra={k: _ICW[k] for k in ("fic", "wk", "wt")}))
 def evidence_weight_history(spark, sf):
     return tidy(blended(spark, sf)[1])
 
 
-@query("evidence_weighted_score", with_views(f"SELECT date, entity, {r6('score_icw')}, {big('decile_icw')} FROM icw", "scored", extra=_ICW))
+@query("evidence_weighted_score", with_views(f"SELECT date, entity, {r6('score_icw')}, {big('decile_icw')} FROM icw", "scored_m", extra=_ICW))
 def evidence_weighted_score(spark, sf):
     return tidy(blended(spark, sf)[0], "date", "entity", "score_icw", "decile_icw")
 
 
-_TWO = {"score_ew": "score_ew", "score_icw": "score_icw"}
+_THREE = {"score_ew": "score_ew", "score_icw": "score_icw", "score_ml": "score_ml"}
+_LAG_1Q = str(LAGS_M["1q"])
+
+
+def _contenders(spark, sf):
+    base = v.kept(learned(spark, sf, "n_factors_used", "n_families_used"), "date", "entity", "sector", "index_name", *FAM.values(), "n_factors_used", "n_families_used", "score_ew", "score_ml", "fwd_rel_ret_1q")
+    return selected(blended(spark, sf, base)[0])
 
 
 @query(
     "model_comparison",
     with_views(
-        f"SELECT series AS score_col, round(mean,6) AS mean_ic, {r6('t_stat', 'ir', 'hit_rate')}, n_periods FROM ({hac_sql('ics', 'series, horizon', 'ic', '1')})", "scored",
-        extra={**_ICW, "ics": ic_sql("icw", _TWO, Q1, SEL), "h": hac_cte("ics", "series, horizon", "ic", "1")},
+        f"SELECT series AS score_col, round(mean,6) AS mean_ic, {r6('t_stat', 'ir', 'hit_rate')}, n_periods FROM ({hac_sql('ics', 'series, horizon', 'ic', _LAG_1Q)})", "scored_m",
+        extra={**_ICW_ML, "ics": ic_sql("icw", _THREE, Q1, SEL), "h": hac_cte("ics", "series, horizon", "ic", _LAG_1Q)},
     ),
 )
 def model_comparison(spark, sf):
-    s = ev.ic_summary(selected(blended(spark, sf)[0]), _TWO, Q1, {"1q": 3}, "Q", large=v.large(spark, sf))
+    s = ev.ic_summary(_contenders(spark, sf), _THREE, Q1, {"1q": 3}, "M", large=v.large(spark, sf))
     return tidy(s.withColumnRenamed("series", "score_col"), "score_col", "mean_ic", "t_stat", "ir", "hit_rate", "n_periods")
 
 
 _PAIR = {
-    **_ICW, "ics": ic_sql("icw", _TWO, Q1, SEL),
-    "df": "SELECT a.date, a.ic-b.ic AS diff, 1 AS one FROM ics a JOIN ics b ON a.date=b.date WHERE a.series='score_icw' AND b.series='score_ew'",
-    "h": hac_cte("df", "one", "diff", "1"),
+    **_ML_M, "ics": ic_sql("ml", {"score_ml": "score_ml", "score_ew": "score_ew"}, Q1, SEL),
+    "df": "SELECT a.date, a.ic-b.ic AS diff, 1 AS one FROM ics a JOIN ics b ON a.date=b.date WHERE a.series='score_ml' AND b.series='score_ew'",
+    "h": hac_cte("df", "one", "diff", _LAG_1Q),
 }
 
 
 def _paired(spark, sf):
     # one row per date and series
-    d = v.kept(ev.ic_series(selected(blended(spark, sf)[0]), _TWO, Q1, large=v.large(spark, sf)))
-    return ev.paired_test(d, "score_icw", "score_ew", 1)
+    d = v.kept(ev.ic_series(selected(learned(spark, sf)), {"score_ml": "score_ml", "score_ew": "score_ew"}, Q1, large=v.large(spark, sf)))
+    return ev.paired_test(d, "score_ml", "score_ew", LAGS_M["1q"])
 
 
 @query(
     "paired_ic_test",
-    with_views(f"SELECT round(mean,6) AS mean_diff, {r6('t_stat')}, n_periods, mean>0 AND t_stat>=1.645 AS promote FROM ({hac_sql('df', 'one', 'diff', '1')})", "scored", extra=_PAIR),
+    with_views(f"SELECT round(mean,6) AS mean_diff, {r6('t_stat')}, n_periods, mean>0 AND t_stat>=1.645 AS promote FROM ({hac_sql('df', 'one', 'diff', _LAG_1Q)})", "scored_m", extra=_PAIR),
 )
 def paired_ic_test(spark, sf):
     return tidy(_paired(spark, sf))
@@ -397,8 +469,8 @@ def paired_ic_test(spark, sf):
         f"""SELECT round(mean,6) AS mean_diff, was_promoted, CASE WHEN was_promoted THEN t_stat>=0 ELSE mean>0 AND t_stat>=1.645 END AS promote,
  CASE WHEN was_promoted AND t_stat>=0 THEN 'retained (hysteresis)' WHEN was_promoted THEN 'demoted' WHEN mean>0 AND t_stat>=1.645 THEN 'promoted' ELSE 'baseline kept' END AS decision,
  CASE WHEN CASE WHEN was_promoted THEN t_stat>=0 ELSE mean>0 AND t_stat>=1.645 END THEN 'score_ml' ELSE 'score_ew' END AS default_score
- FROM ({hac_sql('df', 'one', 'diff', '1')}) CROSS JOIN (SELECT unnest([true,false]) AS was_promoted)""",
-        "scored", extra=_PAIR,
+ FROM ({hac_sql('df', 'one', 'diff', _LAG_1Q)}) CROSS JOIN (SELECT unnest([true,false]) AS was_promoted)""",
+        "scored_m", extra=_PAIR,
     ),
 )
 def promotion_with_hysteresis(spark, sf):
@@ -576,9 +648,6 @@ def sleeves_by_regime(spark, sf):
 
 # --- estimation ---------------------------------------------------------------------------------
 
-ML = [*v.FEATURES, *[f"{n}__n" for n in v.INTERACTIONS]]
-
-
 def featured(spark, sf):
     return v.kept(v.crossed(spark, sf), "date", "entity", "sector", "index_name", "fwd_rel_ret_1q", *ML)
 
@@ -598,53 +667,6 @@ def training_moments_by_date(spark, sf):
     return tidy(m.drop("syy").where(F.col("n") > 0))
 
 
-_P = range(len(ML))
-
-
-def _solve_sql(source: str) -> dict[str, str]:
-    """The normal equations of every row of ``source`` (moments n, sy, sx_i, sxy_i, sxx_i_j) solved by elimination, one
-    step to a view: ``s0`` has the penalised matrix, ``s<k>`` the rows below pivot k reduced, ``co`` intercept b and slopes w_i."""
-    upper = [(i, j) for i in _P for j in range(i, len(ML))]
-    start = ", ".join(f"sxx_{i}_{j}-sx_{i}*sx_{j}/n" + ("+10.0" if i == j else "") + f" AS a_{i}_{j}" for i, j in upper)
-    rhs = ", ".join(f"sxy_{i}-sx_{i}*sy/n AS r_{i}" for i in _P)
-    out = {"s0": f"SELECT *, {start}, {rhs} FROM {source}"}
-    for k in _P[:-1]:
-        less = [f"a_{i}_{j}-a_{k}_{i}*a_{k}_{j}/a_{k}_{k} AS a_{i}_{j}" for i, j in upper if i > k]
-        less += [f"r_{i}-a_{k}_{i}*r_{k}/a_{k}_{k} AS r_{i}" for i in _P if i > k]
-        out[f"s{k + 1}"] = f"SELECT * REPLACE ({', '.join(less)}) FROM s{k}"
-    last = f"s{len(ML) - 1}"
-    for k in reversed(_P):
-        known = "".join(f"-a_{k}_{j}*w_{j}" for j in range(k + 1, len(ML)))
-        out[f"w{k}"] = f"SELECT *, (r_{k}{known})/a_{k}_{k} AS w_{k} FROM {last}"
-        last = f"w{k}"
-    out["co"] = "SELECT *, sy/n" + "".join(f"-w_{i}*sx_{i}/n" for i in _P) + f" AS b FROM {last}"
-    return out
-
-
-def _ridge_sql(prior: str) -> dict[str, str]:
-    """Views from ``x`` (rows with all features) to ``co``; ``prior`` is the training set of each date."""
-    sums = ["count(y) AS n", "coalesce(sum(y),0) AS sy"]
-    sums += [f"coalesce(sum(x_{i}),0) AS sx_{i}, coalesce(sum(x_{i}*y),0) AS sxy_{i}" for i in _P]
-    sums += [f"coalesce(sum(x_{i}*x_{j}),0) AS sxx_{i}_{j}" for i in _P for j in range(i, len(ML))]
-    use = "index_name='SMALL' AND fwd_rel_ret_1q IS NOT NULL"
-    rows = ", ".join(f"CASE WHEN {use} THEN coalesce({f},0) END AS x_{i}" for i, f in enumerate(ML))
-    return {
-        "x": f"SELECT *, {IX} FROM scored",
-        "m": f"SELECT date, {', '.join(sums)} FROM (SELECT date, CASE WHEN {use} THEN fwd_rel_ret_1q END AS y, {rows} FROM x) GROUP BY 1",
-        "tr": prior,
-        **_solve_sql("tr"),
-    }
-
-
-_SUMS = ["n", "sy", *[f"{c}_{i}" for i in _P for c in ("sx", "sxy")], *[f"sxx_{i}_{j}" for i in _P for j in range(i, len(ML))]]
-_WALK = _ridge_sql(
-    "SELECT * FROM (SELECT date, row_number() OVER (ORDER BY date)-1 AS prior, " + ", ".join(f"sum({c}) OVER p AS {c}" for c in _SUMS)
-    + " FROM m WINDOW p AS (ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) WHERE prior>=6 AND n>=50"
-)
-_WHOLE = _ridge_sql("SELECT * FROM (SELECT " + ", ".join(f"sum({c}) AS {c}" for c in _SUMS) + " FROM m) WHERE n>=100")
-_FITTED = "-(b" + "".join(f"+w_{i}*coalesce({f},0)" for i, f in enumerate(ML)) + ")"
-
-
 @query(
     "walk_forward_ridge_scores",
     with_views(
