@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from peerlens.llm.common import durable, fold_ascii, table
+from peerlens.llm.common import at_places, durable, fold_ascii, table
 
 BLOCK_CHARS = 4096
 
@@ -105,9 +105,7 @@ def drop_exact_duplicates(docs: DataFrame) -> DataFrame:
 
     Rows are matched by their place, so ``docs`` must be a table that gives its rows in the same order
     each time, such as files."""
-    keep = exact_duplicates(docs).where("kept").select("row")
-    marked = docs.withColumn("__row", F.monotonically_increasing_id())
-    return marked.join(keep, marked["__row"] == keep["row"], "left_semi").select(*[marked[c] for c in docs.columns])
+    return at_places(docs, exact_duplicates(docs).where("kept").select("row"))
 
 
 def op6_block_naming(spark, sf_dir: str) -> DataFrame:

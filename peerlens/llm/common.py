@@ -39,6 +39,19 @@ def free_name(df: DataFrame, stem: str) -> str:
     return name
 
 
+def quoted(name: str) -> Column:
+    """The column of this very name, whatever signs it holds."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def at_places(docs: DataFrame, places: DataFrame, how: str = "left_semi") -> DataFrame:
+    """The rows of ``docs`` whose place is (``left_semi``) or is not (``left_anti``) among ``places`` (one column).
+
+    A place is where a row stands in its table, so ``docs`` must give its rows in the same order each time, as files do."""
+    row = free_name(docs, "row")
+    return docs.withColumn(row, F.monotonically_increasing_id()).join(places.toDF(row), row, how).select(*map(quoted, docs.columns))
+
+
 def number_in_class(df: DataFrame, keys: Sequence[str], order: Sequence[str], out: str, rows_per_bucket: int = 1000) -> DataFrame:
     """Add ``out``: 0, 1, 2, ... inside each class, although one class may hold most rows.
 

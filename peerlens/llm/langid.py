@@ -42,11 +42,20 @@ def _letters() -> np.ndarray:
     return np.fromiter((chr(i).isalpha() for i in range(0x110000)), bool, 0x110000)
 
 
-def grams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def cuts(text: str) -> Iterator[tuple[str, int, int]]:
+    """(cut, letters before it, letters after it): a text beyond ``CHARS_AT_ONCE`` in cuts that reach over their ends by half
+    an n-gram, so that each n-gram is whole in the cut that holds its middle."""
+    side = GRAM // 2
+    for k in range(0, len(text), CHARS_AT_ONCE):
+        left, right = min(side, k), min(side, max(0, len(text) - k - CHARS_AT_ONCE))
+        yield text[k - left : k + CHARS_AT_ONCE + right], left, right
+
+
+def grams(texts: list[str | None], around: list[tuple[int, int]] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(hashes of n-grams with a letter in the middle, the text each is from, whether each text has a letter).
 
     Texts are lower-cased; what is no letter counts as a blank. Texts are joined with blanks between, so no
-    n-gram spans two of them."""
+    n-gram spans two of them. ``around`` names characters at both ends of each text that are no middles."""
     joined = (" " * GRAM).join((t or "").lower() for t in texts)
     codes = np.frombuffer((" " + joined + " " * GRAM).encode("utf-32-le", "surrogatepass"), np.uint32)
     letter = _letters()[codes]
@@ -60,6 +69,11 @@ def grams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     middle = letter[GRAM // 2 : GRAM // 2 + len(h)]
     # The n-gram at place p has its middle at p + GRAM // 2, which is place p + GRAM // 2 - 1 of the joined texts.
     places = np.flatnonzero(middle)
+    if around is not None:
+        at, starts = places + GRAM // 2 - 1, np.cumsum(sizes) - sizes
+        own = owner[at]
+        left, right = (np.array([x[side] for x in around], np.int64) for side in (0, 1))
+        places = places[(at - starts[own] >= left[own]) & (at - starts[own] < sizes[own] - GRAM - right[own])]
     of = owner[places + GRAM // 2 - 1]
     has = np.zeros(len(texts), bool)
     has[of] = True
@@ -134,13 +148,13 @@ class Filters:
         return out
 
     def decide(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
-        """(language, score) of each text. A very long text is read in cuts; a word at a cut is read as two."""
-        cuts = [(i, t[k : k + CHARS_AT_ONCE]) for i, t in enumerate(texts) for k in range(0, len(t or ""), CHARS_AT_ONCE)]
+        """(language, score) of each text. A very long text is read in cuts; the result is that of the whole."""
+        parts = [(i, cut, (left, right)) for i, t in enumerate(texts) for cut, left, right in cuts((t or "").lower())]
         n, has = np.zeros(len(texts)), np.zeros(len(texts), bool)
         hits = np.zeros((len(texts), max(1, len(self.langs))))
-        for a, z in _lots([t for _, t in cuts]):
-            rows = np.array([i for i, _ in cuts[a:z]])
-            h, of, some = grams([t for _, t in cuts[a:z]])
+        for a, z in _lots([t for _, t, _ in parts]):
+            rows = np.array([i for i, _, _ in parts[a:z]])
+            h, of, some = grams([t for _, t, _ in parts[a:z]], [ends for _, _, ends in parts[a:z]])
             has[rows[some]] = True
             n += np.bincount(rows[of], minlength=len(texts))
             masks = self.masks(h)
@@ -208,6 +222,6 @@ def predict(docs: DataFrame, filters: Filters) -> DataFrame:
 
 def op10_language_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    held_out = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False))
     filters = fit(docs, ~held_out)
     return predict(docs, filters).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")

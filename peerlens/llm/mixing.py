@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from peerlens.llm.common import durable, number_in_class, raw_bytes, table
+from peerlens.llm.common import durable, free_name, number_in_class, quoted, raw_bytes, table
 
 LIMIT = 3
 WEIGHTS = (1, 2, 3)
@@ -169,10 +169,10 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, limit: int = LIMI
 
 def mixed_documents(docs: DataFrame) -> DataFrame:
     """The rows of ``docs``, each as often as the mix takes it."""
-    copies = mix(docs).where("copies > 0").select(F.col("row").alias("__place"), F.col("copies").cast("int").alias("__times"))
-    marked = docs.withColumn("__row", F.monotonically_increasing_id())
-    taken = marked.join(copies, F.col("__row") == F.col("__place"))
-    return taken.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(*docs.columns)
+    row, times = free_name(docs, "row"), free_name(docs, "times")
+    copies = mix(docs).where("copies > 0").select(F.col("row").alias(row), F.col("copies").cast("int").alias(times))
+    taken = docs.withColumn(row, F.monotonically_increasing_id()).join(copies, row)
+    return taken.withColumn(times, F.explode(F.sequence(F.lit(1), F.col(times)))).select(*map(quoted, docs.columns))
 
 
 def op8_entropy_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from peerlens.llm.common import durable, table
+from peerlens.llm.common import durable, free_name, quoted, table
 from peerlens.llm.tokens import in_lots
 
 VOCAB = 8192
@@ -263,20 +263,20 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, rows: int = FIT_ROWS)
     return vectors, train(x, got["quality"].to_numpy() > 0, held)
 
 
-def _score(batches: Iterator[pa.RecordBatch], vectors: np.ndarray, net: Network) -> Iterator[pa.RecordBatch]:
+def _score(batches: Iterator[pa.RecordBatch], vectors: np.ndarray, net: Network, out: str) -> Iterator[pa.RecordBatch]:
     for b in batches:
         texts = b.column("text").to_pylist()
         for a, z in in_lots(texts):
             rest = b.slice(a, z - a)
-            yield pa.RecordBatch.from_arrays([*rest.columns, pa.array(net.scores(pooled(texts[a:z], vectors)), pa.float64())], [*rest.schema.names, "__score"])
+            yield pa.RecordBatch.from_arrays([*rest.columns, pa.array(net.scores(pooled(texts[a:z], vectors)), pa.float64())], [*rest.schema.names, out])
 
 
-def scored(docs: DataFrame, vectors: np.ndarray, net: Network) -> DataFrame:
-    """All columns of ``docs`` (one of them ``text``) and ``__score``, 0 to 1; a null text counts as empty. One pass, no shuffle."""
+def scored(docs: DataFrame, vectors: np.ndarray, net: Network, out: str) -> DataFrame:
+    """All columns of ``docs`` (one of them ``text``) and ``out``, 0 to 1; a null text counts as empty. One pass, no shuffle."""
     from pyspark.sql.types import DoubleType, StructType
 
-    schema = StructType([*docs.schema.fields]).add("__score", DoubleType())
-    return docs.mapInArrow(partial(_score, vectors=vectors, net=net), schema)
+    schema = StructType([*docs.schema.fields]).add(out, DoubleType())
+    return docs.mapInArrow(partial(_score, vectors=vectors, net=net, out=out), schema)
 
 
 def held_out(doc_id: Column) -> Column:
@@ -289,15 +289,16 @@ def quality_scores(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) ->
     Labels of held-out ids are not learned from. Repeated rows stay; empty texts have the score of the zero vector; other columns are ignored. Without
     labels every score is one half."""
     vectors, net = fit(docs, labels, ~held_out(F.col("doc_id")), rows)
-    return scored(docs.select("doc_id", "text"), vectors, net).select(
-        "doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("__score").alias("score"), (F.col("__score") >= THRESHOLD).cast("int").alias("predicted")
+    return scored(docs.select("doc_id", "text"), vectors, net, "score").select(
+        "doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted")
     )
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> DataFrame:
     """The rows of ``docs`` that the classifier accepts (score of ``THRESHOLD`` or more), with all their columns."""
     vectors, net = fit(docs, labels, ~held_out(F.col("doc_id")), rows)
-    return scored(docs, vectors, net).where(F.col("__score") >= THRESHOLD).drop("__score")
+    score = free_name(docs, "score")
+    return scored(docs, vectors, net, score).where(F.col(score) >= THRESHOLD).select(*map(quoted, docs.columns))
 
 
 def op7_quality_scores(spark: SparkSession, sf_dir: str) -> DataFrame:

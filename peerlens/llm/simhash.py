@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from peerlens.llm.common import durable, raw_bytes, table
+from peerlens.llm.common import at_places, durable, raw_bytes, table
 from peerlens.llm.components import components
 
 BITS = 64
@@ -194,9 +194,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, radius: int = 4, id_col:
 def drop_near_duplicates(docs: DataFrame, shingle: int = 4, radius: int = 4) -> DataFrame:
     """Of each component the kept row, with all its columns. Rows are matched by their place, so ``docs`` must
     be a table that gives its rows in the same order each time, such as files."""
-    keep = near_duplicates(docs, shingle, radius).where("kept").select("row")
-    marked = docs.withColumn("__row", F.monotonically_increasing_id())
-    return marked.join(keep, marked["__row"] == keep["row"], "left_semi").select(*[marked[c] for c in docs.columns])
+    return at_places(docs, near_duplicates(docs, shingle, radius).where("kept").select("row"))
 
 
 def op3_simhash_ball(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 import xxhash
@@ -16,7 +17,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from peerlens.llm import blocknames, catalog, chat, components, langid, mixing, packing, quality, records, simhash, tokens, topk, wordpiece
+from peerlens.llm import blocknames, catalog, chat, components, langid, mixing, nearcopies, packing, quality, records, simhash, tokens, topk, wordpiece
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 from compare import compare, duck  # noqa: E402
@@ -631,7 +632,42 @@ def test_blocks_below_the_kth_score_are_not_read(monkeypatch):
     monkeypatch.setattr(topk, "products", lambda q, x: read.append(len(x)) or real(q, x))
     got = topk.score_page(np.array([[3, 0]], np.int32), np.array([99]), np.array([-(2**62)]), np.arange(6), m, high, low, 2, 2)
     assert got == [(99, 0, 27), (99, 1, 24)]
-    assert read == [3, 3, 2]  # the two bound products, then one block of two vectors
+    assert read == [2]  # one block of two vectors
+
+
+@pytest.mark.parametrize("size", [1e6, 3e6, 4e6])
+def test_top_k_is_exact_for_large_components(spark, size):
+    rng = np.random.default_rng(8)
+    vectors = [(i, [float(np.float32(x)) for x in rng.normal(0, size, 4)]) for i in range(60)]
+    vectors += [(100, [3e6, 1.0, 0.0, 0.0]), (101, [1e6, 0.0, 0.0, 0.0]), (102, [2e6, 0.0, 0.0, 0.0]), (103, [0.1, -0.2, 0.3, 0.4])]
+    df = spark.createDataFrame(vectors, "vec_id long, embedding array<float>")
+    got = topk.top_k(df, query_every=10, page_vectors=8, block_vectors=3, query_vectors=4).collect()
+    floats = [(a, [float(np.float32(x)) for x in b]) for a, b in vectors]
+    assert {(r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in got} == brute_top(floats, 10, 5)
+
+
+def test_scores_beyond_a_long_are_refused(spark):
+    df = spark.createDataFrame([(0, [1e12]), (1, [1e12])], "vec_id long, embedding array<float>")
+    with pytest.raises(Exception, match="does not fit a long"):
+        topk.top_k(df).collect()
+    # a pair that cancels out is no reason to refuse
+    df = spark.createDataFrame([(0, [1e12, 0.0]), (1, [0.0, 1e12])], "vec_id long, embedding array<float>")
+    assert [r["score"] for r in topk.top_k(df).collect()] == [0]
+
+
+def test_pages_out_of_reach_are_not_emitted():
+    rng = np.random.default_rng(9)
+    q = rng.integers(1, 9, (5, 6)).astype(float)
+    page = lambda i, low, high: {"page": i, "width": 6, "most": topk._pack(np.full((1, 6), high)), "least": topk._pack(np.full((1, 6), low))}
+    floor = (q.sum(1) * 50).astype(int).tolist()
+
+    def emitted(summaries):
+        kind = pa.struct([("page", pa.int64()), ("width", pa.int64()), ("most", pa.binary()), ("least", pa.binary())])
+        cols = {"qb": pa.array([3], pa.int64()), "q_width": pa.array([6]), "q": pa.array([topk._pack(q)], pa.binary()), "floor": pa.array([floor], pa.list_(pa.int64())), "summaries": pa.array([summaries], pa.list_(kind))}
+        return [n for b in topk._open(iter([pa.RecordBatch.from_pydict(cols)])) for n in b.column("page").to_pylist()]
+
+    assert emitted([page(i, 0.0, 49.0) for i in range(64)]) == []
+    assert emitted([page(i, 0.0, 50.0 if i == 7 else 49.0) for i in range(64)]) == [7]  # a tie is kept
 
 
 # the pipeline
@@ -653,8 +689,10 @@ def test_pipeline_stages_follow_from_each_other(spark, plain):
     assert {r["doc_id"] for r in after} == {max(r["doc_id"] for r in before if fold(r["text"]) == t) for t in {fold(r["text"]) for r in before}}
     before, after = held["near_dedup"]
     before = sorted(before, key=lambda r: r["doc_id"])
-    roots = brute_components([brute_print(r["text"]) for r in before])
-    assert sorted(r["doc_id"] for r in after) == sorted({before[r]["doc_id"] for r in roots})
+    roots = brute_components([brute_print(r["text"], 5) for r in before])
+    ball = [before[r] for r in sorted(set(roots))]
+    left = kept_by_brute([brute_shingles(r["text"] or "") for r in ball])
+    assert sorted(r["doc_id"] for r in after) == [ball[r]["doc_id"] for r in left]
     before, after = held["mix"]
     n = Counter(r["doc_id"] for r in after)
     assert max(n.values()) <= 3 and set(n) <= {r["doc_id"] for r in before}
@@ -713,10 +751,85 @@ def test_near_copies_of_planted_similarity(spark):
     assert sorted(r["doc_id"] for r in docs.collect()) == want
 
 
+def kept_by_brute(sets, least=0.8):
+    root = list(range(len(sets)))
+    for i, x in enumerate(sets):
+        for j in range(i):
+            if root[i] != root[j] and len(x & sets[j]) >= least * len(x | sets[j]):
+                one, two = sorted((root[i], root[j]))
+                root = [one if r == two else r for r in root]
+    return sorted(set(root))
+
+
+def test_near_copies_of_a_template_keep_their_links(spark):
+    """One family whose pairs stand just below the bound, with 60 pairs above it among them."""
+    rng = np.random.default_rng(12)
+    template = [f"t{x}" for x in rng.choice(1 << 40, 1000, replace=False)]
+    texts = []
+    for _ in range(60):
+        own = list(template)
+        for k in rng.choice(99, 12, replace=False):
+            own[10 * k + 5] = f"own{rng.integers(1 << 50)}"
+        twin = list(own)
+        twin[3], twin[-4] = "twin3", f"twin{rng.integers(1 << 50)}"
+        texts += [" ".join(own), " ".join(twin)]
+    sets = [brute_shingles(t) for t in texts]
+    between = [len(x & y) / len(x | y) for i, x in enumerate(sets) for y in sets[: i - i % 2]]
+    assert max(between) >= 0.8 > np.median(between)  # so a star of the first row sees nearly nothing
+    docs = packing.durable(spark.createDataFrame(rows([(i, t, "en", "a") for i, t in enumerate(texts)]), SCHEMA))
+    got = nearcopies.drop_near_copies(docs)
+    assert sorted(r["doc_id"] for r in got.collect()) == kept_by_brute(sets)
+
+
+def test_near_copies_of_one_huge_text(spark):
+    """A bucket whose first row is huge and near to none of the others, and copies of the huge text."""
+    words_ = [f"h{i}" for i in range(30_000)]
+    texts = [" ".join(words_)] + [" ".join(words_[: 29_000 + 100 * i]) for i in range(9)] + [" ".join(words_[100 * i : 100 * i + 60]) for i in range(20)]
+    docs = packing.durable(spark.createDataFrame(rows([(i, t, "en", "a") for i, t in enumerate(texts)]), SCHEMA))
+    assert sorted(r["doc_id"] for r in nearcopies.drop_near_copies(docs).collect()) == [0, *range(10, 30)]
+
+
+@given(st.lists(st.lists(st.integers(0, 12), max_size=12), min_size=1, max_size=6), st.lists(st.lists(st.integers(0, 12), max_size=12), min_size=1, max_size=6))
+@settings(max_examples=100, deadline=None)
+def test_similarity_matrix(a, b):
+    a, b = ([np.array(sorted(set(x)) or [99], np.uint64) for x in side] for side in (a, b))
+    want = [[len(set(x) & set(y)) >= 0.8 * len(set(x) | set(y)) for y in map(np.ndarray.tolist, b)] for x in map(np.ndarray.tolist, a)]
+    assert nearcopies.similar(a, b, 0.8).tolist() == want
+
+
+def test_helper_names_may_stand_in_the_table(spark, tmp_path):
+    names = ["__row", "__score", "__place", "__times", "__copy", "__row_", "row", "a.b"]
+    data = [(i, f"some text number {i // 2} with words", "en", "s", 1, *[f"{n}{i}" for n in names]) for i in range(6)]
+    made = spark.createDataFrame(data, "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{n}` string" for n in names))
+    made.write.parquet(str(tmp_path / "d"))
+    docs = spark.read.parquet(str(tmp_path / "d"))
+    labels = spark.createDataFrame([(i, 1) for i in range(6)], "doc_id long, quality int")
+    for out in (blocknames.drop_exact_duplicates(docs), simhash.drop_near_duplicates(docs), nearcopies.drop_near_copies(docs), mixing.mixed_documents(docs), quality.keep_good(docs, labels)):
+        assert out.columns == docs.columns
+        got = out.collect()
+        assert got and all(r[n] == f"{n}{r['doc_id']}" for r in got for n in names)
+
+
+def test_language_of_cut_texts_is_that_of_whole_ones(monkeypatch):
+    text = "Àé bonjour le monde. Straße ÄÖÜ und İ so weiter 123 hello world"
+    whole = langid.grams([text])
+    for size in (1, 2, 3, 5, 7, 64):
+        monkeypatch.setattr(langid, "CHARS_AT_ONCE", size)
+        parts = list(langid.cuts(text.lower()))
+        h, _, _ = langid.grams([t for t, _, _ in parts], [(a, z) for _, a, z in parts])
+        assert sorted(h.tolist()) == sorted(whole[0].tolist())
+
+
+def test_language_of_a_row_without_id(spark):
+    df = spark.createDataFrame([(None, "the of and", "en"), (1, "the of and", "en")], "doc_id long, text string, lang string")
+    df.write.mode("overwrite").parquet((d := __import__("tempfile").mkdtemp()) + "/documents.parquet")
+    assert {r["doc_id"]: r["held_out"] for r in langid.op10_language_masks(spark, d).collect()}[None] is False
+
+
 def test_pipeline_drops_near_copies_of_small_table(spark, small, small_rows):
     import corpus_pipeline
 
-    got = dict(corpus_pipeline.STAGES)["near_copies"](spark, small, SF)
+    got = dict(corpus_pipeline.STAGES)["near_dedup"](spark, small, SF)
     sets = [brute_shingles(t or "") for _, t, *_ in small_rows]
     root = list(range(len(sets)))
     for i, x in enumerate(sets):
