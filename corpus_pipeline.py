@@ -1,4 +1,4 @@
-"""From raw documents to packed training sequences, in six stages.
+"""From raw documents to packed training sequences, in five stages.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and read again as the next
 stage's ``docs``. All but the last return the columns of ``docs``; the last returns the placed pieces.
@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from peerlens.llm import blocknames, mixing, nearcopies, packing, quality, simhash
+from peerlens.llm import blocknames, mixing, nearcopies, packing, quality
 from peerlens.session import durable
 
 
@@ -26,13 +26,8 @@ def drop_exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group linked by SimHash the row of the smallest doc_id."""
-    return simhash.drop_near_duplicates(docs)
-
-
-def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group linked by 5-word shingle sets of Jaccard similarity 0.8 or more the row of the smallest doc_id."""
-    return nearcopies.drop_near_copies(docs)
+    """Of each group linked by SimHash, or by 5-word shingle sets of Jaccard similarity 0.8 or more, the row of the smallest doc_id."""
+    return nearcopies.drop_similar(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,7 +46,6 @@ STAGES = [
     ("quality", accept_quality),
     ("exact_dedup", drop_exact),
     ("near_dedup", drop_near),
-    ("near_copies", drop_copies),
     ("mix", mix_sources),
     ("pack", pack_sequences),
 ]
