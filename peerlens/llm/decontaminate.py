@@ -16,7 +16,7 @@ from pyspark.broadcast import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from peerlens.llm.common import durable, free_name, raw_bytes, table
+from peerlens.llm.common import durable, free_name, quoted, raw_bytes, table
 
 WINDOW = 10
 #: Bytes of words and item ids in one broadcast set.
@@ -252,9 +252,12 @@ def decontaminate(
     marks = durable(marks.select(F.col("row").alias(row), F.col("spans").alias(spans)))
     placed = docs.withColumn(row, F.monotonically_increasing_id())
     if remove == "documents":
-        return placed.join(marks, row, "left_anti").select(*docs.columns)
-    joined = placed.join(marks, row, "left").select(*docs.columns, spans)
-    return joined.mapInArrow(lambda b: _cleaned(b, text_col, spans), docs.schema)
+        return placed.join(marks, row, "left_anti").select(*map(quoted, docs.columns))
+    plain = [f"c{i}" for i in range(len(docs.columns))]
+    joined = placed.join(marks, row, "left").select(*map(quoted, [*docs.columns, spans])).toDF(*plain, "spans")
+    text = plain[docs.columns.index(text_col)]
+    kinds = ", ".join(f"{c} {f.dataType.simpleString()}" for c, f in zip(plain, docs.schema.fields))
+    return joined.mapInArrow(lambda b: _cleaned(b, text, "spans"), kinds).toDF(*docs.columns)
 
 
 def op12_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -273,10 +273,12 @@ def _score(batches: Iterator[pa.RecordBatch], vectors: np.ndarray, net: Network,
 
 def scored(docs: DataFrame, vectors: np.ndarray, net: Network, out: str) -> DataFrame:
     """All columns of ``docs`` (one of them ``text``) and ``out``, 0 to 1; a null text counts as empty. One pass, no shuffle."""
-    from pyspark.sql.types import DoubleType, StructType
+    from pyspark.sql.types import DoubleType, StructField, StructType
 
-    schema = StructType([*docs.schema.fields]).add(out, DoubleType())
-    return docs.mapInArrow(partial(_score, vectors=vectors, net=net, out=out), schema)
+    plain = ["text" if c == "text" else f"c{i}" for i, c in enumerate(docs.columns)]
+    fields = [StructField(n, f.dataType, True) for n, f in zip(plain, docs.schema.fields)]
+    schema = StructType([*fields, StructField("score", DoubleType())])
+    return docs.toDF(*plain).mapInArrow(partial(_score, vectors=vectors, net=net, out="score"), schema).toDF(*docs.columns, out)
 
 
 def held_out(doc_id: Column) -> Column:
@@ -298,7 +300,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> DataF
     """The rows of ``docs`` that the classifier accepts (score of ``THRESHOLD`` or more), with all their columns."""
     vectors, net = fit(docs, labels, ~held_out(F.col("doc_id")), rows)
     score = free_name(docs, "score")
-    return scored(docs, vectors, net, score).where(F.col(score) >= THRESHOLD).select(*map(quoted, docs.columns))
+    return scored(docs, vectors, net, score).where(quoted(score) >= THRESHOLD).select(*map(quoted, docs.columns))
 
 
 def op7_quality_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
