@@ -704,23 +704,28 @@ def walk_forward_coefficients(spark, sf):
     return tidy(learning.walk_forward(featured(spark, sf), ML, "fwd_rel_ret_1q", F.col("index_name") == v.SELECTION)[1])
 
 
-_REFIT = ["1997-01-01", "1999-07-01"]
-_REFIT_SQL = ", ".join(f"DATE '{d}'" for d in _REFIT)
+def _logistic(spark, sf):
+    return learning.walk_forward_logistic(featured(spark, sf), ML, "fwd_rel_ret_1q", F.col("index_name") == v.SELECTION)
+
+
+@query("walk_forward_logistic_scores")
+def walk_forward_logistic_scores(spark, sf):
+    """Every row with its probability of a bottom-quartile outcome; tested against a plain solver."""
+    return tidy(_logistic(spark, sf), "date", "entity", "score_ml")
 
 
 @query(
     "logistic_variant_coverage",
     with_views(
-        f"SELECT date, count(*) AS n_rows, count(CASE WHEN date IN ({_REFIT_SQL}) AND (SELECT count(*) FROM scored t {SEL} AND t.date<s.date AND fwd_rel_ret_1q IS NOT NULL)>=50 THEN 1 END) AS n_scored, true AS in_range "
-        "FROM scored s GROUP BY date",
+        f"""SELECT date, n_rows, CASE WHEN prior>=6 AND (SELECT count(*) FROM scored t {SEL} AND t.date<d.date AND fwd_rel_ret_1q IS NOT NULL)>=50 THEN n_rows ELSE 0 END AS n_scored, true AS in_range
+ FROM (SELECT date, count(*) AS n_rows, row_number() OVER (ORDER BY date)-1 AS prior FROM scored GROUP BY date) d""",
         "scored",
     ),
 )
 def logistic_variant_coverage(spark, sf):
-    """The logistic variant on two refit dates: every row comes back, those of other dates without a score, and scores are probabilities."""
-    d = learning.walk_forward_variant(featured(spark, sf), ML, "fwd_rel_ret_1q", "logistic", _REFIT, F.col("index_name") == v.SELECTION)
+    """Every row comes back; those of dates without enough history have no score, and scores are probabilities."""
     ok = F.coalesce(F.bool_and(F.col("score_ml").between(0, 1)), F.lit(True))
-    return d.groupBy("date").agg(F.count("*").alias("n_rows"), F.count("score_ml").alias("n_scored"), ok.alias("in_range"))
+    return _logistic(spark, sf).groupBy("date").agg(F.count("*").alias("n_rows"), F.count("score_ml").alias("n_scored"), ok.alias("in_range"))
 
 
 @query(

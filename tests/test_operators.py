@@ -307,3 +307,49 @@ def test_truncation_check_finds_a_look_ahead(spark):
     assert got == {(2, "past"): (0, 0), (2, "ahead"): (0, 0), (10, "past"): (2, 0), (10, "ahead"): (0, 0)}
     got = {(r.date.day, r.feature): (r.checked, r.mismatches) for r in checks.truncation_invariance(bars, sees, ["past", "ahead"], ["2020-01-10"]).collect()}
     assert got == {(10, "past"): (2, 0), (10, "ahead"): (2, 2)}
+
+
+def plain_logistic(x, t, penalty=1.0):
+    x = np.hstack([np.ones((len(x), 1)), x])
+    w, ridge = np.zeros(x.shape[1]), np.diag([0.0] + [penalty] * (x.shape[1] - 1))
+    for _ in range(60):
+        p = 1 / (1 + np.exp(-x @ w))
+        w = w - np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + ridge, x.T @ (p - t) + ridge @ w)
+    return w
+
+
+def test_logistic_fits_of_all_dates_match_a_plain_solver(spark):
+    rng = np.random.default_rng(4)
+    days = [dt.date(2020, 1, 1) + dt.timedelta(91 * i) for i in range(10)]
+    rows = []
+    for i in range(900):
+        x = rng.normal(0, 1, 3)
+        y = None if i % 17 == 0 else float(np.round(-x[0] + 0.5 * x[1] + rng.normal(0, 1), 1))
+        rows.append((days[i % 10], i, *[None if i % 13 == 0 else float(v) for v in x], y, "IN" if i % 4 else "OUT"))
+    df = spark.createDataFrame(rows, "date date, entity long, a double, b double, c double, y double, side string")
+    got = learning.walk_forward_logistic(df, ["a", "b", "c"], "y", F.col("side") == "IN", min_prior=3, min_rows=60)
+    scores = {r.entity: r.score_ml for r in got.collect()}
+    assert len(scores) == 900
+    for day in days:
+        train = [r for r in rows if r[0] < day and r[5] is not None and r[6] == "IN"]
+        test = [r for r in rows if r[0] == day]
+        if day < days[3] or len(train) < 60:
+            assert all(scores[r[1]] is None for r in test)
+            continue
+        y = np.array([r[5] for r in train])
+        w = plain_logistic(np.array([[v or 0.0 for v in r[2:5]] for r in train]), (y <= np.quantile(y, 0.25)).astype(float))
+        for r in test:
+            assert abs(scores[r[1]] - 1 / (1 + np.exp(-(w[0] + w[1:] @ np.array([v or 0.0 for v in r[2:5]]))))) < 1e-7
+
+
+@pytest.mark.parametrize("prob", [0.0, 0.25, 0.5, 1.0])
+def test_growing_quantiles(spark, prob):
+    rng = np.random.default_rng(5)
+    days = [dt.date(2020, 1, 1) + dt.timedelta(i) for i in range(6)]
+    rows = [(days[i % 6], 1.5 if i % 3 == 0 else float(np.round(rng.normal(), 2))) for i in range(700)]
+    df = spark.createDataFrame(rows, "date date, v double")
+    fits = spark.createDataFrame([(d,) for d in days], "date date")
+    got = {r.fit: (r.n, r.cut) for r in learning.growing_quantile(df, fits, "v", prob, 16).collect()}
+    for d in days[1:]:
+        past = [x for day, x in rows if day < d]
+        assert got[d][0] == len(past) and abs(got[d][1] - np.quantile(past, prob)) < 1e-12
