@@ -9,7 +9,7 @@ from ..functions import scalar as sc
 from ..operators import asof, calendar, checks, evaluation as ev, fundamentals as fu, overrides as ovr, panel as pn, timeseries as ts
 from ..sources import documents, tables, text
 from . import views as v
-from .catalog_series import FEATS, L, M, S, _FEAT, _FWD, _ITEMS_SQL, _forward, off, supplier_items, truncation_invariance
+from .catalog_series import FEATS, L, M, S, _FEAT, _FWD, _ITEMS_SQL, _REACT, _forward, off, supplier_items, truncation_invariance
 from .reference_sql import VIEWS, with_views
 from .registry import SQL, big, query, r6, tidy
 
@@ -376,13 +376,13 @@ def _brand_membership(spark, sf):
 _HZ = {"1m": 4, "1q": 12, "2q": 24, "4q": 48}
 
 
-def assembled(spark, sf):
+def assembled(spark, sf, **feeds):
     supplier_rows = fu.factors_from_items(supplier_items(spark, sf))
     brands = supplier_rows.withColumn("supplier", F.col("entity")).withColumn("entity", F.concat(F.lit("Brand#"), (F.col("entity") % 25 + 1).cast("string")))
     one = asof.latest_per_day(brands, "as_of", ["quarter_end", "total_assets", "supplier"], [c for c in brands.columns if c not in ("entity", "as_of")])
     return pn.build_panel(
         v.bars_raw(spark, sf), _brand_membership(spark, sf), None, "CORE", v.bench(spark, sf), one, month=S, quarter=M, year=L, half_year=2 * M, half_year_least=M,
-        horizons=_HZ, large=v.large(spark, sf),
+        horizons=_HZ, large=v.large(spark, sf), **feeds,
     )
 
 
@@ -444,6 +444,72 @@ def panel_assembled_with_statements(spark, sf):
     return tidy(p.select("date", "entity", "fund_as_of", "roe", "gross_margin", "pe_ratio", "fcf_yield", "ivol_63d", "delisted"))
 
 
+def _brand_lines(spark, sf, day):
+    """Line items of each brand, reduced by part and day first."""
+    of = lambda flag: F.sum(F.when(F.col("l_returnflag") == flag, F.col("l_quantity")).otherwise(0.0))
+    li = v.table(spark, sf, "lineitem").groupBy(day.alias("date"), "l_partkey").agg(
+        of("R").alias("r"), of("N").alias("n"), of("A").alias("a"), F.sum("l_quantity").alias("q"), F.sum("l_discount").alias("disc"), F.sum("l_tax").alias("tax"),
+        F.count(F.lit(1)).alias("lines"), F.min(F.when(F.col("l_returnflag") == "R", F.to_date("l_shipdate"))).alias("first"),
+    )
+    part = v.table(spark, sf, "part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_brand").alias("entity"))
+    sums = [F.sum(c).alias(c) for c in ("r", "n", "a", "q", "disc", "tax", "lines")]
+    return li.join(part, "l_partkey").groupBy("entity", "date").agg(*sums, F.min("first").alias("first"))
+
+
+def _every_feed(spark, sf):
+    """Returned quantity as shorts, new and returned-by-agreement quantity as buys and sells, the first return of a quarter as
+    earnings day, monthly discounts and taxes as estimates, the brand's number as short float."""
+    day = F.to_date("l_shipdate")
+    weekly = v.kept(_brand_lines(spark, sf, F.trunc(day, "week")))
+    monthly = _brand_lines(spark, sf, F.last_day(day))
+    brands = v.table(spark, sf, "part").select(F.col("p_brand").alias("entity")).distinct()
+    return {
+        "short_flow": weekly.select("entity", "date", F.col("r").alias("short_vol"), F.col("q").alias("total_vol")),
+        "insider_flow": weekly.select("entity", "date", F.col("n").alias("buy_shares"), F.col("a").alias("sell_shares")),
+        "earnings": _brand_lines(spark, sf, F.trunc(day, "quarter")).where(F.col("first").isNotNull()).select("entity", F.col("first").alias("reaction_date")),
+        "estimates": monthly.select(
+            "entity", F.col("date").alias("est_as_of"), F.round(F.col("disc") / F.col("lines"), 9).alias("est_revision_3m"), F.round(F.col("tax") / F.col("lines"), 9).alias("sue")
+        ),
+        "short_float": brands.select("entity", (F.substring("entity", 7, 9).cast("int") / 100.0).alias("short_pct_float")),
+    }
+
+
+_BRAND = "lineitem JOIN part ON p_partkey=l_partkey"
+_QTY = "sum(CASE WHEN l_returnflag='{0}' THEN l_quantity ELSE 0 END)"
+_FRAME = "(PARTITION BY entity ORDER BY session_no RANGE BETWEEN {0} PRECEDING AND CURRENT ROW)"
+_CARRY = "last_value({0} IGNORE NULLS) OVER (PARTITION BY entity ORDER BY session_no ROWS UNBOUNDED PRECEDING) AS {0}"
+_EVERY = {
+    **{k: _PANEL_SQL[k] for k in ("mem", "pts")},
+    "wk": f"SELECT p_brand AS entity, CAST(date_trunc('week', l_shipdate) AS DATE) AS date, {_QTY.format('R')} AS r, {_QTY.format('N')} AS n, {_QTY.format('A')} AS a, sum(l_quantity) AS q FROM {_BRAND} GROUP BY 1,2",
+    "cells": "SELECT e.entity, s.date, s.session_no FROM (SELECT DISTINCT entity FROM wk) e CROSS JOIN sessions s",
+    "sl": f"SELECT *, CASE WHEN count(ratio) OVER w>=21 THEN avg(ratio) OVER w END AS short_vol_ratio FROM (SELECT c.*, r/q AS ratio FROM cells c LEFT JOIN wk USING (entity, date)) WINDOW w AS {_FRAME.format(62)}",
+    "sc": "SELECT *, short_vol_ratio - max(short_vol_ratio) OVER (PARTITION BY entity ORDER BY session_no RANGE BETWEEN 63 PRECEDING AND 63 PRECEDING) AS short_vol_chg FROM sl",
+    "shorts": f"SELECT entity, date, {_CARRY.format('short_vol_ratio')}, {_CARRY.format('short_vol_chg')} FROM sc",
+    "np": f"""SELECT entity, date, CASE WHEN session_no+1>={M} AND b+s>0 THEN (b-s)/(b+s) END AS npr FROM (SELECT *, sum(buy) OVER w AS b, sum(sell) OVER w AS s FROM (
+ SELECT c.*, coalesce(n,0) AS buy, coalesce(a,0) AS sell FROM cells c LEFT JOIN wk USING (entity, date) WHERE c.date <= (SELECT max(date) FROM wk)) WINDOW w AS {_FRAME.format(2 * M - 1)})""",
+    "ev1": f"SELECT p_brand AS entity, min(CAST(l_shipdate AS DATE)) AS reaction_date FROM {_BRAND} WHERE l_returnflag='R' GROUP BY 1, date_trunc('quarter', l_shipdate)",
+    "ev0": "SELECT entity, reaction_date FROM (SELECT *, date_diff('day', lag(reaction_date) OVER (PARTITION BY entity ORDER BY reaction_date), reaction_date) AS gap FROM ev1) WHERE gap IS NULL OR gap>28",
+    **{k: _REACT[k] for k in ("evs", "re")},
+    "est": f"SELECT p_brand AS entity, last_day(CAST(l_shipdate AS DATE)) AS est_as_of, round(avg(l_discount),9) AS est_revision_3m, round(avg(l_tax),9) AS sue FROM {_BRAND} GROUP BY 1,2",
+    "w": """SELECT p.date, p.entity, s.short_vol_ratio, s.short_vol_chg, n.npr AS insider_npr_6m, p.session_no FROM pts p LEFT JOIN shorts s ON s.entity=p.entity AND s.date=p.date
+ LEFT JOIN np n ON n.entity=p.entity AND n.date=least(p.date, (SELECT max(date) FROM np))""",
+    "wr": "SELECT w.*, CASE WHEN w.session_no-re.session_no<=70 THEN re.reaction END AS earn_react_1q FROM w ASOF LEFT JOIN re ON re.entity=w.entity AND w.session_no>=re.session_no",
+}
+
+
+@query(
+    "panel_with_every_feed",
+    with_views(
+        f"SELECT wr.date, wr.entity, {r6('short_vol_ratio', 'short_vol_chg', 'insider_npr_6m', 'earn_react_1q')}, est_revision_3m, sue, CAST(substr(wr.entity,7) AS INTEGER)/100.0 AS short_pct_float "
+        "FROM wr ASOF LEFT JOIN est ON est.entity=wr.entity AND wr.date>=est.est_as_of",
+        "grid", "mkt", "rebal", extra=_EVERY,
+    ),
+)
+def panel_with_every_feed(spark, sf):
+    p, _ = assembled(spark, sf, **_every_feed(spark, sf))
+    return tidy(p.select("date", "entity", "short_vol_ratio", "short_vol_chg", "insider_npr_6m", "earn_react_1q", "est_revision_3m", "sue", "short_pct_float"), exact=("est_revision_3m", "sue"))
+
+
 _CHECKS = f"""SELECT 'no_label_in_features' AS "check", true AS passed, '{len(v.FACTORS)} features, leaks: []' AS detail
 UNION ALL SELECT 'membership_point_in_time', true, CASE WHEN min(start_date)<>max(start_date) OR bool_or(end_date IS NOT NULL) THEN 'point-in-time store present' ELSE 'current-only membership is survivorship biased' END FROM membership
 UNION ALL SELECT 'truncation_invariance', sum(checked)>0, 'checked ' || sum(checked) || ', mismatches ' || sum(mismatches) FROM ({SQL['truncation_invariance']})
