@@ -16,7 +16,7 @@ from .labels import delisted_flag, exclusion_log, forward_returns
 from .peers import PEER_KEYS, relative_to_median
 from .timeseries import (
     carry_forward, dense_grid, drop_close_repeats, event_reactions, flow_ratio, latest_reaction, market_returns, net_purchase_ratio,
-    price_features, session_returns, short_flow_features,
+    price_features_at, short_flow_features,
 )
 
 PRICE_FREE = (
@@ -52,12 +52,7 @@ def build_panel(
         calendar = durable(stamped.select("date", "session_no").distinct())
         bars = stamped.drop("session_no")
     dates = rebalance_dates(calendar, freq)
-    grid = session_returns(dense_grid(stamped, calendar))
     mkt = market_returns(bench, calendar) if bench is not None else None
-    features = price_features(grid, mkt, month, quarter, year)
-    for c in ("beta_252d", "ivol_63d"):
-        if c not in features.columns:
-            features = features.withColumn(c, F.lit(None).cast("double"))
 
     members = members_on(membership, dates)
     if labels is not None:
@@ -69,20 +64,19 @@ def build_panel(
     panel = with_sessions(panel, calendar)
 
     # carried samples: last value at or before the date, column by column
-    daily = features
+    panel = panel.join(price_features_at(stamped, panel.select("entity", "session_no").distinct(), mkt, month, quarter, year), ["entity", "session_no"], "left")
+    panel = panel.select("*", *[F.lit(None).cast("double").alias(c) for c in PRICE_NAMES if c not in panel.columns])
     if short_flow is not None:
         # of repeated days the last arrival counts; without an arrival column the higher ratio
         if "arrival" in short_flow.columns:
             short_flow = newest_per_key(short_flow, ["entity", "date"], "arrival")
         ratio = flow_ratio(short_flow).groupBy("entity", "date").agg(F.max("ratio").alias("ratio"))
         shorts = short_flow_features(dense_grid(with_sessions(ratio, calendar), calendar, ["ratio"]))
-        daily = daily.join(shorts.select("entity", "session_no", "short_vol_ratio", "short_vol_chg"), ["entity", "session_no"], "left")
+        for c in ("short_vol_ratio", "short_vol_chg"):
+            shorts = carry_forward(shorts, c, c)
+        panel = panel.join(shorts.select("entity", "session_no", "short_vol_ratio", "short_vol_chg"), ["entity", "session_no"], "left")
     else:
-        daily = daily.withColumn("short_vol_ratio", F.lit(None).cast("double")).withColumn("short_vol_chg", F.lit(None).cast("double"))
-    carried = [*PRICE_NAMES, "short_vol_ratio", "short_vol_chg"]
-    for c in carried:
-        daily = carry_forward(daily, c, c)
-    panel = panel.join(daily.select("entity", "date", *carried), ["entity", "date"], "left")
+        panel = panel.select("*", *[F.lit(None).cast("double").alias(c) for c in ("short_vol_ratio", "short_vol_chg")])
 
     # exact samples: deliberate NULLs survive
     if insider_flow is not None:

@@ -119,6 +119,68 @@ def price_features(
     return df.select("entity", "date", "session_no", *keep, *[c.alias(n) for n, c in out.items()])
 
 
+def price_features_at(
+    bars: DataFrame, points: DataFrame, mkt: DataFrame | None = None, month: int = 21, quarter: int = 63, year: int = 252
+) -> DataFrame:
+    """Price features at (entity, session_no) points, each the last known by then: what ``price_features`` and
+    ``carry_forward`` give on a dense grid, without the grid.
+
+    Rows are the observed closes, the points, the session a month after each close, where momentum may be known, and the
+    last session at which it is still in a quarter's window, where the illiquidity mean may be known for the last time. A session without a close has return 0 once an entity has
+    started, so sums over a window need only its closes, and the count of returns is the distance to the start. The market
+    (``mkt``) must move within every window; where it stands still the last beta before is not looked for."""
+    seen = bars.where(F.col("close").isNotNull())
+    cols = ["entity", "session_no", "close", *(["volume"] if "volume" in bars.columns else [])]
+    none = [F.lit(None).cast(bars.schema[c].dataType).alias(c) for c in cols[2:]]
+    end = bars.agg(F.max("session_no").alias("__end"))
+    later = F.explode(F.array(F.col("session_no") + month, F.col("session_no") + (quarter - 1)))
+    last = seen.select("entity", later.alias("session_no")).join(F.broadcast(end), F.col("session_no") <= F.col("__end"))
+    rows = (
+        seen.select(*cols, F.lit(0).alias("__point"))
+        .unionByName(points.select("entity", "session_no", *none, F.lit(1).alias("__point")))
+        .unionByName(last.select("entity", "session_no", *none, F.lit(0).alias("__point")))
+        .repartition("entity")  # the sums below and all windows keep this one exchange
+        .groupBy("entity", "session_no").agg(*[F.max(c).alias(c) for c in cols[2:]], F.max("__point").alias("__point"))
+    )
+    w, wm, wq, wy = by_session(), trailing(month), trailing(quarter), trailing(year)
+    before = F.last("close", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    first = F.min(F.when(F.col("close").isNotNull(), F.col("session_no"))).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    df = rows.withColumn("ret", F.when(F.col("close").isNotNull(), F.try_divide("close", before) - 1)).withColumn("__age", F.col("session_no") - first)
+
+    def known(value: Column, n: int) -> Column:
+        return F.when(F.col("__age") >= n, value)
+
+    highest = F.greatest(F.max("ret").over(wm), F.when(F.count("ret").over(wm) < month, F.lit(0.0)))
+    out = {
+        "mom_12_1": F.try_divide(at_offset("close", -month), at_offset("close", -year)) - 1,
+        "reversal_1m": F.try_divide(F.col("close"), at_offset("close", -month)) - 1,
+        "high_52w": F.try_divide("close", gated(F.max("close").over(wy), "close", wy, year)),
+        "max_ret_1m": known(highest, month),
+    }
+    if mkt is not None:
+        df = df.join(F.broadcast(market_moments(mkt, [quarter, year])), "session_no", "left")
+        df = df.withColumn("__xm", F.col("ret") * F.col("mkt")).withColumn("__rr", F.col("ret") * F.col("ret"))
+
+        def mean(c: str, n: int, over: WindowSpec) -> Column:
+            return F.coalesce(F.sum(c).over(over), F.lit(0.0)) / n
+
+        def beta(n: int, over: WindowSpec) -> Column:
+            cov = mean("__xm", n, over) - mean("ret", n, over) * F.col(f"m_mean_{n}")
+            return known(F.when(F.col(f"m_var_{n}") > EPS, cov / F.col(f"m_var_{n}")), n)
+
+        out["beta_252d"] = beta(year, wy)
+        spread = known(mean("__rr", quarter, wq) - mean("ret", quarter, wq) * mean("ret", quarter, wq), quarter)
+        rest = spread - beta(quarter, wq) * beta(quarter, wq) * F.col(f"m_var_{quarter}")
+        out["ivol_63d"] = F.when(rest.isNotNull(), F.sqrt(F.greatest(rest, F.lit(0.0))))
+    if "volume" in cols:
+        dollar = F.col("close") * F.col("volume")
+        df = df.withColumn("__illiq", F.when(dollar != 0, F.abs("ret") / dollar))
+        out["amihud_63d"] = gated(F.avg("__illiq").over(wq), "__illiq", wq, month) * 1e9
+    df = df.select("entity", "session_no", "__point", *[c.alias(n) for n, c in out.items()])
+    carried = [F.last(n, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)).alias(n) for n in out]
+    return df.select("entity", "session_no", "__point", *carried).where(F.col("__point") == 1).drop("__point")
+
+
 def short_flow_features(ratio_grid: DataFrame, window: int = 63, least: int = 21) -> DataFrame:
     """Trailing mean of a daily share and its change one window earlier; missing days stay missing."""
     w = trailing(window)

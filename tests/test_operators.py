@@ -353,3 +353,36 @@ def test_growing_quantiles(spark, prob):
     for d in days[1:]:
         past = [x for day, x in rows if day < d]
         assert got[d][0] == len(past) and abs(got[d][1] - np.quantile(past, prob)) < 1e-12
+
+
+def test_features_at_points_are_those_of_the_dense_grid(spark):
+    rng = np.random.default_rng(6)
+    days = [dt.date(2020, 1, 1) + dt.timedelta(i) for i in range(120)]
+    rows = []
+    for e, share in (("full", 1.0), ("thin", 0.5), ("rare", 0.12), ("late", 0.8), ("stops", 0.9), ("once", 0.0)):
+        price = 50.0
+        for i, d in enumerate(days):
+            price *= 1 + rng.normal(0, 0.02)
+            lives = (e != "late" or i > 50) and (e != "stops" or i < 60) and (rng.random() < share or (e == "once" and i == 30))
+            if lives:
+                rows.append((e, d, float(price), float(rng.integers(0, 4) * 100)))
+    bars_ = spark.createDataFrame(rows, "entity string, date date, close double, volume double")
+    cal = calendar.session_calendar(spark.createDataFrame([(d,) for d in days], "date date"))
+    stamped = calendar.with_sessions(bars_, cal)
+    mkt = ts.market_returns(spark.createDataFrame([(d, float(100 + np.sin(i) * 5 + i / 7)) for i, d in enumerate(days)], "date date, close double"), cal)
+    dense = ts.price_features(ts.session_returns(ts.dense_grid(stamped, cal)), mkt, 4, 12, 40)
+    names = [c for c in dense.columns if c not in ("entity", "date", "session_no")]
+    for c in names:
+        dense = ts.carry_forward(dense, c, c)
+    every = dense.select("entity", "session_no")
+    for points in (every, every.where(F.col("session_no") % 10 == 7)):
+        got = {(r.entity, r.session_no): r for r in ts.price_features_at(stamped, points, mkt, 4, 12, 40).collect()}
+        assert len(got) == points.count()
+        filled = dict.fromkeys(names, 0)
+        for r in dense.collect():
+            if (r.entity, r.session_no) in got:
+                for c in names:
+                    a, b = r[c], got[r.entity, r.session_no][c]
+                    filled[c] += a is not None
+                    assert (a is None) == (b is None) and (a is None or abs(a - b) < 1e-9 + 1e-7 * abs(a)), (c, r, b)
+        assert all(n > 3 for n in filled.values()), filled
