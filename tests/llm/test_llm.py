@@ -838,3 +838,27 @@ def test_pipeline_drops_near_copies_of_small_table(spark, small, small_rows):
                 one, two = sorted((root[i], root[j]))
                 root = [one if r == two else r for r in root]
     assert sorted(r["doc_id"] for r in got.collect()) == sorted(small_rows[r][0] for r in set(root))
+
+
+def test_pooled_vectors_and_scores_match_plain_loops(spark):
+    """Whole chain of the quality score for a few texts: codes, mean and spread of their vectors, two layers, temperature."""
+    rng = np.random.default_rng(3)
+    vectors = rng.normal(0, 1, (quality.VOCAB, 2 * quality.DIM)).astype(np.float32)
+    vectors[0] = 0
+    texts = ["The cat, the cat sat on THE mat.", "one", "", None, "a b a b a b " * 200 + "Ünï 12"]
+    net = quality.train(rng.normal(0, 1, (60, 4 * quality.DIM)), rng.random(60) > 0.5, np.arange(60) % 5 == 0)
+    got = quality.pooled(texts, vectors)
+    for t, row in zip(texts, got):
+        codes = [c for piece in (t or "").split(" ") for c in quality.piece_codes(piece)]
+        again = sum(codes[i] == codes[i + 1] for i in range(len(codes) - 1)) + sum(codes[i] == codes[i + 2] for i in range(len(codes) - 2))
+        codes += [quality._code("^again")] * again
+        want = np.zeros(4 * quality.DIM)
+        for d in range(2 * quality.DIM):
+            held = [float(vectors[c][d]) for c in codes]
+            if held:
+                mean = sum(held) / len(held)
+                want[d], want[2 * quality.DIM + d] = mean, max(0.0, sum(x * x for x in held) / len(held) - mean * mean) ** 0.5
+        assert np.allclose(row, want, atol=2e-3)
+        hidden = [max(0.0, sum((row[i] - net.mean[i]) / net.scale[i] * net.w1[i][h] for i in range(len(row))) + net.b1[h]) for h in range(quality.HIDDEN)]
+        logit = sum(a * b for a, b in zip(hidden, net.w2)) + net.b2
+        assert abs(net.scores(row[None])[0] - 1 / (1 + np.exp(-logit / net.temperature))) < 1e-6
