@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from peerlens.llm.common import at_places, durable, raw_bytes
 from peerlens.llm.components import components
-from peerlens.llm.simhash import _forest, drop_near_duplicates, shingle_digests
+from peerlens.llm.simhash import _forest, fingerprints, near_links, shingle_digests
 
 #: A pair of similarity 0.8 misses every band with probability (1 - 0.8**5)**32, about 3 in a million.
 BANDS, BAND_ROWS = 32, 5
@@ -152,16 +152,17 @@ def strangers(signed: DataFrame, links: DataFrame) -> DataFrame:
     return told.where(F.coalesce("own", "row") != F.coalesce("head", "first")).select("key", "row")
 
 
-def near_copy_links(texts: DataFrame, signed: DataFrame, shingle: int, least: float) -> DataFrame:
+def near_copy_links(texts: DataFrame, signed: DataFrame, shingle: int, least: float, more: DataFrame | None = None) -> DataFrame:
     """(u, v): links that connect all rows of a common bucket whose shingle sets have similarity ``least`` or more.
 
-    ``texts``: (row, text). A pair that survives the signatures has sets of like size, so a huge text is moved to huge texts only."""
+    ``texts``: (row, text); ``more``: further pairs (u, v) to look at. A pair that survives the signatures has sets of like size, so a huge text is moved to huge texts only."""
 
     def sets_of(rows: DataFrame) -> DataFrame:
         wanted = texts.join(rows.select("row").distinct(), "row", "left_semi").select("row", "text")
         return durable(wanted.mapInArrow(partial(_sets, shingle=shingle), "row bigint, held binary"))
 
-    alike = durable(_with_both(proposed(signed), signed, "sig").mapInArrow(partial(_alike, least=least - SLACK), "u bigint, v bigint"))
+    pairs = proposed(signed) if more is None else proposed(signed).unionByName(more.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))).distinct()
+    alike = durable(_with_both(pairs, signed, "sig").mapInArrow(partial(_alike, least=least - SLACK), "u bigint, v bigint"))
     sets = sets_of(alike.select(F.col("u").alias("row")).unionByName(alike.select(F.col("v").alias("row"))))
     links = durable(_with_both(alike, sets, "held").mapInArrow(partial(_true, least=least), "u bigint, v bigint"))
     apart = durable(strangers(signed, links))
@@ -173,14 +174,27 @@ def near_copy_links(texts: DataFrame, signed: DataFrame, shingle: int, least: fl
     return links.unionByName(packs.mapInArrow(partial(_met, least=least), "u bigint, v bigint"))
 
 
-def drop_near_copies(docs: DataFrame, shingle: int = 5, least: float = 0.8) -> DataFrame:
+def ball_pairs(texts: DataFrame, shingle: int) -> DataFrame:
+    """(u, v): rows of one SimHash fingerprint with its first row, and first rows of fingerprints that ball hashing links."""
+    prints = durable(fingerprints(texts, shingle).select("fp", F.col("doc_id").alias("row")))
+    heads = durable(prints.groupBy("fp").agg(F.min("row").alias("first")))
+    links = near_links(durable(heads.select("fp")))
+    one, two = (heads.select(F.col("fp").alias(f), F.col("first").alias(r)) for f, r in (("a", "u"), ("b", "v")))
+    far = links.toDF("a", "b").join(one, "a").join(two, "b").select("u", "v")
+    same = prints.join(heads, "fp").where("row <> first").select(F.col("first").alias("u"), F.col("row").alias("v"))
+    return durable(far.unionByName(same))
+
+
+def drop_near_copies(docs: DataFrame, shingle: int = 5, least: float = 0.8, ball: bool = False) -> DataFrame:
     """Of each group linked by near copies the row of the smallest doc_id, then the first place, with all its columns.
 
-    Rows are matched by their place, as in ``simhash.drop_near_duplicates``; texts without words are copies of each other."""
+    ``ball`` adds the pairs of SimHash ball hashing to those of the bands. Rows are matched by their place, so ``docs`` must give
+    its rows in the same order each time, as files do; texts without words are copies of each other."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     texts = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
     signed = durable(texts.mapInArrow(partial(_signed, shingle=shingle), f"row bigint, doc_id {kind}, sig binary, keys array<bigint>"))
-    roots = durable(components(near_copy_links(texts, signed, shingle, least)))
+    more = ball_pairs(texts.select(F.col("row").alias("doc_id"), "text"), shingle) if ball else None
+    roots = durable(components(near_copy_links(texts, signed, shingle, least, more)))
     members = roots.select(F.col("node").alias("row"), "root").unionByName(roots.select(F.col("root").alias("row"), "root").distinct())
     members = durable(members.join(signed.select("row", "doc_id"), "row"))
     kept = members.groupBy("root").agg(F.min(F.struct(F.isnull("doc_id").alias("none"), "doc_id", "row")).alias("keep")).select(F.col("keep.row").alias("row"))
@@ -188,8 +202,8 @@ def drop_near_copies(docs: DataFrame, shingle: int = 5, least: float = 0.8) -> D
 
 
 def drop_similar(docs: DataFrame, shingle: int = 5, least: float = 0.8) -> DataFrame:
-    """The near-duplicate stage: ball hashing first, then the near copies that its ball does not reach.
+    """The near-duplicate stage: pairs of ball hashing, and those its ball does not reach, verified by their shingle sets.
 
     Two texts of similarity 0.8 differ in about ten of 64 SimHash bits, beyond any ball whose variants can be
     made; the README has figures. Of each group the row of the smallest doc_id stays."""
-    return drop_near_copies(durable(drop_near_duplicates(docs, shingle)), shingle, least)
+    return drop_near_copies(docs, shingle, least, ball=True)
