@@ -169,10 +169,13 @@ def test_written_stages_are_released(spark):
 
     held = session._WRITTEN[:]
     session._WRITTEN.clear()
+    session._HELD.clear()
     d = session.durable(spark.range(5))
     path = session._WRITTEN[-1]
     assert path.startswith(spark.conf.get("spark.checkpoint.dir")) and d.count() == 5
-    assert session.release(spark) == 1 and not os.path.exists(path)
+    rows = session.held(spark.range(3))
+    assert rows.count() == 3 and rows.storageLevel.useDisk
+    assert session.release(spark) == 2 and not os.path.exists(path) and not rows.storageLevel.useDisk
     session._WRITTEN.extend(held)
 
 
