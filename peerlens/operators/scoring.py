@@ -107,8 +107,11 @@ def evidence_weighted_score(
     df: DataFrame, families: Sequence[str], label: str, months: int, selection: str | None = None,
     keys: Sequence[str] = PEER_KEYS, window: int = 36, shrink: float = 0.5, min_realized: int = 12,
     min_factors: int = 3, min_families: int = 2, buckets: int = 10, min_rows: int = 10, large: bool | None = None,
+    large_peers: bool | None = None,
 ) -> tuple[DataFrame, DataFrame]:
-    """Blend family scores by trailing realised IC; returns (scored rows, weight history)."""
+    """Blend family scores by trailing realised IC; returns (scored rows, weight history).
+
+    ``large`` is the form of dates, ``large_peers`` that of peer groups if it is known apart."""
     est = df.where(F.col("index_name") == selection) if selection else df
     ics = ic_series(est, {f: family_column(f) for f in families}, {"h": label}, min_rows=min_rows, large=large)
     ics = ics.select(F.col("series").alias("family"), "date", "ic")
@@ -116,4 +119,4 @@ def evidence_weighted_score(
     raw = apply_weights(df, weights, families, "__icw")
     thin = (F.col("n_factors_used") < min_factors) | (F.col("n_families_used") < min_families)
     raw = raw.withColumn("score_icw_raw", F.when(~thin, F.col("__icw"))).drop("__icw")
-    return _graded(raw, "score_icw_raw", "score_icw", "decile_icw", keys, buckets, large), weights
+    return _graded(raw, "score_icw_raw", "score_icw", "decile_icw", keys, buckets, large if large_peers is None else large_peers), weights

@@ -408,7 +408,7 @@ def blended(spark, sf, base=None):
     """Monthly scores weighted by the realised evidence of three years, equal until a year of it is there."""
     if base is None:
         base = v.kept(v.scored(spark, sf, "month"), "date", "entity", "sector", "index_name", *FAM.values(), "n_factors_used", "n_families_used", "score_ew", "fwd_rel_ret_1q")
-    return scoring.evidence_weighted_score(base, _FAMS, "fwd_rel_ret_1q", 3, v.SELECTION, large=v.large(spark, sf))
+    return scoring.evidence_weighted_score(base, _FAMS, "fwd_rel_ret_1q", 3, v.SELECTION, large=v.large(spark, sf), large_peers=v.large_peers(spark, sf))
 
 
 @query("evidence_weight_history", with_views("SELECT date, family, round(weight,6) AS weight, n_realized FROM wt", "scored_m", extra={k: _ICW[k] for k in ("fic", "wk", "wt")}))
@@ -679,7 +679,7 @@ def walk_forward_ridge_scores(spark, sf):
     d, _ = learning.walk_forward(featured(spark, sf), ML, "fwd_rel_ret_1q", F.col("index_name") == v.SELECTION)
     from ..operators.peers import peer_decile
 
-    return tidy(peer_decile(d, "score_ml", "decile_ml", large=v.large(spark, sf)), "date", "entity", "score_ml", "decile_ml")
+    return tidy(peer_decile(d, "score_ml", "decile_ml", large=v.large_peers(spark, sf)), "date", "entity", "score_ml", "decile_ml")
 
 
 _ONE = {

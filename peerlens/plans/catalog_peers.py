@@ -39,7 +39,7 @@ def peer_zscores(spark, sf):
     ),
 )
 def peer_rank_variant(spark, sf):
-    d = peers.neutralize(v.panel(spark, sf), v.FACTORS, method="rank", large=v.large(spark, sf))
+    d = peers.neutralize(v.panel(spark, sf), v.FACTORS, method="rank", large=v.large_peers(spark, sf))
     return tidy(d, "date", "entity", *[f"{f}__n" for f in v.FACTORS])
 
 
@@ -48,7 +48,7 @@ def peer_rank_variant(spark, sf):
     with_views(f"SELECT date, sector, index_name, count(*) AS n FROM (SELECT *, count(*) OVER ({WG}) AS c FROM panel) WHERE c>=10 GROUP BY 1,2,3", "panel"),
 )
 def small_peer_groups_dropped(spark, sf):
-    d = peers.drop_small_groups(v.panel(spark, sf), min_rows=10, large=v.large(spark, sf))
+    d = peers.drop_small_groups(v.panel(spark, sf), min_rows=10, large=v.large_peers(spark, sf))
     return d.groupBy("date", "sector", "index_name").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -62,8 +62,8 @@ def small_peer_groups_dropped(spark, sf):
     ),
 )
 def winsorized_factors(spark, sf):
-    d = peers.drop_small_groups(v.panel(spark, sf), min_rows=3, large=v.large(spark, sf))
-    w = peers.winsorize(d, list(v.FACTORS), peers.PEER_KEYS, 0.02, large=v.large(spark, sf))
+    d = peers.drop_small_groups(v.panel(spark, sf), min_rows=3, large=v.large_peers(spark, sf))
+    w = peers.winsorize(d, list(v.FACTORS), peers.PEER_KEYS, 0.02, large=v.large_peers(spark, sf))
     return tidy(w, "date", "entity", *[f"{f}_w" for f in v.FACTORS], digits=10)
 
 

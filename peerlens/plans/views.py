@@ -6,7 +6,7 @@ table has been reduced.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -30,20 +30,31 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 
 _ROWS: dict[tuple, int] = {}
+#: Rows of line items a task of the peer chain is meant to get; its sorts and windows then stay small however long the table is.
+TASK_ROWS = 250_000
+
+
+def most_rows(spark: SparkSession, sf: str, name: str, *by) -> int:
+    """Rows of a source, or of its largest group of ``by``; counted once for each state of its files, not once a call."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{sf}/{name}.parquet")
+    seen = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getContentSummary(path)
+    state = (spark.sparkContext.applicationId, str(path), seen.getLength(), seen.getFileCount(), bool(by))
+    if state not in _ROWS:
+        rows = table(spark, sf, name)
+        _ROWS[state] = rows.groupBy(*by).count().agg(F.max("count")).first()[0] or 0 if by else rows.count()
+    return _ROWS[state]
 
 
 def large(spark: SparkSession, sf: str, name: str = "part") -> bool | None:
     """False if the whole source fits one ranking group, else None: operators then look up the groups themselves.
 
-    A panel has at most one row per part and date, so the parts bound every group that holds a date.
+    A panel has at most one row per part and date, so the parts bound every group that holds a date."""
+    return False if most_rows(spark, sf, name) <= ranking.TARGET_GROUP_ROWS else None
 
-    The rows of a source are counted once (from its footers) for each state of its files, not once a call."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{sf}/{name}.parquet")
-    seen = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getContentSummary(path)
-    state = (spark.sparkContext.applicationId, str(path), seen.getLength(), seen.getFileCount())
-    if state not in _ROWS:
-        _ROWS[state] = table(spark, sf, name).count()
-    return False if _ROWS[state] <= ranking.TARGET_GROUP_ROWS else None
+
+def large_peers(spark: SparkSession, sf: str) -> bool | None:
+    """The same for peer groups: the parts of one sector and index bound them on every date."""
+    return False if most_rows(spark, sf, "part", *_peers()) <= ranking.TARGET_GROUP_ROWS else None
 
 
 def kept(df: DataFrame, *cols: str) -> DataFrame:
@@ -51,6 +62,11 @@ def kept(df: DataFrame, *cols: str) -> DataFrame:
     return held(df.select(*cols) if cols else df)
 
 
+def _peers() -> list[Column]:
+    """Sector and index of a part."""
+    return [F.col("p_type").alias("sector"), F.when(F.col("p_size") <= 25, "SMALL").otherwise("LARGE").alias("index_name")]
+
+
 def shipments(spark: SparkSession, sf: str, unit: str = "quarter") -> DataFrame:
     """Panel rows before scoring: (date, entity) aggregates of line items, with part attributes."""
     li = table(spark, sf, "lineitem").select(
@@ -67,10 +83,7 @@ def shipments(spark: SparkSession, sf: str, unit: str = "quarter") -> DataFrame:
         F.count(F.lit(1)).cast("double").alias("f_lines"),
         F.countDistinct("l_suppkey").cast("double").alias("f_supp"),
     )
-    part = table(spark, sf, "part").select(
-        F.col("p_partkey").alias("entity"), F.col("p_type").alias("sector"),
-        F.when(F.col("p_size") <= 25, "SMALL").otherwise("LARGE").alias("index_name"),
-    )
+    part = table(spark, sf, "part").select(F.col("p_partkey").alias("entity"), *_peers())
     return agg.join(part, "entity")
 
 
@@ -100,7 +113,10 @@ def _in_peer_groups(spark: SparkSession, sf: str, unit: str, *steps) -> DataFram
             rows = step(rows, large)
         return rows
 
-    return ranking.sized(d, peers.PEER_KEYS, large(spark, sf), chain)
+    tasks = most_rows(spark, sf, "lineitem") // TASK_ROWS
+    if tasks > int(spark.conf.get("spark.sql.shuffle.partitions")):
+        d = d.repartition(tasks, *peers.PEER_KEYS)
+    return ranking.sized(d, peers.PEER_KEYS, large_peers(spark, sf), chain)
 
 
 def _z(rows: DataFrame, large: bool) -> DataFrame:

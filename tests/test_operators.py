@@ -386,3 +386,32 @@ def test_features_at_points_are_those_of_the_dense_grid(spark):
                     filled[c] += a is not None
                     assert (a is None) == (b is None) and (a is None or abs(a - b) < 1e-9 + 1e-7 * abs(a)), (c, r, b)
         assert all(n > 3 for n in filled.values()), filled
+
+
+def _orders_of(tmp_path, spark, parts, lines):
+    spark.createDataFrame(parts, "p_partkey long, p_type string, p_size int").write.parquet(f"{tmp_path}/part.parquet")
+    kind = "l_shipdate timestamp, l_partkey long, l_suppkey long, l_quantity double, l_extendedprice double, l_discount double, l_tax double, l_returnflag string"
+    spark.createDataFrame(lines, kind).write.parquet(f"{tmp_path}/lineitem.parquet")
+    return str(tmp_path)
+
+
+def test_peer_groups_are_bounded_by_the_parts_of_a_class(spark, tmp_path, monkeypatch):
+    """More parts than fit a group, but no class with so many: nothing is written to look the groups up, rows go to tasks by their number."""
+    from peerlens.operators import ranking
+    from peerlens.plans import PLANS, views
+
+    parts = [(i, f"T{i % 3}", 10 + 30 * (i % 2)) for i in range(60)]
+    lines = [(dt.datetime(2024, 1 + 3 * q, 5), i, i % 4, 1.0 + i, 100.0 * (i + 1) + q, 0.01 * (i % 5), 0.02, "R" if i % 3 else "N") for i in range(60) for q in range(3)]
+    sf = _orders_of(tmp_path, spark, parts, lines)
+    names = ["peer_rank_variant", "winsorized_factors", "small_peer_groups_dropped", "average_rank_of_ties", "absolute_risk", "worst_ten_names"]
+    want = {n: sorted(map(str, PLANS[n](spark, sf).collect())) for n in names}
+    monkeypatch.setattr(ranking, "TARGET_GROUP_ROWS", 30)
+    monkeypatch.setattr(views, "TASK_ROWS", 20)
+    assert views.large(spark, sf) is None and views.large_peers(spark, sf) is False
+    written = []
+    monkeypatch.setattr(ranking, "durable", lambda df, keep=ranking.durable: written.append(df.columns) or keep(df))
+    assert PLANS["small_peer_groups_dropped"](spark, sf).count() and not written
+    wide = PLANS["peer_rank_variant"](spark, sf)
+    assert not written and f"REPARTITION_BY_NUM" in wide._jdf.queryExecution().executedPlan().toString()
+    for n in names:
+        assert sorted(map(str, PLANS[n](spark, sf).collect())) == want[n], n
