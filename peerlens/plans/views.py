@@ -149,7 +149,9 @@ def crossed(spark: SparkSession, sf: str, unit: str = "quarter") -> DataFrame:
 
 
 def risked(spark: SparkSession, sf: str, unit: str = "quarter") -> DataFrame:
-    return peers.absolute_risk(scored(spark, sf, unit), FACTORS, large=large(spark, sf))
+    """Risk by date next to the score; only these columns are written where groups have to be looked up."""
+    d = scored(spark, sf, unit).select("date", "entity", "sector", "index_name", "score_ew", "decile_ew", "fwd_ret_1q", *FACTORS)
+    return peers.absolute_risk(d, FACTORS, large=large(spark, sf))
 
 
 def bars_raw(spark: SparkSession, sf: str) -> DataFrame:
