@@ -193,7 +193,7 @@ def risk_tier_counts(spark, sf):
     ),
 )
 def average_rank_of_ties(spark, sf):
-    d = average_rank(v.panel(spark, sf), ["date"], "f_lines", "avg_rank", ["entity"], v.large(spark, sf))
+    d = average_rank(v.panel(spark, sf).select("date", "entity", "f_lines"), ["date"], "f_lines", "avg_rank", ["entity"], v.large(spark, sf))
     return tidy(d.withColumn("pct_rank", F.col("avg_rank") / F.col("avg_rank_n")), "date", "entity", "avg_rank", "pct_rank")
 
 
