@@ -40,22 +40,24 @@ def attach(df: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "lef
     return joined if how in ("left_semi", "left_anti") else joined.drop(*names.values())
 
 
-def by_size(df: DataFrame, keys: Sequence[str], steps: Callable[[DataFrame, bool], DataFrame]) -> DataFrame:
+def by_size(df: DataFrame, keys: Sequence[str], steps: Callable[[DataFrame, bool], DataFrame], most: int | None = None) -> DataFrame:
     """``steps(rows, large)`` on the groups that fit a task (``large`` false) and on those that don't, united.
 
-    The list of large groups has at most one row per ``TARGET_GROUP_ROWS`` rows."""
+    A group fits up to ``most`` rows, ``TARGET_GROUP_ROWS`` if unsaid; the list of large groups has at most one row per so many rows."""
     base = durable(df)
     sizes = base.groupBy(*keys).agg(F.count(F.lit(1)).alias("__size"))
-    large = durable(sizes.where(F.col("__size") > TARGET_GROUP_ROWS).select(*keys, F.lit(1).alias("__large")))
+    large = durable(sizes.where(F.col("__size") > (most or TARGET_GROUP_ROWS)).select(*keys, F.lit(1).alias("__large")))
     if large.isEmpty():
         return steps(base, False)
     few, many = attach(base, large, keys, "left_anti"), attach(base, large, keys, "left_semi")
     return steps(few, False).unionByName(steps(durable(many), True))
 
 
-def sized(df: DataFrame, keys: Sequence[str], large: bool | None, steps: Callable[[DataFrame, bool], DataFrame]) -> DataFrame:
+def sized(
+    df: DataFrame, keys: Sequence[str], large: bool | None, steps: Callable[[DataFrame, bool], DataFrame], most: int | None = None
+) -> DataFrame:
     """``steps`` in the form the caller names, or dealt out by size if it names none."""
-    return by_size(df, keys, steps) if large is None else steps(df, large)
+    return by_size(df, keys, steps, most) if large is None else steps(df, large)
 
 
 def _slice_number(ordered: Column, edges: Column) -> Column:

@@ -7,10 +7,13 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.scalar import EPS
 from ..session import held
 from .evaluation import ic_series, rank_correlation
 from .ranking import numbered, sized
@@ -18,6 +21,8 @@ from .ranking import numbered, sized
 # Screening tiers, as the largest bucket a name may sit in.
 TIERS = {"full": 10, "ex10": 9, "ex9_10": 8, "top_half": 5}
 PERCENTILES = (5, 25, 50, 75, 95)
+#: Rows of a date that one task holds as plain numbers: about 150 bytes each for seven factors.
+HELD_ROWS = 4_000_000
 
 
 def tier_pools(
@@ -175,24 +180,93 @@ def factor_masks(spark, factors: Sequence[str], draws: int = 100, seed: int = 7,
     return grid.select("draw", F.transform(F.slice(order, 1, F.col("__size")), lambda x: x["i"]).alias("picks"))
 
 
+def _places(values: np.ndarray) -> np.ndarray:
+    """Mean rank of ties as Spark orders doubles: NaN is equal to itself and above all."""
+    order = np.argsort(values, kind="stable")
+    v = values[order]
+    first = np.flatnonzero(np.r_[True, (v[1:] != v[:-1]) & ~(np.isnan(v[1:]) & np.isnan(v[:-1]))])
+    ties = np.diff(np.r_[first, len(v)])
+    out = np.empty(len(v))
+    out[order] = np.repeat(first + (ties + 1) / 2.0, ties)
+    return out
+
+
+def _nine_digits(v: np.ndarray) -> np.ndarray:
+    """Rounded half up, as values are before every rank."""
+    return np.copysign(np.floor(np.abs(v) * 1e9 + 0.5) / 1e9, v)
+
+
+def _composite_correlations(rows: pa.Table, picks: Sequence[Sequence[int]]) -> pa.Table:
+    """(k, rho, n) of the rows of one date: the rank correlation of the k-th composite with the label."""
+
+    def column(c: str) -> np.ndarray:
+        return rows.column(c).to_numpy(zero_copy_only=False)
+
+    label, xs, have = column("y"), [], []
+    for i in range(rows.num_columns - 1):
+        present = rows.column(f"x{i}").is_valid().to_numpy(zero_copy_only=False)
+        have.append(None if present.all() else present)
+        xs.append(column(f"x{i}") if have[i] is None else np.where(present, column(f"x{i}"), 0.0))
+    label_places, rhos, counts = _places(label), [], []
+    for chosen in picks:
+        total, present = np.zeros(len(label)), np.zeros(len(label))
+        for i in chosen:
+            total += xs[i]
+            present += 1 if have[i] is None else have[i]
+        some = present > 0
+        if some.all():
+            at = label_places
+        else:
+            total, present, at = total[some], present[some], _places(label[some])
+        n = len(total)
+        counts.append(n)
+        s = _places(_nine_digits(total / present)) - (n + 1) / 2.0
+        y = at - (n + 1) / 2.0
+        sx, sy = (np.sqrt(np.dot(v, v) / n) if n else 0.0 for v in (s, y))
+        rhos.append(float(np.dot(s, y) / n / (sx * sy)) if sx > EPS and sy > EPS else None)
+    return pa.table({"k": pa.array(range(len(picks)), pa.int32()), "rho": pa.array(rhos, pa.float64()), "n": pa.array(counts, pa.int64())})
+
+
 def random_composites(
     df: DataFrame, factors: Sequence[str], label: str, masks: DataFrame, min_rows: int = 10, large: bool | None = None
 ) -> DataFrame:
     """(draw, mean_ic) of equal-weight composites of random factor subsets.
 
-    The masks (draws x factors) travel to the rows; composites are built in place and only
-    (draw, date) ranks are shuffled."""
-    packed = masks.agg(F.collect_list(F.struct("draw", "picks")).alias("__masks"))  # one small row
+    The masks (draws x factors) travel to the rows. A date that fits a task as plain numbers is shuffled once, whatever the number
+    of draws: its composites are built and ranked where its rows lie. Of larger dates, (draw, date) ranks are shuffled."""
+    drawn = masks.select("draw", "picks").collect()  # a parameter: draws x factors numbers
     rows = df.where(F.col(label).isNotNull()).select(
-        "date", "entity", F.round(label, 9).alias("y"), F.array(*[F.col(f).cast("double") for f in factors]).alias("__x")
+        "date", "entity", F.round(label, 9).alias("y"), *[F.col(f).cast("double").alias(f"x{i}") for i, f in enumerate(factors)]
     )
+    names = [f"x{i}" for i in range(len(factors))]
+
+    def steps(d: DataFrame, large: bool) -> DataFrame:
+        if large:
+            pairs = _composites(d.select("date", "entity", "y", F.array(*names).alias("__x")), masks)
+            return rank_correlation(pairs, ["draw", "date"], large=True).select("draw", "rho", "n")
+        picks = [list(r["picks"]) for r in drawn]
+        tasks = max(int(d.sparkSession.conf.get("spark.sql.shuffle.partitions")), 128)  # about a date each: not to be merged
+        placed = d.select("date", F.col("y").cast("double").alias("y"), *names).repartition(tasks, "date")
+        found = placed.groupBy("date").applyInArrow(
+            lambda t: _composite_correlations(t.select(["y", *names]), picks), "k int, rho double, n bigint"
+        )
+        numbers = F.array(*[F.lit(r["draw"]) for r in drawn])
+        return found.select(F.element_at(numbers, F.col("k") + 1).alias("draw"), "rho", "n")
+
+    if not drawn:
+        return masks.select("draw", F.lit(None).cast("double").alias("mean_ic")).where(F.lit(False))
+    per = sized(rows, ["date"], large, steps, HELD_ROWS).where((F.col("n") >= min_rows) & F.col("rho").isNotNull())
+    return per.groupBy("draw").agg(F.avg(-F.col("rho")).alias("mean_ic"))
+
+
+def _composites(rows: DataFrame, masks: DataFrame) -> DataFrame:
+    """(draw, date, entity, s, y): every row (date, entity, y, __x) once a draw."""
+    packed = masks.agg(F.collect_list(F.struct("draw", "picks")).alias("__masks"))  # one small row
     wide = rows.join(F.broadcast(packed), F.lit(True)).withColumn("__m", F.explode("__masks")).drop("__masks")
     chosen = F.filter(F.transform("__m.picks", lambda i: F.element_at("__x", i + 1)), lambda v: v.isNotNull())
     total = F.aggregate(chosen, F.lit(0.0), lambda a, v: a + v)
     z = F.round(F.try_divide(total, F.size(chosen).cast("double")), 9)
-    pairs = wide.select(F.col("__m.draw").alias("draw"), "date", "entity", z.alias("s"), "y").where(F.col("s").isNotNull())
-    per = rank_correlation(pairs, ["draw", "date"], large=large).where((F.col("n") >= min_rows) & F.col("rho").isNotNull())
-    return per.groupBy("draw").agg(F.avg(-F.col("rho")).alias("mean_ic"))
+    return wide.select(F.col("__m.draw").alias("draw"), "date", "entity", z.alias("s"), "y").where(F.col("s").isNotNull())
 
 
 def null_summary(null: DataFrame, real: DataFrame) -> DataFrame:

@@ -847,8 +847,8 @@ def placebo_permutation(spark, sf):
 def random_composite_null(spark, sf):
     d = v.kept(_sel(spark, sf), "date", "entity", "score_ew", "fwd_rel_ret_1q", *v.FEATURES)
     masks = resampling.factor_masks(spark, v.FEATURES, 100)
-    null = resampling.random_composites(d, v.FEATURES, "fwd_rel_ret_1q", masks, large=v.large(spark, sf))
-    real = ev.ic_series(d, EW, Q1, large=v.large(spark, sf)).agg(F.avg("ic").alias("real_ic"))
+    null = resampling.random_composites(d, v.FEATURES, "fwd_rel_ret_1q", masks, large=v.large_selected(spark, sf, resampling.HELD_ROWS))
+    real = ev.ic_series(d, EW, Q1, large=v.large_selected(spark, sf)).agg(F.avg("ic").alias("real_ic"))
     return tidy(resampling.null_summary(null, real))
 
 

@@ -38,7 +38,7 @@ def most_rows(spark: SparkSession, sf: str, name: str, *by) -> int:
     """Rows of a source, or of its largest group of ``by``; counted once for each state of its files, not once a call."""
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{sf}/{name}.parquet")
     seen = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getContentSummary(path)
-    state = (spark.sparkContext.applicationId, str(path), seen.getLength(), seen.getFileCount(), bool(by))
+    state = (spark.sparkContext.applicationId, str(path), seen.getLength(), seen.getFileCount(), str(by))
     if state not in _ROWS:
         rows = table(spark, sf, name)
         _ROWS[state] = rows.groupBy(*by).count().agg(F.max("count")).first()[0] or 0 if by else rows.count()
@@ -57,6 +57,11 @@ def large_peers(spark: SparkSession, sf: str) -> bool | None:
     return False if most_rows(spark, sf, "part", *_peers()) <= ranking.TARGET_GROUP_ROWS else None
 
 
+def large_selected(spark: SparkSession, sf: str, most: int | None = None) -> bool | None:
+    """The same for dates of the selected rows alone: the parts of one index bound them."""
+    return False if most_rows(spark, sf, "part", _peers()[1]) <= (most or ranking.TARGET_GROUP_ROWS) else None
+
+
 def kept(df: DataFrame, *cols: str) -> DataFrame:
     """The columns several branches read, held once the plan runs."""
     return held(df.select(*cols) if cols else df)

@@ -405,6 +405,32 @@ def test_permuted_scores_carry_labels_and_move_once(spark):
     assert plan.count("Exchange hashpartitioning") == 2  # by date, then by trial and date
 
 
+def test_composites_of_a_date_are_ranked_where_its_rows_lie(spark, monkeypatch):
+    """Ties, nulls, NaN, a null date and a thin one: as the shuffled ranks, with one exchange of the rows whatever the number of draws."""
+    from peerlens.operators import ranking
+
+    rng = np.random.default_rng(11)
+    rows = []
+    for k, n in ((None, 40), (1, 60), (2, 33), (3, 4)):
+        for i in range(n):
+            x = [None if rng.random() < 0.4 else float(rng.integers(0, 4)) / 3 for _ in range(4)]
+            x[0] = float("nan") if rng.random() < 0.05 else x[0]
+            y = None if rng.random() < 0.1 else float(rng.integers(0, 9))
+            rows.append((k and dt.date(2024, k, 1), i, y, *x))
+    df = spark.createDataFrame(rows, "date date, entity long, y double, a double, b double, c double, d double")
+    masks = spark.createDataFrame([(0, [0, 1]), (5, [3]), (7, [2, 1, 3, 0])], "draw int, picks array<int>")
+    near = resampling.random_composites(df, list("abcd"), "y", masks, large=False)
+    plan = near._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan and plan.count("Exchange hashpartitioning(date") + plan.count("REPARTITION_BY_NUM") <= 2
+    assert near.schema["draw"].dataType == masks.schema["draw"].dataType
+    want = {r.draw: r.mean_ic for r in resampling.random_composites(df, list("abcd"), "y", masks, large=True).collect()}
+    got = {r.draw: r.mean_ic for r in near.collect()}
+    assert set(got) == set(want) == {0, 5, 7} and got == pytest.approx(want, abs=1e-12)
+    monkeypatch.setattr(resampling, "HELD_ROWS", 40)  # two dates of each form
+    monkeypatch.setattr(ranking, "TARGET_GROUP_ROWS", 10)
+    assert {r.draw: r.mean_ic for r in resampling.random_composites(df, list("abcd"), "y", masks).collect()} == pytest.approx(want, abs=1e-12)
+
+
 def _orders_of(tmp_path, spark, parts, lines):
     spark.createDataFrame(parts, "p_partkey long, p_type string, p_size int").write.parquet(f"{tmp_path}/part.parquet")
     kind = "l_shipdate timestamp, l_partkey long, l_suppkey long, l_quantity double, l_extendedprice double, l_discount double, l_tax double, l_returnflag string"
