@@ -34,7 +34,8 @@ def graded(spark, sf, *cols):
 
 def ics(spark, sf, scores=None, labels=None, sel=True):
     d = v.scored(spark, sf)
-    return ev.ic_series(selected(d) if sel else d, scores or {"score_ew": "score_ew"}, labels or {"1q": "fwd_rel_ret_1q"}, large=v.large(spark, sf))
+    bound = v.large_selected(spark, sf) if sel else v.large(spark, sf)
+    return ev.ic_series(selected(d) if sel else d, scores or {"score_ew": "score_ew"}, labels or {"1q": "fwd_rel_ret_1q"}, large=bound)
 
 
 # --- the learned score in SQL ------------------------------------------------------------
@@ -363,7 +364,7 @@ def stress_window_table(spark, sf):
     win = spark.range(1).select(rows.alias("w")).select("w.*")
     d = graded(spark, sf)
     spreads = ev.decile_spread(d, "decile_ew", "fwd_rel_ret_1q")
-    by_date = ev.ic_series(d, EW, Q1, large=v.large(spark, sf))
+    by_date = ev.ic_series(d, EW, Q1, large=v.large_selected(spark, sf))
     return tidy(ev.stress_windows(win, by_date, spreads, v.bench(spark, sf)))
 
 

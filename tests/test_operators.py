@@ -458,3 +458,22 @@ def test_peer_groups_are_bounded_by_the_parts_of_a_class(spark, tmp_path, monkey
     assert not written and f"REPARTITION_BY_NUM" in wide._jdf.queryExecution().executedPlan().toString()
     for n in names:
         assert sorted(map(str, PLANS[n](spark, sf).collect())) == want[n], n
+
+
+def test_dates_of_the_selection_are_bounded_by_its_parts(spark, tmp_path, monkeypatch):
+    """More parts than fit a group, but fewer in the selected index: its correlations write nothing to look dates up."""
+    from peerlens.operators import ranking
+    from peerlens.plans import PLANS, views
+
+    parts = [(i, f"T{i % 3}", 10 + 30 * (i % 2)) for i in range(60)]
+    lines = [(dt.datetime(1999, 1 + 3 * q, 5), i, i % 4, 1.0 + i * 7 % 11, 100.0 * (i + 1) + i * q, 0.01 * (i % 5), 0.02, "R" if i % 3 else "N") for i in range(60) for q in range(3)]
+    sf = _orders_of(tmp_path, spark, parts, lines)
+    names = ["ic_by_year", "stress_window_table"]
+    want = {n: sorted(map(str, PLANS[n](spark, sf).collect())) for n in names}
+    assert "n_periods=2" in want["ic_by_year"][0]
+    monkeypatch.setattr(ranking, "TARGET_GROUP_ROWS", 30)
+    assert views.large(spark, sf) is None and views.large_selected(spark, sf) is False and views.large_selected(spark, sf, 29) is None
+    written = []
+    monkeypatch.setattr(ranking, "durable", lambda df, keep=ranking.durable: written.append(df.columns) or keep(df))
+    for n in names:
+        assert sorted(map(str, PLANS[n](spark, sf).collect())) == want[n] and not written, n
