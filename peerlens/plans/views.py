@@ -62,6 +62,14 @@ def large_selected(spark: SparkSession, sf: str, most: int | None = None) -> boo
     return False if most_rows(spark, sf, "part", _peers()[1]) <= (most or ranking.TARGET_GROUP_ROWS) else None
 
 
+def dealt(spark: SparkSession, sf: str, df: DataFrame, *keys: str, always: bool = False) -> DataFrame:
+    """Rows moved by ``keys`` into as many tasks as the line items ask for; where the session has that many anyway, moved only if ``always``."""
+    tasks = most_rows(spark, sf, "lineitem") // TASK_ROWS
+    if tasks > int(spark.conf.get("spark.sql.shuffle.partitions")):
+        return df.repartition(tasks, *keys)
+    return df.repartition(*keys) if always else df
+
+
 def kept(df: DataFrame, *cols: str) -> DataFrame:
     """The columns several branches read, held once the plan runs."""
     return held(df.select(*cols) if cols else df)
@@ -73,12 +81,15 @@ def _peers() -> list[Column]:
 
 
 def shipments(spark: SparkSession, sf: str, unit: str = "quarter") -> DataFrame:
-    """Panel rows before scoring: (date, entity) aggregates of line items, with part attributes."""
+    """Panel rows before scoring: (date, entity) aggregates of line items, with part attributes.
+
+    A part has few line items a date and hardly two of one supplier, so partial sums are as many rows as the line items and wider;
+    the items themselves move instead, once, where the distinct count would move its sums twice."""
     li = table(spark, sf, "lineitem").select(
         F.trunc(F.to_date("l_shipdate"), unit).alias("date"), F.col("l_partkey").alias("entity"), "l_suppkey", "l_quantity",
         "l_extendedprice", "l_discount", "l_tax", "l_returnflag",
     )
-    agg = li.groupBy("date", "entity").agg(
+    agg = dealt(spark, sf, li, "date", "entity", always=True).groupBy("date", "entity").agg(
         F.round(F.avg("l_discount"), 9).alias("f_disc"),
         F.round(F.avg("l_tax"), 9).alias("f_tax"),
         F.round(F.avg((F.col("l_returnflag") == "R").cast("double")), 9).alias("f_ret"),
@@ -118,10 +129,7 @@ def _in_peer_groups(spark: SparkSession, sf: str, unit: str, *steps) -> DataFram
             rows = step(rows, large)
         return rows
 
-    tasks = most_rows(spark, sf, "lineitem") // TASK_ROWS
-    if tasks > int(spark.conf.get("spark.sql.shuffle.partitions")):
-        d = d.repartition(tasks, *peers.PEER_KEYS)
-    return ranking.sized(d, peers.PEER_KEYS, large_peers(spark, sf), chain)
+    return ranking.sized(dealt(spark, sf, d, *peers.PEER_KEYS), peers.PEER_KEYS, large_peers(spark, sf), chain)
 
 
 def _z(rows: DataFrame, large: bool) -> DataFrame:

@@ -477,3 +477,40 @@ def test_dates_of_the_selection_are_bounded_by_its_parts(spark, tmp_path, monkey
     monkeypatch.setattr(ranking, "durable", lambda df, keep=ranking.durable: written.append(df.columns) or keep(df))
     for n in names:
         assert sorted(map(str, PLANS[n](spark, sf).collect())) == want[n] and not written, n
+
+
+def test_line_items_of_a_panel_move_once(spark, tmp_path, monkeypatch):
+    """Line items reach their (date, part) in one shuffle, in as many tasks as there are items for, with the sums of a plain loop."""
+    import datetime as dt
+    import re
+
+    from peerlens.plans import views
+
+    items = [
+        (i, None if i == 7 else i % 5, i % 3, float(1 + i % 4), 100.0 + i, (i % 10) / 100, 0.01, "RAN"[i % 3], None if i == 9 else dt.datetime(1996, 1 + i % 9, 3))
+        for i in range(60)
+    ]
+    items += items[20:24]  # rows that come twice
+    names = "l_orderkey long, l_partkey long, l_suppkey long, l_quantity double, l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_shipdate timestamp"
+    sf = str(tmp_path)
+    spark.createDataFrame(items, names).write.parquet(f"{sf}/lineitem.parquet")
+    spark.createDataFrame([(p, "T", 1 + 20 * p) for p in range(5)], "p_partkey long, p_type string, p_size int").write.parquet(f"{sf}/part.parquet")
+    want = {}
+    for _, part, supp, qty, price, _, _, flag, day in items:
+        if part is not None:
+            date = day and dt.date(day.year, day.month - (day.month - 1) % 3, 1)
+            g = want.setdefault((date, part), [0, set(), 0.0, 0.0, 0])
+            g[0], g[2], g[3], g[4] = g[0] + 1, g[2] + qty, g[3] + price, g[4] + (flag == "R")
+            g[1].add(supp)
+    for tasks in (2, 16):  # fewer than the session's partitions, then more
+        monkeypatch.setattr(views, "TASK_ROWS", 64 // tasks)
+        d = views.shipments(spark, sf)
+        got = {(r["date"], r["entity"]): r for r in d.collect()}
+        assert got.keys() == want.keys()
+        for k, (n, supps, qty, price, returned) in want.items():
+            assert (got[k]["f_lines"], got[k]["f_supp"], got[k]["f_qty"]) == (n, len(supps), qty)
+            assert (got[k]["px"], got[k]["f_ret"]) == (pytest.approx(price / qty + 50000), pytest.approx(returned / n))
+        moves = re.findall(r"(?<!Broadcast)Exchange \w+partitioning\(.*", views.shipments(spark, sf)._jdf.queryExecution().executedPlan().toString())
+        assert len(moves) == 1, moves
+        if tasks == 16:
+            assert views.shipments(spark, sf).rdd.getNumPartitions() == 16
