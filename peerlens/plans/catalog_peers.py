@@ -385,6 +385,6 @@ def worst_names_by_sector(spark, sf):
 )
 def last_event_of_names(spark, sf):
     """Newest event day known on the latest date, next to each name of that cross section."""
-    points = reporting.latest_cross_section(v.panel(spark, sf)).select("entity", "date")
+    points = reporting.latest_cross_section(v.panel(spark, sf, move=False)).select("entity", "date")
     events = v.table(spark, sf, "lineitem").select(F.col("l_partkey").alias("entity"), F.to_date("l_shipdate").alias("day"))
     return reporting.last_event(points, events, "day")

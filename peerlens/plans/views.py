@@ -119,8 +119,10 @@ def _forward(spark: SparkSession, sf: str, unit: str) -> tuple[DataFrame, dict[s
     return labels.gap_returns(d, "px", steps), {c: c.replace("fwd_ret", "fwd_rel_ret") for c in steps}
 
 
-def _in_peer_groups(spark: SparkSession, sf: str, unit: str, *steps) -> DataFrame:
-    """Peer-relative returns, then ``steps(rows, large)``, all inside peer groups: split by size once for the whole chain."""
+def _in_peer_groups(spark: SparkSession, sf: str, unit: str, *steps, move: bool = True) -> DataFrame:
+    """Peer-relative returns, then ``steps(rows, large)``, all inside peer groups: split by size once for the whole chain.
+
+    ``move`` false leaves rows where they were summed, for readers of no peer column: Spark then drops the windows, but never a move."""
     d, rel = _forward(spark, sf, unit)
 
     def chain(rows: DataFrame, large: bool) -> DataFrame:
@@ -129,7 +131,7 @@ def _in_peer_groups(spark: SparkSession, sf: str, unit: str, *steps) -> DataFram
             rows = step(rows, large)
         return rows
 
-    return ranking.sized(dealt(spark, sf, d, *peers.PEER_KEYS), peers.PEER_KEYS, large_peers(spark, sf), chain)
+    return ranking.sized(dealt(spark, sf, d, *peers.PEER_KEYS) if move else d, peers.PEER_KEYS, large_peers(spark, sf), chain)
 
 
 def _z(rows: DataFrame, large: bool) -> DataFrame:
@@ -144,8 +146,8 @@ def _cross(rows: DataFrame, large: bool) -> DataFrame:
     return scoring.interactions(rows, INTERACTIONS, large=large)
 
 
-def panel(spark: SparkSession, sf: str, unit: str = "quarter") -> DataFrame:
-    return _in_peer_groups(spark, sf, unit)
+def panel(spark: SparkSession, sf: str, unit: str = "quarter", move: bool = True) -> DataFrame:
+    return _in_peer_groups(spark, sf, unit, move=move)
 
 
 def neutral(spark: SparkSession, sf: str, unit: str = "quarter") -> DataFrame:

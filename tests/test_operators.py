@@ -514,3 +514,17 @@ def test_line_items_of_a_panel_move_once(spark, tmp_path, monkeypatch):
         assert len(moves) == 1, moves
         if tasks == 16:
             assert views.shipments(spark, sf).rdd.getNumPartitions() == 16
+
+
+def test_last_events_do_not_move_rows_to_peer_groups(spark, tmp_path, monkeypatch):
+    """Nothing of a peer group is read, so no row is moved by sector however many line items there are."""
+    from peerlens.plans import PLANS, views
+
+    parts = [(i, f"T{i % 3}", 10 + 30 * (i % 2)) for i in range(60)]
+    lines = [(dt.datetime(2024, 1 + 3 * q, 5), i, i % 4, 1.0 + i, 100.0 * (i + 1) + q, 0.01 * (i % 5), 0.02, "R" if i % 3 else "N") for i in range(60) for q in range(3) if i % 4 or q < 2]
+    sf = _orders_of(tmp_path, spark, parts, lines)
+    monkeypatch.setattr(views, "TASK_ROWS", 20)
+    d = PLANS["last_event_of_names"](spark, sf)
+    assert sorted(map(tuple, d.collect())) == [(i, dt.date(2024, 7, 1), dt.date(2024, 4, 5)) for i in range(60) if i % 4]
+    moves = [x for x in d._jdf.queryExecution().executedPlan().toString().splitlines() if "Exchange hashpartitioning" in x]
+    assert moves and not any("sector" in x for x in moves)
