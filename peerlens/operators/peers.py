@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.scalar import EPS, bucket_of, clip, quantile_bin, row_count, row_mean, tier_of
-from ..session import durable
+from ..session import cheap, stage
 from .ranking import attach, average_rank, group_quantiles, numbered, sized
 
 PEER_KEYS = ("date", "sector", "index_name")
@@ -42,7 +42,7 @@ def winsorize(
 
     def steps(d: DataFrame, large: bool) -> DataFrame:
         if large:
-            base = durable(d)
+            base = stage(d)
             stats = attach(base, group_quantiles(base, keys, cols, [pct, 1.0 - pct], True), keys)
         else:
             w = Window.partitionBy(*keys)
@@ -77,7 +77,7 @@ def standardize(
 
     def steps(d: DataFrame, large: bool) -> DataFrame:
         if large:
-            base = durable(d)
+            base = stage(d)
             per_group = base.groupBy(*keys).agg(
                 *[F.avg(c).alias(f"__mu_{c}") for c in pairs], *[F.stddev_pop(c).alias(f"__sd_{c}") for c in pairs]
             )
@@ -148,9 +148,13 @@ def calibration_bins(
 ) -> DataFrame:
     """Quantile bins of the rank inside each date; dates with fewer than 2*bins rows are dropped.
     Rows must already have the score present."""
-    tmp = df.withColumn("__s", F.round(score, 9))
-    ranked = numbered(tmp, by, ["__s", entity], "__k", "__m", large).where(F.col("__m") >= 2 * bins)
-    return ranked.withColumn(out, quantile_bin(F.col("__k"), F.col("__m"), bins)).drop("__s", "__k", "__m")
+
+    def steps(d: DataFrame, large: bool) -> DataFrame:
+        tmp = cheap(d.withColumn("__s", F.round(score, 9)), d)
+        ranked = numbered(tmp, by, ["__s", entity], "__k", "__m", large).where(F.col("__m") >= 2 * bins)
+        return ranked.withColumn(out, quantile_bin(F.col("__k"), F.col("__m"), bins)).drop("__s", "__k", "__m")
+
+    return sized(df, by, large, steps)
 
 
 def percentile_rank(
@@ -170,7 +174,7 @@ def relative_to_median(
 
     def steps(d: DataFrame, large: bool) -> DataFrame:
         if large:
-            base = durable(d)
+            base = stage(d)
             stats = attach(base, group_quantiles(base, keys, list(cols), [0.5], True), keys)
             return stats.select(*d.columns, *[(F.col(c) - F.col(f"{c}_q")[0]).alias(out) for c, out in cols.items()])
         w = Window.partitionBy(*keys)

@@ -17,11 +17,13 @@ from __future__ import annotations
 import math
 from collections.abc import Callable, Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..session import durable
+from ..functions.scalar import EPS
+from ..session import cheap, durable, stage
 
 TARGET_GROUP_ROWS = 1_000_000
 OVERSAMPLE = 16
@@ -44,13 +46,13 @@ def by_size(df: DataFrame, keys: Sequence[str], steps: Callable[[DataFrame, bool
     """``steps(rows, large)`` on the groups that fit a task (``large`` false) and on those that don't, united.
 
     A group fits up to ``most`` rows, ``TARGET_GROUP_ROWS`` if unsaid; the list of large groups has at most one row per so many rows."""
-    base = durable(df)
+    base = stage(df)
     sizes = base.groupBy(*keys).agg(F.count(F.lit(1)).alias("__size"))
     large = durable(sizes.where(F.col("__size") > (most or TARGET_GROUP_ROWS)).select(*keys, F.lit(1).alias("__large")))
     if large.isEmpty():
         return steps(base, False)
-    few, many = attach(base, large, keys, "left_anti"), attach(base, large, keys, "left_semi")
-    return steps(few, False).unionByName(steps(durable(many), True))
+    few, many = (cheap(attach(base, F.broadcast(large), keys, how)) for how in ("left_anti", "left_semi"))
+    return steps(few, False).unionByName(steps(many, True))
 
 
 def sized(
@@ -60,6 +62,26 @@ def sized(
     return by_size(df, keys, steps, most) if large is None else steps(df, large)
 
 
+def places(values: np.ndarray, order: np.ndarray | None = None) -> np.ndarray:
+    """Mean rank of ties as Spark orders doubles: NaN is equal to itself and above all. ``order`` sorts the values if it is known."""
+    if order is None:
+        order = np.argsort(values, kind="stable")
+    v = values[order]
+    first = np.flatnonzero(np.r_[True, (v[1:] != v[:-1]) & ~(np.isnan(v[1:]) & np.isnan(v[:-1]))])
+    ties = np.diff(np.r_[first, len(v)])
+    out = np.empty(len(v))
+    out[order] = np.repeat(first + (ties + 1) / 2.0, ties)
+    return out
+
+
+def correlation(s: np.ndarray, y: np.ndarray) -> float | None:
+    """Correlation of two sets of mean ranks; None when either is constant."""
+    n = len(s)
+    s, y = s - (n + 1) / 2.0, y - (n + 1) / 2.0
+    sx, sy = (np.sqrt(np.dot(v, v) / n) if n else 0.0 for v in (s, y))
+    return float(np.dot(s, y) / n / (sx * sy)) if sx > EPS and sy > EPS else None
+
+
 def _slice_number(ordered: Column, edges: Column) -> Column:
     """Number of edges at or below ``ordered``: a binary search over a sorted array."""
 
@@ -84,17 +106,18 @@ def cut_into_slices(df: DataFrame, keys: Sequence[str], order: Sequence[str]) ->
     A group gets one slice for each ``TARGET_GROUP_ROWS`` rows it has. ``order`` must end in columns that make rows of a
     group distinct, so that even a group of equal values is cut."""
     keys = list(keys)
-    base = durable(df.withColumn("__ord", F.struct(*order)))
+    base = stage(df)
+    ordered = F.struct(*order).alias("__ord")
     sizes = base.groupBy(*keys).agg(F.count(F.lit(1)).alias("__size"))
     slices = F.ceil(F.col("__size") / float(TARGET_GROUP_ROWS))
     stride = F.greatest(F.lit(1), F.floor(F.col("__size") / (slices * OVERSAMPLE)))
-    sampled = attach(base.select(*keys, "__ord"), sizes, keys, "inner").where(F.pmod(F.xxhash64("__ord"), stride) == 0)
-    edges = sampled.groupBy(*keys).agg(
+    sampled = attach(base.select(*keys, ordered), sizes, keys, "inner").where(F.pmod(F.xxhash64("__ord"), stride) == 0)
+    edges = durable(sampled.groupBy(*keys).agg(
         F.filter(F.sort_array(F.collect_list("__ord")), lambda x, i: (i + 1) % OVERSAMPLE == 0).alias("__edges")
-    )
+    ))
     empty = F.filter(F.array("__ord"), lambda x: F.lit(False))
-    joined = attach(base, edges, keys).withColumn("__edges", F.coalesce("__edges", empty))
-    return joined.withColumn("__slice", _slice_number(F.col("__ord"), F.col("__edges"))).drop("__edges")
+    joined = attach(base.select("*", ordered), edges, keys).withColumn("__edges", F.coalesce("__edges", empty))
+    return cheap(joined.withColumn("__slice", _slice_number(F.col("__ord"), F.col("__edges"))).drop("__edges"))
 
 
 def numbered(
@@ -107,13 +130,13 @@ def numbered(
         if not large:
             w = Window.partitionBy(*keys)
             return d.withColumn(out, F.row_number().over(w.orderBy(*order)).cast("long")).withColumn(size, F.count(F.lit(1)).over(w))
-        cut = durable(cut_into_slices(d, keys, order))
+        cut = cut_into_slices(d, keys, order)
         totals = cut.groupBy(*keys, "__slice").agg(F.count(F.lit(1)).alias("__c"))
         wk = Window.partitionBy(*keys)  # about two rows per slice of a key
-        totals = totals.select(
+        totals = durable(totals.select(  # written: its size then is known, and no row moves to meet it
             *keys, "__slice", (F.sum("__c").over(wk.orderBy("__slice")) - F.col("__c")).alias("__before"), F.sum("__c").over(wk).alias(size)
-        )
-        local = cut.withColumn("__local", F.row_number().over(Window.partitionBy(*keys, "__slice").orderBy(*order)))
+        ))
+        local = cut.drop("__ord").withColumn("__local", F.row_number().over(Window.partitionBy(*keys, "__slice").orderBy(*order)))
         return attach(local, totals, [*keys, "__slice"], "inner").select(
             *d.columns, (F.col("__before") + F.col("__local")).cast("long").alias(out), F.col(size).cast("long").alias(size)
         )
@@ -139,8 +162,8 @@ def average_rank(
             return d.withColumn(out, F.when(F.col(value).isNotNull(), rank)).withColumn(
                 f"{out}_n", F.count(value).over(Window.partitionBy(*keys))
             )
-        src = durable(d)
-        present = src.where(F.col(value).isNotNull()).select(*dict.fromkeys([*keys, value, *tie_break]))
+        src = stage(d)
+        present = cheap(src.where(F.col(value).isNotNull()).select(*dict.fromkeys([*keys, value, *tie_break])))
         ranked = numbered(present, keys, list(dict.fromkeys([value, *tie_break])), "__r", "__n", True)
         levels = ranked.groupBy(*keys, value).agg(((F.min("__r") + F.max("__r")) / 2.0).alias(out))
         per_group = present.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))

@@ -147,7 +147,7 @@ def sell_ranks(spark, sf):
     ),
 )
 def calibration_bin_assignment(spark, sf):
-    d = v.scored(spark, sf).where(F.col("score_ew").isNotNull())
+    d = v.scored(spark, sf).where(F.col("score_ew").isNotNull()).select("date", "entity", "score_ew")
     return tidy(peers.calibration_bins(d, "score_ew", large=v.large(spark, sf)), "date", "entity", "score_q")
 
 

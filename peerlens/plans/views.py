@@ -84,12 +84,13 @@ def shipments(spark: SparkSession, sf: str, unit: str = "quarter") -> DataFrame:
     """Panel rows before scoring: (date, entity) aggregates of line items, with part attributes.
 
     A part has few line items a date and hardly two of one supplier, so partial sums are as many rows as the line items and wider;
-    the items themselves move instead, once, where the distinct count would move its sums twice."""
+    the items themselves move instead, once, where the distinct count would move its sums twice. They move by part, so that the
+    rows of its dates meet the part and their later prices where they are summed."""
     li = table(spark, sf, "lineitem").select(
         F.trunc(F.to_date("l_shipdate"), unit).alias("date"), F.col("l_partkey").alias("entity"), "l_suppkey", "l_quantity",
         "l_extendedprice", "l_discount", "l_tax", "l_returnflag",
     )
-    agg = dealt(spark, sf, li, "date", "entity", always=True).groupBy("date", "entity").agg(
+    agg = dealt(spark, sf, li, "entity", always=True).groupBy("date", "entity").agg(
         F.round(F.avg("l_discount"), 9).alias("f_disc"),
         F.round(F.avg("l_tax"), 9).alias("f_tax"),
         F.round(F.avg((F.col("l_returnflag") == "R").cast("double")), 9).alias("f_ret"),

@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.storagelevel import StorageLevel
@@ -56,7 +57,34 @@ def durable(df: DataFrame) -> DataFrame:
     path = f"{shared_dir(spark).rstrip('/')}/stage-{uuid.uuid4().hex}"
     df.write.parquet(path)
     _WRITTEN.append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return cheap(spark.read.schema(df.schema).parquet(path))
+
+
+def cheap(df: DataFrame, like: DataFrame | None = None) -> DataFrame:
+    """Marks rows that are read again by a scan of a written table, nothing being moved; with ``like``, only if that one is marked."""
+    df._cheap = like is None or getattr(like, "_cheap", False)
+    return df
+
+
+def stage(df: DataFrame) -> DataFrame:
+    """Rows that several branches read: written, unless reading them again is ``cheap``."""
+    return df if getattr(df, "_cheap", False) else durable(df)
+
+
+def alone(spark: SparkSession, make: Callable[[], DataFrame]) -> DataFrame:
+    """The rows that ``make`` returns, written; whatever it wrote on the way is deleted, so that loops need the room of one turn."""
+    before = len(_WRITTEN)
+    out = durable(make())
+    _delete(spark, _WRITTEN[before:-1])
+    del _WRITTEN[before:-1]
+    return out
+
+
+def _delete(spark: SparkSession, paths: list[str]) -> None:
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for p in paths:
+        place = jvm.org.apache.hadoop.fs.Path(p)
+        place.getFileSystem(conf).delete(place, True)
 
 
 def held(df: DataFrame) -> DataFrame:
@@ -71,10 +99,7 @@ def held(df: DataFrame) -> DataFrame:
 def release(spark: SparkSession) -> int:
     """Delete the tables that ``durable`` wrote in this process and let go of what is ``held``; call it when no result that
     reads them is needed any more. Returns how many there were."""
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     rows = [_HELD.pop().unpersist() for _ in range(len(_HELD))]
     paths = [_WRITTEN.pop() for _ in range(len(_WRITTEN))]
-    for p in paths:
-        place = jvm.org.apache.hadoop.fs.Path(p)
-        place.getFileSystem(conf).delete(place, True)
+    _delete(spark, paths)
     return len(paths) + len(rows)

@@ -116,3 +116,31 @@ def test_permutation_keeps_the_values(rows):
         assert sorted((x.score is None, x.score) for x in got) == want
         moved = p.where(F.col("trial") == 0).join(rows, "entity").where(~F.col("score").eqNullSafe(F.col("v"))).count()
         assert moved > 1000
+
+
+def test_large_groups_are_written_once(spark, rows):
+    """Bins of large dates: one table holds the rows, the others a row per group or slice, and numbering moves rows once."""
+    from peerlens import session
+
+    d = rows.where(F.col("v").isNotNull()).select("g", "entity", "v", F.col("y").alias("more"))
+    before = len(session._WRITTEN)
+    got = peers.calibration_bins(d.select("g", "entity", "v"), "v", by=["g"], large=None)
+    assert "__s" not in got.columns and got.count() == d.count()
+    sizes = sorted(spark.read.parquet(p).count() for p in session._WRITTEN[before:])
+    assert sizes[-1] == d.count() and sum(sizes[:-1]) < 100
+    plan = peers.calibration_bins(session.durable(d), "v", by=["g"], large=True)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
+    same(peers.calibration_bins(d, "v", by=["g"], large=False), got.join(d, ["g", "entity", "v"]))
+
+
+def test_a_turn_of_a_loop_leaves_one_table(spark, rows):
+    import os
+
+    from peerlens import session
+
+    before = len(session._WRITTEN)
+    got = session.alone(spark, lambda: ranking.numbered(rows, ["g"], ["entity"]).groupBy("g").count())
+    assert len(session._WRITTEN) == before + 1 and got.count() == 8
+    folder = os.path.dirname(session._WRITTEN[-1])
+    assert {p for p in os.listdir(folder)} >= {os.path.basename(session._WRITTEN[-1])}
+    assert sum(os.path.join(folder, p) not in session._WRITTEN for p in os.listdir(folder) if p.startswith("stage-")) == 0
