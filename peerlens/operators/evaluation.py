@@ -2,17 +2,23 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+import hashlib
+from collections.abc import Callable, Mapping, Sequence
+from functools import partial, reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.scalar import EPS, clip
 from .peers import calibration_bins
-from .ranking import attach, average_rank, group_quantiles, sized
-from ..session import durable
+from .ranking import attach, average_rank, correlation, group_quantiles, places, sized
+from ..session import alone, cheap, durable
 
+#: Numbers of a date that one task holds to rank them: 2 million rows with 16 columns, 256 MB.
+HELD_NUMBERS = 32_000_000
 PERIODS_PER_QUARTER = {"M": 3, "Q": 1}
 
 
@@ -48,32 +54,63 @@ def rank_correlation(
     return sized(pairs, keys, large, steps)
 
 
-def _ranked_together(d: DataFrame, n_labels: int, date: str) -> DataFrame:
-    """(i, j, date, rho, n) of rows (date, i, s, y0, y1, ...): a score is sorted once for all labels.
+def _correlations(rows: pa.Table, n_scores: int, n_labels: int) -> pa.Table:
+    """(i, j, rho, n) of the rows of one date: score i against label j over the rows that have both.
 
-    The rows of a pair are those where its label is present, so a running count of them along the sorted score is the
-    score's rank in that pair."""
-    keys = [date, "i"]
-    w = Window.partitionBy(*keys)
-    by_score, same = w.orderBy("s"), w.orderBy("s").rangeBetween(Window.currentRow, Window.currentRow)
-    ranks = []
-    for j in range(n_labels):
-        upto = F.count(f"__y{j}").over(by_score.rangeBetween(Window.unboundedPreceding, Window.currentRow))
-        ties = F.count(f"__y{j}").over(same)
-        ranks.append(F.when(F.col(f"__y{j}").isNotNull(), upto - (ties - 1) / F.lit(2.0)).alias(f"__s{j}"))
-    d = d.select(*keys, *[f"__y{j}" for j in range(n_labels)], *ranks)
-    for j in range(n_labels):
-        y = F.col(f"__y{j}")
-        by_label = w.orderBy(y.asc_nulls_last())
-        ties = F.count(F.lit(1)).over(by_label.rangeBetween(Window.currentRow, Window.currentRow))
-        d = d.withColumn(f"__r{j}", F.when(y.isNotNull(), F.rank().over(by_label) + (ties - 1) / F.lit(2.0))).drop(f"__y{j}")
-    aggs, rows = [], []
+    A column is sorted once and its order reused for all its pairs."""
+
+    def column(c: str) -> tuple[np.ndarray, np.ndarray]:
+        v = rows.column(c)
+        return v.to_numpy(zero_copy_only=False), v.is_valid().to_numpy(zero_copy_only=False)
+
+    def sorted_rows(v: np.ndarray, there: np.ndarray) -> np.ndarray:
+        at = np.flatnonzero(there)
+        return at[np.argsort(v[at], kind="stable")].astype(np.int32)
+
+    labels = []
     for j in range(n_labels):
-        x, y = f"__s{j}", f"__r{j}"
-        aggs.append(F.struct(F.covar_pop(x, y).alias("c"), F.stddev_pop(x).alias("x"), F.stddev_pop(y).alias("y"), F.count(x).alias("n")).alias(f"__m{j}"))
-        m = F.col(f"__m{j}")
-        rows.append(F.struct(F.lit(j).alias("j"), _rho(m["c"], m["x"], m["y"]).alias("rho"), m["n"].alias("n")))
-    return d.groupBy(*keys).agg(*aggs).select(*keys, F.explode(F.array(*rows)).alias("__p")).select("i", "__p.j", date, "__p.rho", "__p.n")
+        v, there = column(f"__y{j}")
+        labels.append((v, there, sorted_rows(v, there)))
+    ranked: dict[tuple[int, bytes], np.ndarray] = {}  # of a label, for each set of rows; scores mostly share one
+    out, at = [], np.empty(rows.num_rows, np.int32)
+    for i in range(n_scores):
+        s, has_s = column(f"__s{i}")
+        by_s = sorted_rows(s, has_s)
+        for j, (y, has_y, by_y) in enumerate(labels):
+            both = has_s & has_y
+            n = int(both.sum())
+            at[both] = np.arange(n, dtype=np.int32)
+            rank_s = places(s[both], at[by_s[has_y[by_s]]])
+            key = (j, hashlib.sha256(np.packbits(both)).digest())
+            if key not in ranked:
+                ranked = {k: r for k, r in ranked.items() if k[0] != j}
+                ranked[key] = places(y[both], at[by_y[has_s[by_y]]])
+            out.append((i, j, correlation(rank_s, ranked[key]), n))
+    return pa.table([pa.array(c, t) for c, t in zip(zip(*out), (pa.int32(), pa.int32(), pa.float64(), pa.int64()))], names=["i", "j", "rho", "n"])
+
+
+def per_date(rows: DataFrame, date: str, found: Callable[[pa.Table], pa.Table], schema: str, order: Sequence[str] = (), **also: Column) -> DataFrame:
+    """What ``found`` makes of the rows of each date, held by one task as plain numbers, next to the date: rows move once.
+
+    They come sorted by ``order``; the columns ``also`` are made behind the move."""
+    names = [*[c for c in rows.columns if c != date], *also]
+    tasks = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), 128)  # about a date each: not to be merged
+
+    def one(t: pa.Table) -> pa.Table:
+        day = t.column(date).slice(0, 1).combine_chunks()
+        got = found(t.select(names))
+        return got.add_column(0, date, day.take(pa.array(np.zeros(got.num_rows, np.int64))))
+
+    kind = rows.schema[date].dataType.simpleString()
+    moved = rows.repartition(tasks, date)
+    if order:
+        moved = moved.sortWithinPartitions(date, *order)
+    return moved.withColumns(also).groupBy(date).applyInArrow(one, f"`{date}` {kind}, {schema}")
+
+
+def ranks_held(columns: int) -> int:
+    """Rows of a date that one task holds with so many columns."""
+    return HELD_NUMBERS // columns
 
 
 def ic_series(
@@ -82,24 +119,28 @@ def ic_series(
 ) -> DataFrame:
     """Every score against every label in one grouped pass: (series, horizon, date, ic, n), ic = -Spearman.
 
-    Values are rounded before ranking. A score is sorted once for all labels; dates are dealt out by size before rows are
-    multiplied by series."""
+    Values are rounded before ranking. Rows are never multiplied by series: a date whose numbers fit a task is ranked where its
+    rows lie, after one move of the columns; the pairs of larger dates are ranked one after the other, so that only one of them lies on disk."""
     s_names, y_names = list(scores), list(labels)
+    ss, ys = [f"__s{i}" for i in range(len(s_names))], [f"__y{j}" for j in range(len(y_names))]
     narrow = df.select(
-        date, entity, *[F.round(scores[n], 9).alias(f"__s{i}") for i, n in enumerate(s_names)], *[F.round(labels[n], 9).alias(f"__y{j}") for j, n in enumerate(y_names)]
+        date, entity, *[F.round(scores[n], 9).cast("double").alias(c) for c, n in zip(ss, s_names)],
+        *[F.round(labels[n], 9).cast("double").alias(c) for c, n in zip(ys, y_names)],
     )
+    # a row without a score or without a label is in no pair
+    narrow = cheap(narrow.where(F.coalesce(*ss).isNotNull() & F.coalesce(*ys).isNotNull()), df)
 
     def steps(d: DataFrame, large: bool) -> DataFrame:
-        s = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.col(f"__s{i}").alias("s")) for i in range(len(s_names))]))
-        ys = [f"__y{j}" for j in range(len(y_names))]
-        first = d.select(date, entity, *ys, s.alias("__s")).where(F.col("__s.s").isNotNull()).select(date, entity, "__s.*", *ys)
         if not large:
-            return _ranked_together(first.drop(entity), len(ys), date)
-        y = F.explode(F.array(*[F.struct(F.lit(j).alias("j"), F.col(c).alias("y")) for j, c in enumerate(ys)]))
-        both = first.select(date, entity, "i", "s", y.alias("__y")).where(F.col("__y.y").isNotNull()).select(date, entity, "i", "s", "__y.*")
-        return rank_correlation(both, [date, "i", "j"], "s", "y", entity, True).select("i", "j", date, "rho", "n")
+            return per_date(d.drop(entity), date, partial(_correlations, n_scores=len(ss), n_labels=len(ys)), "i int, j int, rho double, n bigint")
+
+        def pair(i: int, j: int) -> DataFrame:
+            both = d.where(F.col(ss[i]).isNotNull() & F.col(ys[j]).isNotNull()).select(date, entity, F.col(ss[i]).alias("s"), F.col(ys[j]).alias("y"))
+            return rank_correlation(both, [date], "s", "y", entity, True).select(date, F.lit(i).alias("i"), F.lit(j).alias("j"), "rho", "n")
+
+        return reduce(DataFrame.unionByName, [alone(df.sparkSession, partial(pair, i, j)) for i in range(len(ss)) for j in range(len(ys))])
 
-    rho = sized(narrow, [date], large, steps)
+    rho = sized(narrow, [date], large, steps, ranks_held(len(ss) + len(ys)))
     name = lambda names, c: F.element_at(F.array(*[F.lit(n) for n in names]), F.col(c) + 1)
     return rho.where((F.col("n") >= min_rows) & F.col("rho").isNotNull()).select(
         name(s_names, "i").alias("series"), name(y_names, "j").alias("horizon"), date, (-F.col("rho")).alias("ic"), "n"

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..session import durable
+from ..session import durable, held
 from .ranking import _slice_number
 
 
@@ -112,7 +112,7 @@ def walk_forward(
 ) -> tuple[DataFrame, DataFrame]:
     """Out-of-sample ridge score per date and the tidy coefficient history."""
     m = date_moments(df, features, label, selection)
-    coefs = ridge_coefficients(training_moments(m, features, embargo_months), features, alpha, min_prior, min_rows)
+    coefs = held(ridge_coefficients(training_moments(m, features, embargo_months), features, alpha, min_prior, min_rows))  # one row per date
     scored = predict(df, coefs, features, out)
     names = F.array(*[F.lit(f.removesuffix("__n")) for f in features])
     history = coefs.select("date", F.explode(F.arrays_zip(names.alias("feature"), F.col("coef"))).alias("c")).select(

@@ -5,24 +5,28 @@ Every draw is a hash of (seed, trial, key), so a recomputed task redraws the sam
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Mapping, Sequence
+from functools import partial, reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.scalar import EPS
-from ..session import held
-from .evaluation import ic_series, rank_correlation
-from .ranking import numbered, sized
+from ..session import alone, cheap, durable, held
+from .evaluation import ic_series, per_date, rank_correlation
+from .ranking import correlation, numbered, places, sized
 
 # Screening tiers, as the largest bucket a name may sit in.
 TIERS = {"full": 10, "ex10": 9, "ex9_10": 8, "top_half": 5}
 PERCENTILES = (5, 25, 50, 75, 95)
 #: Rows of a date that one task holds as plain numbers: about 150 bytes each for seven factors.
 HELD_ROWS = 4_000_000
+#: Keys that are hashed at once.
+MD5_ROWS = 65_536
 
 
 def tier_pools(
@@ -112,14 +116,17 @@ def _as_number(draw: Column) -> Column:
 
 
 def permuted_scores(
-    df: DataFrame, score: str, trials: int = 10, seed: int = 0, large: bool | None = None, carry: Sequence[str] = ()
+    df: DataFrame, score: str, trials: int | Sequence[int] = 10, seed: int = 0, large: bool | None = None, carry: Sequence[str] = ()
 ) -> DataFrame:
     """(trial, date, entity, score) with the scores of each date dealt out again at random; ``carry`` stays with the entity.
 
+    ``trials`` is how many there are, or the numbers of those wanted.
+
     Rows are numbered by entity and, per trial, by hash; the two numberings meet one to one. Dates that fit a task do so
     in the one shuffle that brings the rows of a (trial, date) together, the hash being made behind it."""
-    base = df.select("date", "entity", F.col(score).alias("score"), *carry).where(F.col("date").isNotNull())
-    every = F.explode(F.sequence(F.lit(0), F.lit(trials - 1)))
+    base = cheap(df.select("date", "entity", F.col(score).alias("score"), *carry).where(F.col("date").isNotNull()), df)
+    wanted = list(range(trials)) if isinstance(trials, int) else list(trials)
+    every = F.explode(F.array(*[F.lit(t) for t in wanted]))
     draw = _md5_draw(F.lit(seed), "trial", "date", "entity")
 
     def steps(d: DataFrame, large: bool) -> DataFrame:
@@ -129,7 +136,7 @@ def permuted_scores(
             met = holders.drop("score").join(dealt.select("trial", "date", "k", "score"), ["trial", "date", "k"])
             return met.select("trial", "date", "entity", *carry, "score")
         w = Window.partitionBy("trial", "date")
-        tasks = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 16 * trials)  # about a group each: not to be merged
+        tasks = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 16 * len(wanted))  # about a group each: not to be merged
         placed = holders.repartition(tasks, "trial", "date").withColumn("__u", draw)
         placed = placed.withColumn("__to", F.row_number().over(w.orderBy("__u", "entity"))).drop("__u")
         kinds = {f.name: f.dataType for f in d.schema.fields}
@@ -144,19 +151,81 @@ def permuted_scores(
     return sized(base, ["date"], large, steps)
 
 
+def _dealt_correlations(rows: pa.Table, trials: Sequence[int], seed: int) -> pa.Table:
+    """(trial, rho, n) of the rows (entity, s, y, key) of one date, sorted by entity: the rank correlation of scores dealt out again
+    with the labels.
+
+    Holders stand in the order of entities, scores in that of the MD5 of seed, trial and key; they meet one to one. A repeated
+    entity holds the labels of all its rows."""
+    n = rows.num_rows
+    entity, keys = rows.column("entity").combine_chunks(), rows.column("key").combine_chunks().cast(pa.binary())
+    has_s, has_y = (rows.column(c).is_valid().to_numpy() for c in ("s", "y"))
+    codes = np.full(n, -1, np.int32)  # a score's place among the distinct ones
+    codes[has_s] = np.unique(rows.column("s").drop_null().to_numpy(), return_inverse=True, equal_nan=True)[1]
+    other = pc.fill_null(pc.not_equal(entity.slice(1), entity.slice(0, n - 1)), True).to_numpy(zero_copy_only=False)
+    known, first = entity.is_valid().to_numpy(zero_copy_only=False), np.flatnonzero(np.r_[True, other])
+    if len(first) == n:
+        holder = label = np.flatnonzero(known & has_y)
+    else:
+        size = np.diff(np.r_[first, n])
+        most = np.repeat(size, size)  # labels of the entity of a row
+        holder = np.repeat(np.arange(n), most)
+        label = np.repeat(np.repeat(first, size), most) + np.arange(len(holder)) - np.repeat(np.cumsum(most) - most, most)
+        use = known[holder] & has_y[label]
+        holder, label = holder[use], label[use]
+    y = rows.column("y").to_numpy()[label]
+    del entity, other, known, first, label
+    all_ranks, rhos, counts = places(y), [], []
+    for trial in trials:
+        start, draws = f"{seed}|{trial}|".encode(), np.empty((2, n), np.uint64)  # the two halves of a digest sort as its text does
+        for at in range(0, n, MD5_ROWS):
+            some = keys.slice(at, MD5_ROWS).to_pylist()
+            text = b"".join([hashlib.md5(start + k, usedforsecurity=False).digest() for k in some])
+            draws[:, at : at + len(some)] = np.frombuffer(text, ">u8").reshape(-1, 2).T
+        to = np.argsort(draws[0], kind="stable")
+        if (np.diff(draws[0][to]) == 0).any():
+            to = np.lexsort((draws[1], draws[0]))
+        del draws
+        dealt = codes[to][holder]
+        del to
+        there = dealt >= 0
+        ranks = all_ranks if there.all() else places(y[there])
+        dealt = dealt[there]
+        ties = np.bincount(dealt)
+        rhos.append(correlation((np.cumsum(ties) - (ties - 1) / 2.0)[dealt], ranks))
+        counts.append(len(dealt))
+    return pa.table({"trial": pa.array(trials, pa.int32()), "rho": pa.array(rhos, pa.float64()), "n": pa.array(counts, pa.int64())})
+
+
 def placebo(
     df: DataFrame, score: str, label: str, trials: int = 10, seed: int = 0, tolerance: float = 0.03, min_rows: int = 10,
     large: bool | None = None,
 ) -> DataFrame:
-    """One row: real IC against the mean IC of permuted scores, and whether the check passes."""
+    """One row: real IC against the mean IC of permuted scores, and whether the check passes.
+
+    A date that fits a task as plain numbers is moved once, whatever the number of trials: its scores are dealt out and ranked
+    where its rows lie. Larger dates take one trial after the other, so that only one of them lies on disk."""
     real = ic_series(df, {"real": score}, {"h": label}, min_rows, large=large).agg(F.avg("ic").alias("real_ic"))
-    # a repeated entity of a date holds the labels of all its rows
-    told = df.select("date", "entity", score, F.collect_list(label).over(Window.partitionBy("date", "entity")).alias("__y"))
-    shuffled = permuted_scores(told, score, trials, seed, large, ["__y"])
-    pairs = shuffled.where(F.col("score").isNotNull() & F.col("entity").isNotNull()).select(
-        "trial", "date", "entity", F.round("score", 9).alias("s"), F.explode("__y").alias("y")
-    ).withColumn("y", F.round("y", 9))
-    per = rank_correlation(pairs, ["trial", "date"], large=large).where((F.col("n") >= min_rows) & F.col("rho").isNotNull())
+    rows = cheap(df.select("date", "entity", F.round(score, 9).alias("s"), F.round(label, 9).alias("y")).where(F.col("date").isNotNull()), df)
+
+    def steps(d: DataFrame, large: bool) -> DataFrame:
+        if not large:
+            key = F.concat_ws("|", F.col("date").cast("string"), F.col("entity").cast("string"))
+            plain = d.withColumns({c: F.col(c).cast("double") for c in ("s", "y")})
+            return per_date(plain, "date", partial(_dealt_correlations, trials=range(trials), seed=seed), "trial int, rho double, n bigint", ["entity"], key=key).drop("date")
+        # a repeated entity of a date holds the labels of all its rows
+        told = durable(d.select("date", "entity", "s", F.collect_list("y").over(Window.partitionBy("date", "entity")).alias("__y")))
+
+        def turn(trial: int) -> DataFrame:
+            shuffled = permuted_scores(told, "s", [trial], seed, True, ["__y"])
+            pairs = shuffled.where(F.col("score").isNotNull() & F.col("entity").isNotNull()).select(
+                "date", "entity", F.col("score").alias("s"), F.explode("__y").alias("y")
+            )
+            return rank_correlation(pairs, ["date"], large=True).select(F.lit(trial).alias("trial"), "rho", "n")
+
+        return reduce(DataFrame.unionByName, [alone(df.sparkSession, partial(turn, t)) for t in range(trials)])
+
+    per = sized(rows, ["date"], large, steps, HELD_ROWS).where((F.col("n") >= min_rows) & F.col("rho").isNotNull())
     means = per.groupBy("trial").agg(F.avg(-F.col("rho")).alias("m"))
     stat = means.agg(F.avg("m").alias("placebo_ic_mean"), F.stddev_pop("m").alias("placebo_ic_std"))
     both = real.join(F.broadcast(stat), F.lit(True))
@@ -180,17 +249,6 @@ def factor_masks(spark, factors: Sequence[str], draws: int = 100, seed: int = 7,
     return grid.select("draw", F.transform(F.slice(order, 1, F.col("__size")), lambda x: x["i"]).alias("picks"))
 
 
-def _places(values: np.ndarray) -> np.ndarray:
-    """Mean rank of ties as Spark orders doubles: NaN is equal to itself and above all."""
-    order = np.argsort(values, kind="stable")
-    v = values[order]
-    first = np.flatnonzero(np.r_[True, (v[1:] != v[:-1]) & ~(np.isnan(v[1:]) & np.isnan(v[:-1]))])
-    ties = np.diff(np.r_[first, len(v)])
-    out = np.empty(len(v))
-    out[order] = np.repeat(first + (ties + 1) / 2.0, ties)
-    return out
-
-
 def _nine_digits(v: np.ndarray) -> np.ndarray:
     """Rounded half up, as values are before every rank."""
     return np.copysign(np.floor(np.abs(v) * 1e9 + 0.5) / 1e9, v)
@@ -207,7 +265,7 @@ def _composite_correlations(rows: pa.Table, picks: Sequence[Sequence[int]]) -> p
         present = rows.column(f"x{i}").is_valid().to_numpy(zero_copy_only=False)
         have.append(None if present.all() else present)
         xs.append(column(f"x{i}") if have[i] is None else np.where(present, column(f"x{i}"), 0.0))
-    label_places, rhos, counts = _places(label), [], []
+    label_places, rhos, counts = places(label), [], []
     for chosen in picks:
         total, present = np.zeros(len(label)), np.zeros(len(label))
         for i in chosen:
@@ -217,13 +275,9 @@ def _composite_correlations(rows: pa.Table, picks: Sequence[Sequence[int]]) -> p
         if some.all():
             at = label_places
         else:
-            total, present, at = total[some], present[some], _places(label[some])
-        n = len(total)
-        counts.append(n)
-        s = _places(_nine_digits(total / present)) - (n + 1) / 2.0
-        y = at - (n + 1) / 2.0
-        sx, sy = (np.sqrt(np.dot(v, v) / n) if n else 0.0 for v in (s, y))
-        rhos.append(float(np.dot(s, y) / n / (sx * sy)) if sx > EPS and sy > EPS else None)
+            total, present, at = total[some], present[some], places(label[some])
+        counts.append(len(total))
+        rhos.append(correlation(places(_nine_digits(total / present)), at))
     return pa.table({"k": pa.array(range(len(picks)), pa.int32()), "rho": pa.array(rhos, pa.float64()), "n": pa.array(counts, pa.int64())})
 
 

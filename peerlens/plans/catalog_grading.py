@@ -826,7 +826,7 @@ def _corr_sql(key: str, source: str) -> str:
 )
 def placebo_permutation(spark, sf):
     d = v.kept(_sel(spark, sf), "date", "entity", "score_ew", "fwd_rel_ret_1q")
-    return tidy(resampling.placebo(d, "score_ew", "fwd_rel_ret_1q", large=v.large(spark, sf)))
+    return tidy(resampling.placebo(d, "score_ew", "fwd_rel_ret_1q", large=v.large_selected(spark, sf, resampling.HELD_ROWS)))
 
 
 @query(

@@ -144,3 +144,50 @@ def test_a_turn_of_a_loop_leaves_one_table(spark, rows):
     folder = os.path.dirname(session._WRITTEN[-1])
     assert {p for p in os.listdir(folder)} >= {os.path.basename(session._WRITTEN[-1])}
     assert sum(os.path.join(folder, p) not in session._WRITTEN for p in os.listdir(folder) if p.startswith("stage-")) == 0
+
+
+def test_pairs_of_series_move_rows_once(spark, rows):
+    """Nulls, NaN and ties in every column: the columns of a date move together, and pairs of large dates leave only their figures."""
+    from peerlens import session
+
+    d = rows.select(
+        F.col("g").alias("date"), "entity", "v", F.when(F.col("entity") % 9 == 0, float("nan")).otherwise(F.col("y")).alias("y"),
+        F.when(F.col("entity") % 5 > 0, F.col("y") * -1).alias("u"), F.lit(1.0).alias("one"), F.lit(None).cast("double").alias("none"),
+    ).unionByName(rows.limit(30).select(F.lit(None).cast("string").alias("date"), "entity", "v", "y", *[F.lit(0.5).alias(c) for c in ("u", "one", "none")]))
+    d = session.durable(d)
+    make = lambda large: evaluation.ic_series(d, {"a": "v", "b": "u", "c": "one", "e": "none"}, {"1": "y", "2": "u"}, large=large)
+    plan = make(False)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Generate" not in plan and "Window" not in plan
+    want = []
+    for i, s in (("a", "v"), ("b", "u"), ("c", "one")):
+        for j, y in (("1", "y"), ("2", "u")):
+            p = d.where(F.col(s).isNotNull() & F.col(y).isNotNull()).select("date", "entity", F.col(s).alias("s"), F.col(y).alias("y"))
+            r = evaluation.rank_correlation(p, ["date"], large=False).where("n >= 10 AND rho IS NOT NULL")
+            want.append(r.select(F.lit(i).alias("series"), F.lit(j).alias("horizon"), "date", (-F.col("rho")).alias("ic"), "n"))
+    want = want[0].union(want[1]).union(want[2]).union(want[3]).union(want[4]).union(want[5])
+    same(make(False), want)
+    before = len(session._WRITTEN)
+    same(make(True), want)
+    assert sum(spark.read.parquet(p).count() for p in session._WRITTEN[before:]) < 100
+
+
+def test_trials_are_dealt_where_rows_lie(spark, rows, monkeypatch):
+    """Repeated, missing and tied rows: as the permutation that moves a row per trial, without such a move; large dates turn by turn."""
+    from peerlens import session
+
+    d = rows.where("g <> 'g0'").select(F.col("g").alias("date"), "entity", "v", F.when(F.col("entity") % 8 > 0, F.col("y")).alias("y"))
+    d = d.unionByName(d.where("entity % 10 = 1").withColumn("y", F.col("y") + 1)).unionByName(d.where("entity % 50 = 2").select("date", F.lit(None).cast("long").alias("entity"), F.lit(2.0).alias("v"), "y"))
+    d = session.durable(d.unionByName(d.limit(20).withColumn("date", F.lit(None).cast("string"))))
+    plan = resampling.placebo(d, "v", "y", 3, large=False)._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan and "Window" not in plan
+    told = d.select("date", "entity", "v", F.collect_list("y").over(Window.partitionBy("date", "entity")).alias("__y"))
+    pairs = resampling.permuted_scores(told, "v", 3, 0, False, ["__y"]).where("score IS NOT NULL AND entity IS NOT NULL")
+    pairs = pairs.select("trial", "date", "entity", F.round("score", 9).alias("s"), F.explode("__y").alias("y"))
+    per = evaluation.rank_correlation(pairs, ["trial", "date"], large=False).where("n >= 10").groupBy("trial").agg(F.avg(-F.col("rho")).alias("m"))
+    want = per.agg(F.avg("m").alias("placebo_ic_mean"), F.stddev_pop("m").alias("placebo_ic_std"))
+    monkeypatch.setattr(resampling, "HELD_ROWS", 500)  # one date is larger
+    before = len(session._WRITTEN)
+    for large in (False, True, None):
+        same(resampling.placebo(d, "v", "y", 3, large=large).select("placebo_ic_mean", "placebo_ic_std"), want)
+    few = [n for n in (spark.read.parquet(p).count() for p in session._WRITTEN[before:]) if n < 100]
+    assert len(few) >= 6 and len(session._WRITTEN) - before - len(few) <= 4
