@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.scalar import row_count, row_mean
+from ..session import cheap
 from .evaluation import ic_series
 from .peers import PEER_KEYS, peer_decile, standardize
 from .ranking import sized
@@ -112,7 +113,7 @@ def evidence_weighted_score(
     """Blend family scores by trailing realised IC; returns (scored rows, weight history).
 
     ``large`` is the form of dates, ``large_peers`` that of peer groups if it is known apart."""
-    est = df.where(F.col("index_name") == selection) if selection else df
+    est = cheap(df.where(F.col("index_name") == selection), df) if selection else df
     ics = ic_series(est, {f: family_column(f) for f in families}, {"h": label}, min_rows=min_rows, large=large)
     ics = ics.select(F.col("series").alias("family"), "date", "ic")
     weights = evidence_weights(ics, df.select("date").distinct(), families, months, window, shrink, min_realized)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import calendar, evaluation as ev, learning, portfolio, reporting, resampling, scoring
+from ..session import cheap, durable
 from . import views as v
 from .reference_sql import IX, WG, decile_sql, fam, hac_cte, hac_sql, ic_sql, mean_sql, with_views, z_sql
 from .registry import SQL, big, query, r6, tidy
@@ -24,7 +25,7 @@ STRESS = (
 
 
 def selected(d):
-    return d.where(F.col("index_name") == v.SELECTION)
+    return cheap(d.where(F.col("index_name") == v.SELECTION), d)
 
 
 def graded(spark, sf, *cols):
@@ -134,10 +135,12 @@ KIND = {**dict.fromkeys(FAM, "family"), **dict.fromkeys(v.FACTORS, "factor"), "s
 _KIND_CASE = "CASE series " + " ".join(f"WHEN '{n}' THEN '{k}'" for n, k in KIND.items()) + " END"
 
 
-def learned(spark, sf, *more):
-    """The monthly panel with its walk-forward score."""
-    d = v.kept(v.crossed(spark, sf, "month"), "date", "entity", "sector", "index_name", "score_ew", *more, *FAM.values(), *LABELS_M.values(), *ML)
-    return learning.walk_forward(d, ML, "fwd_rel_ret_1q", F.col("index_name") == v.SELECTION)[0]
+def learned(spark, sf, *cols):
+    """The selected rows of the monthly panel with their walk-forward score; the other rows are there for the dates before a fit.
+
+    ``cols`` and what the fit reads are written: a table is smaller than held rows, whose doubles are not compressed."""
+    d = durable(v.crossed(spark, sf, "month", only=v.SELECTION).select("date", "index_name", *cols, "fwd_rel_ret_1q", *ML))
+    return selected(cheap(learning.walk_forward(d, ML, "fwd_rel_ret_1q", F.col("index_name") == v.SELECTION)[0]))
 
 
 @query(
@@ -148,7 +151,8 @@ def learned(spark, sf, *more):
     ),
 )
 def horizon_term_structure(spark, sf):
-    s = ev.ic_summary(selected(learned(spark, sf)), SERIES, LABELS_M, {"1m": 1, **v.MONTHS}, "M", large=v.large(spark, sf))
+    d = learned(spark, sf, "entity", "score_ew", *FAM.values(), *[c for c in LABELS_M.values() if c != "fwd_rel_ret_1q"])
+    s = ev.ic_summary(d, SERIES, LABELS_M, {"1m": 1, **v.MONTHS}, "M", large=v.large_selected(spark, sf, ev.ranks_held(len(SERIES) + len(LABELS_M))))
     kinds = F.create_map(*[F.lit(x) for kv in KIND.items() for x in kv])
     return tidy(s.withColumn("kind", kinds[F.col("series")]), "series", "kind", "horizon", "mean_ic", "t_stat", "se", "ir", "n_periods")
 
@@ -409,7 +413,8 @@ def blended(spark, sf, base=None):
     """Monthly scores weighted by the realised evidence of three years, equal until a year of it is there."""
     if base is None:
         base = v.kept(v.scored(spark, sf, "month"), "date", "entity", "sector", "index_name", *FAM.values(), "n_factors_used", "n_families_used", "score_ew", "fwd_rel_ret_1q")
-    return scoring.evidence_weighted_score(base, _FAMS, "fwd_rel_ret_1q", 3, v.SELECTION, large=v.large(spark, sf), large_peers=v.large_peers(spark, sf))
+    bound = v.large_selected(spark, sf, ev.ranks_held(len(_FAMS) + 1))
+    return scoring.evidence_weighted_score(base, _FAMS, "fwd_rel_ret_1q", 3, v.SELECTION, large=bound, large_peers=v.large_peers(spark, sf))
 
 
 @query("evidence_weight_history", with_views("SELECT date, family, round(weight,6) AS weight, n_realized FROM wt", "scored_m", extra={k: _ICW[k] for k in ("fic", "wk", "wt")}))
@@ -427,8 +432,8 @@ _LAG_1Q = str(LAGS_M["1q"])
 
 
 def _contenders(spark, sf):
-    base = v.kept(learned(spark, sf, "n_factors_used", "n_families_used"), "date", "entity", "sector", "index_name", *FAM.values(), "n_factors_used", "n_families_used", "score_ew", "score_ml", "fwd_rel_ret_1q")
-    return selected(blended(spark, sf, base)[0])
+    base = learned(spark, sf, "entity", "sector", *FAM.values(), "n_factors_used", "n_families_used", "score_ew")
+    return blended(spark, sf, cheap(base.drop(*ML), base))[0]
 
 
 @query(
@@ -439,7 +444,7 @@ def _contenders(spark, sf):
     ),
 )
 def model_comparison(spark, sf):
-    s = ev.ic_summary(_contenders(spark, sf), _THREE, Q1, {"1q": 3}, "M", large=v.large(spark, sf))
+    s = ev.ic_summary(_contenders(spark, sf), _THREE, Q1, {"1q": 3}, "M", large=v.large_selected(spark, sf, ev.ranks_held(len(_THREE) + 1)))
     return tidy(s.withColumnRenamed("series", "score_col"), "score_col", "mean_ic", "t_stat", "ir", "hit_rate", "n_periods")
 
 
@@ -452,7 +457,8 @@ _PAIR = {
 
 def _paired(spark, sf):
     # one row per date and series
-    d = v.kept(ev.ic_series(selected(learned(spark, sf)), {"score_ml": "score_ml", "score_ew": "score_ew"}, Q1, large=v.large(spark, sf)))
+    two = {"score_ml": "score_ml", "score_ew": "score_ew"}
+    d = v.kept(ev.ic_series(learned(spark, sf, "entity", "score_ew"), two, Q1, large=v.large_selected(spark, sf, ev.ranks_held(len(two) + 1))))
     return ev.paired_test(d, "score_ml", "score_ew", LAGS_M["1q"])
 
 

@@ -120,11 +120,15 @@ def _forward(spark: SparkSession, sf: str, unit: str) -> tuple[DataFrame, dict[s
     return labels.gap_returns(d, "px", steps), {c: c.replace("fwd_ret", "fwd_rel_ret") for c in steps}
 
 
-def _in_peer_groups(spark: SparkSession, sf: str, unit: str, *steps, move: bool = True) -> DataFrame:
+def _in_peer_groups(spark: SparkSession, sf: str, unit: str, *steps, move: bool = True, only: str | None = None) -> DataFrame:
     """Peer-relative returns, then ``steps(rows, large)``, all inside peer groups: split by size once for the whole chain.
 
-    ``move`` false leaves rows where they were summed, for readers of no peer column: Spark then drops the windows, but never a move."""
+    ``move`` false leaves rows where they were summed, for readers of no peer column: Spark then drops the windows, but never a move.
+    With ``only``, rows of other indexes stay as rows of their groups, their numbers and entities left out."""
     d, rel = _forward(spark, sf, unit)
+    if only:
+        numbers = {"entity", "px", *FACTORS, *rel}
+        d = d.select(*[F.when(F.col("index_name") == only, F.col(c)).alias(c) if c in numbers else c for c in d.columns])
 
     def chain(rows: DataFrame, large: bool) -> DataFrame:
         rows = peers.relative_to_median(rows, rel, large=large)
@@ -159,9 +163,9 @@ def scored(spark: SparkSession, sf: str, unit: str = "quarter") -> DataFrame:
     return _in_peer_groups(spark, sf, unit, _z, _score)
 
 
-def crossed(spark: SparkSession, sf: str, unit: str = "quarter") -> DataFrame:
+def crossed(spark: SparkSession, sf: str, unit: str = "quarter", only: str | None = None) -> DataFrame:
     """Scored rows with the interactions of their families."""
-    return _in_peer_groups(spark, sf, unit, _z, _score, _cross)
+    return _in_peer_groups(spark, sf, unit, _z, _score, _cross, only=only)
 
 
 def risked(spark: SparkSession, sf: str, unit: str = "quarter") -> DataFrame:

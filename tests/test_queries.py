@@ -51,3 +51,30 @@ def test_same_answers_when_every_group_is_too_large_for_one_task(spark, con, nam
     monkeypatch.setattr(ranking, "TARGET_GROUP_ROWS", 40)
     result = compare(PLANS[name](spark, SF), con, SQL[name])
     assert result.startswith("ok"), result
+
+
+def test_learned_score_needs_only_the_selected_rows(spark, tmp_path):
+    """Rows of other indexes count as dates before a fit and nothing else; no panel row is held, and a month of others alone still counts."""
+    from pyspark.sql import functions as F
+
+    from peerlens import session
+    from peerlens.operators import learning
+    from peerlens.plans import catalog_grading as g, views as v
+
+    for t in ("part", "lineitem"):
+        spark.read.parquet(f"{SF}/{t}.parquet").write.parquet(f"{tmp_path}/{t}.parquet")
+    others = spark.range(40).select((F.col("id") + 900_000).alias("id"))  # thirty names of an early month, none of them selected
+    part, line = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("part", "lineitem"))
+    one = part.limit(1).crossJoin(others).withColumn("p_partkey", F.col("id")).withColumn("p_size", F.lit(40).cast(part.schema["p_size"].dataType))
+    one.select(part.columns).write.mode("append").parquet(f"{tmp_path}/part.parquet")
+    item = line.limit(1).crossJoin(others).withColumn("l_partkey", F.col("id")).withColumn("l_shipdate", F.lit("1980-02-03").cast(line.schema["l_shipdate"].dataType))
+    item.select(line.columns).write.mode("append").parquet(f"{tmp_path}/lineitem.parquet")
+    held = len(session._HELD)
+    got = g.learned(spark, str(tmp_path), "entity", "score_ew")
+    assert [d.columns for d in session._HELD[held:]] == [["date", "intercept", "coef"]]
+    whole = learning.walk_forward(v.crossed(spark, str(tmp_path), "month"), g.ML, "fwd_rel_ret_1q", F.col("index_name") == v.SELECTION)[0]
+    want = whole.where(F.col("index_name") == v.SELECTION)
+    rows = lambda d: sorted(d.select("date", "entity", *[F.round(c, 9) for c in ("score_ew", "score_ml", "fwd_rel_ret_1q")]).collect(), key=lambda r: r[:2])
+    a, b = rows(got), rows(want)
+    assert a == b and any(r[3] is not None for r in a)
+    assert v.crossed(spark, str(tmp_path), "month").agg(F.min("date")).first()[0].year == 1980
