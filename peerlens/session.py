@@ -13,6 +13,8 @@ from pyspark.storagelevel import StorageLevel
 
 _WRITTEN: list[str] = []
 _HELD: list[DataFrame] = []
+#: Whether a query deletes its shuffles when it ends.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def build_session(app: str = "peerlens", cores: str | int = "*", partitions: int = 8) -> SparkSession:
@@ -52,10 +54,15 @@ def durable(df: DataFrame) -> DataFrame:
     """Cut lineage by writing a table in the shared folder and reading it back.
 
     Every reader then sees the same rows even after executors are lost, and branches that need
-    few columns scan few columns. The table stays until ``release``."""
+    few columns scan few columns. The table stays until ``release``; the shuffles behind it go as soon as it is written."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/stage-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    was = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.select("*").write.parquet(path)  # a plan of its own, as a plan keeps the setting it was made under
+    finally:
+        spark.conf.set(_CLEANUP, was)
     _WRITTEN.append(path)
     return cheap(spark.read.schema(df.schema).parquet(path))
 

@@ -188,3 +188,31 @@ def test_rows_later_than_any_watermark_count(spark, tmp_path):
         feeds.add_flow(feeds.landing(spark, src, schema), root, log).awaitTermination()
     got = {r.date: (r.buy_shares, r.sell_shares) for r in feeds.added_flow(spark, root).collect()}
     assert got == {D(2024, 1, 1): (3.0, 0.0), D(2024, 3, 31): (0.0, 5.0)}
+
+
+def test_shuffles_behind_a_written_table_are_deleted(spark):
+    """The files of a finished write go, those of held rows and of other plans stay, and the setting is as it was."""
+    import glob
+    import time
+
+    from pyspark.sql import functions as F
+
+    from peerlens import session
+
+    def files():
+        folder = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()[0]
+        return {f for f in glob.glob(f"{folder}/**/shuffle_*.data", recursive=True)}
+
+    d = spark.range(50_000).select("id", (F.col("id") * F.rand(3)).alias("x"))
+    kept = session.held(d.repartition(3, "x"))
+    moved = d.repartition(5, "x")
+    before = files()
+    out = session.durable(kept.groupBy((F.col("id") % 7).alias("g")).count().join(moved.groupBy((F.col("id") % 7).alias("g")).count().toDF("g", "n"), "g"))
+    for _ in range(50):
+        left = {f.rsplit("/", 1)[1].split("_")[1] for f in files() - before}
+        if len(left) == 1:
+            break
+        time.sleep(0.2)
+    assert len(left) == 1  # the shuffle of the held rows
+    assert spark.conf.get(session._CLEANUP) == "false"
+    assert out.count() == 7 and kept.count() == moved.count() == 50_000
